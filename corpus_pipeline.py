@@ -1,12 +1,39 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, in stages that each call one operator.
+
+A stage takes the rows that the one before it kept and returns the columns of
+documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from streamloom.llm.langid import NONE, identify_languages
+from streamloom.llm.mixing import mix_documents
 from streamloom.llm.near_dup import kept_documents
+from streamloom.llm.packing import pack_documents
+from streamloom.llm.quality import judge
+from streamloom.llm.storage import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose predicted language has lower odds go.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base or a quality rule rejects go."""
+    return judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language of sufficient odds go.
+
+    Rows are judged by their doc_id; of rows that share one, all stay if any
+    has a language, those without a doc_id go.
+    """
+    found = identify_languages(docs).where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +41,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_documents(docs).select(COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as its source's target takes it, not at all if never."""
+    mixed = mix_documents(docs.select(COLUMNS)).where("times > 0")
+    return mixed.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+#: Near-duplicate groups, language models and tokenizers have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over documents; each stage's rows are written and read again by the next."""
+    docs, ws = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = ws.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            ws.drop(f"stage{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -57,11 +57,11 @@ def registers(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).reshape(docs, REGISTERS)
 
 
-def band_keys(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(table: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each row's bands, and which of them have a register in use."""
-    parts = table.reshape(len(table), -1, ROWS).astype(_U)
+    parts = table.reshape(len(table), -1, rows).astype(_U)
     keys = np.broadcast_to(np.arange(parts.shape[1], dtype=_U) + _U(1), parts.shape[:2]).copy()
-    for k in range(ROWS):
+    for k in range(rows):
         keys = mix(keys * _U(0x9E3779B97F4A7C15) + parts[:, :, k])
     return keys, parts.any(axis=2)
 
@@ -204,7 +204,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of class representatives whose full sets are alike; only their texts move."""
     ids = _few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.join(ids, "doc_id", "left_semi")
@@ -250,7 +250,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     signs = star.join(sides.toDF("b", "sign_b"), "b").join(sides.toDF("a", "sign_a"), "a").select("a", "b", "sign_a", "sign_b")
     pairs = ws.table(signs.mapInArrow(_likely_batches(threshold), "a long, b long"), "star")
-    links = ws.table(_confirmed(pairs, docs, percent), "star-links")
+    links = ws.table(confirmed(pairs, docs, percent), "star-links")
     labels = components(links, ws, "star-cc")
 
     # buckets whose members are not all in one component
@@ -268,7 +268,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     rows = rows.join(sides, "rep").select("key", "i", "j", "minor", "label", "hub", "rep", "signature")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = ws.table(rows.mapInArrow(_block_batches(threshold), "a long, b long").distinct(), "rest")
-    links = ws.table(links.unionByName(_confirmed(more, docs, percent)), "links")
+    links = ws.table(links.unionByName(confirmed(more, docs, percent)), "links")
     ws.drop("members", "placed", "star")
 
     labels = components(links, ws)

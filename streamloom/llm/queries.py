@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the ten operators, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,19 +6,84 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from streamloom.llm import oracles
+from streamloom.llm.fingerprints import fingerprint_edits
+from streamloom.llm.html_main import extract_main_text
+from streamloom.llm.langid import identify_languages
+from streamloom.llm.mixing import mix_documents
 from streamloom.llm.near_dup import near_duplicates
+from streamloom.llm.packing import pack_documents
+from streamloom.llm.quality import judge
+from streamloom.llm.sharding import shard_documents
+from streamloom.llm.url_filter import judge_urls
+from streamloom.llm.warc import archived
+
+#: Host, path and verdict of the rules that op3 applies.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = judge(_table(spark, sf_dir, "documents"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_html_extraction,
+        op3_url_filters,
+        op4_minhash_near_dedup,
+        op5_warc,
+        op6_fingerprints,
+        op7_sharding,
+        op8_language_id,
+        op9_source_mixing,
+        op10_packing,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
