@@ -11,7 +11,9 @@ No step lists all pairs of a bucket. The members of a bucket are first held
 against its smallest one; members that are then in one component need no
 further pair. What is left, members outside their bucket's largest component,
 is held against the whole bucket in blocks of BLOCK classes, so that every pair
-that shares a band is either in one component already or estimated.
+that shares a band is either in one component already, or estimated, or out of
+reach: a shingle of one member that no other such member has is in no
+intersection, so sizes and counts of shared shingles bound a pair's likeness.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ BLOCK = 1024
 BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
+BLOCKS = ("key", "i", "j", "minor", "label", "hub", "rep", "n_shingles", "shared", "signature")
 SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"
 
 
@@ -129,15 +132,17 @@ def _likely_batches(threshold: float) -> Callable:
 
 
 def _block_batches(threshold: float) -> Callable:
-    """Rows (key, i, j, minor, label, hub, rep, signature), sorted by (key, i, j), to likely pairs across labels."""
+    """Rows of BLOCKS, sorted by (key, i, j), to likely pairs across labels."""
 
     def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(rows["minor"] == 1), np.flatnonzero(rows["minor"] == 0)
         a, b = [], []
-        table, label, rep, hub = rows["signature"], rows["label"], rows["rep"], rows["hub"]
+        table, label, rep, hub, n, shared = (rows[c] for c in ("signature", "label", "rep", "hub", "n_shingles", "shared"))
         for x in left:
             # a pair with the bucket's smallest member has been decided before
-            other = right[(label[right] != label[x]) & (rep[right] != hub[x]) & (rep[x] != hub[x])]
+            other = right[(label[right] != label[x]) & (rep[right] != hub[x])] if rep[x] != hub[x] else right[:0]
+            most = np.minimum(shared[other], shared[x])
+            other = other[most >= (threshold - 1e-9) * (n[other] + n[x] - most)]
             other = other[likely(table[other], table[x], threshold)]
             a.append(np.full(len(other), rep[x]))
             b.append(rep[other])
@@ -149,7 +154,7 @@ def _block_batches(threshold: float) -> Callable:
 
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
-            cols = {c: table[c].to_numpy() for c in ("key", "i", "j", "minor", "label", "hub", "rep")}
+            cols = {c: table[c].to_numpy() for c in BLOCKS[:-1]}
             cols["signature"] = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
             cuts = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
             found = [pairs({c: v[s:e] for c, v in cols.items()}) for s, e in zip([0, *cuts], [*cuts, len(table)], strict=True)]
@@ -204,6 +209,24 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) to a row for each member of each set."""
+    for batch in batches:
+        for first, _, keys, bounds in shingles(batch.column(1)):
+            for d in range(len(bounds) - 1):
+                own = np.unique(keys[bounds[d] : bounds[d + 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[first + d].as_py())), pa.array(own.view(np.int64))], ["rep", "shingle"])
+
+
+def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles of each of the ids' documents no other of them has."""
+    texts = docs.join(_few(ids), "doc_id", "left_semi")
+    # rows that repeat an id: their shingles count, but the id's number stays open
+    several = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("rep"))
+    rows = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_batches, "rep long, shingle long")
+    return rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("lone")).join(several, "rep", "left_anti")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of class representatives whose full sets are alike; only their texts move."""
     ids = _few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -226,7 +249,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     with nothing, not even its like. A row with a null doc_id gets the
     component of the rows with the same set; if none of those has an id, its
     component_id is null, and kept is false either way. Rows that repeat a
-    doc_id are judged each by its own text. An empty table gives no rows; other
+    doc_id are judged each by its own text; only one of these texts, and its
+    equals, is linked with other ones. An empty table gives no rows; other
     columns are not read.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -236,12 +260,10 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     signed = ws.table(docs.mapInArrow(signed_batches, SIGNED), "signed")
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = ws.table(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    first = F.struct("doc_id", "key1", "key2")
-    reps = ws.table(
-        linkable.withColumn("at", first).join(classes.select(F.struct(F.col("rep").alias("doc_id"), "key1", "key2").alias("at")), "at")
-        .select(F.col("doc_id").alias("rep"), "signature", "bands").dropDuplicates(["rep"]),
-        "reps",
-    )
+    # of rows that repeat a doc_id with other texts, one class stands for the id
+    chosen = classes.groupBy("rep").agg(F.min(F.struct("key1", "key2")).alias("key")).select(F.col("rep").alias("doc_id"), "key.key1", "key.key2")
+    own = linkable.join(chosen, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id"])
+    reps = ws.table(own.select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "bands"), "reps")
 
     bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -258,18 +280,21 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     placed = ws.table(placed, "placed")
     parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    left = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    left = ws.table(placed.join(mixed, "key"), "mixed")
+    lone = _lone_shingles(ws.table(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"), docs)
+    sized = reps.join(lone, "rep", "left").select("rep", "n_shingles", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("shared"), "signature")
+    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     minor = left.where("label <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(1).alias("minor"), "label", "hub", "rep")
     whole = left.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(0).alias("minor"), "label", "hub", "rep")
     # a block of minor members meets each block of the bucket; blocks without minor members have nothing to do
     rows = whole.join(minor.select("key", "i").distinct(), ["key", "i"], "left_semi").unionByName(minor)
-    rows = rows.join(sides, "rep").select("key", "i", "j", "minor", "label", "hub", "rep", "signature")
+    rows = rows.join(sized, "rep").select(*BLOCKS)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = ws.table(rows.mapInArrow(_block_batches(threshold), "a long, b long").distinct(), "rest")
     links = ws.table(links.unionByName(confirmed(more, docs, percent)), "links")
-    ws.drop("members", "placed", "star")
+    ws.drop("members", "placed", "star", "mixed")
 
     labels = components(links, ws)
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("label", "rep").alias("label"))
