@@ -11,8 +11,8 @@ No step lists all pairs of a bucket. The members of a bucket are first held
 against its smallest one; members that are then in one component need no
 further pair. What is left, members outside their bucket's largest component,
 is held against the whole bucket in blocks of BLOCK classes, so that every pair
-that shares a band is either in one component already, or estimated, or out of
-reach: a shingle of one member that no other such member has is in no
+that shares a band is either in one component already, or out of reach, or
+decided: a shingle of one member that no other such member has is in no
 intersection, so sizes and counts of shared shingles bound a pair's likeness.
 """
 
@@ -38,7 +38,7 @@ BLOCK = 1024
 BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
-BLOCKS = ("key", "i", "j", "minor", "label", "hub", "rep", "n_shingles", "shared", "signature")
+BLOCKS = ("key", "i", "j", "minor", "label", "main", "hub", "rep", "n_shingles", "shared", "signature", "shingles")
 SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"
 
 
@@ -131,37 +131,51 @@ def _likely_batches(threshold: float) -> Callable:
     return run
 
 
-def _block_batches(threshold: float) -> Callable:
-    """Rows of BLOCKS, sorted by (key, i, j), to likely pairs across labels."""
+def _block_batches(percent: int) -> Callable:
+    """Rows of BLOCKS, sorted by (key, i, j), to links across labels, one at most for each two labels of a block."""
+    threshold = percent / 100
 
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: dict[str, np.ndarray], sets: list[bytes]) -> list[tuple[int, int]]:
         left, right = np.flatnonzero(rows["minor"] == 1), np.flatnonzero(rows["minor"] == 0)
-        a, b = [], []
-        table, label, rep, hub, n, shared = (rows[c] for c in ("signature", "label", "rep", "hub", "n_shingles", "shared"))
+        table, label, main, rep, hub, n, shared = (rows[c] for c in ("signature", "label", "main", "rep", "hub", "n_shingles", "shared"))
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        out = []
         for x in left:
-            # a pair with the bucket's smallest member has been decided before
-            other = right[(label[right] != label[x]) & (rep[right] != hub[x])] if rep[x] != hub[x] else right[:0]
+            # a pair with the bucket's smallest member has been decided before, a pair of minor members comes up twice
+            other = right[(label[right] != label[x]) & (rep[right] != hub[x]) & ((label[right] == main[x]) | (rep[right] > rep[x]))] if rep[x] != hub[x] else right[:0]
             most = np.minimum(shared[other], shared[x])
             other = other[most >= (threshold - 1e-9) * (n[other] + n[x] - most)]
             other = other[likely(table[other], table[x], threshold)]
-            a.append(np.full(len(other), rep[x]))
-            b.append(rep[other])
-        empty = [np.zeros(0, np.int64)]
-        return np.concatenate(a or empty), np.concatenate(b or empty)
+            if not len(other):
+                continue
+            # a pair counts in its first common band
+            bands, used = (v[0] for v in band_keys(table[x][None]))
+            common = (table[other] == table[x]).reshape(len(other), -1, ROWS).all(axis=2) & used
+            own = np.frombuffer(sets[x], _U)
+            for y in other[bands[common.argmax(axis=1)].view(np.int64) == rows["key"][x]]:
+                a, b = top(int(label[x])), top(int(label[y]))
+                if a != b and alike(own, np.frombuffer(sets[y], _U), percent):
+                    out.append((int(rep[x]), int(rep[y])))
+                    joined[max(a, b)] = min(a, b)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
-            cols = {c: table[c].to_numpy() for c in BLOCKS[:-1]}
+            cols = {c: table[c].to_numpy() for c in BLOCKS[:-2]}
             cols["signature"] = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
+            sets = table["shingles"].to_pylist()
             cuts = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
-            found = [pairs({c: v[s:e] for c, v in cols.items()}) for s, e in zip([0, *cuts], [*cuts, len(table)], strict=True)]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            low, high = np.unique(np.stack([low, high]), axis=1) if len(low) else (low, high)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+            found = [p for s, e in zip([0, *cuts], [*cuts, len(table)], strict=True) for p in pairs({c: v[s:e] for c, v in cols.items()}, sets[s:e])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -180,6 +194,12 @@ def _block_batches(threshold: float) -> Callable:
     return run
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach percent of their union."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirm_batches(percent: int) -> Callable:
     """Rows (a, b, text_a, text_b) to the pairs whose full sets reach percent."""
 
@@ -194,11 +214,7 @@ def _confirm_batches(percent: int) -> Callable:
             return kept[node]
 
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, right = own(a, x), own(b, y)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
+            keep = [alike(own(a, x), own(b, y), percent) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -218,6 +234,14 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[first + d].as_py())), pa.array(own.view(np.int64))], ["rep", "shingle"])
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) to (rep, its sorted shingle keys)."""
+    for batch in batches:
+        for first, last, keys, bounds in shingles(batch.column(1)):
+            sets = [np.unique(keys[bounds[d] : bounds[d + 1]]).tobytes() for d in range(last - first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+
 def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, lone): how many shingles of each of the ids' documents no other of them has."""
     texts = docs.join(_few(ids), "doc_id", "left_semi")
@@ -237,6 +261,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm_batches(percent), "a long, b long").distinct()
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets with several labels, with the bucket's size and its main label."""
+    parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size"))
+    return placed.select("key", "hub", "rep", "label").join(mixed.where("labels > 1").drop("labels"), "key")
+
+
 def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents.
 
@@ -276,24 +307,28 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     labels = components(links, ws, "star-cc")
 
     # buckets whose members are not all in one component
-    placed = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    placed = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", F.coalesce("label", "rep").alias("label"))
     placed = ws.table(placed, "placed")
-    parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    left = ws.table(placed.join(mixed, "key"), "mixed")
-    lone = _lone_shingles(ws.table(left.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"), docs)
-    sized = reps.join(lone, "rep", "left").select("rep", "n_shingles", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("shared"), "signature")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    mixed = ws.table(_mixed(placed), "mixed")
+    ids = ws.table(mixed.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+    # a member most of whose shingles no other one has is linked with none
+    shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
+    sized = reps.join(_lone_shingles(ids, docs), "rep", "left").select("rep", "n_shingles", shared.alias("shared"), "signature").where(f"100 * shared >= {percent} * n_shingles")
+    sized = ws.table(sized.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "sized")
+    near = ws.table(_mixed(placed.join(sized.select("rep"), "rep", "left_semi")), "near")
+    texts = docs.join(_few(ws.table(near.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")), "doc_id", "left_semi")
+    sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_batches, "rep long, shingles binary").dropDuplicates()
+
+    near = near.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    near = near.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    minor = left.where("label <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(1).alias("minor"), "label", "hub", "rep")
-    whole = left.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(0).alias("minor"), "label", "hub", "rep")
+    minor = near.where("label <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(1).alias("minor"), "label", "main", "hub", "rep")
+    whole = near.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(0).alias("minor"), "label", "main", "hub", "rep")
     # a block of minor members meets each block of the bucket; blocks without minor members have nothing to do
     rows = whole.join(minor.select("key", "i").distinct(), ["key", "i"], "left_semi").unionByName(minor)
-    rows = rows.join(sized, "rep").select(*BLOCKS)
+    rows = rows.join(sized, "rep").join(sets, "rep").select(*BLOCKS)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = ws.table(rows.mapInArrow(_block_batches(threshold), "a long, b long").distinct(), "rest")
-    links = ws.table(links.unionByName(confirmed(more, docs, percent)), "links")
+    links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent), "a long, b long").distinct()), "links")
     ws.drop("members", "placed", "star", "mixed")
 
     labels = components(links, ws)
