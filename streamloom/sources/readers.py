@@ -1,0 +1,105 @@
+"""Sources and sinks: saved chat pages, raw caches, timelines, transcripts and subtitles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from streamloom import schema
+
+
+def _video_of(path: Column) -> Column:
+    """The number of a .../video_id=N/... folder, or of a file's stem."""
+    found = F.regexp_extract(path, r"(?:video_id=|/)(\d+)(?:/[^/]*|\.[a-z]+)$", 1)
+    return F.nullif(found, F.lit("")).try_cast("bigint")
+
+
+def parse_chat_pages(pages: DataFrame) -> DataFrame:
+    """(video_id, page_ord, items) to raw chat rows in the order of pages and items."""
+    rows = pages.select("video_id", "page_ord", F.posexplode("items").alias("item_ord", "item"))
+    kind, snippet = F.col("item.snippet.type"), "item.snippet."
+    return rows.select(
+        "video_id",
+        "page_ord",
+        "item_ord",
+        F.coalesce("item.authorDetails.displayName", F.lit("")).alias("author"),
+        F.coalesce(snippet + "displayMessage", F.lit("")).alias("text"),
+        F.coalesce(snippet + "publishedAt", F.lit("")).alias("timestamp_ms"),
+        F.when(kind == "superChatEvent", "superchat").when(kind == "superStickerEvent", "super_sticker").otherwise("normal").alias("type"),
+        F.when(kind == "superChatEvent", F.col(snippet + "superChatDetails.amountDisplayString")).when(kind == "superStickerEvent", F.col(snippet + "superStickerDetails.amountDisplayString")).alias("amount"),
+    )
+
+
+def read_chat_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Saved page files, one page a file, in the order of their names."""
+    pages = spark.read.schema(schema.CHAT_PAGE).json(path, multiLine=True)
+    pages = pages.withColumn("file", F.col("_metadata.file_path"))
+    return parse_chat_pages(pages.select(_video_of(F.col("file")).alias("video_id"), F.col("file").alias("page_ord"), "items"))
+
+
+def read_raw(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """JSON arrays of raw rows, a file for each video; `ord` is the place in the array."""
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    rows = whole.select(_video_of(F.col("file")).alias("video_id"), F.from_json("value", f"array<struct<{_struct(ddl)}>>").alias("rows"))
+    return rows.select("video_id", F.posexplode("rows").alias("ord", "row")).select("video_id", "ord", "row.*")
+
+
+def _struct(ddl: str) -> str:
+    return ",".join(":".join([f"`{c.split()[0]}`", c.split()[1]]) for c in ddl.split(", "))
+
+
+def write_raw(rows: DataFrame, path: str, order: str) -> None:
+    """Raw rows as a JSON array for each video, in the order of a column."""
+    cols = [c for c in rows.columns if c not in ("video_id", order)]
+    items = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*cols).alias("row")))), lambda x: x["row"])
+    arrays = rows.groupBy("video_id").agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("value"))
+    arrays.write.partitionBy("video_id").text(path)
+
+
+def write_timeline(timeline: DataFrame, path: str) -> None:
+    """JSON rows in a folder for each video; absent layers are omitted."""
+    timeline.write.partitionBy("video_id").json(path)
+
+
+def read_timeline(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Timeline rows with defaults for what is missing; strict fails on malformed rows."""
+    rows = spark.read.schema(schema.TIMELINE).json(path, mode="FAILFAST" if strict else "PERMISSIVE")
+    return with_defaults(rows)
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    from streamloom.functions.scalar import fmt_ts
+
+    flags = F.struct(*(F.coalesce(F.col(f"events.{x}"), F.lit(False)).alias(x) for x in schema.EVENT_FLAGS))
+    parts = F.struct(*(F.coalesce(F.col(f"score.breakdown.{x}"), F.lit(0.0)).alias(x) for x in schema.SCORE_PARTS))
+    return rows.withColumns(
+        {
+            "time_display": F.coalesce(F.nullif("time_display", F.lit("")), fmt_ts(F.col("time_start"))),
+            "scene_type": F.coalesce("scene_type", F.lit("unknown")),
+            "events": flags,
+            "score": F.struct(F.coalesce("score.total", F.lit(0.0)).alias("total"), parts.alias("breakdown")),
+            "merge": F.struct(F.coalesce("merge.source_type", F.lit("asr_only")).alias("source_type"), F.coalesce("merge.match_status", F.lit("unverified")).alias("match_status"), F.col("merge.conflict_note").alias("conflict_note")),
+        }
+    )
+
+
+def newest_timeline(files: DataFrame) -> DataFrame:
+    """(root, path, modified) to the timeline of each root: root/timeline.json, else the newest root/*/timeline.json."""
+    below = F.regexp_replace(F.substring("path", F.length("root") + F.lit(1), F.length("path")), "^/", "")
+    rank = F.when(below == "timeline.json", 2).when(below.rlike("^[^/]+/timeline[.]json$"), 1)
+    return files.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("root").agg(F.max_by("path", F.struct("rank", "modified", "path")).alias("path"))
+
+
+def list_timelines(spark: SparkSession, root: str) -> DataFrame:
+    """The timeline files under a root, as (root, path, modified)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "timeline.json").load(root)
+    return files.select(F.lit(root.rstrip("/")).alias("root"), F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("modified"))
+
+
+def write_subtitles(blocks: DataFrame, path: str) -> None:
+    """(track, video_id, n, block) as one text for each track and video."""
+    subtitle_texts(blocks).write.partitionBy("track", "video_id").text(path)
+
+
+def subtitle_texts(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("track", "video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n").alias("value"))
