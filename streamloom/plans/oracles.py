@@ -253,7 +253,7 @@ every as (
 firsts as (select * from (select *, {_ts('time_start')} as at, row_number() over (partition by video_id, {_ts('time_start')}, kind order by time_start, k, i) nth from every) where nth = 1),
 idx as (select video_id, row_number() over (partition by video_id order by time_start, k, i)::int n, time_start, "at", kind, summary from firsts)
 """
-_YT = "concat(case when starts_with("at", '00:') then substring("at", 4) else "at" end, ' ', summary)"
+_YT = """concat(case when starts_with("at", '00:') then substring("at", 4) else "at" end, ' ', summary)"""
 _add("index_chapters", _T, _EVENTS + "select * from chapters")
 _add("index_debuts", _T, _EVENTS + "select * from debuts")
 _add("index_spikes", _T, _EVENTS + "select * from spikes")
