@@ -10,6 +10,7 @@ from streamloom.llm.words import word_count
 
 #: Weights of the sources in order, repeating, and the times that a source is taken at most.
 WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
+ADDED = ["size", "source_size", "target", "taken", "times", "_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_sum", "_before"]
 
 
 def text_quality(text: str = "text") -> Column:
@@ -60,6 +61,7 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
     may change places. An empty table gives no rows; columns of documents that
     are named like added ones are replaced.
     """
+    documents = documents.drop(*ADDED)
     rows = documents.withColumns({"size": word_count(F.col(text_col)), "_source": group_key(source_col), "_unit": unit(seed, id_col), "_quality": text_quality(text_col), "_id": F.col(id_col)})
     # sized rows are read twice; the key's columns are longs and doubles
     sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))

@@ -1,0 +1,37 @@
+"""The stages against what their operators decide, each on its own input."""
+
+from collections import Counter
+
+import corpus_pipeline
+from streamloom.llm import queries
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "language id", "near dedup", "mixing", "packing"]
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir).cache()
+        counts.append(out.count())
+        if name != "packing":
+            assert out.columns == corpus_pipeline.COLUMNS
+            assert out.select("doc_id", "text").join(docs.select("doc_id", "text"), ["doc_id", "text"], "left_anti").isEmpty()
+        if name in ("quality rules", "language id", "near dedup"):
+            assert counts[-1] <= docs.count()
+        if name == "near dedup":
+            assert out.select("doc_id").distinct().count() == counts[-1]
+        if name == "mixing":
+            assert max(Counter(r.doc_id for r in out.collect()).values()) <= 3
+        docs = out
+    run = corpus_pipeline.run(spark, sf_dir)
+    assert run.count() == counts[-1] or abs(run.agg({"length": "sum"}).first()[0] - docs_tokens(docs)) == 0
+
+
+def docs_tokens(pieces):
+    return pieces.agg({"length": "sum"}).first()[0]
+
+
+def test_every_operator_has_its_query():
+    names = [n.split("_")[0] for n in queries.QUERIES]
+    assert names == [f"op{k}" for k in range(1, 11)]
