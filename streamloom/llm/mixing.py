@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.llm.ranked import buckets, group_key, running, unit
-from streamloom.llm.words import word_count
+from streamloom.llm.storage import Workspace
+from streamloom.llm.words import char_count, words
 
 #: Weights of the sources in order, repeating, and the times that a source is taken at most.
 WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
 ADDED = ["size", "source_size", "target", "taken", "times", "_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_sum", "_before"]
 
 
-def text_quality(text: str = "text") -> Column:
-    """A document's weight, 0.5 to 1: more for a larger share of letters in its words."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    letters, chars = F.length(F.regexp_replace(body, r"\P{L}+", "")), F.length(F.translate(body, " \t\n\x0b\f\r", ""))
-    return 0.5 + 0.5 * F.coalesce(letters / F.nullif(chars, F.lit(0)), F.lit(0.0))
+def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """documents with what the mix needs of each: size in words, source, a number in (0, 1) and a quality.
+
+    The quality is 0.5 to 1: more for a larger share of letters in the words.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    letters = F.length(F.regexp_replace(body, r"\P{L}+", ""))
+    rows = documents.withColumn("_words", words(F.col(text_col)))
+    share = letters / F.nullif(char_count(F.col("_words")), F.lit(0))
+    added = {"size": F.size("_words").cast("long"), "_quality": 0.5 + 0.5 * F.coalesce(share, F.lit(0.0)), "_source": group_key(source_col), "_unit": unit(seed, id_col), "_id": F.col(id_col)}
+    return rows.withColumns(added).drop("_words")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -47,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return rows.select("_source", "source_size", F.when(ended, fair).otherwise((most * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = True) -> DataFrame:
     """documents with size, source_size, target, taken and times.
 
     Each source is taken whole as often as its target holds its size. For the
@@ -56,17 +63,22 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
     document that the rest ends in stays if that comes nearer to it. times is
     how often a document is taken, taken = times * size.
 
+    Texts are measured once, into a table of the workspace; without carry it
+    holds the id and source columns alone, and the result has these.
+
     Sizes are words. A null text has none, a null source is one of its own,
     last in order, a null id counts as an empty one. Rows equal in all of these
     may change places. An empty table gives no rows; columns of documents that
     are named like added ones are replaced.
     """
     documents = documents.drop(*ADDED)
-    rows = documents.withColumns({"size": word_count(F.col(text_col)), "_source": group_key(source_col), "_unit": unit(seed, id_col), "_quality": text_quality(text_col), "_id": F.col(id_col)})
-    # sized rows are read twice; the key's columns are longs and doubles
-    sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    rows = measured(documents, id_col, text_col, source_col, seed)
+    if not carry:
+        rows = rows.select(id_col, source_col, "size", "_quality", "_source", "_unit", "_id")
+    rows = Workspace(documents.sparkSession, "mix").table(rows, "measured")
+    sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     largest = rows.groupBy("_source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    targets = source_targets(sizes.select("_source", "source_size"), weights, most)
+    targets = source_targets(sizes, weights, most)
 
     rows = rows.withColumn("_key", -F.ln("_unit") / F.col("_quality"))
     rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets(largest)))

@@ -62,7 +62,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(_table(spark, sf_dir, "documents"))
+    mixed = mix_documents(_table(spark, sf_dir, "documents"), carry=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
