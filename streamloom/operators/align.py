@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from streamloom import schema
 from streamloom.functions import scalar as S
 from streamloom.params import Params
+from streamloom.storage import Workspace
 
 BUCKET_SEC = 10.0
 
@@ -144,9 +145,15 @@ def unmatched(screen: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def align_full(speech: DataFrame, windows: DataFrame, screen: DataFrame, params: Params) -> DataFrame:
-    """The timeline of all three sources; without screen rows that of E5."""
-    timeline = align_mvp(speech, windows, params)
-    matches = greedy_match(timeline, screen, params)
+    """The timeline of all three sources; without screen rows that of E5.
+
+    The rows of both sides and the matches are each read several times, so they
+    are written once.
+    """
+    ws = Workspace(speech.sparkSession, "align")
+    timeline = ws.table(align_mvp(ws.table(speech, "speech"), ws.table(windows, "windows"), params), "mvp")
+    screen = ws.table(screen, "screen")
+    matches = ws.table(greedy_match(timeline, screen, params), "matches")
     return numbered(enriched(timeline, screen, matches, params).select(*schema.TIMELINE_COLUMNS).unionByName(unmatched(screen, matches).select(*schema.TIMELINE_COLUMNS)))
 
 

@@ -1,7 +1,7 @@
 """On-screen text: sampled frames to rows, rows to segments.
 
 raw: video_id, ord, chapter, name, dialogue, frame_time, frame_index; frames:
-video_id, frame_index, phash, dialogue_text, name_text, chapter_text.
+video_id, frame_ord, frame_index, phash, dialogue_text, name_text, chapter_text.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def stable_frames(frames: DataFrame, params: Params) -> DataFrame:
     distance, stable = params.hash_distance, params.stable_frames
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame_index")
+        group = group.sort_values(["frame_index", "frame_ord"])
         hashes, fired = group["phash"].to_numpy().astype(np.int64).view(np.uint64), []
         anchor = count = 0
         for k, value in enumerate(hashes.tolist()):

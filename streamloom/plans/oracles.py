@@ -311,3 +311,91 @@ _add("newest_timeline", "fx_asr", """e as (select distinct video_id v from fx_as
 f as (select concat('/runs/', v % 25) root, case when v >= 25 then concat('/runs/', v % 25, '/run', v, '/timeline.json') when v % 4 = 0 then concat('/runs/', v % 25, '/timeline.json') end path,
   case when v >= 25 then 1 else 2 end rank, v * 7919 % 1000 modified from e)
 select root, arg_max(path, row(rank, modified, path)) path from f where path is not null group by root""")
+
+
+def _add_recursive(name: str, views: str, body: str) -> None:
+    _add(name, views, body)
+    ORACLE_SQL[name] = ORACLE_SQL[name].replace("with ", "with recursive ", 1)
+
+
+_FOLD = """{rows}k as (select *, row_number() over (partition by video_id order by frame_index, frame_ord) k from {source}),
+st as (
+  select video_id, k, phash anchor, frame_index at_frame, 1 n from k where k = 1
+  union all
+  select k.video_id, k.k, case when far then k.phash else anchor end, case when far then k.frame_index else at_frame end, case when far then 1 else n + 1 end
+  from (select st.*, k.phash, k.frame_index, k.k kk, bit_count(xor(k.phash, st.anchor)) > 4 far from st join k on k.video_id = st.video_id and k.k = st.k + 1) x
+  join k on k.video_id = x.video_id and k.k = x.kk),
+stable as (select video_id, at_frame frame_index, anchor phash from st where n = 2)
+"""
+_add_recursive("frame_debounce", "fx_frames", "s as (select 1),\n" + _FOLD.format(rows="", source="fx_frames") + "select * from stable")
+_add_recursive("frames_to_rows", "fx_frames", "s as (select * from fx_frames where frame_index % 15 = 0),\n" + _FOLD.format(rows="", source="s").rstrip() + """,
+t as (
+  select f.*, case when starts_with(dialogue_text, lag(dialogue_text) over (partition by f.video_id order by f.frame_index)) then 0 else 1 end fresh
+  from fx_frames f join stable using (video_id, frame_index) where coalesce(dialogue_text, '') <> ''),
+u as (select *, sum(fresh) over (partition by video_id order by frame_index) run from t)
+select video_id, (run - 1)::bigint ord, arg_min(chapter_text, frame_index) chapter, arg_min(name_text, frame_index) as name, arg_max(dialogue_text, frame_index) dialogue,
+  min(frame_index) / 30::double frame_time, min(frame_index) frame_index from u group by video_id, run""")
+
+_MATCHES = """cand as (
+  select l.video_id, l.seg, x.ord::int ocr_ord, (least(l.e, x.time_end) - greatest(l.s, x.time_start)) / least(l.e - l.s, x.time_end - x.time_start) ratio
+  from lefts l join screen x on x.video_id = l.video_id and least(l.e, x.time_end) > greatest(l.s, x.time_start)),
+opts as (select video_id, seg, list(ocr_ord order by ratio desc, ocr_ord) o from cand where ratio >= 0.3::double group by video_id, seg),
+ends as (select video_id, max(seg) k from lefts group by video_id),
+took as (
+  select video_id, 0 n, []::int[] used, null::int pick from ends
+  union all
+  select video_id, n, case when pick is null then used else list_append(used, pick) end, pick from (
+    select took.video_id, took.n + 1 n, used, list_filter(o, lambda x: not list_contains(used, x))[1] pick
+    from took join ends on ends.video_id = took.video_id and took.n < k left join opts on opts.video_id = took.video_id and opts.seg = took.n + 1)),
+matches as (select video_id, n::int seg_ord, pick ocr_ord from took where pick is not null)
+"""
+_MATCHED_SPEECH = (
+    _SPEECH.rstrip()
+    + ",\n"
+    + _SCREEN.rstrip()
+    + """,
+lefts as (select video_id, row_number() over (partition by video_id order by "start", turn)::int seg, "start" s, "end" e from speech),
+"""
+    + _MATCHES
+)
+_add_recursive("greedy_match", "fx_ocr fx_audio", _MATCHED_SPEECH + "select * from matches")
+_add_recursive("match_totals", "fx_ocr fx_audio", _MATCHED_SPEECH + "select s.video_id, count(m.ocr_ord) matched, count(*) - count(m.ocr_ord) unmatched from screen s left join matches m on m.video_id = s.video_id and m.ocr_ord = s.ord group by s.video_id")
+_add_recursive("unmatched_ocr", "fx_ocr fx_audio", _MATCHED_SPEECH + "select video_id, ord::int seg_ord from screen s where not exists (select 1 from matches m where m.video_id = s.video_id and m.ocr_ord = s.ord)")
+
+_ALIGNED = (
+    _OVERLAY.rstrip()
+    + ",\n"
+    + _SCREEN.rstrip()
+    + """,
+rows_of as (select l.*, p.text, p.guess, 0 rank from laid l join speech p on p.video_id = l.video_id and p.turn = l.seg_ord union all select *, null, null, 1 from lone),
+al as (select *, row_number() over (partition by video_id order by time_start, rank, seg_ord)::int seg from rows_of),
+lefts as (select video_id, seg, time_start s, time_end e from al),
+"""
+    + _MATCHES.rstrip()
+    + """,
+fused as (
+  select al.video_id, al.seg ord, al.time_start, al.time_end, nullif(x.chapter, '') chapter, nullif(x.name, '') as character, x.dialogue, al.text, guess, al.message_count, al.chat_spike,
+    coalesce(x.chapter_change, false) chapter_change, coalesce(x.choice_point, false) choice_point, coalesce(x.cg_unlock, false) cg_unlock, al.score_total total,
+    al.source_type source0, x.ord is not null and al.text is not null both_sides,
+    case when x.dialogue = '' and al.text = '' then 0 when x.dialogue = '' or al.text = '' then 1 else levenshtein(x.dialogue, al.text) / greatest(length(x.dialogue), length(al.text))::double end r
+  from al left join matches m on m.video_id = al.video_id and m.seg_ord = al.seg left join screen x on x.video_id = m.video_id and x.ord = m.ocr_ord),
+judged as (
+  select * exclude (source0, both_sides, r), case when both_sides then 'ocr_asr' else source0 end source_type,
+    case when both_sides and r < 0.15::double and guess = 'game_voice' then 'readback_possible' when both_sides and r < 0.2::double then 'consistent' when both_sides then 'conflict'
+      when source0 = 'event_only' then 'not_applicable' else 'unverified' end match_status
+  from fused),
+complete as (
+  select * from judged
+  union all
+  select video_id, ord, time_start, time_end, nullif(chapter, ''), nullif(name, ''), dialogue, null, null, null, false, chapter_change, choice_point, cg_unlock, 0, 'ocr_only', 'unverified'
+  from screen s where not exists (select 1 from matches m where m.video_id = s.video_id and m.ocr_ord = s.ord)),
+final as (
+  select * exclude (ord), row_number() over (partition by video_id order by time_start, case source_type when 'event_only' then 1 when 'ocr_only' then 2 else 0 end, ord)::int seg_ord,
+    case when match_status = 'conflict' then concat('OCR: ', substring(dialogue, 1, 50), ' | ASR: ', substring(text, 1, 50)) end conflict_note from complete)
+"""
+)
+_add_recursive("align_full", "fx_chat fx_ocr fx_audio", _ALIGNED + "select video_id, seg_ord, time_start, chapter, dialogue, text, message_count, chapter_change, cg_unlock, total, source_type, match_status, conflict_note from final")
+_add_recursive("full_pipeline", "fx_chat fx_ocr fx_audio", _ALIGNED + """select video_id, seg_ord, time_start, time_end,
+  case when choice_point then 'choice' when chapter_change and coalesce(dialogue, '') = '' then 'transition' when coalesce(dialogue, '') <> '' and character is not null then 'dialogue'
+    when coalesce(dialogue, '') <> '' then 'narration' when coalesce(text, '') <> '' and guess = 'game_voice' then 'narration' when coalesce(text, '') <> '' or chat_spike then 'reaction' else 'silence' end scene_type,
+  dialogue, text, message_count, total, source_type, match_status from final""")

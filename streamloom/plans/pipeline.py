@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 
 from streamloom.operators import align, chat, clips, reports, screen, speech, subtitles
 from streamloom.params import Params
+from streamloom.storage import Workspace
 
 
 def build_timeline(raw_speech: DataFrame, levels: DataFrame, raw_chat: DataFrame, raw_screen: DataFrame | None, params: Params) -> DataFrame:
     """Speech, windows within the stream's duration, screen rows, alignment and scene types."""
-    spoken = speech.speech_segments(raw_speech, speech.peaks_with_fallback(levels), params)
+    ws = Workspace(raw_speech.sparkSession, "timeline")
+    peaks = speech.peaks_with_fallback(ws.table(levels, "levels"))
+    spoken = ws.table(speech.speech_segments(raw_speech, peaks, params), "speech")
     windows = chat.windows_with_messages(raw_chat, chat.stream_durations(spoken), params)
     if raw_screen is None:
         timeline = align.align_mvp(spoken, windows, params)

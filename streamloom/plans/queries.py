@@ -15,6 +15,7 @@ from streamloom.params import Params
 from streamloom.plans.fixtures import raw_speech, timeline, view
 from streamloom.plans.pipeline import build_timeline
 from streamloom.sources import readers
+from streamloom.storage import shared_dir
 
 #: A threshold at which every branch of the chat path occurs in the views.
 CHAT = Params(spike_threshold=1.5, reaction_keywords=("error", "click"))
@@ -63,16 +64,8 @@ def _messages(c: str):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for what round-trip queries write."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, for what round-trip queries write."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query
