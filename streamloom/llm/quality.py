@@ -59,13 +59,14 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def ordered(documents: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second of each alone on a sample, best first.
+def ordered(documents: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """rules by rejections per second of each alone on a sample of documents, best first.
 
-    The sample is bounded and decides the order only, never a verdict.
+    The sample is bounded and decides the order only, never a verdict; base
+    columns are computed for its rows alone.
     """
     n = documents.count()
-    sample = documents.sample(min(1.0, 2 * sample_rows / max(n, 1)), seed=7).limit(sample_rows).cache()
+    sample = base_columns(documents.sample(min(1.0, 2 * sample_rows / max(n, 1)), seed=7).limit(sample_rows), text).cache()
     try:
         size = sample.count()
         worth = []
@@ -96,4 +97,4 @@ def judge(documents: DataFrame, rules: list[Rule] | None = None, text: str = "te
     """
     rules = default_rules(text) if rules is None else rules
     rated = base_columns(documents, text)
-    return rated.withColumn("kept", ~F.col("base_failed") & cascade(ordered(rated, rules) if len(rules) > 1 else rules))
+    return rated.withColumn("kept", ~F.col("base_failed") & cascade(ordered(documents, rules, text) if len(rules) > 1 else rules))

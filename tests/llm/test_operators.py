@@ -126,7 +126,7 @@ def test_quality_order_does_not_change_verdicts(docs, none):
     a = rated.select("doc_id", quality.cascade(rules).alias("k")).collect()
     b = rated.select("doc_id", quality.cascade(rules[::-1]).alias("k")).collect()
     assert sorted(a) == sorted(b)
-    assert {r.name for r in quality.ordered(rated, rules)} == {r.name for r in rules}
+    assert {r.name for r in quality.ordered(docs, rules)} == {r.name for r in rules}
     assert quality.judge(none).count() == 0
 
 
