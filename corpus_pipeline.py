@@ -27,13 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language of sufficient odds go.
-
-    Rows are judged by their doc_id; of rows that share one, all stay if any
-    has a language, those without a doc_id go.
-    """
-    found = identify_languages(docs).where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    """Documents without a language of sufficient odds go."""
+    found = identify_languages(docs, carry=tuple(COLUMNS[1:]))
+    return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

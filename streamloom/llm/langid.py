@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from streamloom.llm.textkeys import _BASE, _power_tables, binary_parts, mix, slices
 
@@ -233,19 +234,24 @@ def training_rows(documents: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[st
     return [(text, lang) for lang in sorted(by_lang) for _, text in sorted(by_lang[lang])[:most]]
 
 
-def _predict_batches(model) -> Callable:
+def _predict_batches(model, names: list[str]) -> Callable:
+    """Rows whose second column is a text, and its language and score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                langs, scores = predict(model.value, part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                langs, scores = predict(model.value, part.column(1).to_pylist())
+                kept = [part.column(k) for k in range(part.num_columns) if k != 1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return run
 
 
-def identify_languages(documents: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of documents.
+def identify_languages(documents: DataFrame, most: int = TRAIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row of documents, and columns to carry along.
+
+    Rows stay where they are: nothing is shuffled but what is learned from.
 
     held_out rows, those whose crc32 of the id as text is 1 modulo 3, are never
     learned from. A null or empty text, or one without letters, is `und` with
@@ -258,4 +264,6 @@ def identify_languages(documents: DataFrame, most: int = TRAIN_DOCS) -> DataFram
     learned = training_rows(rows, most)
     model = fit([t for t, _ in learned], [x for _, x in learned]) if learned else Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
     model = documents.sparkSession.sparkContext.broadcast(model)  # a table of _ROWS rows, whatever the input
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict_batches(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    own = documents.withColumn("held_out", held).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", *carry)
+    out = StructType([*(own.schema.fields[k] for k in range(len(own.columns)) if k != 1), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return own.mapInArrow(_predict_batches(model, out.names), out)
