@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import fields
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom import schema
+from streamloom.functions.scalar import fmt_ts
+from streamloom.params import Params
 
 
 def _video_of(path: Column) -> Column:
@@ -68,8 +72,6 @@ def read_timeline(spark: SparkSession, path: str, strict: bool = False) -> DataF
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:
-    from streamloom.functions.scalar import fmt_ts
-
     flags = F.struct(*(F.coalesce(F.col(f"events.{x}"), F.lit(False)).alias(x) for x in schema.EVENT_FLAGS))
     parts = F.struct(*(F.coalesce(F.col(f"score.breakdown.{x}"), F.lit(0.0)).alias(x) for x in schema.SCORE_PARTS))
     return rows.withColumns(
@@ -96,6 +98,30 @@ def list_timelines(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.lit(root.rstrip("/")).alias("root"), F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("modified"))
 
 
+def with_param_defaults(channels: DataFrame) -> DataFrame:
+    """A row for each channel, with the default of each parameter that is missing or null."""
+    known = {f.name: f.default for f in fields(Params) if isinstance(f.default, (str, int, float))}
+    own = {c.lower() for c in channels.columns}
+    return channels.withColumns({n: F.coalesce(F.col(n), F.lit(d)) if n in own else F.lit(d) for n, d in known.items()})
+
+
+def read_channel_params(spark: SparkSession, path: str) -> DataFrame:
+    """JSON rows of channel parameters, defaults applied; a small table to join by broadcast."""
+    kinds = {str: "string", int: "int", float: "double"}
+    ddl = ", ".join(["video_id bigint", *(f"{f.name} {kinds[type(f.default)]}" for f in fields(Params) if type(f.default) in kinds)])
+    return with_param_defaults(spark.read.schema(ddl).json(path))
+
+
+def params_of(row: Row) -> Params:
+    """One channel's parameters, for plans that run on a channel."""
+    return Params(**{k: v for k, v in row.asDict().items() if k in {f.name for f in fields(Params)} and v is not None})
+
+
+def write_youtube(texts: DataFrame, path: str) -> None:
+    """(video_id, value) as one text for each video."""
+    texts.write.partitionBy("video_id").text(path)
+
+
 def write_subtitles(blocks: DataFrame, path: str) -> None:
     """(track, video_id, n, block) as one text for each track and video."""
     subtitle_texts(blocks).write.partitionBy("track", "video_id").text(path)
