@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from streamloom.llm import oracles
 from streamloom.llm.fingerprints import fingerprint_edits
@@ -36,7 +37,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rule = lambda host, path, verdict: F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(verdict).alias("verdict"))
+    rules = spark.range(1).select(F.inline(F.array(*(rule(*r) for r in URL_RULES))))
     return judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 

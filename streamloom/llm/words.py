@@ -20,10 +20,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
 def char_count(own: Column) -> Column:
     """Code points in an array of words."""
     return F.length(F.array_join(own, "")).cast("long")
