@@ -15,6 +15,8 @@ from streamloom.llm.textkeys import _BASE, _power_tables, binary_parts, mix, sli
 
 #: Documents of each language that the model learns from, at most: those with the smallest hash of their text.
 TRAIN_DOCS = 150
+#: Languages up to which their counts are broadcast.
+FEW_LANGUAGES = 100_000
 #: Words of a sequence; longer texts are runs of sequences.
 STEPS = 32
 #: Rows of the weight tables: lexicon, each affix length, character trigrams.
@@ -226,6 +228,8 @@ def training_rows(documents: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[st
     """
     may = documents.where("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     share = may.groupBy("lang").agg(F.least(F.lit(1.0), (2 * most + 20) / F.count("*")).alias("share"))
+    # a row a language; texts stay where they are while these are few
+    share = F.broadcast(share) if share.count() <= FEW_LANGUAGES else share
     rows = may.withColumn("_hash", F.xxhash64("doc_id", "text")).join(share, "lang")
     rows = rows.where(F.pmod("_hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     by_lang: dict[str, list] = {}
