@@ -16,3 +16,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python workers in batches of 1000 rows: a worker's memory holds one at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
