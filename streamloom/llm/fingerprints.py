@@ -14,6 +14,7 @@ from streamloom.llm.components import components
 from streamloom.llm.near_dup import band_keys, confirmed, set_keys
 from streamloom.storage import Workspace
 from streamloom.llm.textkeys import mix, shingles
+from streamloom.session import small_batches
 
 #: Universal hash functions x -> a * x + b modulo 2**64; the value kept of each minimum has 16 bits.
 PERMUTATIONS = 128
@@ -110,6 +111,7 @@ def fingerprint_edits(documents: DataFrame, id_col: str = "doc_id", text_col: st
     A null text is empty. Texts without words have equal fingerprints, unlike
     all others. An empty table gives no rows; other columns are not read.
     """
+    small_batches(documents.sparkSession)
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("o", order)
     cuts = F.array([F.lit(k / BOUNDS) for k in range(BOUNDS + 1)])

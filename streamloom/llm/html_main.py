@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from streamloom.session import small_batches
+
 #: Text of these is not part of any page.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -241,5 +243,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     without an article's text, gives an empty text. An empty table gives no
     rows; other columns are not read.
     """
+    small_batches(pages.sparkSession)
     rows = pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"`{url_col}` url", f"`{html_col}` html")
     return rows.mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from streamloom.llm.components import components
 from streamloom.storage import Workspace
 from streamloom.llm.textkeys import mix, shingles
+from streamloom.session import small_batches
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 25
 #: Classes of a bucket that one task compares with as many others at a time.
@@ -285,6 +286,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     columns are not read.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "near-dup")
     threshold = percent / 100
 
