@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.components import components
-from streamloom.llm.near_dup import band_keys, confirmed, set_keys
+from streamloom.llm.near_dup import band_keys, linked, set_keys
 from streamloom.storage import Workspace
 from streamloom.llm.textkeys import mix, shingles
 from streamloom.session import small_batches
@@ -140,17 +139,25 @@ def fingerprint_edits(documents: DataFrame, id_col: str = "doc_id", text_col: st
 #: Bands of this many permutations: likeness 0.8 shares none of 25 with odds of 4e-5.
 BAND_ROWS = 5
 
-MARKED = "doc_id long, n_shingles long, key1 long, key2 long, fingerprint binary, bands array<long>"
+MARKED = "doc_id long, row long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"
 
 
 def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, signs, keys, bounds in signatures(batch.column(1)):
-            bands, used = band_keys(signs[:, : PERMUTATIONS // BAND_ROWS * BAND_ROWS].astype(np.uint32), BAND_ROWS)
+        for first, last, signs, keys, bounds in signatures(batch.column(2)):
+            table = signs[:, : PERMUTATIONS // BAND_ROWS * BAND_ROWS].astype(np.uint32)
+            bands, used = band_keys(table, BAND_ROWS)
             n, key1, key2 = set_keys(keys, bounds)
             rows = [b[u].view(np.int64) for b, u in zip(bands, used, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
+                [
+                    *(batch.column(k).slice(first, last - first) for k in (0, 1)),
+                    pa.array(n.astype(np.int64)),
+                    pa.array(key1.view(np.int64)),
+                    pa.array(key2.view(np.int64)),
+                    pa.array([x.tobytes() for x in table], pa.binary()),
+                    pa.array(rows, pa.list_(pa.int64())),
+                ],
                 [c.split()[0] for c in MARKED.split(", ")],
             )
 
@@ -158,18 +165,26 @@ def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fingerprint_classes(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents that fingerprint bands bring together and whose full sets reach percent.
 
-    Equal sets form one class; each class is held against the smallest member
-    of each of its bands, so a band's pairs are as many as its members. Null
-    ids and texts without words are left out. Empty input gives no rows.
+    Equal sets form one class, a row of which stands for it. The bands' buckets
+    are decided as those of near_duplicates: each member against one of them,
+    then those outside the bucket's largest component against all of it.
+    component_id is the smallest doc_id that links reach. Rows that repeat a
+    doc_id are judged each by its own text. Null ids and texts without words
+    are left out. Empty input gives no rows.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "fingerprints")
-    marked = ws.table(docs.mapInArrow(_marked_batches, MARKED).where("n_shingles > 0 AND doc_id IS NOT NULL"), "marked")
-    classes = ws.table(marked.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    own = marked.join(classes, ["key1", "key2"]).where("doc_id = rep")
-    bands = own.select("rep", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    pairs = ws.table(bands.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    labels = components(confirmed(pairs, docs, percent), ws)
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("label", "rep").alias("component_id"))
-    return marked.join(found, ["key1", "key2"]).select("doc_id", "component_id")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    marked = ws.table(rows.mapInArrow(_marked_batches, MARKED).where("n_shingles > 0"), "marked")
+    firsts = marked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = ws.table(firsts.select("key1", "key2", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("least")), "classes")
+    own = marked.withColumnRenamed("row", "rep").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    reps = ws.table(own.select("rep", "n_shingles", "signature", "bands"), "reps")
+    labels = linked(reps, rows.select(F.col("row").alias("doc_id"), "text"), percent, ws, BAND_ROWS)
+    # only linked classes get another id than their own smallest one
+    placed = labels.withColumnRenamed("node", "rep")
+    least = placed.join(classes.select("rep", "least"), "rep").groupBy("label").agg(F.min("least").alias("component"))
+    found = classes.join(placed.join(least, "label").select("rep", "component"), "rep", "left")
+    found = found.select("key1", "key2", F.coalesce("component", "least").alias("component_id"))
+    return marked.select("doc_id", "key1", "key2").join(found, ["key1", "key2"]).select("doc_id", "component_id")

@@ -119,7 +119,7 @@ def likely(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
 def _likely_batches(threshold: float) -> Callable:
@@ -132,7 +132,7 @@ def _likely_batches(threshold: float) -> Callable:
     return run
 
 
-def _block_batches(percent: int) -> Callable:
+def _block_batches(percent: int, band_rows: int = ROWS) -> Callable:
     """Rows of BLOCKS, sorted by (key, i, j), to links across labels, one at most for each two labels of a block."""
     threshold = percent / 100
 
@@ -156,8 +156,8 @@ def _block_batches(percent: int) -> Callable:
             if not len(other):
                 continue
             # a pair counts in its first common band
-            bands, used = (v[0] for v in band_keys(table[x][None]))
-            common = (table[other] == table[x]).reshape(len(other), -1, ROWS).all(axis=2) & used
+            bands, used = (v[0] for v in band_keys(table[x][None], band_rows))
+            common = (table[other] == table[x]).reshape(len(other), -1, band_rows).all(axis=2) & used
             own = np.frombuffer(sets[x], _U)
             for y in other[bands[common.argmax(axis=1)].view(np.int64) == rows["key"][x]]:
                 a, b = top(int(label[x])), top(int(label[y]))
@@ -172,7 +172,7 @@ def _block_batches(percent: int) -> Callable:
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
             cols = {c: table[c].to_numpy() for c in BLOCKS[:-2]}
-            cols["signature"] = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
+            cols["signature"] = _rows(table["signature"])
             sets = table["shingles"].to_pylist()
             cuts = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
             found = [p for s, e in zip([0, *cuts], [*cuts, len(table)], strict=True) for p in pairs({c: v[s:e] for c, v in cols.items()}, sets[s:e])]
@@ -269,35 +269,14 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.select("key", "hub", "rep", "label").join(mixed.where("labels > 1").drop("labels"), "key")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of documents.
-
-    Documents are linked if 100 * |intersection| >= percent * |union| of their
-    sets of distinct five-word shingles; component_id is the smallest doc_id
-    that links reach. A pair of likeness 0.85 shares no band with odds of about
-    2e-8; no cap holds.
+def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_rows: int = ROWS) -> DataFrame:
+    """(node, label): the component of each linked one of reps(rep, n_shingles, signature, bands).
 
-    A null or empty text, or one without words, has no shingles and is linked
-    with nothing, not even its like. A row with a null doc_id gets the
-    component of the rows with the same set; if none of those has an id, its
-    component_id is null, and kept is false either way. Rows that repeat a
-    doc_id are judged each by its own text; only one of these texts, and its
-    equals, is linked with other ones. An empty table gives no rows; other
-    columns are not read.
+    docs(doc_id, text) has the text of each rep, which is its doc_id there. A
+    signature is a row of 32-bit registers, a whole number of bands of
+    band_rows registers each.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    small_batches(docs.sparkSession)
-    ws = Workspace(docs.sparkSession, "near-dup")
     threshold = percent / 100
-
-    signed = ws.table(docs.mapInArrow(signed_batches, SIGNED), "signed")
-    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = ws.table(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    # of rows that repeat a doc_id with other texts, one class stands for the id
-    chosen = classes.groupBy("rep").agg(F.min(F.struct("key1", "key2")).alias("key")).select(F.col("rep").alias("doc_id"), "key.key1", "key.key2")
-    own = linkable.join(chosen, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id"])
-    reps = ws.table(own.select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "bands"), "reps")
-
     bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = ws.table(bands.join(buckets, "key"), "members")
@@ -330,10 +309,40 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     rows = whole.join(minor.select("key", "i").distinct(), ["key", "i"], "left_semi").unionByName(minor)
     rows = rows.join(sized, "rep").join(sets, "rep").select(*BLOCKS)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent), "a long, b long").distinct()), "links")
+    links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent, band_rows), "a long, b long").distinct()), "links")
     ws.drop("members", "placed", "star", "mixed")
+    return components(links, ws)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of documents.
+
+    Documents are linked if 100 * |intersection| >= percent * |union| of their
+    sets of distinct five-word shingles; component_id is the smallest doc_id
+    that links reach. A pair of likeness 0.85 shares no band with odds of about
+    2e-8; no cap holds.
+
+    A null or empty text, or one without words, has no shingles and is linked
+    with nothing, not even its like. A row with a null doc_id gets the
+    component of the rows with the same set; if none of those has an id, its
+    component_id is null, and kept is false either way. Rows that repeat a
+    doc_id are judged each by its own text; only one of these texts, and its
+    equals, is linked with other ones. An empty table gives no rows; other
+    columns are not read.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "near-dup")
+
+    signed = ws.table(docs.mapInArrow(signed_batches, SIGNED), "signed")
+    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = ws.table(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
+    # of rows that repeat a doc_id with other texts, one class stands for the id
+    chosen = classes.groupBy("rep").agg(F.min(F.struct("key1", "key2")).alias("key")).select(F.col("rep").alias("doc_id"), "key.key1", "key.key2")
+    own = linkable.join(chosen, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id"])
+    reps = ws.table(own.select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "bands"), "reps")
 
-    labels = components(links, ws)
+    labels = linked(reps, docs, percent, ws)
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("label", "rep").alias("label"))
     ids = signed.select("doc_id", "n_shingles", "key1", "key2")
     out = ids.join(found, ["key1", "key2"], "left")

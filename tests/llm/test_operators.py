@@ -319,6 +319,29 @@ def test_fingerprint_classes(docs):
     assert np.mean([got[d] == want[d] for d in got]) > 0.99
 
 
+def test_fingerprint_classes_match_all_pairs(spark, docs, none):
+    """Loose copies, whose links mostly lie between members other than a band's smallest one, and a repeated id."""
+    got = {r.doc_id: r.component_id for r in fingerprints.fingerprint_classes(docs).collect()}
+    want = groups([(r.doc_id, r.text) for r in docs.collect()], 80)
+    assert got == {d: c for d, c in want.items() if d in got} and len(got) > 0
+    assert fingerprints.fingerprint_classes(none).count() == 0
+    rng = random.Random(11)
+    body = [f"w{k}" for k in range(140)]
+    rows = []
+    for k in range(200):
+        own = body.copy()
+        for _ in range(rng.randint(2, 5)):
+            own[rng.randrange(140)] = f"e{rng.randrange(10**6)}"
+        rows.append((1000 + k, " ".join(own), None, None, None))
+    # the smallest id shares bands with all of them and is like none
+    half = body[:100] + [f"h{k}" for k in range(40)]
+    rows.append((1, " ".join(half), None, None, None))
+    got = {r.doc_id: r.component_id for r in fingerprints.fingerprint_classes(table(spark, rows)).collect()}
+    assert got == groups([(r[0], r[1]) for r in rows], 80)
+    again = [(0, "a b c d e f g h", None, None, None), (1, "p q r s t u v w", None, None, None), (1, "A b c d e f g h", None, None, None)]
+    assert sorted(fingerprints.fingerprint_classes(table(spark, again)).collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
 def test_shingles_are_those_of_the_texts():
     texts = ["", None, "a", "a b c d", "a b c d e", "A b  c\td e f", "e a b c d", LONG, "ß é x y z w"]
     keys = {}
