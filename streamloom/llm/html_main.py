@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +32,18 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of a class, an id or a role that mark what is no article.
+#: Of these, elements that may be around a whole page.
+WRAPS = {"form", "fieldset"}
+#: A class, an id or a role of such words marks what is no article, alone or with words of PLAIN.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentary|consent|cookies?|disqus|footer|footnav|gdpr|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|outbrain|overlay|pager|pagination|popup|promos?|promoted|recommended|related|repl(?:y|ies)|respond|share|sharing|sidebars?|signup|social|sponsor(?:ed|s)?|subscribe|subscription|taboola|toolbar|widgets?|complementary|contentinfo|search|alert|toc)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentary|consent|cookies?|disqus|footer|footnav|gdpr|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|outbrain|overlay|pager|pagination|popup|promos?|promoted|recommended|related|repl(?:y|ies)|respond|share|sharing|sidebars?|signup|social|sponsor(?:ed|s)?|subscribe|subscription|taboola|toolbar|widgets?|complementary|contentinfo|search|alert|toc"
 )
+REMARKS = re.compile(r"comments?|commentary|disqus|repl(?:y|ies)|respond")
+PLAIN = set(
+    "area articles author bar block body bottom box btn button buttons center col column container content count footer form global group head header icon icons inner item items left link links list main meta mobile nav news outer page panel pane post posts primary right row secondary section site slot sticky stories sub tertiary text thread top unit wrap wrapper zone".split()
+)
+#: Marks of an element: no text of it is kept; none unless the page needs it; the same for what readers wrote.
+HARD, SOFT, REMARK = 1, 2, 3
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=$|[\s/"'])""", re.IGNORECASE)
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -44,29 +52,47 @@ INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNOREC
 class Node:
     """An open or closed element."""
 
-    __slots__ = ("tag", "parent", "dropped", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "dropped", "mark", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, mark: int = 0):
+        self.tag, self.parent, self.dropped, self.mark = tag, parent, dropped, mark
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _unlikely(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
-        return True
+@lru_cache(10_000)
+def _name_mark(name: str) -> int:
+    """The mark of a whole class token, id or role; related-work and has-sidebar are none."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
+    if not any(map(UNLIKELY.fullmatch, parts)) or not all(p in PLAIN or UNLIKELY.fullmatch(p) for p in parts):
+        return 0
+    return REMARK if any(map(REMARKS.fullmatch, parts)) else SOFT
+
+
+def _mark(tag: str, attributes: str, stack: list[Node]) -> int:
+    """The mark of an element's own tag and attributes."""
+    mark = SOFT if tag in WRAPS else HARD if tag in NEVER else 0
+    if mark == HARD:
+        return mark
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and INVISIBLE.search(value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and UNLIKELY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-        if name in ("class", "id") and tag == "article" and re.search(r"\b(?:comments?|repl(?:y|ies))\b", value.replace("_", " "), re.IGNORECASE):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id", "role") and tag not in HEADINGS and tag not in ("html", "body", "main"):
+            own = max(map(_name_mark, value.split()), default=0)
+            if tag == "article":
+                own = own if own == REMARK and name != "role" else 0
+            elif own and name == "id" and any(n.tag in ("article", "main") for n in stack):
+                own = 0  # the name of a part of the article
+            mark = max(mark, own)
+    return mark
 
 
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """The blocks of a page in order: (element, text, characters within links)."""
+def blocks(page: str, marks: bool = True) -> list[tuple[Node, str, int]]:
+    """The blocks of a page in order: (element, text, characters within links).
+
+    Blocks of elements with a mark other than HARD are there, too; without
+    marks only HARD ones count.
+    """
     root = Node("", None, False)
     stack, out, pieces = [root], [], []
     links, linked, breaks = 0, 0, 0
@@ -142,9 +168,9 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                     if stack[k].tag in ended:
                         pop(k)
                         break
-            if tag in ("article", "main") and stack[-1].dropped:
+            if tag in ("article", "main"):
                 # what should have been closed before the article
-                k = next(k for k in range(len(stack)) if stack[k].dropped)
+                k = next((k for k in range(len(stack)) if stack[k].dropped or stack[k].mark), 0)
                 if stack[k].tag in ("nav", "header", "head", "form", "aside"):
                     pop(k)
         if tag in VOID:
@@ -153,30 +179,91 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             raw = tag
             continue
         parent = stack[-1]
-        dropped = parent.dropped or _unlikely(tag, attributes)
+        mark = _mark(tag, attributes, stack)
+        if mark > HARD and not marks:
+            mark = 0
+        # the text around an inline element goes on, so that of a marked one is left out at once
+        dropped = parent.dropped or mark == HARD or mark > HARD and not block
         if tag == "header" and not dropped:
             dropped = not any(n.tag in ("article", "main") for n in stack)
-        stack.append(Node(tag, parent, dropped))
+        stack.append(Node(tag, parent, dropped, mark))
         if tag == "a":
             links += 1
     flush()
     return [x for x in out if not x[0].dropped]
 
 
+def _points(node: Node, text: str, linked: int) -> float:
+    """A paragraph's points: more for length and commas, less for its share of links."""
+    if len(text) < 25 or node.tag in HEADINGS:
+        return 0.0
+    return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
+
+
+def _unmarked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks in no marked element, but for marked ones around the page.
+
+    Such an element holds most of the page's points. It has all titles (first
+    headings, articles and main elements) within it, or one of them and nine
+    tenths of the points; on a page without titles, nine tenths in several
+    paragraphs. What readers wrote must have a first heading or the main element.
+    """
+    above: list[list[Node]] = []
+    for node, _, _ in found:
+        path = []
+        up: Node | None = node
+        while up is not None:
+            path.append(up)
+            up = up.parent
+        above.append(path)
+    if not any(n.mark for path in above for n in path):
+        return found
+    points = [_points(*x) for x in found]
+    held, titles, heads, counts = {}, {}, {}, {}
+    for path, worth in zip(above, points, strict=True):
+        title = any(n.tag in ("h1", "article", "main") and not n.mark for n in path)
+        head = any(n.tag in ("h1", "main") for n in path)
+        for n in path:
+            held[id(n)] = held.get(id(n), 0.0) + worth
+            titles[id(n)] = titles.get(id(n), 0) + title
+            heads[id(n)] = heads.get(id(n), 0) + head
+            counts[id(n)] = counts.get(id(n), 0) + (worth > 0)
+    root = id(above[0][-1])
+    total = held[root]
+
+    def around(n: Node) -> bool:
+        own = held[id(n)]
+        if 2 * own <= total or n.mark == REMARK and not heads[id(n)]:
+            return False
+        alone = total - own < 0.1 * total
+        if not titles[root]:
+            return alone and counts[id(n)] > 1
+        return titles[id(n)] == titles[root] or alone and titles[id(n)] > 0
+
+    return [x for x, path in zip(found, above, strict=True) if all(not n.mark or around(n) for n in path)]
+
+
 def main_text(page: str | None) -> str:
-    """The best container's blocks and those of its siblings that belong to it, a line each."""
+    """The best container's blocks and those of its siblings that belong to it, a line each.
+
+    Where marks leave nothing, the page is read without them.
+    """
     if not page:
         return ""
-    found = blocks(page)
+    found = _unmarked(blocks(page))
+    if not found:
+        found = blocks(page, marks=False)
+        if not any(_points(*x) for x in found):
+            return ""
     for node, text, linked in found:
         up = node
         while up is not None:
             up.chars += len(text)
             up.linked += linked
             up = up.parent
-        if len(text) < 25 or node.tag in HEADINGS:
+        points = _points(node, text, linked)
+        if not points:
             continue
-        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
         # a paragraph's points go to its parent, half of them to the next and ever less to those above
         up, level = (node.parent if node.tag in ("p", "pre", "td", "li", "blockquote", "dd") else node), 0
         while up is not None:

@@ -156,6 +156,31 @@ def test_html_of_a_marked_up_page():
     ]
 
 
+ONE = "A first paragraph, with commas, long enough to count as text, and then a little longer still."
+TWO = "A second paragraph, with commas, also long enough to count as text, and a little longer too."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>T</h1><section id='related-work'><h2 id='search-algorithms'>S</h2><p>{}</p></section><section id=social><p>{}</p></section></article>",
+        "<body><nav>Menu</nav><div class='layout has-sidebar'><h1>T</h1><h2 class='toc'>S</h2><p>{}</p><p>{}</p></div></body>",
+        "<body><div class='no-sidebar'><article class='post no-comments'><h1>T</h1><h2>S</h2><p>{}</p><p>{}</p></article></div></body>",
+        "<body><div id=overlay><article><h1>T</h1><h2>S</h2><p>{}</p><p>{}</p><div class='ad-box'>Buy, buy, buy, it is what one does, now.</div></article></div><div class=footer>Terms</div></body>",
+        "<body><form action=/><div><h1>T</h1><h2>S</h2><p>{}</p><p>{}</p></div><label>Name</label></form><p>Imprint</p></body>",
+        "<body><span class=comments><div><h1>T</h1><h2>S</h2><p>{}</p><p>{}</p></div></span></body>",
+    ],
+)
+def test_html_marks_leave_the_article(page):
+    assert html_main.main_text(page.format(ONE, TWO)).split("\n") == ["T", "S", ONE, TWO]
+
+
+def test_html_remarks_and_notices_outweigh_no_article():
+    page = f"<body><div class=post><h1>T</h1><p>{ONE}</p></div><div class=comments><article>" + f"<p>{TWO}</p>" * 9 + "</article></div><div class='cookie-notice'><p>" + TWO * 9 + "</p></div></body>"
+    assert html_main.main_text(page).split("\n") == ["T", ONE]
+    assert html_main.main_text("<div class=menu><a href=/>One long link to some other page</a></div>") == ""
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<p>", "<!--", "<script>", "a < b > c", "<div " + "a='" * 50, "<p>x" * 500, "<b>" * 3000])
 def test_html_of_broken_pages(page):
     assert isinstance(html_main.main_text(page), str)
