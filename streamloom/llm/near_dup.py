@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.llm.components import components
@@ -40,7 +40,7 @@ BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
 BLOCKS = ("key", "i", "j", "minor", "label", "main", "hub", "rep", "n_shingles", "shared", "signature", "shingles")
-SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"
+SIGNED = "doc_id long, row long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"
 
 
 def registers(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -80,23 +80,23 @@ def set_keys(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to rows of SIGNED."""
+    """(doc_id, row, text) to rows of SIGNED."""
     for batch in batches:
-        for first, last, keys, bounds in shingles(batch.column(1)):
+        for first, last, keys, bounds in shingles(batch.column(2)):
             table = registers(keys, bounds)
             bands, used = band_keys(table)
             n, key1, key2 = set_keys(keys, bounds)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used.sum(axis=1))]), pa.int32()), pa.array(bands[used].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(first, last - first),
+                    *(batch.column(k).slice(first, last - first) for k in (0, 1)),
                     pa.array(n.astype(np.int64)),
                     pa.array(key1.view(np.int64)),
                     pa.array(key2.view(np.int64)),
                     pa.array([x.tobytes() for x in table], pa.binary()),
                     lists,
                 ],
-                ["doc_id", "n_shingles", "key1", "key2", "signature", "bands"],
+                [c.split()[0] for c in SIGNED.split(", ")],
             )
 
 
@@ -314,6 +314,37 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_r
     return components(links, ws)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key of a row's id and text; those of two unlike rows are equal with odds of 2**-64."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def _judged(documents: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, n_shingles, first) for each row of documents.
+
+    row is its row_key, first the (unnamed, doc_id, row) of the component's
+    smallest row, with ids before none; it is null without shingles.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    small_batches(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "near-dup")
+
+    signed = ws.table(docs.mapInArrow(signed_batches, SIGNED), "signed")
+    # a row of each class stands for it
+    here = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = ws.table(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min(here).alias("first")).withColumn("rep", F.col("first.row")), "classes")
+    own = signed.withColumnRenamed("row", "rep").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    reps = ws.table(own.select("rep", "n_shingles", "signature", "bands"), "reps")
+
+    labels = linked(reps, docs.select(F.col("row").alias("doc_id"), "text"), percent, ws).withColumnRenamed("node", "rep")
+    # only linked classes get another first row than their own
+    firsts = labels.join(classes.select("rep", "first"), "rep").groupBy("label").agg(F.min("first").alias("least"))
+    found = classes.join(labels.join(firsts, "label").select("rep", "least"), "rep", "left")
+    found = found.select("key1", "key2", F.coalesce("least", "first").alias("first"))
+    return signed.select("doc_id", "row", "n_shingles", "key1", "key2").join(found, ["key1", "key2"], "left").select("doc_id", "row", "n_shingles", "first")
+
+
 def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents.
 
@@ -323,31 +354,15 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     2e-8; no cap holds.
 
     A null or empty text, or one without words, has no shingles and is linked
-    with nothing, not even its like. A row with a null doc_id gets the
-    component of the rows with the same set; if none of those has an id, its
-    component_id is null, and kept is false either way. Rows that repeat a
-    doc_id are judged each by its own text; only one of these texts, and its
-    equals, is linked with other ones. An empty table gives no rows; other
-    columns are not read.
+    with nothing, not even its like; it is kept. Each row is judged by its own
+    text, also where it repeats a doc_id or has none; a component without any
+    id has a null component_id, and only the rows of one text of it are kept.
+    An empty table gives no rows; other columns are not read.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    small_batches(docs.sparkSession)
-    ws = Workspace(docs.sparkSession, "near-dup")
-
-    signed = ws.table(docs.mapInArrow(signed_batches, SIGNED), "signed")
-    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = ws.table(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    # of rows that repeat a doc_id with other texts, one class stands for the id
-    chosen = classes.groupBy("rep").agg(F.min(F.struct("key1", "key2")).alias("key")).select(F.col("rep").alias("doc_id"), "key.key1", "key.key2")
-    own = linkable.join(chosen, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id"])
-    reps = ws.table(own.select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "bands"), "reps")
-
-    labels = linked(reps, docs, percent, ws)
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("label", "rep").alias("label"))
-    ids = signed.select("doc_id", "n_shingles", "key1", "key2")
-    out = ids.join(found, ["key1", "key2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("label"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = _judged(documents, percent, id_col, text_col)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == component, F.col("row") == F.col("first.row"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def kept_documents(documents: DataFrame, percent: int = 80) -> DataFrame:

@@ -262,6 +262,23 @@ def test_near_duplicates_of_odd_rows(odd):
     assert [r.doc_id for r in kept_documents(odd).collect()].count(4) == 1
 
 
+Y = [f"y{k}" for k in range(60)]
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Each text of an id that repeats has its own links, and so has a text without an id."""
+    x, near, y = " ".join(f"x{k}" for k in range(60)), " ".join([*Y[:-1], "z"]), " ".join(Y)
+    other, like = " ".join(f"o{k}" for k in range(60)), " ".join([*(f"o{k}" for k in range(59)), "p"])
+    for k in range(4):  # whichever key is the smaller one
+        t = f" {k}"
+        texts = [(0, near + t), (1, x + t), (1, y + t), (None, other + t), (None, like + t), (None, near + t), (7, None), (None, "")]
+        rows = near_duplicates(table(spark, [(d, v, None, None, None) for d, v in texts]), 80).collect()
+        got = sorted(((r.doc_id, r.component_id, r.kept) for r in rows if r.n_shingles), key=str)
+        assert got[:3] == [(0, 0, True), (1, 0, False), (1, 1, True)] and (None, 0, False) in got
+        assert sorted(r[2] for r in got if r[1] is None) == [False, True]
+        assert all(r.kept and r.component_id == r.doc_id for r in rows if not r.n_shingles)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(a, rng.randint(0, 400)) for a in range(300)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5), (None, 3)]
