@@ -366,12 +366,15 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
 
 
 def kept_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of documents that stay when each group leaves one: its smallest doc_id.
+    """The rows of documents that stay when each group leaves one: that of its smallest doc_id.
 
-    Rows of one doc_id that all would stay are told apart by their text; of
-    fully equal ones a single one stays. Rows with a null doc_id go.
+    Each row is judged by its own text, also where it repeats a doc_id or has
+    none; an id goes before none. Of fully equal rows a single one stays, but
+    each row without an id and without words is a document of its own.
     """
-    kept = near_duplicates(documents, percent).where("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-
-
+    judged = _judged(documents, percent, "doc_id", "text")
+    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNull()
+    stay = judged.where("n_shingles = 0 OR row = first.row").select(F.col("row").alias("_row"), alone.alias("_alone")).distinct()
+    rows = documents.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(stay, "_row")
+    rows = rows.withColumn("_own", F.when(F.col("_alone"), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_row", "_own"]).select(documents.columns)

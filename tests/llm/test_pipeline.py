@@ -28,6 +28,26 @@ def test_stages(spark, sf_dir):
     assert run.count() == counts[-1] or abs(run.agg({"length": "sum"}).first()[0] - docs_tokens(docs)) == 0
 
 
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    """The stage against all pairs of rows, with ids that are missing or repeat."""
+    text = lambda c, n=60, end="": " ".join(f"{c}{k}" for k in range(n)) + end
+    texts = [(1, text("a")), (1, text("b")), (2, text("b", 59)), (None, text("c")), (None, text("d")), (None, text("d", 59)), (None, text("a", 59, " z")), (3, text("e")), (3, text("e")), (5, text("f", 59)), (5, text("f")), (4, text("g")), (None, ""), (None, ""), (None, None), (6, None)]
+    rows = [(d, t, "en", "s", k) for k, (d, t) in enumerate(texts)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").split() for _, t in texts)]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if x == old else x for x in top]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted(top[r.n_chars] for r in out) == sorted(set(top))
+    # the smallest id of a group stays
+    of = {g: [texts[k][0] for k in range(len(top)) if top[k] == g and texts[k][0] is not None] for g in top}
+    assert all(r.doc_id == min(of[top[r.n_chars]], default=None) for r in out)
+    assert all((r.doc_id, r.text) == texts[r.n_chars] for r in out)
+
+
 def docs_tokens(pieces):
     return pieces.agg({"length": "sum"}).first()[0]
 
