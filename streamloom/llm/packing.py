@@ -35,8 +35,8 @@ class WordTokenizer:
     Texts of plain characters (ASCII and the Latin letters up to U+024F) are
     cut by the tokenizer's own word pattern, here for those characters, and
     each new word goes through the tokenizer's model; a text with any other
-    character goes through the whole tokenizer. Strings of special tokens are
-    ordinary text.
+    character, or with the content of an added token, goes through the whole
+    tokenizer, which gives such content its own id.
     """
 
     LETTER, SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", "\t-\r "
@@ -48,8 +48,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model, self.words = self.whole.model, {}
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # printable bytes stand for themselves, the others for the characters from U+0100 on, in order
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
@@ -62,7 +62,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        if self.OTHER.search(text):
+        if self.OTHER.search(text) or any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()

@@ -553,3 +553,13 @@ def test_word_tokenizer_equals_the_whole_tokenizer(docs):
     texts = [r.text for r in docs.limit(60).collect()] + ["", " ", "\n\n a  b\t\tc \n", "it's we'LL 1st  x_y <|endoftext|>", "½ ² Ⅷ 日本語 　 x y", "a\x1cb\x85c", "ÀÿĀſɏ×÷"]
     for t in texts:
         assert np.frombuffer(own.ids(t), "<u4").tolist() == own.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|>", "<|endoftext| >", "日本 <|endoftext|>"]
+    rows = packing.pack_documents(table(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), with_ids=True).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {k: [*whole.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert list(next(r.ids for r in rows if r.doc_id == 0)) == [50256, 1]
