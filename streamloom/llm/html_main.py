@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,7 +32,9 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Of these, elements that may be around a whole page.
+#: A paragraph outside of these goes on after them, whatever they hold.
+SCOPES = ("button", "noscript", "iframe", "object", "svg", "template", "canvas", "audio", "video", "select")
+#: Of NEVER, elements that may be around a whole page.
 WRAPS = {"form", "fieldset"}
 #: A class, an id or a role of such words marks what is no article, alone or with words of PLAIN.
 UNLIKELY = re.compile(
@@ -44,19 +46,30 @@ PLAIN = set(
 )
 #: Marks of an element: no text of it is kept; none unless the page needs it; the same for what readers wrote.
 HARD, SOFT, REMARK = 1, 2, 3
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=$|[\s/"'])""", re.IGNORECASE)
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+TAG_END = re.compile(r"""(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
+#: Elements whose text is a paragraph of the element around them.
+PARAGRAPHS = {"p", "pre", "td", "li", "blockquote", "dd"}
 
 
 class Node:
-    """An open or closed element."""
+    """An open or closed element and what its whole subtree adds up to."""
 
-    __slots__ = ("tag", "parent", "dropped", "mark", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "dropped", "mark", "link", "closed", "own", "score", "chars", "linked", "held", "counts", "titles", "heads", "titled", "headed", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, mark: int = 0):
-        self.tag, self.parent, self.dropped, self.mark = tag, parent, dropped, mark
-        self.score, self.chars, self.linked = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, mark: int = 0, link: bool = False):
+        self.tag, self.parent, self.dropped, self.mark, self.link = tag, parent, dropped, mark, link
+        self.closed = self.kept = False
+        self.own = self.score = self.held = 0.0
+        self.chars = self.linked = self.counts = self.titles = self.heads = 0
+        self.titled = tag in ("h1", "article", "main") and not mark or parent is not None and parent.titled
+        self.headed = tag in ("h1", "main") or parent is not None and parent.headed
+
+
+Block = tuple[Node, str, int]
 
 
 @lru_cache(10_000)
@@ -68,129 +81,169 @@ def _name_mark(name: str) -> int:
     return REMARK if any(map(REMARKS.fullmatch, parts)) else SOFT
 
 
-def _mark(tag: str, attributes: str, stack: list[Node]) -> int:
+def _mark(tag: str, attributes: dict[str, str], in_article: bool) -> int:
     """The mark of an element's own tag and attributes."""
     mark = SOFT if tag in WRAPS else HARD if tag in NEVER else 0
-    if mark == HARD:
+    if mark == HARD or "hidden" in attributes or attributes.get("aria-hidden") == "true" or INVISIBLE.search(attributes.get("style", "")):
+        return HARD
+    if tag in HEADINGS or tag in ("html", "body", "main"):
         return mark
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and INVISIBLE.search(value):
-            return HARD
-        if name in ("class", "id", "role") and tag not in HEADINGS and tag not in ("html", "body", "main"):
-            own = max(map(_name_mark, value.split()), default=0)
-            if tag == "article":
-                own = own if own == REMARK and name != "role" else 0
-            elif own and name == "id" and any(n.tag in ("article", "main") for n in stack):
-                own = 0  # the name of a part of the article
-            mark = max(mark, own)
+    for name in ("class", "id", "role"):
+        own = max(map(_name_mark, attributes.get(name, "").split()), default=0)
+        if tag == "article":
+            own = own if own == REMARK and name != "role" else 0
+        elif own and name == "id" and in_article:
+            own = 0  # the name of a part of the article
+        mark = max(mark, own)
     return mark
 
 
-def blocks(page: str, marks: bool = True) -> list[tuple[Node, str, int]]:
-    """The blocks of a page in order: (element, text, characters within links).
+class _Tree:
+    """The open elements of a page, its elements in page order and its blocks of text.
 
-    Blocks of elements with a mark other than HARD are there, too; without
-    marks only HARD ones count.
+    Places in the stack are kept by tag and for blocks, so that no step looks
+    through the stack: a page takes time in proportion to its length.
     """
-    root = Node("", None, False)
-    stack, out, pieces = [root], [], []
-    links, linked, breaks = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked, breaks
-        breaks = 0
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            pieces.clear()
+
+    def __init__(self, marks: bool):
+        self.marks = marks
+        self.nodes = [Node("", None, False)]
+        self.stack = [self.nodes[0]]
+        self.at: dict[str, list[int]] = {}
+        self.block_at: list[int] = [0]  # open blocks that are not dropped
+        self.off_at: list[int] = []  # open elements that are dropped or marked
+        self.blocks: list[Block] = []
+        self.pieces: list[str] = []
+        self.links = self.linked = self.breaks = 0
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def flush(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
             if text:
-                owner = next(n for n in reversed(stack) if n is root or n.tag in BLOCK)
-                out.append((owner if not stack[-1].dropped else stack[-1], text, min(linked, len(text))))
-        linked = 0
-
-    def pop(to: int) -> None:
-        nonlocal links
-        links -= sum(n.tag == "a" for n in stack[to:])
-        del stack[to:]
-
-    def add(text: str) -> None:
-        nonlocal linked, breaks
-        if text and not stack[-1].dropped:
+                self.blocks.append((self.stack[self.block_at[-1]], text, min(self.linked, len(text))))
+            self.pieces.clear()
+        self.linked = self.breaks = 0
+
+    def add(self, text: str) -> None:
+        if text and not self.stack[-1].dropped:
             text = html.unescape(text) if "&" in text else text
-            pieces.append(text)
+            self.pieces.append(text)
             if not text.isspace():
-                breaks = 0
-                if links:
-                    linked += len(text.strip())
-
-    at, raw = 0, None
-    while True:
-        if raw:  # up to the end tag of that name
-            end = re.compile(rf"</{raw}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at, raw = (end.end() if end else len(page)), None
-            continue
-        m = TAG.search(page, at)
-        add(page[at : m.start()] if m else page[at:])
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
+                self.breaks = 0
+                if self.links:
+                    self.linked += len(text.strip())
+
+    def line_break(self) -> None:
+        """One is white space, two in a row end a block."""
+        if not self.stack[-1].dropped:
+            self.pieces.append(" ")
+            self.breaks += 1
+            if self.breaks == 2:
+                self.flush()
+
+    def pop(self, to: int) -> None:
+        if self.block_at[-1] >= to:
+            self.flush()
+        while len(self.stack) > to:
+            node, k = self.stack.pop(), len(self.stack)
+            if self.block_at[-1] == k:
+                self.block_at.pop()
+            if self.off_at and self.off_at[-1] == k:
+                self.off_at.pop()
+            if not node.closed:
+                self.close(node)
+
+    def close(self, node: Node) -> None:
+        self.at[node.tag].pop()
+        self.links -= node.link
+
+    def end(self, tag: str) -> None:
+        block, k = tag in BLOCK, self.last((tag,))
+        if block and not self.stack[-1].dropped:
+            self.flush()
+        if k and not block and self.block_at[-1] > k:
+            self.stack[k].closed = True  # an inline element that a block within it outlives
+            self.close(self.stack[k])
+        elif k:
+            self.pop(k)
+
+    def start(self, tag: str, text: str) -> None:
         block = tag in BLOCK
-        if m[1] or m[4]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if block:
-                flush()
-            if k and not block and any(n.tag in BLOCK for n in stack[k + 1 :]):
-                links -= tag == "a"
-                del stack[k]  # an inline element that a block within it outlives
-            elif k:
-                pop(k)
-            continue
-        attributes = m[3] or m[6] or ""
-        if tag == "br":
-            breaks += 1
-            pieces.append(" ")
-            if breaks == 2:
-                flush()
-            continue
         if block:
-            flush()
-            inside = [k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"]
-            if inside and tag not in ("option", "legend", "summary"):
-                pop(inside[0])
+            if not self.stack[-1].dropped:
+                self.flush()
+            if self.last(("p",)) > self.last(SCOPES) and tag not in ("option", "legend", "summary"):
+                self.pop(self.at["p"][-1])
             if tag in CLOSES:
-                ended, within = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in within:
-                        break
-                    if stack[k].tag in ended:
-                        pop(k)
-                        break
-            if tag in ("article", "main"):
-                # what should have been closed before the article
-                k = next((k for k in range(len(stack)) if stack[k].dropped or stack[k].mark), 0)
-                if stack[k].tag in ("nav", "header", "head", "form", "aside"):
-                    pop(k)
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            raw = tag
-            continue
-        parent = stack[-1]
-        mark = _mark(tag, attributes, stack)
-        if mark > HARD and not marks:
+                k = self.last(CLOSES[tag][0])
+                if k > self.last(CLOSES[tag][1]):
+                    self.pop(k)
+            if tag in ("article", "main") and self.off_at and self.stack[self.off_at[0]].tag in ("nav", "header", "head", "form", "aside"):
+                self.pop(self.off_at[0])  # what should have been closed before the article
+        elif tag == "a":
+            self.end("a")
+        if tag in VOID or tag in RAW:
+            return
+        attributes: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(text):
+            attributes.setdefault(name.lower(), next(filter(None, values), ""))
+        in_article, parent = bool(self.at.get("article") or self.at.get("main")), self.stack[-1]
+        mark = _mark(tag, attributes, in_article)
+        if mark > HARD and not self.marks:
             mark = 0
         # the text around an inline element goes on, so that of a marked one is left out at once
-        dropped = parent.dropped or mark == HARD or mark > HARD and not block
-        if tag == "header" and not dropped:
-            dropped = not any(n.tag in ("article", "main") for n in stack)
-        stack.append(Node(tag, parent, dropped, mark))
-        if tag == "a":
-            links += 1
-    flush()
-    return [x for x in out if not x[0].dropped]
+        dropped = parent.dropped or mark == HARD or mark > HARD and not block or tag == "header" and not in_article
+        node = Node(tag, parent, dropped, mark, tag == "a" and "href" in attributes)
+        k = len(self.stack)
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.at.setdefault(tag, []).append(k)
+        if block and not dropped:
+            self.block_at.append(k)
+        if dropped or mark:
+            self.off_at.append(k)
+        self.links += node.link
+
+
+def parsed(page: str, marks: bool = True) -> tuple[list[Node], list[Block]]:
+    """A page's elements, parents first, and its blocks in order: (element, text, characters within links).
+
+    Blocks of elements with a mark other than HARD are there, too; without
+    marks only HARD ones count.
+    """
+    tree, at, last, quoted = _Tree(marks), 0, page.rfind(">"), True
+    while m := OPENING.search(page, at):
+        tree.add(page[at : m.start()])
+        at = m.end()
+        if m[2] is None:  # a comment or a declaration
+            end = page.find("-->", m.start() + 2) if m[0] == "<!--" else page.find(">", at)
+            at = len(page) if end < 0 else end + (3 if m[0] == "<!--" else 1)
+            continue
+        if at > last:  # no tag ends from here on
+            at = m.start()
+            break
+        # quoted values may hold a >, up to a tag that would thus have no end
+        whole = TAG_END.match(page, at) if quoted else None
+        quoted = whole is not None
+        end = whole.end() if whole else page.find(">", at) + 1
+        tag, text, at = m[2].lower(), page[at : end - 1], end
+        if m[1]:
+            tree.end(tag)
+        elif tag == "br":
+            tree.line_break()
+        else:
+            tree.start(tag, text)
+            if tag in RAW:
+                found = RAW_END[tag].search(page, at)
+                end = page.find(">", found.end()) if found else -1
+                at = len(page) if end < 0 else end + 1
+    tree.add(page[at:])
+    tree.flush()
+    return tree.nodes, tree.blocks
 
 
 def _points(node: Node, text: str, linked: int) -> float:
@@ -200,7 +253,38 @@ def _points(node: Node, text: str, linked: int) -> float:
     return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
 
 
-def _unmarked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+def _total(nodes: list[Node], found: list[Block]) -> None:
+    """Sums over the subtree of each element: characters, points, paragraphs, blocks below titles.
+
+    score passes all points of a paragraph to the element that holds it and
+    half of an element's score to the one above.
+    """
+    for n in nodes:
+        n.own = n.score = n.held = 0.0
+        n.chars = n.linked = n.counts = n.titles = n.heads = 0
+    for node, text, linked in found:
+        points = _points(node, text, linked)
+        node.chars += len(text)
+        node.linked += linked
+        node.held += points
+        node.counts += points > 0
+        node.titles += node.titled
+        node.heads += node.headed
+        holder = node.parent if node.tag in PARAGRAPHS else node
+        holder.score += points
+    for n in reversed(nodes):
+        if n.parent is not None:
+            up = n.parent
+            up.chars += n.chars
+            up.linked += n.linked
+            up.held += n.held
+            up.counts += n.counts
+            up.titles += n.titles
+            up.heads += n.heads
+            up.score += n.score / 2
+
+
+def _unmarked(nodes: list[Node], found: list[Block]) -> list[Block]:
     """The blocks in no marked element, but for marked ones around the page.
 
     Such an element holds most of the page's points. It has all titles (first
@@ -208,109 +292,63 @@ def _unmarked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]
     tenths of the points; on a page without titles, nine tenths in several
     paragraphs. What readers wrote must have a first heading or the main element.
     """
-    above: list[list[Node]] = []
-    for node, _, _ in found:
-        path = []
-        up: Node | None = node
-        while up is not None:
-            path.append(up)
-            up = up.parent
-        above.append(path)
-    if not any(n.mark for path in above for n in path):
-        return found
-    points = [_points(*x) for x in found]
-    held, titles, heads, counts = {}, {}, {}, {}
-    for path, worth in zip(above, points, strict=True):
-        title = any(n.tag in ("h1", "article", "main") and not n.mark for n in path)
-        head = any(n.tag in ("h1", "main") for n in path)
-        for n in path:
-            held[id(n)] = held.get(id(n), 0.0) + worth
-            titles[id(n)] = titles.get(id(n), 0) + title
-            heads[id(n)] = heads.get(id(n), 0) + head
-            counts[id(n)] = counts.get(id(n), 0) + (worth > 0)
-    root = id(above[0][-1])
-    total = held[root]
+    _total(nodes, found)
+    page = nodes[0]
 
     def around(n: Node) -> bool:
-        own = held[id(n)]
-        if 2 * own <= total or n.mark == REMARK and not heads[id(n)]:
+        if 2 * n.held <= page.held or n.mark == REMARK and not n.heads:
             return False
-        alone = total - own < 0.1 * total
-        if not titles[root]:
-            return alone and counts[id(n)] > 1
-        return titles[id(n)] == titles[root] or alone and titles[id(n)] > 0
+        alone = page.held - n.held < 0.1 * page.held
+        if not page.titles:
+            return alone and n.counts > 1
+        return n.titles == page.titles or alone and n.titles > 0
+
+    for n in nodes:
+        n.kept = (n.parent is None or n.parent.kept) and (not n.mark or around(n))
+    return [x for x in found if x[0].kept]
+
 
-    return [x for x, path in zip(found, above, strict=True) if all(not n.mark or around(n) for n in path)]
+def _worth(n: Node) -> float:
+    return n.score * (1 - n.linked / max(n.chars, 1))
 
 
 def main_text(page: str | None) -> str:
     """The best container's blocks and those of its siblings that belong to it, a line each.
 
-    Where marks leave nothing, the page is read without them.
+    Of equal containers the first one that opens is the best. One that holds
+    less than half of the page's points gives way to the element around it,
+    the body and what is above excepted, and every container to an article
+    around it. Where no paragraph has points, the first article is the text, or
+    all blocks; where marks leave nothing, the page is read without them.
     """
     if not page:
         return ""
-    found = _unmarked(blocks(page))
+    nodes, found = parsed(page)
+    if any(n.mark for n in nodes):
+        found = _unmarked(nodes, found)
     if not found:
-        found = blocks(page, marks=False)
+        nodes, found = parsed(page, marks=False)
         if not any(_points(*x) for x in found):
             return ""
-    for node, text, linked in found:
-        up = node
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
+    _total(nodes, found)
+    top = nodes[0]
+    if top.held:
+        best = max((n for n in nodes if n.tag and n.score > 0), key=_worth, default=top)
+        while 2 * best.held < top.held and best.parent is not None and best.parent.tag not in ("", "body", "html"):
+            best = best.parent
+        up = best
+        while up is not None and up.tag not in ("article", "main"):
             up = up.parent
-        points = _points(node, text, linked)
-        if not points:
-            continue
-        # a paragraph's points go to its parent, half of them to the next and ever less to those above
-        up, level = (node.parent if node.tag in ("p", "pre", "td", "li", "blockquote", "dd") else node), 0
-        while up is not None:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-    nodes: dict[int, Node] = {}
-    for node, _, _ in found:
-        up = node
-        while up is not None:
-            nodes[id(up)] = up
-            up = up.parent
-
-    def worth(n: Node) -> float:
-        return n.score * (1 - n.linked / max(n.chars, 1))
-
-    candidates = [n for n in nodes.values() if n.tag and n.score > 0]
-    if not candidates:
-        kept = next((n for n in nodes.values() if n.tag in ("article", "main")), None)
-        return "\n".join(t for n, t, _ in found if kept is None or _within(n, kept))
-    best = max(candidates, key=worth)
-    up = best
-    while up is not None:  # the article that holds the container
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    least = max(10.0, 0.2 * worth(best))
-    keep = {id(best)}
-    for n in nodes.values():
-        if n.parent is best.parent and n is not best and best.parent is not None and best.tag not in ("body", "html"):
+        best = up or best
+        least = max(10.0, 0.2 * _worth(best))
+    else:
+        best = next((n for n in nodes if n.chars and n.tag in ("article", "main")), top)
+    for n in nodes:
+        n.kept = n is best or n.parent is not None and n.parent.kept
+        if top.held and not n.kept and n.parent is best.parent and best.tag not in ("", "body", "html"):
             density = n.linked / max(n.chars, 1)
-            if worth(n) >= least or n.tag == "p" and density < 0.25 and n.chars > 80 or n.tag in HEADINGS and density < 0.25:
-                keep.add(id(n))
-    out = []
-    for node, text, _ in found:
-        up = node
-        while up is not None and id(up) not in keep:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
-
-
-def _within(node: Node | None, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+            n.kept = _worth(n) >= least or density < 0.25 and (n.tag == "p" and n.chars > 80 or n.tag in HEADINGS)
+    return "\n".join(text for node, text, _ in found if node.kept)
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +364,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Blocks lie a line each, in page order, their white space made one space;
     one line break is white space, two end a block. Pages go one by one, with
-    nothing shuffled, so ids may be null or repeat. A null or empty html, or one
-    without an article's text, gives an empty text. An empty table gives no
-    rows; other columns are not read.
+    nothing shuffled, so ids may be null or repeat, and repeated rows have equal
+    texts. A null or empty html, or one of marked elements without a
+    paragraph's points, gives an empty text; of a page of short blocks that no
+    mark drops all are the text. Very long pages are read whole, in time in
+    proportion to their length, however broken; of equal containers the first
+    one that opens wins. An empty table gives no rows; other columns are not
+    read, whatever their names.
     """
     small_batches(pages.sparkSession)
     rows = pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"`{url_col}` url", f"`{html_col}` html")
