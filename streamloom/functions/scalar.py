@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from streamloom.params import CG_MARK, CHOICE_MARKS, CONFUSABLE, LAUGHTER, SUBTITLED
 
 
+#: Multiplying by this and subtracting again leaves a double's upper half.
+SPLIT = float((1 << 27) + 1)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits: the nearest one to its exact binary value, of two equally near ones the even one.
+
+    Where x times the power of ten comes out halfway, the product's own error,
+    from the halves of x, tells on which side the exact product lies.
+    """
+    if not digits:
+        return F.rint(x)
+    scale = float(10**digits)
+    product, high, below = x * scale, x * SPLIT - (x * SPLIT - x), F.floor(x * scale).cast("double")
+    error = (high * scale - product) + (x - high) * scale
+    up = F.when(error > 0, 1.0).when(error < 0, 0.0).otherwise(F.abs(below % 2))
+    return F.when(product - below == 0.5, below + up).otherwise(F.rint(product)) / scale
+
+
 def fmt_ts(sec: Column) -> Column:
     """HH:MM:SS, truncated; hours are not capped."""
     s = F.floor(sec).cast("bigint")
@@ -27,7 +46,7 @@ def fmt_duration(sec: Column) -> Column:
     whole = F.floor(sec).cast("bigint")
     minutes, seconds = F.floor(whole / 60), whole % 60
     return (
-        F.when(sec < 60, F.concat(F.bround(sec, 0).cast("bigint").cast("string"), F.lit("s")))
+        F.when(sec < 60, F.concat(rounded(sec, 0).cast("bigint").cast("string"), F.lit("s")))
         .when(minutes >= 60, F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60))
         .when(seconds == 0, F.format_string("%dm", minutes))
         .otherwise(F.format_string("%dm%02ds", minutes, seconds))
@@ -73,7 +92,7 @@ def speaker(language: Column, duration: Column, no_speech: Column, confidence: f
 
 def confidence(no_speech: Column) -> Column:
     """F10"""
-    return F.bround(1 - no_speech, 3)
+    return rounded(1 - no_speech, 3)
 
 
 def match_status(ocr_text: Column, asr_text: Column, guess: Column, consistent: float, readback: float) -> Column:
@@ -152,7 +171,7 @@ def preview(text: Column, n: int, mark: str = "...") -> Column:
 
 def half_even(x: Column) -> Column:
     """A number rounded half to even, as text."""
-    return F.bround(x, 0).cast("bigint").cast("string")
+    return rounded(x, 0).cast("bigint").cast("string")
 
 
 def display_line(scored: bool = False) -> Column:

@@ -22,33 +22,35 @@ def numbered(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("seg_ord", F.row_number().over(over)).select(*schema.TIMELINE_COLUMNS)
 
 
-def touches(segments: DataFrame, windows: DataFrame, params: Params) -> DataFrame:
-    """(video_id, seg_ord, win_idx), windows clamped to the last one of their video."""
-    last = windows.groupBy("video_id").agg(F.max("win_idx").alias("last_win"))
+def touches(segments: DataFrame, params: Params) -> DataFrame:
+    """segments with win_idx, a row for each window they touch; windows beyond the last one meet none in a join."""
     w = params.window_sec
-    rows = segments.select("video_id", "seg_ord", "time_start", "time_end").join(last, "video_id")
-    first = F.greatest(F.lit(0).cast("bigint"), (F.col("time_start") / w).cast("bigint"))
-    end = F.least(F.col("last_win"), (F.col("time_end") / w).cast("bigint"))
-    return rows.where(end >= first).select("video_id", "seg_ord", F.explode(F.sequence(first, end)).alias("win_idx"))
+    first, end = F.greatest(F.lit(0).cast("bigint"), (F.col("time_start") / w).cast("bigint")), (F.col("time_end") / w).cast("bigint")
+    return segments.withColumn("win_idx", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array(F.lit(-1).cast("bigint")))))
 
 
 def overlay_chat(segments: DataFrame, windows: DataFrame, params: Params) -> DataFrame:
     """Each segment with the chat of all windows it touches.
 
-    Intervals become window indices, so the join is an equi join. A segment
-    without messages keeps no chat; a spike adds its flag and weight.
+    Intervals become window indices, so the join is an equi join, and segments
+    are read once: their columns go along. A segment without messages keeps no
+    chat; a spike adds its flag and weight.
     """
-    pairs = touches(segments, windows, params).join(windows, ["video_id", "win_idx"])
-    chat = pairs.groupBy("video_id", "seg_ord").agg(
+    columns = [c for c in segments.columns if c not in ("video_id", "seg_ord")]
+    own = segments.select("video_id", "seg_ord", "time_start", "time_end", F.struct(*columns).alias("own"))
+    # the same window of several videos' segments meets one row, so the join splits a hot video by window
+    pairs = touches(own, params).drop("time_start", "time_end").join(windows.drop("time_start", "time_end"), ["video_id", "win_idx"], "left")
+    rows = pairs.groupBy("video_id", "seg_ord").agg(
+        F.any_value("own").alias("own"),
         F.sum("message_count").alias("message_count"),
-        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("win_idx", "messages"))), lambda x: x["messages"])), 1, params.overlay_messages).alias("messages"),
+        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("messages").isNotNull(), F.struct("win_idx", "messages")))), lambda x: x["messages"])), 1, params.overlay_messages).alias("messages"),
         F.sum("superchat_count").alias("superchat_count"),
-        F.bround(F.max("density_per_min"), 1).alias("density_per_min"),
-        F.bround(F.max_by("baseline_per_min", "win_idx"), 1).alias("baseline_per_min"),
+        S.rounded(F.max("density_per_min"), 1).alias("density_per_min"),
+        S.rounded(F.max_by("baseline_per_min", F.when(F.col("messages").isNotNull(), F.col("win_idx"))), 1).alias("baseline_per_min"),
         F.bool_or("is_spike").alias("is_spike"),
     )
-    chat = chat.where("message_count > 0").select("video_id", "seg_ord", F.struct("message_count", "messages", "superchat_count", "density_per_min", "baseline_per_min", "is_spike").cast(schema.CHAT).alias("own_chat"))
-    rows = segments.join(chat, ["video_id", "seg_ord"], "left")
+    chat = F.when(F.col("message_count") > 0, F.struct("message_count", "messages", "superchat_count", "density_per_min", "baseline_per_min", "is_spike").cast(schema.CHAT))
+    rows = rows.select("video_id", "seg_ord", "own.*", chat.alias("own_chat"))
     spike, weight = F.coalesce("own_chat.is_spike", F.lit(False)), float(params.weights.get("chat_spike", 0.0))
     return rows.withColumns(
         {
@@ -62,7 +64,7 @@ def overlay_chat(segments: DataFrame, windows: DataFrame, params: Params) -> Dat
 def event_only_segments(segments: DataFrame, windows: DataFrame, params: Params) -> DataFrame:
     """Windows that spike and that no segment touches, as rows of their own."""
     weight = F.lit(float(params.weights.get("chat_spike", 0.0)))
-    lone = windows.where("is_spike").join(touches(segments, windows, params), ["video_id", "win_idx"], "left_anti")
+    lone = windows.where("is_spike").join(touches(segments.select("video_id", "time_start", "time_end"), params).select("video_id", "win_idx"), ["video_id", "win_idx"], "left_anti")
     return lone.select(
         "video_id",
         F.col("win_idx").cast("int").alias("seg_ord"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.functions import scalar as S
 from streamloom.functions.scalar import contains_any, offset_sec, published_us
 from streamloom.params import PAID, Params
 
@@ -61,8 +62,8 @@ def _windows(rows: DataFrame, params: Params) -> DataFrame:
         ((F.col("win_idx") + 1) * w).alias("time_end"),
         "message_count",
         "superchat_count",
-        F.bround("_density", 1).alias("density_per_min"),
-        F.bround("_baseline", 1).alias("baseline_per_min"),
+        S.rounded(F.col("_density"), 1).alias("density_per_min"),
+        S.rounded(F.col("_baseline"), 1).alias("baseline_per_min"),
         (F.col("_density") > F.col("_baseline") * params.spike_threshold).alias("is_spike"),
     )
 

@@ -39,9 +39,9 @@ def clip_manifest(timeline: DataFrame, params: Params) -> DataFrame:
     """A row for each clip with its name, duration, best score and segments."""
     rows = with_intervals(highlights(timeline, params), params)
     clips = rows.groupBy("video_id", F.col("clip").alias("n")).agg(F.min("clip_start").alias("start"), F.max("clip_end").alias("end"), F.max("score").alias("score"), F.count("*").alias("segments"))
-    return clips.withColumns({"duration": F.bround(F.col("end") - F.col("start"), 1), "filename": S.clip_name(F.col("n"), F.col("start"))})
+    return clips.withColumns({"duration": S.rounded(F.col("end") - F.col("start"), 1), "filename": S.clip_name(F.col("n"), F.col("start"))})
 
 
 def clip_totals(manifest: DataFrame) -> DataFrame:
     """A17"""
-    return manifest.groupBy("video_id").agg(F.count("*").alias("clips"), F.bround(F.sum("duration"), 6).alias("total_sec"))
+    return manifest.groupBy("video_id").agg(F.count("*").alias("clips"), S.rounded(F.sum("duration"), 6).alias("total_sec"))

@@ -26,7 +26,7 @@ def character_stats(timeline: DataFrame) -> DataFrame:
         F.min("seg_ord").alias("first_ord"),
     )
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("lines"), "first_ord"))
-    return rows.select("video_id", rank.alias("rank"), "character", "lines", "first_time", "last_time", F.bround("duration", 6).alias("duration"), S.fmt_duration(F.bround("duration", 6)).alias("duration_text"))
+    return rows.select("video_id", rank.alias("rank"), "character", "lines", "first_time", "last_time", S.rounded(F.col("duration"), 6).alias("duration"), S.fmt_duration(S.rounded(F.col("duration"), 6)).alias("duration_text"))
 
 
 def character_totals(timeline: DataFrame) -> DataFrame:
@@ -37,20 +37,20 @@ def character_totals(timeline: DataFrame) -> DataFrame:
 def scene_distribution(timeline: DataFrame) -> DataFrame:
     """A10: rows and percentage of each scene type."""
     rows = timeline.groupBy("video_id", "scene_type").agg(F.count("*").alias("n"))
-    return rows.withColumn("percent", F.bround(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("video_id")), 6))
+    return rows.withColumn("percent", S.rounded(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("video_id")), 6))
 
 
 def time_overview(timeline: DataFrame) -> DataFrame:
     """From the first row's start to the last row's end."""
-    rows = timeline.groupBy("video_id").agg(F.min_by("time_start", "seg_ord").alias("first_time"), F.max_by("time_end", "seg_ord").alias("last_time"), F.count("*").alias("segments"), F.bround(F.avg(F.col("time_end") - F.col("time_start")), 6).alias("mean_sec"))
-    return rows.withColumn("duration", F.bround(F.col("last_time") - F.col("first_time"), 6)).withColumn("duration_text", S.fmt_duration(F.col("duration")))
+    rows = timeline.groupBy("video_id").agg(F.min_by("time_start", "seg_ord").alias("first_time"), F.max_by("time_end", "seg_ord").alias("last_time"), F.count("*").alias("segments"), S.rounded(F.avg(F.col("time_end") - F.col("time_start")), 6).alias("mean_sec"))
+    return rows.withColumn("duration", S.rounded(F.col("last_time") - F.col("first_time"), 6)).withColumn("duration_text", S.fmt_duration(F.col("duration")))
 
 
 def conflict_summary(timeline: DataFrame) -> DataFrame:
     """A13"""
     status = lambda x: F.count_if(F.col("merge.match_status") == x).alias(x.removesuffix("_possible"))
     rows = timeline.groupBy("video_id").agg(F.count("*").alias("segments"), F.count_if(F.col("merge.source_type") == "ocr_asr").alias("ocr_asr"), status("consistent"), status("conflict"), status("readback_possible"), status("unverified"))
-    return rows.withColumn("consistency", F.bround(F.try_divide("consistent", "ocr_asr"), 6))
+    return rows.withColumn("consistency", S.rounded(F.try_divide("consistent", "ocr_asr"), 6))
 
 
 def conflict_rows(timeline: DataFrame) -> DataFrame:

@@ -85,16 +85,20 @@ def stable_frames(frames: DataFrame, params: Params) -> DataFrame:
 
 
 def collapsed_reveals(frames: DataFrame) -> DataFrame:
-    """Texts that extend the one before become one row, with the first frame's place, name and chapter."""
-    over = Window.partitionBy("video_id").orderBy("frame_index")
+    """Texts that extend the one before become one row, with the first frame's place, name and chapter.
+
+    Frames of one index stand in the order of frame_ord.
+    """
+    place = F.struct("frame_index", "frame_ord")
+    over = Window.partitionBy("video_id").orderBy("frame_index", "frame_ord")
     rows = frames.where(F.coalesce("dialogue_text", F.lit("")) != "").withColumn("before", F.lag("dialogue_text").over(over))
-    rows = rows.withColumn("new", F.when(F.startswith("dialogue_text", "before"), 0).otherwise(1)).withColumn("run", F.sum("new").over(over))
-    first = lambda c: F.min_by(c, "frame_index")
+    rows = rows.withColumn("new", F.when(F.startswith("dialogue_text", "before"), 0).otherwise(1)).withColumn("run", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = lambda c: F.min_by(c, place)
     return rows.groupBy("video_id", "run").agg(
         (F.max("run") - 1).alias("ord"),
         first("chapter_text").alias("chapter"),
         first("name_text").alias("name"),
-        F.max_by("dialogue_text", "frame_index").alias("dialogue"),
+        F.max_by("dialogue_text", place).alias("dialogue"),
         F.min("frame_index").alias("frame_index"),
     ).drop("run")
 

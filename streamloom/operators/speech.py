@@ -28,27 +28,46 @@ def audio_baseline(levels: DataFrame) -> DataFrame:
     return levels.groupBy("video_id").agg(F.median("db").alias("baseline_db"))
 
 
+def _in_islands(levels: DataFrame) -> DataFrame:
+    """levels with baseline_db, loud, the place of the last and the next loud window and the number of the island so far."""
+    video = Window.partitionBy("video_id")
+    over, place = video.orderBy("win_idx"), F.when(F.col("loud"), F.col("win_idx"))
+    rows = levels.withColumn("baseline_db", F.median("db").over(video)).withColumn("loud", F.col("db") >= F.col("baseline_db") + LOUDER_DB)
+    rows = rows.withColumns(
+        {
+            "before": F.last(place, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)),
+            "after": F.first(place, ignorenulls=True).over(over.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    )
+    new = F.col("loud") & (F.col("before").isNull() | (F.col("win_idx") - F.col("before") > MERGE_GAP + 1))
+    return rows.withColumn("island", F.sum(new.cast("int")).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """A peak of the windows of each island."""
+    runs = rows.groupBy("video_id", "island").agg(F.min("win_idx").alias("first_win"), F.max("win_idx").alias("last_win"), F.max("db").alias("peak_db"), F.max("baseline_db").alias("baseline_db"))
+    return runs.select("video_id", F.col("first_win").cast("double").alias("start"), (F.col("last_win") + 1).cast("double").alias("end"), "peak_db", (F.col("peak_db") - F.col("baseline_db")).alias("db_above_baseline"))
+
+
 def volume_peaks(levels: DataFrame) -> DataFrame:
     """Runs of loud windows with at most MERGE_GAP quiet ones between two."""
-    loud = levels.join(audio_baseline(levels), "video_id").where(F.col("db") >= F.col("baseline_db") + LOUDER_DB)
-    over = Window.partitionBy("video_id").orderBy("win_idx")
-    loud = loud.withColumn("new", F.coalesce((F.col("win_idx") - F.lag("win_idx").over(over) > MERGE_GAP + 1).cast("int"), F.lit(1)))
-    loud = loud.withColumn("island", F.sum("new").over(over))
-    runs = loud.groupBy("video_id", "island").agg(F.min("win_idx").alias("first_win"), F.max("win_idx").alias("last_win"), F.max("db").alias("peak_db"), F.max("baseline_db").alias("baseline_db"))
-    return runs.select("video_id", F.col("first_win").cast("double").alias("start"), (F.col("last_win") + 1).cast("double").alias("end"), "peak_db", (F.col("peak_db") - F.col("baseline_db")).alias("db_above_baseline"))
+    return _runs(_in_islands(levels).where("loud"))
 
 
 def peaks_with_fallback(levels: DataFrame) -> DataFrame:
-    """Where a video has few peaks, its loudest windows outside of them too; ties take the later window."""
-    peaks = volume_peaks(levels)
-    few = peaks.groupBy("video_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("db"), F.desc("win_idx")))
-    top = levels.withColumn("rank", rank).where(F.col("rank") <= LOUDEST).join(few, "video_id", "left").where(F.coalesce("n", F.lit(0)) < FEW_PEAKS)
+    """Where a video has few peaks, its loudest windows outside of them too; ties take the later window.
+
+    Levels are read once: each added window is an island of its own, by a
+    negative number, in the pass that gives the peaks.
+    """
+    video = Window.partitionBy("video_id")
+    rank = F.row_number().over(video.orderBy(F.desc("db"), F.desc("win_idx")))
+    rows = _in_islands(levels).withColumns({"rank": rank, "peaks": F.max("island").over(video)})
     # a stored end is exclusive but compared inclusively
-    inside = peaks.select("video_id", F.explode(F.sequence(F.col("start").cast("bigint"), F.col("end").cast("bigint"))).alias("win_idx")).distinct()
-    more = top.join(inside, ["video_id", "win_idx"], "left_anti").join(audio_baseline(levels), "video_id")
-    more = more.select("video_id", F.col("win_idx").cast("double").alias("start"), (F.col("win_idx") + 1).cast("double").alias("end"), F.col("db").alias("peak_db"), (F.col("db") - F.col("baseline_db")).alias("db_above_baseline"))
-    return peaks.unionByName(more)
+    between = (F.col("after") - F.col("before") <= MERGE_GAP + 1) | (F.col("win_idx") == F.col("before") + 1)
+    outside = ~F.col("loud") & ~F.coalesce(between, F.lit(False))
+    more = outside & (F.col("rank") <= LOUDEST) & (F.col("peaks") < FEW_PEAKS)
+    return _runs(rows.where(F.col("loud") | more).withColumn("island", F.when(F.col("loud"), F.col("island")).otherwise(-1 - F.col("win_idx"))))
 
 
 def silence_bursts(raw: DataFrame) -> DataFrame:
@@ -57,7 +76,7 @@ def silence_bursts(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("gap", F.col("start") - F.lag("end").over(over))
     short = (F.length(S.strip(F.col("text"))) < BURST_CHARS) | (F.col("end") - F.col("start") < BURST_SEC)
     rows = rows.where((F.col("gap") >= GAP_SEC) & ((F.col("gap") >= LARGE_GAP_SEC) | ~short))
-    return rows.select("video_id", "ord", "start", "end", F.bround("gap", 2).alias("gap_before_sec"))
+    return rows.select("video_id", "ord", "start", "end", S.rounded(F.col("gap"), 2).alias("gap_before_sec"))
 
 
 def admitted(raw: DataFrame, params: Params) -> DataFrame:
@@ -76,8 +95,8 @@ def speech_parts(raw: DataFrame, peaks: DataFrame, params: Params) -> DataFrame:
     seconds = lambda a, b: F.explode(F.sequence(F.col(a).cast("bigint"), F.col(b).cast("bigint"))).alias("sec")
     loud = peaks.select("video_id", seconds("start", "end")).distinct()
     hit = rows.select("video_id", "ord", seconds("start", "end")).join(loud, ["video_id", "sec"], "left_semi").select("video_id", "ord").distinct().withColumn("has_volume", F.lit(True))
-    bursts = silence_bursts(raw).select("video_id", F.bround("start", 1).alias("tenth")).distinct().withColumn("has_burst", F.lit(True))
-    rows = rows.withColumn("tenth", F.bround("start", 1)).join(hit, ["video_id", "ord"], "left").join(bursts, ["video_id", "tenth"], "left")
+    bursts = silence_bursts(raw).select("video_id", S.rounded(F.col("start"), 1).alias("tenth")).distinct().withColumn("has_burst", F.lit(True))
+    rows = rows.withColumn("tenth", S.rounded(F.col("start"), 1)).join(hit, ["video_id", "ord"], "left").join(bursts, ["video_id", "tenth"], "left")
     w = params.weights
     flags = {
         "volume_spike": F.coalesce("has_volume", F.lit(False)),

@@ -40,10 +40,13 @@ select video_id, turn ord, concat('Chapter ', cast(turn // 3 as varchar)) chapte
 from fx_asr where (video_id*5+turn)%6 <> 0
 """
 FX_AUDIO = """
-select l_suppkey video_id,
-  row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice)-1 sample_idx,
-  l_quantity/50.0::double amplitude
-from lineitem
+select video_id, sample_idx,
+  amplitude * case when case when video_id%3=0 then sample_idx//10%5=0 else sample_idx//10%23 in (0,1,4,8) end then 1.0::double else 0.2::double end amplitude
+from (
+  select l_suppkey video_id,
+    row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice)-1 sample_idx,
+    l_quantity/50.0::double amplitude
+  from lineitem)
 """
 FX_TIMELINE = """
 select a.video_id, a.turn seg_ord, a."start" time_start, a."end" time_end, o.chapter,
@@ -114,7 +117,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("unknown").alias("scene_type"),
         F.struct(*(flag.get(x, F.lit(False)).alias(x) for x in schema.EVENT_FLAGS)).alias("events"),
         F.struct(c("score_total").alias("total"), F.struct(*(F.lit(0.0).alias(x) for x in schema.SCORE_PARTS)).alias("breakdown")).alias("score"),
-        F.struct("source_type", "match_status", F.lit(None).cast("string").alias("conflict_note")).alias("merge"),
+        F.struct("source_type", "match_status", F.when(c("match_status") == "conflict", S.conflict_note(c("dialogue"), c("asr_text"))).alias("conflict_note")).alias("merge"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from streamloom.params import CONFUSABLE
 from streamloom.plans.fixtures import duck
 
 ORACLE_SQL: dict[str, str] = {}
@@ -15,12 +18,27 @@ def _srt(x: str) -> str:
     return f"({_ts(x)} || printf(',%03d', trunc(({x} % 1) * 1000)::int))"
 
 
+def _round(x: str, n: int) -> str:
+    """x to n digits, by its exact binary value: at a halfway product the product's error decides, then evenness."""
+    scale = f"1e{n}::double"
+    high = "(v * 134217729::double - (v * 134217729::double - v))"
+    error = f"({high} * {scale} - v * {scale} + (v - {high}) * {scale})"
+    even = f"case when {error} > 0 then ceil(v * {scale}) when {error} < 0 then floor(v * {scale}) else round_even(v * {scale}, 0) end"
+    return f"list_transform([{x}], lambda v: case when v * {scale} - floor(v * {scale}) = 0.5::double then {even} else round_even(v * {scale}, 0) end / {scale})[1]"
+
+
 def _even(x: str) -> str:
     return f"round_even({x}, 0)::bigint::varchar"
 
 
+def _plain(sql: str) -> str:
+    """SQL with each rounded[x; n] written out."""
+    return re.sub(r"rounded\[([^;]*); (\d)\]", lambda m: _round(m[1], int(m[2])), sql)
+
+
 def _add(name: str, views: str, body: str) -> None:
     """views: names that the query starts from; body may go on with common tables."""
+    body = _plain(body)
     ORACLE_SQL[name] = f"{duck(*views.split())}{',' if body.lstrip().startswith(('o as', 'w as', 'l as', 's as', 'e as')) else ''}\n{body.strip()}"
 
 
@@ -39,7 +57,7 @@ b as (
     message_count / (10 / 60::double) density from c),
 wins as (
   select video_id, win_idx, win_idx * 10::double time_start, (win_idx + 1) * 10::double time_end, message_count, superchat_count,
-    round_even(density, 1) density_per_min, round_even(base, 1) baseline_per_min, density > base * 1.5::double is_spike
+    rounded[density; 1] density_per_min, rounded[base; 1] baseline_per_min, density > base * 1.5::double is_spike
   from b),
 k as (
   select *, case when type <> 'normal' then 0 when contains(text, 'error') or contains(text, 'click') then 1 else 2 end class from r),
@@ -84,17 +102,17 @@ g as (
     and not exists (select 1 from p where p.video_id = f.video_id and f.win_idx between p.s and p.e)),
 peaks as (select * from p union all select * from g)
 """
-_PEAK = 'select video_id, s "start", e "end", round_even(peak, 6) peak_db, round_even(above, 6) db_above_baseline from '
-_add("audio_rms", "fx_audio", _LEVELS + "select video_id, win_idx, round_even(db, 6) db from l")
-_add("audio_baseline", "fx_audio", _LEVELS + "select video_id, round_even(base, 6) baseline_db from m")
+_PEAK = 'select video_id, s "start", e "end", rounded[peak; 6] peak_db, rounded[above; 6] db_above_baseline from '
+_add("audio_rms", "fx_audio", _LEVELS + "select video_id, win_idx, rounded[db; 6] db from l")
+_add("audio_baseline", "fx_audio", _LEVELS + "select video_id, rounded[base; 6] baseline_db from m")
 _add("volume_peaks", "fx_audio", _LEVELS + _PEAK + "p")
 _add("peak_fallback", "fx_audio", _LEVELS + _PEAK + "peaks")
 
 _BURSTS = """bursts as (
-  select video_id, turn ord, "start", "end", round_even(gap, 2) gap_before_sec
+  select video_id, turn ord, "start", "end", rounded[gap; 2] gap_before_sec
   from (select *, "start" - lag("end") over (partition by video_id order by "start", turn) gap from fx_asr)
   where gap >= 3 and (gap >= 8 or length(trim(text)) >= 6 and "end" - "start" >= 1.5))"""
-ORACLE_SQL["silence_bursts"] = duck("fx_asr") + ",\n" + _BURSTS + "\nselect * from bursts"
+ORACLE_SQL["silence_bursts"] = duck("fx_asr") + ",\n" + _plain(_BURSTS) + "\nselect * from bursts"
 
 _SPEECH = (
     _LEVELS.rstrip()
@@ -105,7 +123,7 @@ a as (select * replace (trim(text) as text) from fx_asr where "end" - "start" >=
 v as (
   select *, exists (select 1 from peaks where peaks.video_id = a.video_id and trunc(peaks.s) <= trunc(a."end") and trunc(peaks.e) >= trunc(a."start")) vol,
     regexp_matches(lower(text), 'www|ｗｗ|草|笑|hhh|ww') laugh, contains(text, 'error') or contains(text, 'click') keyed,
-    round_even("start", 1) in (select round_even("start", 1) from bursts where bursts.video_id = a.video_id) burst,
+    rounded["start"; 1] in (select rounded["start"; 1] from bursts where bursts.video_id = a.video_id) burst,
     case when "end" - "start" < 2 and 1 - no_speech_prob < 0.7::double then 'unknown' when language = 'zh' then 'streamer' when language = 'ja' then 'game_voice' else 'unknown' end guess
   from a),
 speech as (
@@ -113,7 +131,7 @@ speech as (
     case when keyed then 20::double else 0 end s3, case when burst then 10::double else 0 end s4 from v)
 """
 )
-_add("asr_segments", "fx_asr fx_audio", _SPEECH + """select video_id, turn ord, "start", "end", text, guess speaker_guess, round_even(1 - no_speech_prob, 3) confidence,
+_add("asr_segments", "fx_asr fx_audio", _SPEECH + """select video_id, turn ord, "start", "end", text, guess speaker_guess, rounded[1 - no_speech_prob; 3] confidence,
   s1 s_volume_spike, s2 s_laughter, s3 s_keyword_hit, s4 s_silence_then_burst, s1 + s2 + s3 + s4 score_total,
   (vol or laugh or keyed) and guess = 'streamer' streamer_reaction from speech""")
 
@@ -131,12 +149,16 @@ _add("story_flags", "fx_ocr", _SCREEN + "select video_id, ord, choice_point, cg_
 _add("ocr_segments", "fx_ocr", _SCREEN + f"""select video_id, ord::int seg_ord, time_start, time_end, {_ts('time_start')} time_display, nullif(chapter, '') chapter, nullif(name, '') as character, dialogue,
   0.9::double confidence, frame_index source_frame, chapter_change, new_character, choice_point, cg_unlock, 'ocr_only' source_type, 'unverified' match_status from screen""")
 _add("frame_sampling", "fx_frames", "select video_id, frame_index from fx_frames where frame_index % 15 = 0")
-_add("reveal_collapse", "fx_frames", """s as (
-  select *, case when starts_with(dialogue_text, lag(dialogue_text) over (partition by video_id order by frame_index)) then 0 else 1 end fresh
-  from fx_frames where coalesce(dialogue_text, '') <> ''),
-t as (select *, sum(fresh) over (partition by video_id order by frame_index) run from s)
-select video_id, (run - 1)::bigint ord, arg_min(chapter_text, frame_index) chapter, arg_min(name_text, frame_index) as name, arg_max(dialogue_text, frame_index) dialogue, min(frame_index) frame_index
-from t group by video_id, run""")
+_REVEALS = """t as (
+  select f.*, row(frame_index, frame_ord) place,
+    case when starts_with(dialogue_text, lag(dialogue_text) over (partition by video_id order by frame_index, frame_ord)) then 0 else 1 end fresh
+  from {source} f where coalesce(dialogue_text, '') <> ''),
+u as (select *, sum(fresh) over (partition by video_id order by frame_index, frame_ord rows between unbounded preceding and current row) run from t),
+v as (
+  select video_id, (run - 1)::bigint ord, arg_min(chapter_text, place) chapter, arg_min(name_text, place) as name, arg_max(dialogue_text, place) dialogue, min(frame_index) frame_index
+  from u group by video_id, run)
+"""
+_add("reveal_collapse", "fx_frames", "s as (select 1),\n" + _REVEALS.format(source="fx_frames") + "select * from v")
 
 _OVERLAY = (
     _OFFSETS.rstrip()
@@ -181,15 +203,15 @@ rated as (
 judged as (select *, case when r < 0.15::double and guess = 'game_voice' then 'readback_possible' when r < 0.2::double then 'consistent' else 'conflict' end status from rated)
 """
 )
-_add("overlap_candidates", "fx_ocr fx_audio", _PAIRS + "select video_id, seg_ord, ocr_ord, round_even(ratio, 6) ratio from near")
-_add("match_status", "fx_ocr fx_audio", _PAIRS + """select video_id, seg_ord, ocr_ord, round_even(r, 6) ratio, status,
+_add("overlap_candidates", "fx_ocr fx_audio", _PAIRS + "select video_id, seg_ord, ocr_ord, rounded[ratio; 6] ratio from near")
+_add("match_status", "fx_ocr fx_audio", _PAIRS + """select video_id, seg_ord, ocr_ord, rounded[r; 6] ratio, status,
   case when status = 'conflict' then concat('OCR: ', substring(dialogue, 1, 50), ' | ASR: ', substring(text, 1, 50)) end note from judged""")
 
 _SCENE = """case when choice_point then 'choice' when chapter_change and coalesce(dialogue, '') = '' then 'transition'
   when coalesce(dialogue, '') <> '' and coalesce(character_name, '') <> '' then 'dialogue' when coalesce(dialogue, '') <> '' then 'narration'
   when coalesce(asr_text, '') <> '' and speaker_guess = 'game_voice' then 'narration' when coalesce(asr_text, '') <> '' or chat_spike then 'reaction' else 'silence' end"""
 _add("scene_types", "fx_timeline", f"select video_id, seg_ord::int seg_ord, {_SCENE} scene_type from fx_timeline")
-_add("scene_distribution", "fx_timeline", f"""select video_id, scene_type, count(*) n, round_even(count(*) * 100::double / sum(count(*)) over (partition by video_id), 6) percent
+_add("scene_distribution", "fx_timeline", f"""select video_id, scene_type, count(*) n, rounded[count(*) * 100::double / sum(count(*)) over (partition by video_id); 6] percent
 from (select *, {_SCENE} scene_type from fx_timeline) group by video_id, scene_type""")
 
 
@@ -220,21 +242,26 @@ def _duration(x: str) -> str:
   when floor({x})::bigint % 60 = 0 then printf('%dm', floor({x} / 60)::bigint) else printf('%dm%02ds', floor({x} / 60)::bigint, floor({x})::bigint % 60) end"""
 
 
-_STATS = f"""s as (select video_id, character_name as character, count(*) as lines, min(time_start) first_time, max(time_end) last_time, round_even(sum(time_end - time_start), 6) duration, min(seg_ord) first_ord
+_STATS = f"""s as (select video_id, character_name as character, count(*) as lines, min(time_start) first_time, max(time_end) last_time, rounded[sum(time_end - time_start); 6] duration, min(seg_ord) first_ord
   from fx_timeline where coalesce(character_name, '') <> '' group by video_id, character_name)
 """
 _add("character_stats", _T, _STATS + f"select video_id, row_number() over (partition by video_id order by lines desc, first_ord)::int rank, character, lines, first_time, last_time, duration, {_duration('duration')} duration_text from s")
 _add("character_totals", _T, _STATS + "select video_id, count(*) characters, sum(lines)::bigint as lines from s group by video_id")
-_add("time_overview", _T, f"""s as (select video_id, arg_min(time_start, seg_ord) first_time, arg_max(time_end, seg_ord) last_time, count(*) segments, round_even(avg(time_end - time_start), 6) mean_sec from fx_timeline group by video_id),
-t as (select *, round_even(last_time - first_time, 6) duration from s)
+_add("time_overview", _T, f"""s as (select video_id, arg_min(time_start, seg_ord) first_time, arg_max(time_end, seg_ord) last_time, count(*) segments, rounded[avg(time_end - time_start); 6] mean_sec from fx_timeline group by video_id),
+t as (select *, rounded[last_time - first_time; 6] duration from s)
 select *, {_duration('duration')} duration_text from t""")
 _add("conflict_summary", _T, """s as (select video_id, count(*) segments, count(*) filter (source_type = 'ocr_asr') ocr_asr, count(*) filter (match_status = 'consistent') consistent,
   count(*) filter (match_status = 'conflict') conflict, count(*) filter (match_status = 'readback_possible') readback, count(*) filter (match_status = 'unverified') unverified from fx_timeline group by video_id)
-select *, case when ocr_asr > 0 then round_even(consistent / ocr_asr::double, 6) end consistency from s""")
-_add("conflict_rows", _T, f"""select video_id, row_number() over (partition by video_id order by seg_ord)::int n, {_ts('time_start')} as at, dialogue ocr_text, asr_text,
-  case when dialogue <> '' and asr_text <> '' and length(dialogue) / length(asr_text)::double > 3 then 'asr_missed'
-    when dialogue <> '' and asr_text <> '' and length(dialogue) / length(asr_text)::double < 0.3::double then 'ocr_partial' else 'manual' end suggestion
-from fx_timeline where match_status = 'conflict'""")
+select *, case when ocr_asr > 0 then rounded[consistent / ocr_asr::double; 6] end consistency from s""")
+_PAIR = " ".join(f"when contains(dialogue, '{a}') and contains(asr_text, '{b}') then ['{a}', '{b}']" for a, b in CONFUSABLE)
+_add("conflict_rows", _T, f"""s as (
+  select *, case when dialogue <> '' and asr_text <> '' and length(dialogue) / length(asr_text)::double > 3 then 'asr_missed'
+    when dialogue <> '' and asr_text <> '' and length(dialogue) / length(asr_text)::double < 0.3::double then 'ocr_partial'
+    when case {_PAIR} end is not null then 'prefer_asr' else 'manual' end suggestion, case {_PAIR} end pair
+  from fx_timeline where match_status = 'conflict')
+select video_id, row_number() over (partition by video_id order by seg_ord)::int n, {_ts('time_start')} as at, dialogue ocr_text, asr_text, suggestion,
+  case when suggestion = 'prefer_asr' then pair[1] end wrong, case when suggestion = 'prefer_asr' then pair[2] end as right, concat('OCR: ', substring(dialogue, 1, 50), ' | ASR: ', substring(asr_text, 1, 50)) note
+from s""")
 
 _EVENTS = f"""e as (select *, lag(chapter) over (partition by video_id order by seg_ord) before from fx_timeline where coalesce(chapter, '') <> ''),
 chapters as (select video_id, seg_ord::int seg_ord, time_start, chapter from e where chapter is distinct from before),
@@ -287,15 +314,15 @@ def _clips(source: str) -> str:
     return f"""e as (select *, greatest(0, time_start - 3) a, time_end + 3 b from {source}),
 f as (select *, case when a <= max(b) over (partition by video_id order by a, b, seg_ord rows between unbounded preceding and 1 preceding) + 2 then 0 else 1 end fresh from e),
 g as (select *, sum(fresh) over (partition by video_id order by a, b, seg_ord)::int clip from f),
-clips as (select video_id, clip n, min(a) s, max(b) t, max(score_total) score, count(*) segments, round_even(max(b) - min(a), 1) duration from g group by video_id, clip)
+clips as (select video_id, clip n, min(a) s, max(b) t, max(score_total) score, count(*) segments, rounded[max(b) - min(a); 1] duration from g group by video_id, clip)
 """
 
 
 _HIGH = f"(select * from (select *, {_RANKED} rank from fx_timeline where score_total >= 15) where rank <= 30)"
 _add("highlights", _T, f"select video_id, seg_ord::int seg_ord, rank, time_start, time_end, score_total score from {_HIGH}")
 _add("merged_intervals", _T, _clips("fx_timeline") + 'select video_id, n clip, s "start", t "end" from clips')
-_add("clip_manifest", _T, _clips(_HIGH) + f"""select video_id, n, round_even(s, 6) "start", round_even(t, 6) "end", duration, score, segments, printf('clip_%03d_', n) || replace({_ts('s')}, ':', '') || '.mp4' filename from clips""")
-_add("clip_totals", _T, _clips(_HIGH) + "select video_id, count(*) clips, round_even(sum(duration), 6) total_sec from clips group by video_id")
+_add("clip_manifest", _T, _clips(_HIGH) + f"""select video_id, n, rounded[s; 6] "start", rounded[t; 6] "end", duration, score, segments, printf('clip_%03d_', n) || replace({_ts('s')}, ':', '') || '.mp4' filename from clips""")
+_add("clip_totals", _T, _clips(_HIGH) + "select video_id, count(*) clips, rounded[sum(duration); 6] total_sec from clips group by video_id")
 
 _STEMS = "s as (select distinct video_id, concat('stream: ', video_id, '/part?', repeat('x', (video_id % 30)::int)) stem from fx_asr)\n"
 _add("run_keys", "fx_asr", _STEMS + r"""select video_id, concat(substring(md5(stem), 1, 8), '_', regexp_replace(substring(stem, 1, 20), '[\\/:*?"<>|]', '', 'g')) run_key from s""")
@@ -320,21 +347,17 @@ def _add_recursive(name: str, views: str, body: str) -> None:
 
 _FOLD = """{rows}k as (select *, row_number() over (partition by video_id order by frame_index, frame_ord) k from {source}),
 st as (
-  select video_id, k, phash anchor, frame_index at_frame, 1 n from k where k = 1
+  select video_id, k, phash anchor, frame_index at_frame, frame_ord at_ord, 1 n from k where k = 1
   union all
-  select k.video_id, k.k, case when far then k.phash else anchor end, case when far then k.frame_index else at_frame end, case when far then 1 else n + 1 end
+  select k.video_id, k.k, case when far then k.phash else anchor end, case when far then k.frame_index else at_frame end, case when far then k.frame_ord else at_ord end, case when far then 1 else n + 1 end
   from (select st.*, k.phash, k.frame_index, k.k kk, bit_count(xor(k.phash, st.anchor)) > 4 far from st join k on k.video_id = st.video_id and k.k = st.k + 1) x
   join k on k.video_id = x.video_id and k.k = x.kk),
-stable as (select video_id, at_frame frame_index, anchor phash from st where n = 2)
+stable as (select video_id, at_frame frame_index, at_ord frame_ord, anchor phash from st where n = 2)
 """
-_add_recursive("frame_debounce", "fx_frames", "s as (select 1),\n" + _FOLD.format(rows="", source="fx_frames") + "select * from stable")
+_add_recursive("frame_debounce", "fx_frames", "s as (select 1),\n" + _FOLD.format(rows="", source="fx_frames") + "select video_id, frame_index, phash from stable")
 _add_recursive("frames_to_rows", "fx_frames", "s as (select * from fx_frames where frame_index % 15 = 0),\n" + _FOLD.format(rows="", source="s").rstrip() + """,
-t as (
-  select f.*, case when starts_with(dialogue_text, lag(dialogue_text) over (partition by f.video_id order by f.frame_index)) then 0 else 1 end fresh
-  from fx_frames f join stable using (video_id, frame_index) where coalesce(dialogue_text, '') <> ''),
-u as (select *, sum(fresh) over (partition by video_id order by frame_index) run from t)
-select video_id, (run - 1)::bigint ord, arg_min(chapter_text, frame_index) chapter, arg_min(name_text, frame_index) as name, arg_max(dialogue_text, frame_index) dialogue,
-  min(frame_index) / 30::double frame_time, min(frame_index) frame_index from u group by video_id, run""")
+p as (select f.* from fx_frames f join stable using (video_id, frame_ord)),
+""" + _REVEALS.format(source="p") + "select video_id, ord, chapter, name, dialogue, frame_index / 30::double frame_time, frame_index from v")
 
 _MATCHES = """cand as (
   select l.video_id, l.seg, x.ord::int ocr_ord, (least(l.e, x.time_end) - greatest(l.s, x.time_start)) / least(l.e - l.s, x.time_end - x.time_start) ratio

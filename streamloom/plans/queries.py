@@ -117,16 +117,16 @@ def chat_kept_messages(spark, d):
 
 @query
 def audio_rms(spark, d):
-    return _levels(spark, d).select("video_id", "win_idx", F.bround("db", 6).alias("db"))
+    return _levels(spark, d).select("video_id", "win_idx", S.rounded(F.col("db"), 6).alias("db"))
 
 
 @query
 def audio_baseline(spark, d):
-    return speech.audio_baseline(_levels(spark, d)).select("video_id", F.bround("baseline_db", 6).alias("baseline_db"))
+    return speech.audio_baseline(_levels(spark, d)).select("video_id", S.rounded(F.col("baseline_db"), 6).alias("baseline_db"))
 
 
 def _peaks(rows):
-    return rows.select("video_id", "start", "end", F.bround("peak_db", 6).alias("peak_db"), F.bround("db_above_baseline", 6).alias("db_above_baseline"))
+    return rows.select("video_id", "start", "end", S.rounded(F.col("peak_db"), 6).alias("peak_db"), S.rounded(F.col("db_above_baseline"), 6).alias("db_above_baseline"))
 
 
 @query
@@ -216,7 +216,7 @@ def align_mvp(spark, d):
 @query
 def overlap_candidates(spark, d):
     pairs = align.overlap_candidates(_speech(spark, d), _screen(spark, d), FULL.overlap_ratio)
-    return pairs.withColumn("ratio", F.bround("ratio", 6))
+    return pairs.withColumn("ratio", S.rounded(F.col("ratio"), 6))
 
 
 @query
@@ -226,7 +226,7 @@ def match_status(spark, d):
     rows = pairs.join(said.select("video_id", "seg_ord", "asr"), ["video_id", "seg_ord"]).join(shown.select("video_id", F.col("seg_ord").alias("ocr_ord"), "ocr"), ["video_id", "ocr_ord"])
     a, b = F.col("ocr.dialogue"), F.col("asr.text")
     status = S.match_status(a, b, F.col("asr.speaker_guess"), FULL.consistent, FULL.readback)
-    return rows.select("video_id", "seg_ord", "ocr_ord", F.bround(S.edit_ratio(a, b), 6).alias("ratio"), status.alias("status"), F.when(status == "conflict", S.conflict_note(a, b)).alias("note"))
+    return rows.select("video_id", "seg_ord", "ocr_ord", S.rounded(S.edit_ratio(a, b), 6).alias("ratio"), status.alias("status"), F.when(status == "conflict", S.conflict_note(a, b)).alias("note"))
 
 
 @query
@@ -320,7 +320,7 @@ def conflict_summary(spark, d):
 
 @query
 def conflict_rows(spark, d):
-    return reports.conflict_rows(timeline(spark, d)).drop("note", "wrong", "right")
+    return reports.conflict_rows(timeline(spark, d))
 
 
 @query
@@ -401,7 +401,7 @@ def merged_intervals(spark, d):
 @query
 def clip_manifest(spark, d):
     rows = clips.clip_manifest(timeline(spark, d), Params())
-    return rows.select("video_id", "n", F.bround("start", 6).alias("start"), F.bround("end", 6).alias("end"), "duration", "score", "segments", "filename")
+    return rows.select("video_id", "n", S.rounded(F.col("start"), 6).alias("start"), S.rounded(F.col("end"), 6).alias("end"), "duration", "score", "segments", "filename")
 
 
 @query

@@ -6,6 +6,7 @@ from streamloom.operators import align, chat, clips, reports, screen, speech
 from streamloom.params import Params
 from streamloom.plans.fixtures import timeline
 
+FRAMES = "video_id long, frame_ord long, frame_index long, dialogue_text string, name_text string, chapter_text string"
 INTERVAL = "video_id long, seg_ord int, time_start double, time_end double"
 
 
@@ -56,11 +57,21 @@ def test_debounce_is_the_serial_one(spark):
 
 def test_reveals(spark):
     texts = ["", "ab", "abc", "abc", "abcd", None, "x", "xy", "ab"]
-    df = spark.createDataFrame([(1, k, t, f"n{k}", f"c{k}") for k, t in enumerate(texts)], "video_id long, frame_index long, dialogue_text string, name_text string, chapter_text string")
+    df = spark.createDataFrame([(1, k, k, t, f"n{k}", f"c{k}") for k, t in enumerate(texts)], FRAMES)
     got = screen.collapsed_reveals(df).orderBy("ord").collect()
     assert [(r.ord, r.dialogue, r.name, r.chapter, r.frame_index) for r in got] == [(0, "abcd", "n1", "c1", 1), (1, "xy", "n6", "c6", 6), (2, "ab", "n8", "c8", 8)]
 
 
+def test_reveals_of_tied_frames(spark):
+    """Frames of one index stand in the order of frame_ord, however they come in."""
+    texts = ["ab", "abc", "x", "xy", "xyz", "q"]
+    rows = [(1, k, k // 3, t, f"n{k}", f"c{k}") for k, t in enumerate(texts)]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = screen.collapsed_reveals(spark.createDataFrame(rows, FRAMES).repartition(3)).orderBy("ord").collect()
+        assert [(r.ord, r.dialogue, r.name, r.frame_index) for r in got] == [(0, "abc", "n0", 0), (1, "xyz", "n2", 0), (2, "q", "n5", 1)]
+
+
 def _messages(kinds):
     return [(1, k, f"a{k}", {"k": "hit", "o": "x", "p": "x"}[c], "superchat" if c == "p" else "normal", None, k * 1000) for k, c in enumerate(kinds)]
 

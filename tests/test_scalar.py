@@ -1,5 +1,7 @@
 """Truth tables of the scalar functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def values(spark, rows, ddl, *exprs):
     return [r[0] if len(exprs) == 1 else tuple(r) for r in out]
 
 
+def test_rounding_is_that_of_the_exact_value(spark):
+    rng = random.Random(2)
+    xs = [x for _ in range(5000) for x in (rng.randrange(40_000) / 1000, rng.uniform(-50, 50), rng.randrange(10**6) / 1000 - rng.randrange(10**6) / 1000)]
+    xs += [9.925, 5.105, 12.5, 0.25, -0.5, 0.0, 2.5, -2.675]
+    for digits in (0, 1, 2, 3, 6):
+        assert values(spark, [(x,) for x in xs], "x double", S.rounded(F.col("x"), digits)) == [float(round(x, digits)) for x in xs]
+
+
 def test_times(spark):
     rows = [(0.0,), (59.999,), (3600.0,), (360000.5,), (-1.0,)]
     assert values(spark, rows[:4], "x double", S.fmt_ts(F.col("x"))) == ["00:00:00", "00:00:59", "01:00:00", "100:00:00"]
