@@ -130,6 +130,20 @@ def test_quality_order_does_not_change_verdicts(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_order_is_by_rejections_per_cost(docs):
+    from pyspark.sql import functions as F
+
+    slow = F.length(F.col("text"))
+    for _ in range(30):
+        slow = F.length(F.regexp_replace(F.concat(F.col("text"), slow.cast("string")), r"\P{Lu}+", ""))
+    short = F.col("n_words") < 80
+    rules = [quality.Rule("slow", short & (slow >= 0)), quality.Rule("never", F.lit(False)), quality.Rule("within", F.col("n_words") < 60), quality.Rule("fast", short)]
+    names = [r.name for r in quality.ordered(docs, rules)]
+    assert names[0] == "fast" and names[-1] in ("slow", "within", "never") and names.index("slow") > names.index("fast")
+    # what the first rule leaves, the others don't reject: the costly one comes last
+    assert names[-1] == "slow"
+
+
 def test_quality_keeps_clean_documents_and_rejects_junk(spark, sf_dir, docs):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality.judge(docs).join(labels, "doc_id").where("n_words >= 50").collect()
