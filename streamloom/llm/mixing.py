@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.llm.ranked import buckets, group_key, running, unit
@@ -11,7 +11,7 @@ from streamloom.llm.words import char_count, words
 
 #: Weights of the sources in order, repeating, and the times that a source is taken at most.
 WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
-ADDED = ["size", "source_size", "target", "taken", "times", "_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_sum", "_before"]
+ADDED = ["size", "source_size", "target", "taken", "times", "_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_sum", "_before", "_run", "_before_run"]
 
 
 def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     All sizes are shared by weight. A target stops at most times its source's
     size; what is over goes to the others by weight, until none is above: the
     sources that stop are the first ones by size per weight, so that running
-    sums over that order give the share of the others.
+    sums over that order give the share of the others. One row a source goes
+    through one task.
     """
     weight = F.get(F.array(*(F.lit(w) for w in weights)), (F.row_number().over(Window.orderBy("_source")) - 1) % len(weights))
     rows = sizes.withColumn("_weight", weight.cast("long"))
@@ -54,6 +55,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return rows.select("_source", "source_size", F.when(ended, fair).otherwise((most * F.col("source_size")).cast("double")).alias("target"))
 
 
+def place(key: Column, parts: int) -> Column:
+    """The part of 0 to parts - 1 that a key falls into, rising with it.
+
+    exp(-key / 2) is u ** (1 / 2q) for u uniform in (0, 1) and a quality q of
+    0.5 to 1: its density is 2 at most, so no part is meant to hold more than
+    twice its share of a source, whatever the qualities.
+    """
+    return F.least(F.lit(parts - 1), F.floor((1 - F.exp(-key / 2)) * parts))
+
+
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = True) -> DataFrame:
     """documents with size, source_size, target, taken and times.
 
@@ -67,9 +78,10 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
     holds the id and source columns alone, and the result has these.
 
     Sizes are words. A null text has none, a null source is one of its own,
-    last in order, a null id counts as an empty one. Rows equal in all of these
-    may change places. An empty table gives no rows; columns of documents that
-    are named like added ones are replaced.
+    last in order, a null id counts as an empty one. A very long text counts
+    whole, so a source may miss its target by half of its longest. Rows equal in
+    key, id and size may change places. An empty table gives no rows; columns of
+    documents that are named like added ones are replaced.
     """
     documents = documents.drop(*ADDED)
     rows = measured(documents, id_col, text_col, source_col, seed)
@@ -81,7 +93,7 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
     targets = source_targets(sizes, weights, most)
 
     rows = rows.withColumn("_key", -F.ln("_unit") / F.col("_quality"))
-    rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets(largest)))
+    rows = rows.withColumn("_bucket", place(F.col("_key"), buckets(largest)))
     placed = running(rows, ["_source"], "_bucket", ["_key", "_id", "size"], F.col("size"), "_prior").join(targets, "_source")
     epochs = F.least(F.lit(most), F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)))).cast("long")
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a bucket is meant to hold.
-BUCKET_ROWS = 20_000
+#: Rows that a bucket is meant to hold, and buckets whose sums are summed up together.
+BUCKET_ROWS, RUN = 2_000, 1_000
 
 
 def running(rows: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
     """rows with out: the sum of value over the rows of the group before each one.
 
     bucket must not fall along order. The sums of buckets combine before the
-    shuffle and are summed up alone; rows are sorted within their bucket only.
+    shuffle and are summed up in runs of RUN buckets, then runs among
+    themselves; rows are sorted within their bucket only.
     """
     # the names of buckets never clash with those of rows
-    sums = rows.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
-    by_group = Window.partitionBy(*group) if group else Window.partitionBy()
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = rows.groupBy(*group, bucket).agg(F.sum(value).alias("_sum")).withColumn("_run", F.floor(F.col(bucket) / RUN))
+    runs = sums.groupBy(*group, "_run").agg(F.sum("_sum").alias("_sum"))
+    ahead = lambda parts, order: F.coalesce(F.sum("_sum").over(Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("_before_run", ahead(group, "_run")).drop("_sum")
+    before = sums.join(runs, [*group, "_run"]).withColumn("_before", F.col("_before_run") + ahead([*group, "_run"], bucket)).select(*group, bucket, "_before")
     within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(before.drop("_sum"), [*group, bucket])
+    joined = rows.join(before, [*group, bucket])
     return joined.withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")).drop("_before")
 
 

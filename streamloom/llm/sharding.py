@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streamloom.llm.ranked import buckets, group_key, running, unit
 
 SHARDS = 40
-ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_source", "_key", "_id", "_bucket", "_rank", "_n", "_at", "_place", "_sum", "_before"]
+ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_source", "_key", "_id", "_bucket", "_rank", "_n", "_at", "_place", "_sum", "_before", "_run", "_before_run"]
 
 
 def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: str = "shard", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from streamloom.llm import fingerprints, html_main, langid, packing, quality, warc
+from streamloom.llm import fingerprints, html_main, langid, packing, quality, ranked, url_filter, warc
 from streamloom.llm.components import components
-from streamloom.llm.mixing import mix_documents
+from streamloom.llm.mixing import measured, mix_documents, place
 from streamloom.llm.near_dup import kept_documents, near_duplicates
 from streamloom.llm.sharding import shard_documents
 from streamloom.storage import Workspace
@@ -229,13 +229,18 @@ def judged(url):
     return host, path, rule, verdict
 
 
-def test_urls_against_all_rules(spark, sf_dir):
+def test_urls_against_all_rules(spark, sf_dir, monkeypatch):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     urls = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     urls += [None, "", "x", "://", "http://", "HTTP://WWW.Example.COM/en/x", "http://example.com/en", "http://a.b.example.com/en/?q", "http://xexample.com/en/", "http://example.com#/en/", "http://net/es/", "ftp://shop.example.org", "http://example.org/abc/d", "http://example.org/b", "http://" + "a." * 500 + "com/" + "b/" * 500, "http://é.net/es/\n"]
     pages = spark.createDataFrame([(k // 2, u, "x", "x") for k, u in enumerate([*urls, *urls[-3:]])], "page_id long, url string, rule string, verdict string")
     got = sorted(map(tuple, judge_urls(pages, rules).collect()), key=str)
     assert got == sorted(((k // 2, *judged(u)) for k, u in enumerate([*urls, *urls[-3:]])), key=str)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)  # the join by salt
+    assert sorted(map(tuple, judge_urls(pages, rules).collect()), key=str) == got
+    monkeypatch.undo()
+    both = spark.createDataFrame([("a.com", "/x", "block"), ("a.com", "/x", "allow")], rules.schema)
+    assert judge_urls(spark.createDataFrame([(1, "http://A.com/xy")], "page_id long, url string"), both).collect() == [(1, "a.com", "/xy", "a.com/x", "block")]
     assert judge_urls(pages.limit(0), rules).count() == 0
     assert all(r.rule is None for r in judge_urls(pages, rules.limit(0)).collect())
 
@@ -518,6 +523,24 @@ def test_mix(docs, odd, none):
     assert mix_documents(none).count() == 0
 
 
+def test_mix_and_shards_with_small_buckets(docs, monkeypatch):
+    """The same rows, whatever the buckets hold and however many are summed up together."""
+    key = lambda df, *c: sorted(map(tuple, df.select("doc_id", *c).collect()))
+    mixed, shards = key(mix_documents(docs), "taken"), key(shard_documents(docs), "shard", "slot")
+    monkeypatch.setattr(ranked, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(ranked, "RUN", 4)
+    assert key(mix_documents(docs), "taken") == mixed and key(shard_documents(docs), "shard", "slot") == shards
+
+
+def test_mix_buckets_of_letterless_texts(spark):
+    from pyspark.sql import functions as F
+
+    for text in ("1 2 3", "a1 22"):
+        rows = measured(spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("s").alias("source")))
+        parts = rows.groupBy(place(-F.ln("_unit") / F.col("_quality"), 50).alias("p")).count().collect()
+        assert max(r["count"] for r in parts) < 2.1 * 1000 and {r.p for r in parts} == set(range(50))
+
+
 # 10
 
 
