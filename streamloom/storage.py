@@ -28,21 +28,33 @@ class Workspace:
     """Parquet tables of one operator call, in a folder of its own.
 
     Writing a table cuts the lineage: a lost executor costs a reread, not the
-    steps before it.
+    steps before it. Results that an operator returns read from its tables, so
+    the folder stays until the driver ends; what no later step reads is dropped
+    before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        self._of = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._of(self.path))
+        self._fs.deleteOnExit(self._of(self.path))
+        self._names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
         df.write.parquet(where)
+        self._names.add(name)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._fs.delete(self._of(f"{self.path}/{name}"), True)
+            self._names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*self._names.difference(names))
