@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.near_dup import band_keys, linked, set_keys
+from streamloom.llm.near_dup import band_keys, linked, row_key, set_keys
 from streamloom.storage import Workspace
 from streamloom.llm.textkeys import mix, shingles
-from streamloom.session import small_batches
 
 #: Universal hash functions x -> a * x + b modulo 2**64; the value kept of each minimum has 16 bits.
 PERMUTATIONS = 128
@@ -62,21 +61,32 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 
 
 def _edited_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tail, doc_id, text), each followed by the next document in order, to rows of EDITED; a tail only follows."""
+    """Rows (tail, doc_id, row, text, component), each followed by the next document in order, to rows of EDITED.
+
+    A tail only follows. A row with a component comes before the documents of
+    its row key and has no text of its own.
+    """
     tails: list[int] = []
     ids: list[int | None] = []
     texts: list[str] = []
+    of: list[int | None] = []
     signs = np.zeros((0, PERMUTATIONS), np.uint16)
+    noted: tuple[int | None, int | None] = (None, None)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            new = [x or "" for x in part.column(2).to_pylist()]
-            tails += part.column(0).to_pylist()
-            ids += part.column(1).to_pylist()
+            new = []
+            for tail, doc, row, text, component, note in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                if note:
+                    noted = (row, component)
+                    continue
+                tails.append(tail)
+                ids.append(doc)
+                new.append(text or "")
+                of.append(noted[1] if row == noted[0] else doc)
             texts += new
             signs = np.concatenate([signs, _all_signatures(new)])
             own = [k for k in range(len(texts) - 1) if not tails[k]]
@@ -92,48 +102,58 @@ def _edited_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         pa.array([x.tobytes().hex() for x in marks], pa.string()),
                         pa.array(likeness(signs[own], marks)),
                         pa.array(likeness(signs[own], signs[np.array(own) + 1])),
+                        pa.array([of[k] for k in own], pa.int64()),
                     ],
                     [c.split()[0] for c in EDITED.split(", ")],
                 )
-            tails, ids, texts, signs = tails[-1:], ids[-1:], texts[-1:], signs[-1:]
+            tails, ids, texts, of, signs = tails[-1:], ids[-1:], texts[-1:], of[-1:], signs[-1:]
 
 
-def fingerprint_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of EDITED: each text's fingerprint, its edited text's, and the likeness to it and to the next document.
+def fingerprint_edits(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of EDITED: each text's fingerprint, its edited text's, the likeness to it and to the next document, and the component.
+
+    component_id is that of fingerprint_classes: the smallest doc_id that
+    verified links reach, the own one where there are none.
 
     The next document is that of the next doc_id, nulls first; rows that share
     one are ordered by a hash of their text, and after the last comes the first.
     Documents move once: they are dealt by ranges of doc_id that follow the ids'
     quantiles, sorted within a task and read as a stream, and each range also
-    gets the first row of the next.
+    gets the first row of the next. Components go the same way, ahead of their
+    documents.
 
     A null text is empty. Texts without words have equal fingerprints, unlike
-    all others. An empty table gives no rows; other columns are not read.
+    all others. Very long texts are read whole, and equal rows follow each
+    other in any order. An empty table gives no rows; other columns are not read.
     """
-    small_batches(documents.sparkSession)
+    text = F.col(text_col).alias("text")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    linked_rows = _classed(docs, percent).where("NOT component_id <=> doc_id")
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("o", order)
+    docs = docs.withColumn("o", order)
     cuts = F.array([F.lit(k / BOUNDS) for k in range(BOUNDS + 1)])
     found = docs.agg(F.percentile_approx("o", cuts, 10_000).alias("cuts"), F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).first()
     bounds = sorted({found.low or 0, found.high or 0, *(found.cuts or [])})
     parts = min(PARTS, -(-found.n // (BOUNDS * BUCKET_ROWS)) or 1)
 
-    # the cell between two bounds, and evenly wide parts of it
-    cells = F.array([F.lit(b) for b in bounds])
-    cell = F.size(F.filter(cells, lambda b: b <= F.col("o"))) - 1
-    low, high = F.get(cells, F.col("cell")).cast("double"), F.coalesce(F.get(cells, F.col("cell") + 1), F.get(cells, F.col("cell")) + 1).cast("double")
-    part = F.least(F.lit(parts - 1), F.floor((F.col("o").cast("double") - low) / (high - low) * parts)).cast("long")
-    placed = docs.withColumn("cell", cell).withColumn("bucket", F.col("cell") * parts + part).drop("cell")
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows with their bucket: the cell between two bounds, and evenly wide parts of it."""
+        cells = F.array([F.lit(b) for b in bounds])
+        cell = F.size(F.filter(cells, lambda b: b <= F.col("o"))) - 1
+        low, high = F.get(cells, F.col("cell")).cast("double"), F.coalesce(F.get(cells, F.col("cell") + 1), F.get(cells, F.col("cell")) + 1).cast("double")
+        part = F.least(F.lit(parts - 1), F.floor((F.col("o").cast("double") - low) / (high - low) * parts)).cast("long")
+        return rows.withColumn("cell", cell).withColumn("bucket", F.col("cell") * parts + part).drop("cell")
 
     # one row a bucket, BOUNDS * PARTS at most
-    heads = placed.groupBy("bucket").agg(F.min("o").alias("o"))
+    heads = placed(docs).groupBy("bucket").agg(F.min("o").alias("o"))
     over = Window.orderBy("bucket")
     heads = heads.select("o", F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     here, tail = F.struct("bucket", F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))
-    both = placed.join(F.broadcast(heads), "o", "left").select("o", "doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, tail))).alias("at"))
-    rows = both.select(F.col("at.bucket").alias("bucket"), F.col("at.tail").alias("tail"), "o", "doc_id", "text")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "tail", "o", F.xxhash64("text"))
-    return rows.select("tail", "doc_id", "text").mapInArrow(_edited_batches, EDITED)
+    both = placed(docs).join(F.broadcast(heads), "o", "left").select("o", "doc_id", "row", "text", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, tail))).alias("at"))
+    rows = both.select("at.bucket", "at.tail", "o", "doc_id", "row", "text", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("note"))
+    notes = placed(linked_rows.withColumn("o", order)).select("bucket", F.lit(0).alias("tail"), "o", "doc_id", "row", F.lit(None).cast("string").alias("text"), "component_id", F.lit(True).alias("note"))
+    rows = rows.unionByName(notes).repartition("bucket").sortWithinPartitions("bucket", "tail", "o", "row", F.desc("note"))
+    return rows.select("tail", "doc_id", "row", "text", "component_id", "note").mapInArrow(_edited_batches, EDITED)
 
 
 #: Bands of this many permutations: likeness 0.8 shares none of 25 with odds of 4e-5.
@@ -145,7 +165,7 @@ MARKED = "doc_id long, row long, n_shingles long, key1 long, key2 long, signatur
 def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, signs, keys, bounds in signatures(batch.column(2)):
-            table = signs[:, : PERMUTATIONS // BAND_ROWS * BAND_ROWS].astype(np.uint32)
+            table = np.ascontiguousarray(signs[:, : PERMUTATIONS // BAND_ROWS * BAND_ROWS])
             bands, used = band_keys(table, BAND_ROWS)
             n, key1, key2 = set_keys(keys, bounds)
             rows = [b[u].view(np.int64) for b, u in zip(bands, used, strict=True)]
@@ -162,6 +182,32 @@ def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+def _classed(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, row, component_id), once for each row key of docs(doc_id, row, text) with a shingle, from a table of its own.
+
+    Equal sets form one class, a row of which stands for it; signatures and
+    bands are kept for these alone.
+    """
+    ws = Workspace(docs.sparkSession, "fingerprints")
+    docs = docs.select("doc_id", "row", "text")
+    here = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    marked = ws.table(docs.mapInArrow(_marked_batches, MARKED).where("n_shingles > 0"), "marked")
+    classes = ws.table(marked.groupBy("key1", "key2").agg(F.min(here).alias("first")).withColumn("rep", F.col("first.row")), "classes")
+    own = marked.withColumnRenamed("row", "rep").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    reps = ws.table(own.select("rep", "n_shingles", "signature", "bands"), "reps")
+    rows = ws.table(marked.select("doc_id", "row", "key1", "key2").distinct(), "rows")
+    ws.drop("marked")
+    labels = linked(reps, docs.select(F.col("row").alias("doc_id"), "text"), percent, ws, BAND_ROWS, np.uint16)
+    # only linked classes get another first row than their own
+    placed = labels.withColumnRenamed("node", "rep")
+    least = placed.join(classes.select("rep", "first"), "rep").groupBy("label").agg(F.min("first").alias("least"))
+    found = classes.join(placed.join(least, "label").select("rep", "least"), "rep", "left")
+    found = found.select("key1", "key2", F.coalesce("least.doc_id", "first.doc_id").alias("component_id"))
+    out = ws.table(rows.join(found, ["key1", "key2"]).select("doc_id", "row", "component_id"), "found")
+    ws.keep("found")
+    return out
+
+
 def fingerprint_classes(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents that fingerprint bands bring together and whose full sets reach percent.
 
@@ -169,22 +215,9 @@ def fingerprint_classes(documents: DataFrame, percent: int = 80, id_col: str = "
     are decided as those of near_duplicates: each member against one of them,
     then those outside the bucket's largest component against all of it.
     component_id is the smallest doc_id that links reach. Rows that repeat a
-    doc_id are judged each by its own text. Null ids and texts without words
-    are left out. Empty input gives no rows.
+    doc_id are judged each by its own text; equal rows come once. Null ids and
+    texts without words are left out, very long texts are read whole. Empty
+    input gives no rows.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    small_batches(docs.sparkSession)
-    ws = Workspace(docs.sparkSession, "fingerprints")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    marked = ws.table(rows.mapInArrow(_marked_batches, MARKED).where("n_shingles > 0"), "marked")
-    firsts = marked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    classes = ws.table(firsts.select("key1", "key2", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("least")), "classes")
-    own = marked.withColumnRenamed("row", "rep").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    reps = ws.table(own.select("rep", "n_shingles", "signature", "bands"), "reps")
-    labels = linked(reps, rows.select(F.col("row").alias("doc_id"), "text"), percent, ws, BAND_ROWS)
-    # only linked classes get another id than their own smallest one
-    placed = labels.withColumnRenamed("node", "rep")
-    least = placed.join(classes.select("rep", "least"), "rep").groupBy("label").agg(F.min("least").alias("component"))
-    found = classes.join(placed.join(least, "label").select("rep", "component"), "rep", "left")
-    found = found.select("key1", "key2", F.coalesce("component", "least").alias("component_id"))
-    return marked.select("doc_id", "key1", "key2").join(found, ["key1", "key2"]).select("doc_id", "component_id")
+    return _classed(docs.withColumn("row", row_key(F.col("doc_id"), F.col("text"))), percent).select("doc_id", "component_id")

@@ -10,7 +10,6 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from streamloom.session import small_batches
 
 #: Text of these is not part of any page.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -372,6 +371,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     one that opens wins. An empty table gives no rows; other columns are not
     read, whatever their names.
     """
-    small_batches(pages.sparkSession)
     rows = pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"`{url_col}` url", f"`{html_col}` html")
     return rows.mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")

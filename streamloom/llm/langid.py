@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from streamloom.llm.textkeys import _BASE, _power_tables, binary_parts, mix, slices
-from streamloom.session import small_batches
 
 #: Documents of each language that the model learns from, at most: those with the smallest hash of their text.
 TRAIN_DOCS = 150
@@ -264,7 +263,6 @@ def identify_languages(documents: DataFrame, most: int = TRAIN_DOCS, carry: tupl
     not held out and not learned from. Repeated rows get equal results, an empty
     table gives none; other columns than doc_id, text and lang are not read.
     """
-    small_batches(documents.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held)
     learned = training_rows(rows, most)

@@ -10,9 +10,9 @@ below the threshold, and the full shingle sets decide.
 No step lists all pairs of a bucket. The members of a bucket are first held
 against its smallest one; members that are then in one component need no
 further pair. What is left, members outside their bucket's largest component,
-is held against the whole bucket in blocks of BLOCK classes, so that every pair
-that shares a band is either in one component already, or out of reach, or
-decided: a shingle of one member that no other such member has is in no
+is held against the whole bucket in blocks of BLOCK classes, fewer where sets
+are large, so that every pair that shares a band is either in one component
+already, or out of reach, or decided: a shingle of one member that no other such member has is in no
 intersection, so sizes and counts of shared shingles bound a pair's likeness.
 """
 
@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from streamloom.llm.components import components
 from streamloom.storage import Workspace
 from streamloom.llm.textkeys import mix, shingles
-from streamloom.session import small_batches
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 25
-#: Classes of a bucket that one task compares with as many others at a time.
-BLOCK = 1024
+#: Classes of a bucket that one task compares with as many others at a time, and shingles that these are meant to have.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Rows of two longs below which a table of ids is broadcast: 32 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -118,21 +117,21 @@ def likely(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return estimate(a, b) >= least_estimate(threshold, ((a != 0) | (b != 0)).sum(axis=-1))
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _likely_batches(threshold: float) -> Callable:
+def _likely_batches(threshold: float, kind: type) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = likely(_rows(batch.column(2)), _rows(batch.column(3)), threshold)
+                keep = likely(_rows(batch.column(2), kind), _rows(batch.column(3), kind), threshold)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _block_batches(percent: int, band_rows: int = ROWS) -> Callable:
+def _block_batches(percent: int, band_rows: int, kind: type) -> Callable:
     """Rows of BLOCKS, sorted by (key, i, j), to links across labels, one at most for each two labels of a block."""
     threshold = percent / 100
 
@@ -172,7 +171,7 @@ def _block_batches(percent: int, band_rows: int = ROWS) -> Callable:
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
             cols = {c: table[c].to_numpy() for c in BLOCKS[:-2]}
-            cols["signature"] = _rows(table["signature"])
+            cols["signature"] = _rows(table["signature"], kind)
             sets = table["shingles"].to_pylist()
             cuts = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
             found = [p for s, e in zip([0, *cuts], [*cuts, len(table)], strict=True) for p in pairs({c: v[s:e] for c, v in cols.items()}, sets[s:e])]
@@ -229,10 +228,10 @@ def _few(df: DataFrame) -> DataFrame:
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, text) to a row for each member of each set."""
     for batch in batches:
-        for first, _, keys, bounds in shingles(batch.column(1)):
-            for d in range(len(bounds) - 1):
-                own = np.unique(keys[bounds[d] : bounds[d + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[first + d].as_py())), pa.array(own.view(np.int64))], ["rep", "shingle"])
+        for first, last, keys, bounds in shingles(batch.column(1)):
+            sets = [np.unique(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            reps = np.repeat(batch.column(0).slice(first, last - first).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +268,11 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.select("key", "hub", "rep", "label").join(mixed.where("labels > 1").drop("labels"), "key")
 
 
-def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_rows: int = ROWS) -> DataFrame:
+def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_rows: int = ROWS, kind: type = np.uint32) -> DataFrame:
     """(node, label): the component of each linked one of reps(rep, n_shingles, signature, bands).
 
     docs(doc_id, text) has the text of each rep, which is its doc_id there. A
-    signature is a row of 32-bit registers, a whole number of bands of
+    signature is a row of registers of that kind, a whole number of bands of
     band_rows registers each.
     """
     threshold = percent / 100
@@ -283,7 +282,7 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_r
     sides = reps.select("rep", "signature")
     star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     signs = star.join(sides.toDF("b", "sign_b"), "b").join(sides.toDF("a", "sign_a"), "a").select("a", "b", "sign_a", "sign_b")
-    pairs = ws.table(signs.mapInArrow(_likely_batches(threshold), "a long, b long"), "star")
+    pairs = ws.table(signs.mapInArrow(_likely_batches(threshold, kind), "a long, b long"), "star")
     links = ws.table(confirmed(pairs, docs, percent), "star-links")
     labels = components(links, ws, "star-cc")
 
@@ -296,20 +295,24 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_r
     shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
     sized = reps.join(_lone_shingles(ids, docs), "rep", "left").select("rep", "n_shingles", shared.alias("shared"), "signature").where(f"100 * shared >= {percent} * n_shingles")
     sized = ws.table(sized.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "sized")
-    near = ws.table(_mixed(placed.join(sized.select("rep"), "rep", "left_semi")), "near")
+    near = _mixed(placed.join(sized.select("rep"), "rep", "left_semi")).join(sized.select("rep", "n_shingles"), "rep")
+    near = ws.table(near, "near")
+    held = near.groupBy("key").agg(F.sum("n_shingles").alias("held"))
     texts = docs.join(_few(ws.table(near.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")), "doc_id", "left_semi")
     sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_batches, "rep long, shingles binary").dropDuplicates()
 
-    near = near.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # a block has BLOCK members and BLOCK_SHINGLES shingles on average, at most
+    near = near.drop("n_shingles").join(held, "key")
+    near = near.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int"))
     near = near.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     minor = near.where("label <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(1).alias("minor"), "label", "main", "hub", "rep")
     whole = near.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(0).alias("minor"), "label", "main", "hub", "rep")
     # a block of minor members meets each block of the bucket; blocks without minor members have nothing to do
-    rows = whole.join(minor.select("key", "i").distinct(), ["key", "i"], "left_semi").unionByName(minor)
+    rows = whole.join(minor.select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi").unionByName(minor)
     rows = rows.join(sized, "rep").join(sets, "rep").select(*BLOCKS)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent, band_rows), "a long, b long").distinct()), "links")
+    links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent, band_rows, kind), "a long, b long").distinct()), "links")
     ws.drop("members", "placed", "star", "mixed")
     return components(links, ws)
 
@@ -327,7 +330,6 @@ def _judged(documents: DataFrame, percent: int, id_col: str, text_col: str) -> D
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "near-dup")
 
     signed = ws.table(docs.mapInArrow(signed_batches, SIGNED), "signed")
@@ -342,7 +344,10 @@ def _judged(documents: DataFrame, percent: int, id_col: str, text_col: str) -> D
     firsts = labels.join(classes.select("rep", "first"), "rep").groupBy("label").agg(F.min("first").alias("least"))
     found = classes.join(labels.join(firsts, "label").select("rep", "least"), "rep", "left")
     found = found.select("key1", "key2", F.coalesce("least", "first").alias("first"))
-    return signed.select("doc_id", "row", "n_shingles", "key1", "key2").join(found, ["key1", "key2"], "left").select("doc_id", "row", "n_shingles", "first")
+    out = signed.select("doc_id", "row", "n_shingles", "key1", "key2").join(found, ["key1", "key2"], "left")
+    out = ws.table(out.select("doc_id", "row", "n_shingles", "first"), "judged")
+    ws.keep("judged")
+    return out
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +362,9 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     with nothing, not even its like; it is kept. Each row is judged by its own
     text, also where it repeats a doc_id or has none; a component without any
     id has a null component_id, and only the rows of one text of it are kept.
-    An empty table gives no rows; other columns are not read.
+    Very long texts count whole, shingle by shingle. Ties, several documents of
+    equal sets, go to the smallest id. An empty table gives no rows; other
+    columns are not read.
     """
     out = _judged(documents, percent, id_col, text_col)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id"))
@@ -369,12 +376,18 @@ def kept_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of documents that stay when each group leaves one: that of its smallest doc_id.
 
     Each row is judged by its own text, also where it repeats a doc_id or has
-    none; an id goes before none. Of fully equal rows a single one stays, but
-    each row without an id and without words is a document of its own.
+    none; an id goes before none. Of rows equal in id and text a single one
+    stays, but each row without an id and without words is a document of its
+    own. Very long texts are read whole. An empty table gives no rows; all
+    columns of documents come back.
+
+    While the rows that go or repeat are few enough to broadcast, texts stay
+    where they are; only repeated rows are dealt by their key.
     """
     judged = _judged(documents, percent, "doc_id", "text")
     alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNull()
-    stay = judged.where("n_shingles = 0 OR row = first.row").select(F.col("row").alias("_row"), alone.alias("_alone")).distinct()
-    rows = documents.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(stay, "_row")
-    rows = rows.withColumn("_own", F.when(F.col("_alone"), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["_row", "_own"]).select(documents.columns)
+    goes = (F.col("n_shingles") > 0) & (F.col("row") != F.col("first.row"))
+    rows = judged.groupBy(F.col("row").alias("_row")).agg(F.bool_or(goes).alias("_goes"), F.bool_and(alone).alias("_alone"), F.count("*").alias("_n"))
+    rows = Workspace(documents.sparkSession, "kept").table(rows.where("_goes OR _n > 1 AND NOT _alone").select("_row", "_goes"), "decided")
+    placed = documents.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(_few(rows), "_row", "left")
+    return placed.where("_goes IS NULL").unionByName(placed.where("NOT _goes").dropDuplicates(["_row"])).select(documents.columns)

@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from streamloom.session import small_batches
 
 #: Documents and ids that a task packs together at most; a longer document is taken alone.
 CHUNK_DOCS, CHUNK_IDS = 4096, 4_000_000
@@ -167,6 +166,5 @@ def pack_documents(documents: DataFrame, capacity: int = 2048, tokenizer_path: s
     read.
     """
     docs = documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    small_batches(documents.sparkSession)
     run = _packed_batches(tokenizer_path or default_tokenizer(), capacity, with_ids)
     return docs.mapInArrow(run, PIECES + ", ids array<int>" * with_ids)

@@ -16,7 +16,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.session import small_batches
 from streamloom.storage import Workspace
 
 #: Payloads of fewer bytes are never revisits.
@@ -241,7 +240,6 @@ def archived(pages: DataFrame, least: int = LEAST_REVISIT, **names: str) -> Data
     response. A revisit's length comes from the response it refers to. An empty
     table gives no rows; other columns are not read.
     """
-    small_batches(pages.sparkSession)
     ws = Workspace(pages.sparkSession, "warc")
     folder = f"{ws.path}/archives"
     folder = folder if re.match(r"\w+:", folder) else f"file://{folder}"

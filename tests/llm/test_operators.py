@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from streamloom.llm import fingerprints, html_main, langid, packing, quality, ranked, url_filter, warc
+from streamloom.llm import fingerprints, html_main, langid, near_dup, packing, quality, ranked, url_filter, warc
 from streamloom.llm.components import components
 from streamloom.llm.mixing import measured, mix_documents, place
 from streamloom.llm.near_dup import kept_documents, near_duplicates
@@ -256,8 +256,10 @@ def test_near_duplicates_match_all_pairs(docs, none):
     assert near_duplicates(none).count() == 0 and kept_documents(none).count() == 0
 
 
-def test_near_duplicates_of_a_large_group(spark):
-    """Copies edited so that many pairs lie near the threshold, and texts that share a passage."""
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Copies edited so that many pairs lie near the threshold, and texts that share a passage, in small blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 4000)
     rng = random.Random(3)
     body = [f"w{k}" for k in range(140)]
     rows = []
@@ -353,6 +355,8 @@ def test_warc_reader_finds_damage():
 
 
 def test_fingerprints_match_a_plain_model(docs, odd, none):
+    components = groups([(r.doc_id, r.text) for r in docs.collect()], 80)
+    assert len(set(components.values())) < len(components)
     for df in (docs, odd):
         rows = sorted([(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.select("doc_id", "text").collect()], key=lambda r: r[:2])
         got = defaultdict(list)
@@ -367,6 +371,10 @@ def test_fingerprints_match_a_plain_model(docs, odd, none):
             # rows that repeat an id are told apart by what follows
             r = next(x for x in got[doc if there else None] if x.n_chars == len(text) and x.edited_sha256 == hashlib.sha256(edit.encode()).hexdigest())
             assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
+            if df is docs:
+                assert r.component_id == components[doc]
+            elif not there or not words(text):
+                assert r.component_id == (-3 if not there else doc)
             a, b, c = shingle_set(text), shingle_set(edit), shingle_set(after)
             for likeness, other in ((r.near_edited, b), (r.near_next, c)):
                 true = len(a & other) / len(a | other) if a | other else 1.0
@@ -374,17 +382,8 @@ def test_fingerprints_match_a_plain_model(docs, odd, none):
     assert fingerprints.fingerprint_edits(none).count() == 0
 
 
-def test_fingerprint_classes(docs):
-    got = {r.doc_id: r.component_id for r in fingerprints.fingerprint_classes(docs).collect()}
-    want = {d: c for d, c in groups([(r.doc_id, r.text) for r in docs.collect()], 80).items() if d in got}
-    assert np.mean([got[d] == want[d] for d in got]) > 0.99
-
-
-def test_fingerprint_classes_match_all_pairs(spark, docs, none):
+def test_fingerprint_classes_match_all_pairs(spark, none):
     """Loose copies, whose links mostly lie between members other than a band's smallest one, and a repeated id."""
-    got = {r.doc_id: r.component_id for r in fingerprints.fingerprint_classes(docs).collect()}
-    want = groups([(r.doc_id, r.text) for r in docs.collect()], 80)
-    assert got == {d: c for d, c in want.items() if d in got} and len(got) > 0
     assert fingerprints.fingerprint_classes(none).count() == 0
     rng = random.Random(11)
     body = [f"w{k}" for k in range(140)]
@@ -397,7 +396,9 @@ def test_fingerprint_classes_match_all_pairs(spark, docs, none):
     # the smallest id shares bands with all of them and is like none
     half = body[:100] + [f"h{k}" for k in range(40)]
     rows.append((1, " ".join(half), None, None, None))
-    got = {r.doc_id: r.component_id for r in fingerprints.fingerprint_classes(table(spark, rows)).collect()}
+    # the query's own rows carry the components, with a text without words among them
+    rows.append((2, None, None, None, None))
+    got = {r.doc_id: r.component_id for r in fingerprints.fingerprint_edits(table(spark, rows)).collect()}
     assert got == groups([(r[0], r[1]) for r in rows], 80)
     again = [(0, "a b c d e f g h", None, None, None), (1, "p q r s t u v w", None, None, None), (1, "A b c d e f g h", None, None, None)]
     assert sorted(fingerprints.fingerprint_classes(table(spark, again)).collect()) == [(0, 0), (1, 0), (1, 1)]
