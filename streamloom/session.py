@@ -9,15 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Sets UTC, which the timestamp functions assume, and lets Python workers import this package."""
+    """Sets what a program of this library needs; operators never change the session.
+
+    That is UTC, which the timestamp functions assume, Arrow batches of a few
+    MB, so that a Python worker holds few texts at a time, and a path by which
+    Python workers import this package.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     root, env = str(Path(__file__).parents[1]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sends texts to Python workers in batches of 1000 rows: a worker's memory holds one at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
