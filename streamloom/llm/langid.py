@@ -15,10 +15,12 @@ from streamloom.llm.textkeys import _BASE, _power_tables, binary_parts, mix, sli
 
 #: Documents of each language that the model learns from, at most: those with the smallest hash of their text.
 TRAIN_DOCS = 150
-#: Languages up to which their counts are broadcast.
-FEW_LANGUAGES = 100_000
-#: Words of a sequence; longer texts are runs of sequences.
-STEPS = 32
+#: Characters of each that it learns from, and languages, those with the most documents, at most.
+TRAIN_CHARS, TRAIN_LANGUAGES = 20_000, 100
+#: Words of a sequence, and words around it that it is read with; longer texts are runs of sequences.
+STEPS, AROUND = 32, 8
+#: Odds that are computed at a time.
+ODDS = 1 << 21
 #: Rows of the weight tables: lexicon, each affix length, character trigrams.
 LEXICON, AFFIX, TRIGRAMS = 1 << 17, 1 << 14, 1 << 16
 AFFIXES = 3
@@ -36,7 +38,7 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
-    weights: np.ndarray  # _ROWS x labels
+    weights: np.ndarray  # _ROWS x labels, 118 MB for the most languages
     moves: np.ndarray  # labels x labels
     starts: np.ndarray
 
@@ -92,13 +94,16 @@ def emissions(weights: np.ndarray, whole: np.ndarray, trigram: np.ndarray, owner
     return out
 
 
-def sequences(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each sequence of up to STEPS words of one document."""
+def sequences(bounds: np.ndarray, around: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word and length of each sequence of up to STEPS words of one document, and of it with the words around."""
     counts = np.diff(bounds)
     parts = -(-counts // STEPS)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = np.repeat(bounds[:-1], parts) + nth * STEPS
-    return first, np.minimum(STEPS, np.repeat(bounds[1:], parts) - first)
+    start, end = np.repeat(bounds[:-1], parts), np.repeat(bounds[1:], parts)
+    first = start + nth * STEPS
+    last = np.minimum(first + STEPS, end)
+    wide = np.maximum(first - around, start)
+    return first, last - first, wide, np.minimum(last + around, end) - wide
 
 
 def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +134,36 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start
 
 def padded(rows: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """rows of words as (sequence, step, ...), the last word repeated to the end."""
-    at = first[:, None] + np.minimum(np.arange(STEPS), lengths[:, None] - 1)
+    at = first[:, None] + np.minimum(np.arange(lengths.max()), lengths[:, None] - 1)
     return rows[at]
 
 
+def gradient(weights: np.ndarray, moves: np.ndarray, starts: np.ndarray, whole: np.ndarray, tri: np.ndarray, tri_owner: np.ndarray, gold: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The gradient of the mean log likelihood of sequences of these lengths: (rows, of weights' rows, of moves, of starts).
+
+    Only rows of features that occur are there. gold has each word's label.
+    """
+    size, n = weights.shape[1], len(lens)
+    begin = np.cumsum(lens) - lens
+    odds, expected = posteriors(padded(emissions(weights, whole, tri, tri_owner), begin, lens), lens, moves, starts)
+    truth = np.eye(size)[gold]
+    miss = (truth - odds[np.arange(odds.shape[1]) < lens[:, None]]) / n
+    owner, k = np.nonzero(whole >= 0)
+    rows, inverse = np.unique(np.concatenate([whole[owner, k], tri]), return_inverse=True)
+    of = np.concatenate([owner, tri_owner])
+    own = np.stack([np.bincount(inverse, miss[of, label], len(rows)) for label in range(size)], axis=1)
+    inner = np.ones(len(gold), bool)
+    inner[begin] = False
+    pairs = np.zeros((size, size))
+    np.add.at(pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
+    return rows, own, (pairs - expected) / n, (truth[begin] - odds[:, 0]).mean(axis=0)
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Learns weights, moves and starts by stochastic gradient ascent on the likelihood.
 
-    Every word of a text bears its text's language; part of the sequences go on
+    A step touches the rows of its own features alone; the two tables of weights
+    have _ROWS rows of a 32-bit number for each label. Every word of a text bears its text's language; part of the sequences go on
     with the words of another text, so that moves between languages are learned.
     """
     labels = sorted(set(langs))
@@ -152,11 +179,11 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     whole, trigram, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     doc_bounds = np.concatenate(bounds)
     gold = np.repeat([labels.index(x) for x in langs], np.diff(doc_bounds))
-    first, lengths = sequences(doc_bounds)
+    first, lengths, _, _ = sequences(doc_bounds)
     tri_bounds = np.searchsorted(owner, np.arange(len(whole) + 1))
 
     rng = np.random.default_rng(7)
-    weights, grads = np.zeros((_ROWS, size)), np.full((_ROWS, size), 1e-6)
+    weights, squares = np.zeros((_ROWS, size), np.float32), np.full((_ROWS, size), 1e-6, np.float32)
     moves, starts = np.zeros((size, size)), np.zeros(size)
     moves_g, starts_g = np.full((size, size), 1e-6), np.full(size, 1e-6)
     for _ in range(EPOCHS):
@@ -175,65 +202,66 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             counts = tri_bounds[ids + 1] - tri_bounds[ids]
             tri_owner = np.repeat(np.arange(len(ids)), counts)
             tri = trigram[np.arange(len(tri_owner)) + np.repeat(tri_bounds[ids] - np.cumsum(counts) + counts, counts)]
-            scores = emissions(weights, whole[ids], tri, tri_owner)
-            begin = np.cumsum(lens) - lens
-            odds, expected = posteriors(padded(scores, begin, lens), lens, moves, starts)
-            here = np.arange(STEPS) < lens[:, None]
-            truth = np.eye(size)[gold[ids]]
-            miss = (truth - odds[here]) / len(batch)
-            grad = np.zeros_like(weights)
-            for label in range(size):
-                for k in range(whole.shape[1]):
-                    has = whole[ids, k] >= 0
-                    grad[:, label] += np.bincount(whole[ids[has], k], miss[has, label], _ROWS)
-                grad[:, label] += np.bincount(tri, miss[tri_owner, label], _ROWS)
-            inner = np.ones(len(ids), bool)
-            inner[begin] = False
-            pairs = np.zeros((size, size))
-            np.add.at(pairs, (gold[ids[np.flatnonzero(inner) - 1]], gold[ids[inner]]), 1)
-            # a label's start counts by the first word's odds
-            for value, g, sq in ((weights, grad - DECAY * weights * (grad != 0), grads), (moves, (pairs - expected) / len(batch), moves_g), (starts, (truth[begin] - odds[:, 0]).mean(axis=0), starts_g)):
+            rows, own, of_moves, of_starts = gradient(weights, moves, starts, whole[ids], tri, tri_owner, gold[ids], lens)
+            own -= DECAY * weights[rows] * (own != 0)
+            squares[rows] += own * own
+            weights[rows] += RATE * own / np.sqrt(squares[rows])
+            for value, g, sq in ((moves, of_moves, moves_g), (starts, of_starts, starts_g)):
                 sq += g * g
                 value += RATE * g / np.sqrt(sq)
-    return Model(labels, weights.astype(np.float32), moves, starts)
+    return Model(labels, weights, moves, starts)
+
 
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """The label of the largest mean odds over all words of each text, those odds, and the mean of each word's largest odds.
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """The label of the largest mean odds over all words of each text, and those odds."""
+    Of labels of equal odds the first in order is taken.
+    """
     kept = [t.lower() if t is not None and any(c.isalpha() for c in t) else "" for t in texts]
-    langs, scores = [NONE] * len(texts), [0.0] * len(texts)
+    langs, scores, certain = [NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not model.labels:
-        return langs, scores
+        return langs, scores, certain
     data, offsets = binary_parts(pa.array(kept, pa.large_string()))
     for a, b in slices(offsets):
         whole, trigram, owner, bounds = features(data, offsets[a : b + 1])
-        first, lengths = sequences(bounds)
+        first, lengths, wide, widths = sequences(bounds, AROUND)
         if not len(first):
             continue
-        odds, _ = posteriors(padded(emissions(model.weights, whole, trigram, owner), first, lengths), lengths, model.moves, model.starts)
-        sums = (odds * (np.arange(STEPS) < lengths[:, None])[:, :, None]).sum(axis=1)
+        parts, step = [], max(1, ODDS // (STEPS + 2 * AROUND) // len(model.labels))
+        for s in range(0, len(first), step):
+            part = slice(s, s + step)
+            low, high = wide[s], int((wide + widths)[part][-1])
+            tri = slice(*np.searchsorted(owner, [low, high]))
+            scored = emissions(model.weights, whole[low:high], trigram[tri], owner[tri] - low)
+            odds, _ = posteriors(padded(scored, wide[part] - low, widths[part]), widths[part], model.moves, model.starts)
+            at = wide[part, None] + np.arange(odds.shape[1])
+            own = (at >= first[part, None]) & (at < (first + lengths)[part, None])
+            parts.append(np.concatenate([(odds * own[:, :, None]).sum(axis=1), (odds.max(axis=2) * own).sum(axis=1)[:, None]], axis=1))
+        sums = np.concatenate(parts)
+        # sums of each document's sequences, in order
         of = np.searchsorted(bounds, first, "right") - 1
-        for d in range(b - a):
-            if bounds[d + 1] > bounds[d]:
-                mean = sums[np.searchsorted(of, d) : np.searchsorted(of, d, "right")].sum(axis=0) / (bounds[d + 1] - bounds[d])
-                langs[a + d], scores[a + d] = model.labels[int(mean.argmax())], float(min(1.0, mean.max()))
-    return langs, scores
+        docs, starts = np.unique(of, return_index=True)
+        means = np.add.reduceat(sums, starts, axis=0) / np.diff(bounds)[docs][:, None]
+        for d, mean in zip(docs, means, strict=True):
+            langs[a + d] = model.labels[int(mean[:-1].argmax())]
+            scores[a + d], certain[a + d] = float(min(1.0, mean[:-1].max())), float(min(1.0, mean[-1]))
+    return langs, scores, certain
 
 
 def training_rows(documents: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(text, lang) of the rows that may be learned from, at most `most` for each language.
+    """(text, lang) of the rows that may be learned from, at most `most` for each of TRAIN_LANGUAGES languages.
 
     The rows are those with the smallest hash of id and text; a first filter by
-    each language's count keeps what reaches the driver near that bound.
+    each language's count keeps what reaches the driver near that bound. Of a
+    text no more than TRAIN_CHARS characters are learned from.
     """
     may = documents.where("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    share = may.groupBy("lang").agg(F.least(F.lit(1.0), (2 * most + 20) / F.count("*")).alias("share"))
-    # a row a language; texts stay where they are while these are few
-    share = F.broadcast(share) if share.count() <= FEW_LANGUAGES else share
-    rows = may.withColumn("_hash", F.xxhash64("doc_id", "text")).join(share, "lang")
+    langs = may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGUAGES)
+    share = langs.select("lang", F.least(F.lit(1.0), (2 * most + 20) / F.col("count")).alias("share"))
+    rows = may.withColumn("_hash", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")
     rows = rows.where(F.pmod("_hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     by_lang: dict[str, list] = {}
-    for r in rows.select("lang", "text", "_hash").toLocalIterator():
+    for r in rows.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), "_hash").toLocalIterator():
         by_lang.setdefault(r.lang, []).append((r["_hash"], r.text))
     return [(text, lang) for lang in sorted(by_lang) for _, text in sorted(by_lang[lang])[:most]]
 
@@ -245,29 +273,33 @@ def _predict_batches(model, names: list[str]) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                langs, scores = predict(model.value, part.column(1).to_pylist())
+                langs, scores, certain = predict(model.value, part.column(1).to_pylist())
                 kept = [part.column(k) for k in range(part.num_columns) if k != 1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(certain, pa.float64())], names)
 
     return run
 
 
 def identify_languages(documents: DataFrame, most: int = TRAIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of documents, and columns to carry along.
+    """(doc_id, held_out, lang_pred, score, certainty) for each row of documents, and columns to carry along.
 
-    Rows stay where they are: nothing is shuffled but what is learned from.
+    score is the mean odds of lang_pred over a text's words, certainty the mean
+    of each word's largest odds, which is high in code-switched text too. Rows
+    stay where they are: nothing is shuffled but what is learned from.
 
     held_out rows, those whose crc32 of the id as text is 1 modulo 3, are never
     learned from. A null or empty text, or one without letters, is `und` with
     score 0, and so is every text where nothing can be learned. A null id is
-    not held out and not learned from. Repeated rows get equal results, an empty
-    table gives none; other columns than doc_id, text and lang are not read.
+    not held out and not learned from. Very long texts are read whole, in runs
+    that overlap. Repeated rows get equal results, of equally likely languages
+    the first in order. An empty table gives no rows; other columns than doc_id,
+    text, lang and those carried are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held)
     learned = training_rows(rows, most)
     model = fit([t for t, _ in learned], [x for _, x in learned]) if learned else Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
-    model = documents.sparkSession.sparkContext.broadcast(model)  # a table of _ROWS rows, whatever the input
+    model = documents.sparkSession.sparkContext.broadcast(model)  # _ROWS rows for each of TRAIN_LANGUAGES at most
     own = documents.withColumn("held_out", held).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", *carry)
-    out = StructType([*(own.schema.fields[k] for k in range(len(own.columns)) if k != 1), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*(own.schema.fields[k] for k in range(len(own.columns)) if k != 1), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("certainty", DoubleType())])
     return own.mapInArrow(_predict_batches(model, out.names), out)

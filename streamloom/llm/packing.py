@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,7 +36,8 @@ class WordTokenizer:
     cut by the tokenizer's own word pattern, here for those characters, and
     each new word goes through the tokenizer's model; a text with any other
     character, or with the content of an added token, goes through the whole
-    tokenizer, which gives such content its own id.
+    tokenizer, which gives such content its own id. With a file whose words are
+    cut, changed or looked up otherwise, every text does.
     """
 
     LETTER, SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", "\t-\r "
@@ -49,11 +51,20 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model, self.words = self.whole.model, {}
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.by_words = self._cuts_words(json.loads(self.whole.to_str()))
         # printable bytes stand for themselves, the others for the characters from U+0100 on, in order
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.shown = {b: b if b in shown else next(rest) for b in range(256)}
 
+    @staticmethod
+    def _cuts_words(file: dict) -> bool:
+        """Whether a tokenizer cuts texts by WORD and knows no more of a word than its bytes."""
+        cut, model = file["pre_tokenizer"] or {}, file["model"]
+        plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        whole = not any(file[k] for k in ("normalizer", "truncation", "padding"))
+        return whole and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut.get("use_regex", True) and model["type"] == "BPE" and plain
+
     def _new(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
         self.words[word] = out = np.array(ids, "<u4").tobytes()
@@ -61,7 +72,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        if self.OTHER.search(text) or any(x in text for x in self.added):
+        if not self.by_words or self.OTHER.search(text) or any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
@@ -161,9 +172,11 @@ def pack_documents(documents: DataFrame, capacity: int = 2048, tokenizer_path: s
     task packs runs of up to CHUNK_DOCS documents, so nothing is shuffled and
     less than one sequence a run is padding. Sequence ids hold the task's number.
 
-    A null or empty text is id 1 alone. Ids may be null or repeat: each row is
-    a document of its own. An empty table gives no rows; other columns are not
-    read.
+    A null or empty text is id 1 alone; a very long one fills sequences of its
+    own and its rest goes with the others. Ids may be null or repeat: each row
+    is a document of its own. Of equally long rests the earlier goes first, of
+    sequences of equal cost the first is taken. An empty table gives no rows;
+    other columns are not read.
     """
     docs = documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
     run = _packed_batches(tokenizer_path or default_tokenizer(), capacity, with_ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -23,6 +24,8 @@ LEAST_REVISIT = 100
 #: Bytes after which a task starts the next archive, and bytes that are read at a time.
 ARCHIVE_BYTES, CHUNK = 256 << 20, 1 << 16
 LEVEL = 3
+#: Bytes of a header block, at most, and digests that are verified.
+MOST_HEAD, ALGORITHMS = 1 << 20, {"sha1", "sha256", "sha384", "sha512", "md5"}
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -74,47 +77,95 @@ def _members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
         yield chunks()
 
 
-def _head(buffer: bytearray, chunks: Iterator[bytes], left: int | None = None) -> tuple[str, bytearray]:
-    """Takes a header block off the stream; what follows it stays."""
-    while (end := buffer.find(b"\r\n\r\n")) < 0:
-        if left is not None and len(buffer) >= left or (more := next(chunks, None)) is None:
+def _head(buffer: bytearray, chunks: Iterator[bytes]) -> str:
+    """Takes a header block off the stream; what follows it stays in buffer."""
+    seen = 0
+    while (end := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        seen = len(buffer)
+        if seen > MOST_HEAD or (more := next(chunks, None)) is None:
             raise ValueError("a header block has no end")
         buffer += more
-    head = buffer[:end].decode()
+    head = buffer[:end].decode("utf-8", "replace")
     del buffer[: end + 4]
-    return head, buffer
+    return head
 
 
 def _fields(head: str) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split("\r\n")[1:])}
+    """Field names in lower case; a line that begins with white space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+
+
+class _Digests:
+    """The digests of a stream of bytes that a record asks for, and SHA-256."""
+
+    def __init__(self, *labels: str | None):
+        names = {label.partition(":")[0].lower().replace("-", "") for label in labels if label}
+        self.own = {name: hashlib.new(name) for name in {"sha256", *(names & ALGORITHMS)}}
+
+    def update(self, part: bytes) -> None:
+        for digest in self.own.values():
+            digest.update(part)
+
+    def differs(self, label: str | None) -> bool:
+        """Whether a digest, labelled and in hex or base 32, is another one; one of an unknown kind is not judged."""
+        name, _, value = (label or "").partition(":")
+        digest = self.own.get(name.lower().replace("-", ""))
+        if digest is None:
+            return False
+        value = value.strip()
+        if len(value) == 2 * digest.digest_size:
+            return value.lower() != digest.hexdigest()
+        return value.upper().rstrip("=") != base64.b32encode(digest.digest()).decode().rstrip("=")
+
+
+class _Payload:
+    """Splits a block into its HTTP header, if it has one, and its payload."""
+
+    def __init__(self, http: bool):
+        self.start = bytearray() if http else None
+
+    def take(self, part: bytes) -> bytes:
+        if self.start is None:
+            return part
+        seen = len(self.start)
+        self.start += part
+        if (at := re.compile(rb"\r?\n\r?\n").search(self.start, max(0, seen - 3))) is None:
+            if len(self.start) > MOST_HEAD:
+                raise ValueError("a header block has no end")
+            return b""
+        rest, self.start = bytes(self.start[at.end() :]), None
+        return rest
 
 
 def read_records(stream: BinaryIO, with_payload: bool = False) -> Iterator[dict]:
-    """The records of an archive, in order; a wrong frame or digest is an error.
+    """The records of an archive, of every type and in order; a wrong frame or digest is an error.
 
+    Any WARC 1 archive of one gzip member a record is read: digests may be
+    missing, of another kind, in hex or base 32. payload_digest is the SHA-256
+    of the payload as it stands in the archive, a revisit's the one it names.
     Of a record no more than its header and a chunk is held, unless its payload
     is asked for.
     """
     for chunks in _members(stream):
-        head, buffer = _head(bytearray(), chunks)
+        buffer = bytearray()
+        head = _head(buffer, chunks)
         if not head.startswith("WARC/1."):
             raise ValueError("a member doesn't begin with a WARC version")
         fields = _fields(head)
-        length, block, payload = int(fields["content-length"]), hashlib.sha256(), hashlib.sha256()
-        http = None
+        if not re.fullmatch(r"\d+", fields.get("content-length", "")):
+            raise ValueError("a record has no content length")
+        length, kind = int(fields["content-length"]), fields.get("warc-type", "").lower()
+        block_label, label = fields.get("warc-block-digest"), fields.get("warc-payload-digest")
+        block, payload = _Digests(block_label), _Digests(label)
+        split = _Payload(fields.get("content-type", "").lower().startswith("application/http"))
         seen, n, parts = 0, 0, []
-        start = bytearray()
         while True:
             part = bytes(buffer[: length - seen])
             del buffer[: length - seen]
             seen += len(part)
             block.update(part)
-            if http is None:
-                start += part
-                if (at := start.find(b"\r\n\r\n")) >= 0:
-                    http, part = start[:at].decode(), bytes(start[at + 4 :])
-                else:
-                    part = b""
+            part = split.take(part)
             payload.update(part)
             n += len(part)
             if with_payload:
@@ -128,19 +179,18 @@ def read_records(stream: BinaryIO, with_payload: bool = False) -> Iterator[dict]
             buffer += more
         if bytes(buffer) != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its content length says")
-        if fields["warc-block-digest"] != f"sha256:{block.hexdigest()}":
+        if block.differs(block_label):
             raise ValueError("a block has another digest than its record says")
-        digest = fields["warc-payload-digest"].removeprefix("sha256:")
-        if fields["warc-type"] == "response" and digest != payload.hexdigest():
+        if kind != "revisit" and "warc-truncated" not in fields and payload.differs(label):
             raise ValueError("a payload has another digest than its record says")
         page = fields.get("x-page-id")
         yield {
             "page_id": None if page is None else int(page),
             "url": fields.get("warc-target-uri"),
             "payload_bytes": n,
-            "payload_digest": digest,
-            "record_type": fields["warc-type"],
-            "record_id": fields["warc-record-id"],
+            "payload_digest": (label or "").removeprefix("sha256:") or None if kind == "revisit" else payload.own["sha256"].hexdigest(),
+            "record_type": kind,
+            "record_id": fields.get("warc-record-id"),
             "refers_to_id": fields.get("warc-refers-to"),
         } | ({"payload": b"".join(parts)} if with_payload else {})
 
@@ -212,7 +262,7 @@ def _read_batches(folder: str, with_payload: bool) -> Callable:
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Rows of RECORDS from a manifest's archives, an archive a task; with_payload adds the payload."""
+    """Rows of RECORDS, of every record type, from the archives of a table, an archive a task; with_payload adds the payload."""
     spread = archives.select("archive").repartition(max(1, min(archives.count(), 100_000)))
     return spread.mapInArrow(_read_batches(folder, with_payload), RECORDS + ", payload binary" * with_payload)
 
@@ -237,8 +287,9 @@ def archived(pages: DataFrame, least: int = LEAST_REVISIT, **names: str) -> Data
     A null html is an empty payload. Of equal payloads of at least `least`
     bytes the smallest page_id is the response, rows that repeat it too; rows
     with a null page_id revisit it, and where all ids are null each is a
-    response. A revisit's length comes from the response it refers to. An empty
-    table gives no rows; other columns are not read.
+    response. A revisit's length comes from the response it refers to. Very long
+    payloads are written whole and read in steps. An empty table gives no rows;
+    other columns are not read.
     """
     ws = Workspace(pages.sparkSession, "warc")
     folder = f"{ws.path}/archives"

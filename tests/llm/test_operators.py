@@ -351,6 +351,44 @@ def test_warc_reader_finds_damage():
             list(warc.read_records(BytesIO(broken)))
 
 
+def member(head, block):
+    import gzip
+
+    return gzip.compress("\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_reader_takes_archives_of_others():
+    import base64
+
+    b32 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    body = b"<p>\xff\xfe</p>" * 400
+    http = b"HTTP/1.0 200 OK\nServer: x\n\n" + body
+    url = "WARC-Target-URI: http://a/"
+    info = member(["WARC/1.0", "WARC-Type: warcinfo", "WARC-Date: 2013-12-04T16:47:32Z", "Content-Type: application/warc-fields"], b"software: x\r\nformat: y\r\n")
+    request = member(["WARC/1.0", "WARC-Type: request", url, "WARC-Block-Digest: " + b32(b"GET / HTTP/1.0\r\n\r\n"), "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.0\r\n\r\n")
+    response = ["WARC/1.0", "WARC-Type: response", url, "WARC-Record-ID: <urn:x>", "Content-Type: application/http;", " msgtype=response"]
+    whole = member([*response, "WARC-Payload-Digest: " + b32(body), "WARC-Block-Digest: " + b32(http).lower().replace("sha1", "SHA-1")], http)
+    bare = member(["WARC/1.1", "WARC-Type: resource", url, "WARC-Payload-Digest: crc32:00"], body)
+    revisit = member(["WARC/1.1", "WARC-Type: revisit", url, "WARC-Refers-To: <urn:x>", "WARC-Payload-Digest: " + b32(body), "Content-Type: application/http"], b"HTTP/1.1 304 Not Modified\r\n\r\n")
+    empty = member(["WARC/1.1", "WARC-Type: metadata"], b"")
+    rows = list(warc.read_records(BytesIO(info + request + whole + bare + revisit + empty), True))
+    assert [(r["record_type"], r["payload_bytes"], r["page_id"]) for r in rows] == [("warcinfo", 24, None), ("request", 0, None), ("response", len(body), None), ("resource", len(body), None), ("revisit", 0, None), ("metadata", 0, None)]
+    assert rows[2]["payload"] == rows[3]["payload"] == body and rows[2]["payload_digest"] == hashlib.sha256(body).hexdigest()
+    assert (rows[4]["payload_digest"], rows[4]["refers_to_id"]) == (b32(body), "<urn:x>")
+    damaged = [member([*response, "WARC-Payload-Digest: " + b32(body)], http[:-1] + b"x"), member([*response, "WARC-Block-Digest: " + b32(body)], http), member(["WARC/1.0", "WARC-Type: response"], http)[:-30], member(["HTTP/1.0 200 OK"], b"x"), member([*response, "X: " + "y" * (1 << 21)], b"")]
+    for broken in damaged:
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.read_records(BytesIO(broken)))
+
+
+def test_warc_archives_are_cut_by_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame([(k, "u", f"{k} page " * 50) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    folder = Workspace(spark, "t").path + "/a"
+    manifest = warc.write_archives(warc.digested(pages), folder).cache()
+    assert manifest.count() > 3 and warc.read_archives(manifest, folder).count() == 60
+
+
 # 6
 
 
@@ -487,8 +525,56 @@ def test_language_of_switched_text(docs):
     model = langid.fit([t for t, _ in rows], [x for _, x in rows])
     de = next(t for t, x in rows if x == "de" and len(t) > 600)[:600]
     fr = next(t for t, x in rows if x == "fr" and len(t) > 300)[:200]
-    langs, scores = langid.predict(model, [de + " " + fr, de])
-    assert langs == ["de", "de"] and scores[0] < scores[1]
+    langs, scores, certain = langid.predict(model, [de + " " + fr, de])
+    assert langs == ["de", "de"] and scores[0] < scores[1] and min(certain) > 0.8
+    # three like shares: no language has half of the words, each word is sure
+    langs, scores, certain = langid.predict(model, [" ".join(next(t for t, x in rows if x == lang and len(t) > 300)[:250] for lang in ("de", "en", "fr"))])
+    assert scores[0] < 0.6 and certain[0] > 0.8
+
+
+def test_language_of_long_texts_does_not_hang_on_the_runs(docs):
+    """A text's words have nearly the odds that one sequence over all of them gives."""
+    rows = [(r.text, r.lang) for r in docs.limit(80).collect()]
+    model = langid.fit([t for t, _ in rows], [x for _, x in rows])
+    text = " ".join(t for t, _ in rows[:6])[:4000]
+    _, scores, certain = langid.predict(model, [text])
+    data, offsets = langid.binary_parts(pa.array([text.lower()], pa.large_string()))
+    whole, tri, owner, bounds = langid.features(data, offsets)
+    odds, _ = langid.posteriors(langid.emissions(model.weights, whole, tri, owner)[None], np.array([len(whole)]), model.moves, model.starts)
+    assert abs(odds[0].mean(axis=0).max() - scores[0]) < 0.01 and abs(odds[0].max(axis=1).mean() - certain[0]) < 0.01
+
+
+def test_gradient_matches_differences():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    size, lens = 3, np.array([4, 1, 2])
+    n = lens.sum()
+    weights, moves, starts = rng.normal(size=(20, size)), rng.normal(size=(size, size)), rng.normal(size=size)
+    whole = rng.integers(-1, 12, (n, 3))
+    tri, owner, gold = rng.integers(12, 20, 9), np.sort(rng.integers(0, n, 9)), rng.integers(0, size, n)
+
+    def likelihood(w, m, s):
+        own = np.array([sum((w[r] for r in whole[k] if r >= 0), np.zeros(size)) + sum((w[r] for r, o in zip(tri, owner, strict=True) if o == k), np.zeros(size)) for k in range(n)])
+        at, out = 0, 0.0
+        for length in lens:
+            e = own[at : at + length]
+            of = lambda p: s[p[0]] + sum(e[t, p[t]] for t in range(length)) + sum(m[p[t], p[t + 1]] for t in range(length - 1))  # noqa: B023, E731
+            out += of(gold[at : at + length]) - np.log(sum(np.exp(of(p)) for p in itertools.product(range(size), repeat=int(length))))
+            at += length
+        return out / len(lens)
+
+    rows, own, of_moves, of_starts = langid.gradient(weights, moves, starts, whole, tri, owner, gold, lens)
+    full = np.zeros_like(weights)
+    full[rows] = own
+    for value, found in ((weights, full), (moves, of_moves), (starts, of_starts)):
+        for k in np.ndindex(value.shape):
+            value[k] += 1e-5
+            up = likelihood(weights, moves, starts)
+            value[k] -= 2e-5
+            down = likelihood(weights, moves, starts)
+            value[k] += 1e-5
+            assert abs((up - down) / 2e-5 - found[k]) < 1e-5
 
 
 # 9
@@ -549,7 +635,6 @@ def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
-    whole.encode_special_tokens = True
     for df in (docs, odd):
         ids = [(r.doc_id, [*whole.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in df.select("doc_id", "text").collect()]
         pieces = packing.pack_documents(df, with_ids=True).collect()
@@ -586,6 +671,48 @@ def test_assignment_goes_by_cost():
     assert max(cost.values()) < 1.35 * np.mean(list(cost.values()))
 
 
+def test_assignment_is_the_greedy_one():
+    """Against a plain loop, with ties, long items and cuts."""
+    rng = random.Random(6)
+    for capacity in (8, 64):
+        for _ in range(60):
+            lengths = [rng.randint(1, 3 * capacity) if rng.random() < 0.2 else rng.choice([1, 2, 3, capacity // 2, rng.randint(1, capacity)]) for _ in range(rng.randint(1, 40))]
+            want, n, rests = [], 0, []
+            for k, length in enumerate(lengths):
+                for start in range(0, length - capacity + 1, capacity):
+                    want.append((k, start, capacity, n, 0))
+                    n += 1
+                if length % capacity:
+                    rests.append((-(length % capacity), k))
+            bins = [[] for _ in range(-(-sum(-r for r, _ in rests) // capacity))]
+            cost = lambda pieces: sum(p + p * p / capacity for p in pieces)  # noqa: E731, B023
+            for rest, k in sorted(rests):
+                left = -rest
+                while left:
+                    fits = [b for b in range(len(bins)) if sum(bins[b]) + left <= capacity] or [b for b in range(len(bins)) if sum(bins[b]) < capacity]
+                    b = min(fits, key=lambda b: (round(cost(bins[b]), 9), b))
+                    piece = min(left, capacity - sum(bins[b]))
+                    want.append((k, lengths[k] - left, piece, n + b, sum(bins[b])))
+                    bins[b].append(piece)
+                    left -= piece
+            assert sorted(packing.assign(np.array(lengths), capacity)) == sorted(want)
+
+
+def test_other_tokenizer_files_are_taken_whole(tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    path, texts = packing.default_tokenizer(), ["Some Words, and MORE of them", "", "ÉTÉ 12"]
+    lower, split = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    lower.normalizer = normalizers.Lowercase()
+    split.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    for k, other in enumerate((lower, split)):
+        other.save(str(tmp_path / f"{k}.json"))
+        own = packing.WordTokenizer(str(tmp_path / f"{k}.json"))
+        assert not own.by_words
+        assert all(np.frombuffer(own.ids(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids for t in texts)
+    assert packing.tokenizer(path).by_words
+
+
 def test_word_tokenizer_equals_the_whole_tokenizer(docs):
     own = packing.tokenizer(packing.default_tokenizer())
     texts = [r.text for r in docs.limit(60).collect()] + ["", " ", "\n\n a  b\t\tc \n", "it's we'LL 1st  x_y <|endoftext|>", "½ ² Ⅷ 日本語 　 x y", "a\x1cb\x85c", "ÀÿĀſɏ×÷"]
