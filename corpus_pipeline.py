@@ -14,37 +14,59 @@ from streamloom.llm.mixing import mix_documents
 from streamloom.llm.near_dup import kept_documents
 from streamloom.llm.packing import pack_documents
 from streamloom.llm.quality import judge
+from streamloom.session import prepared
 from streamloom.storage import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose predicted language has lower odds go.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Documents of whose words the likeliest languages have lower odds, on average, go.
+LEAST_CERTAINTY = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or a quality rule rejects go."""
+    """Documents that the base or a quality rule rejects go.
+
+    Null, empty and short texts fail the base; equal rows get equal verdicts.
+    """
+    prepared(spark)
     return judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language of sufficient odds go."""
+    """Documents whose words are in no language of sufficient odds go.
+
+    Code-switched texts stay: each word counts by its own likeliest language. A
+    text that is null or without letters goes; where there is nothing to learn
+    from, no document can be told and all with letters stay.
+    """
+    prepared(spark)
     found = identify_languages(docs, carry=tuple(COLUMNS[1:]))
-    return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+    unknown = (F.col("lang_pred") == NONE) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.where(unknown | (F.col("lang_pred") != NONE) & (F.col("certainty") >= LEAST_CERTAINTY)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return kept_documents(docs).select(COLUMNS)
+    """One document of each group of near copies stays.
+
+    Rows without an id are documents of their own, those equal in id and text
+    one; a text without words is like no other.
+    """
+    prepared(spark)
+    return kept_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its source's target takes it, not at all if never."""
+    """Each document comes as often as its source's target takes it, not at all if never.
+
+    A null source is one of its own; texts without words add nothing to it.
+    """
+    prepared(spark)
     mixed = mix_documents(docs.select(COLUMNS)).where("times > 0")
     return mixed.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens; each row, repeated or not, is packed by itself."""
+    prepared(spark)
     return pack_documents(docs)
 
 
@@ -54,7 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's rows are written and read again by the next."""
+    """The stages over documents; each stage's rows are written and read again by the next.
+
+    An empty table passes through all of them; columns of documents other than
+    COLUMNS are not read.
+    """
     docs, ws = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = ws.table(stage(spark, docs, sf_dir), f"stage{k}")
