@@ -3,29 +3,109 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from streamloom.llm import queries
+from streamloom.llm.packing import default_tokenizer
+from tokenizers import Tokenizer
 
+from test_operators import base, shingle_set
 
-def test_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality rules", "language id", "near dedup", "mixing", "packing"]
-    counts = []
+
+def stages_of(spark, docs):
+    """What each stage gets and gives."""
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf_dir).cache()
-        counts.append(out.count())
+        out = stage(spark, docs, "").cache()
+        yield name, docs, out
+        docs = out
+
+
+ODD = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "123 " * 60, "en", "a", 1), (4, "# $ % & " * 20, None, "b", 1)]
+
+
+def test_stages_against_plain_models(spark, sf_dir):
+    """Each stage on its own input: the rows that a plain model keeps, with all their columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    junk = spark.createDataFrame(ODD, docs.schema)
+    docs = docs.unionByName(junk).unionByName(docs.where("doc_id % 7 = 0")).withColumn("kept", F.lit("x")).cache()
+    for name, given, out in stages_of(spark, docs):
+        before, after = ([tuple(r) for r in df.select(corpus_pipeline.COLUMNS).collect()] if "text" in df.columns else None for df in (given, out))
         if name != "packing":
-            assert out.columns == corpus_pipeline.COLUMNS
-            assert out.select("doc_id", "text").join(docs.select("doc_id", "text"), ["doc_id", "text"], "left_anti").isEmpty()
-        if name in ("quality rules", "language id", "near dedup"):
-            assert counts[-1] <= docs.count()
+            assert out.columns == corpus_pipeline.COLUMNS and set(after) <= set(before)
+        if name == "quality rules":
+            assert Counter(after) == Counter(r for r in before if plain_quality(r[1]))
+        if name == "language id":
+            lost = Counter(before) - Counter(after)
+            assert sum(lost.values()) <= 0.02 * len(before) and all(r[1] not in {x[1] for x in after} for r in lost)
         if name == "near dedup":
-            assert out.select("doc_id").distinct().count() == counts[-1]
+            assert len(after) == len(set(after)) == len({top for _, top in linked(before)})
         if name == "mixing":
-            assert max(Counter(r.doc_id for r in out.collect()).values()) <= 3
-        docs = out
-    run = corpus_pipeline.run(spark, sf_dir)
-    assert run.count() == counts[-1] or abs(run.agg({"length": "sum"}).first()[0] - docs_tokens(docs)) == 0
+            times, size = Counter(after), lambda r: len(r[1].split())
+            assert max(times.values()) <= 3
+            for source in {r[3] for r in before}:
+                target = mix_targets(before)[source]
+                own = [r for r in before if r[3] == source]
+                assert abs(sum(size(r) * times[r] for r in own) - target) <= max(map(size, own)) / 2 + 1e-6
+        if name == "packing":
+            whole = Tokenizer.from_file(default_tokenizer())
+            want = Counter((r[0], len(whole.encode(r[1], add_special_tokens=False).ids) + 1) for r in before)
+            rows = out.collect()
+            assert Counter({k: sum(p.length for p in rows if (p.doc_id, p.doc_tokens) == k) // k[1] for k in want}) == want
+            assert sum(p.length for p in rows) == sum(k[1] * n for k, n in want.items())
+
+
+def test_run_gives_what_the_stages_give(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    *_, (_, given, _) = stages_of(spark, docs)
+    tokens = lambda pieces: sorted(tuple(r) for r in pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length")).collect())
+    assert tokens(corpus_pipeline.run(spark, sf_dir)) == tokens(corpus_pipeline.packing(spark, given, sf_dir))
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert [out.count() for _, _, out in stages_of(spark, none)] == [0] * 5
+
+
+def test_code_switched_documents_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = {x: docs.where(f"lang = '{x}' AND length(text) >= 400").first().text[:400] for x in ("de", "en", "fr", "es")}
+    mixed = spark.createDataFrame([(10**9, " ".join(parts.values()), None, "s", 1)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(mixed), sf_dir)
+    assert kept.where("doc_id = 1000000000").count() == 1
+
+
+def plain_quality(text):
+    n, chars, symbols, lines, _, failed = base(text)
+    letters, upper = sum(c.isalpha() for c in text or ""), sum(c.isupper() for c in text or "")
+    return not (failed or not 2 * n <= chars <= 20 * n or 10 * symbols > n or 10 * lines > 3 * len((text or "").split("\n")) or 2 * upper > letters or 2 * letters < chars)
+
+
+def linked(rows, percent=80):
+    """Each row and the first one that links reach, by all pairs."""
+    sets, top = [shingle_set(r[1]) for r in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if x == old else x for x in top]
+    return list(zip(rows, top, strict=True))
+
+
+def mix_targets(rows):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    left, free, want = sum(sizes.values()), set(order), {}
+    while free:
+        share = left / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 3 * sizes[s]}
+        for s in over or free:
+            want[s] = 3 * sizes[s] if over else share * weight[s]
+        left -= sum(3 * sizes[s] for s in over)
+        free = free - over if over else set()
+    return want
 
 
 def test_near_dedup_leaves_one_row_of_each_group(spark):
@@ -48,10 +128,6 @@ def test_near_dedup_leaves_one_row_of_each_group(spark):
     assert all((r.doc_id, r.text) == texts[r.n_chars] for r in out)
 
 
-def docs_tokens(pieces):
-    return pieces.agg({"length": "sum"}).first()[0]
-
-
 def test_every_operator_has_its_query():
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert names == [f"op{k}" for k in range(1, 11)]
