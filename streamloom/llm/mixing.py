@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.ranked import buckets, group_key, running, unit
+from streamloom.llm.ranked import buckets, group_key, of_sources, running, unit
 from streamloom.storage import Workspace
 from streamloom.llm.words import char_count, words
 
 #: Weights of the sources in order, repeating, and the times that a source is taken at most.
 WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
-ADDED = ["size", "source_size", "target", "taken", "times", "_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_sum", "_before", "_run", "_before_run"]
+ADDED = ["size", "source_size", "target", "taken", "times", "_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_sum", "_before", "_run", "_before_run", "_n"]
 
 
 def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -28,7 +28,7 @@ def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """(_source, source_size, target) for rows of (_source, source_size), one a source.
+    """sizes with target, for rows of (_source, source_size) and whatever else, one a source.
 
     All sizes are shared by weight. A target stops at most times its source's
     size; what is over goes to the others by weight, until none is above: the
@@ -52,17 +52,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     rows = rows.withColumn("_first", F.min_by(F.when(~stops, F.struct("_left", "_open")), F.when(~stops, F.struct(F.col("source_size") / F.col("_weight"), "_source"))).over(every))
     ended = F.col("_first").isNotNull() & (F.struct("_open", "_left") <= F.struct("_first._open", "_first._left"))
     fair = (F.col("_first._left") * F.col("_weight")).cast("double") / F.col("_first._open")
-    return rows.select("_source", "source_size", F.when(ended, fair).otherwise((most * F.col("source_size")).cast("double")).alias("target"))
+    return rows.select(*sizes.columns, F.when(ended, fair).otherwise((most * F.col("source_size")).cast("double")).alias("target"))
 
 
-def place(key: Column, parts: int) -> Column:
+def place(key: Column, parts: Column) -> Column:
     """The part of 0 to parts - 1 that a key falls into, rising with it.
 
     exp(-key / 2) is u ** (1 / 2q) for u uniform in (0, 1) and a quality q of
     0.5 to 1: its density is 2 at most, so no part is meant to hold more than
     twice its share of a source, whatever the qualities.
     """
-    return F.least(F.lit(parts - 1), F.floor((1 - F.exp(-key / 2)) * parts))
+    return F.least(parts - 1, F.floor((1 - F.exp(-key / 2)) * parts))
 
 
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = True) -> DataFrame:
@@ -88,16 +88,13 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
     if not carry:
         rows = rows.select(id_col, source_col, "size", "_quality", "_source", "_unit", "_id")
     rows = Workspace(documents.sparkSession, "mix").table(rows, "measured")
-    sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    largest = rows.groupBy("_source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    targets = source_targets(sizes, weights, most)
-
-    rows = rows.withColumn("_key", -F.ln("_unit") / F.col("_quality"))
-    rows = rows.withColumn("_bucket", place(F.col("_key"), buckets(largest)))
-    placed = running(rows, ["_source"], "_bucket", ["_key", "_id", "size"], F.col("size"), "_prior").join(targets, "_source")
+    sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    rows = rows.join(of_sources(source_targets(sizes, weights, most)), "_source").withColumn("_key", -F.ln("_unit") / F.col("_quality"))
+    rows = rows.withColumn("_bucket", place(F.col("_key"), buckets(F.col("_n"))))
+    placed = running(rows, ["_source"], "_bucket", ["_key", "_id", "size"], F.col("size"), "_prior")
     epochs = F.least(F.lit(most), F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)))).cast("long")
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")
     placed = placed.withColumn("_epochs", epochs)
     extra = (2 * F.col("_prior") + F.col("size") <= 2 * rest) & (F.col("_epochs") < most)
     out = placed.withColumn("times", F.col("_epochs") + F.when(extra, 1).otherwise(0)).withColumn("taken", F.col("times") * F.col("size"))
-    return out.drop("_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs")
+    return out.drop("_source", "_unit", "_quality", "_id", "_key", "_bucket", "_prior", "_epochs", "_n")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes up to which a table of one row a source is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Rows that a bucket is meant to hold, and buckets whose sums are summed up together.
-BUCKET_ROWS, RUN = 2_000, 1_000
+BUCKET_ROWS, RUN = 500, 1_000
 
 
 def running(rows: DataFrame, group: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
@@ -27,8 +29,15 @@ def running(rows: DataFrame, group: list[str], bucket: str, order: list[str], va
     return joined.withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")).drop("_before")
 
 
-def buckets(rows: int) -> int:
-    return max(1, -(-rows // BUCKET_ROWS))
+def of_sources(table: DataFrame) -> DataFrame:
+    """A table of one row a _source, broadcast if its measured size is small: rows of a hot source then stay where they are."""
+    size = table.agg(F.coalesce(F.sum(F.octet_length("_source") + 64), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def buckets(rows: Column) -> Column:
+    """How many buckets hold so many rows."""
+    return F.greatest(F.lit(1), F.ceil(rows / BUCKET_ROWS))
 
 
 def unit(seed: str, *cols: str) -> Column:

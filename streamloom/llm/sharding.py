@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.ranked import buckets, group_key, running, unit
+from streamloom.llm.ranked import buckets, group_key, of_sources, running, unit
 
 SHARDS = 40
 ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_source", "_key", "_id", "_bucket", "_rank", "_n", "_at", "_place", "_sum", "_before", "_run", "_before_run"]
@@ -39,13 +39,14 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: str = "sha
         }
     )
     counts = rows.groupBy("_source").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
 
-    rows = rows.withColumn("_bucket", F.floor(F.col("_key") * buckets(total.most)))
+    rows = rows.join(of_sources(counts), "_source")
+    rows = rows.withColumn("_bucket", F.floor(F.col("_key") * buckets(F.col("_n"))))
     order = ["_key", "_id", "text_crc32", "size"]
-    ranked = running(rows, ["_source"], "_bucket", order, F.lit(1), "_rank").join(counts, "_source")
+    ranked = running(rows, ["_source"], "_bucket", order, F.lit(1), "_rank")
     at = (F.col("_rank") + 1 - unit(seed, "_source")) / F.col("_n")
-    placed = ranked.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") * buckets(total.n)))
+    placed = ranked.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") * buckets(F.lit(total.n))))
     placed = running(placed, [], "_bucket", ["_at", "_source", *order], F.lit(1), "_place")
 
     # exact in longs: the first place of a shard is the least p with p * shards >= shard * n

@@ -624,7 +624,7 @@ def test_mix_buckets_of_letterless_texts(spark):
 
     for text in ("1 2 3", "a1 22"):
         rows = measured(spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("s").alias("source")))
-        parts = rows.groupBy(place(-F.ln("_unit") / F.col("_quality"), 50).alias("p")).count().collect()
+        parts = rows.groupBy(place(-F.ln("_unit") / F.col("_quality"), F.lit(50)).alias("p")).count().collect()
         assert max(r["count"] for r in parts) < 2.1 * 1000 and {r.p for r in parts} == set(range(50))
 
 
