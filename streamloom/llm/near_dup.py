@@ -33,7 +33,7 @@ from streamloom.llm.textkeys import mix, shingles
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 25
 #: Classes of a bucket that one task compares with as many others at a time, and shingles that these are meant to have.
-BLOCK, BLOCK_SHINGLES = 1024, 500_000
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Rows of two longs below which a table of ids is broadcast: 32 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -262,10 +262,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows of buckets with several labels, with the bucket's size and its main label."""
+    """The rows of buckets with several labels, with the bucket's size and its main label; few such buckets move no row of a large one."""
     parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size"))
-    return placed.select("key", "hub", "rep", "label").join(mixed.where("labels > 1").drop("labels"), "key")
+    return placed.select("key", "hub", "rep", "label").join(_few(mixed.where("labels > 1").drop("labels")), "key")
 
 
 def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_rows: int = ROWS, kind: type = np.uint32) -> DataFrame:
@@ -302,14 +302,14 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_r
     sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_batches, "rep long, shingles binary").dropDuplicates()
 
     # a block has BLOCK members and BLOCK_SHINGLES shingles on average, at most
-    near = near.drop("n_shingles").join(held, "key")
+    near = near.drop("n_shingles").join(_few(held), "key")
     near = near.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int"))
     near = near.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     minor = near.where("label <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(1).alias("minor"), "label", "main", "hub", "rep")
     whole = near.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(0).alias("minor"), "label", "main", "hub", "rep")
     # a block of minor members meets each block of the bucket; blocks without minor members have nothing to do
-    rows = whole.join(minor.select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi").unionByName(minor)
+    rows = whole.join(_few(minor.select("key", "i", "j").distinct()), ["key", "i", "j"], "left_semi").unionByName(minor)
     rows = rows.join(sized, "rep").join(sets, "rep").select(*BLOCKS)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent, band_rows, kind), "a long, b long").distinct()), "links")
