@@ -75,8 +75,10 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(shorter <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / shorter)
 
 
-def contains_any(text: Column, keywords: tuple[str, ...]) -> Column:
+def contains_any(text: Column, keywords: tuple[str, ...] | Column) -> Column:
     """whether text holds any keyword, by case and literally."""
+    if isinstance(keywords, Column):
+        return F.coalesce(F.exists(keywords, lambda k: F.contains(text, k)), F.lit(False))
     return F.coalesce(reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in keywords), F.lit(False)), F.lit(False))
 
 
@@ -85,7 +87,7 @@ def laughter(text: Column) -> Column:
     return contains_any(F.lower(text), LAUGHTER)
 
 
-def speaker(language: Column, duration: Column, no_speech: Column, confidence: float, short: float) -> Column:
+def speaker(language: Column, duration: Column, no_speech: Column, confidence: float | Column, short: float | Column) -> Column:
     """unknown if short and unsure, else by language."""
     return F.when((duration < short) & (1 - no_speech < confidence), "unknown").when(language == "zh", "streamer").when(language == "ja", "game_voice").otherwise("unknown")
 
@@ -95,7 +97,7 @@ def confidence(no_speech: Column) -> Column:
     return rounded(1 - no_speech, 3)
 
 
-def match_status(ocr_text: Column, asr_text: Column, guess: Column, consistent: float, readback: float) -> Column:
+def match_status(ocr_text: Column, asr_text: Column, guess: Column, consistent: float | Column, readback: float | Column) -> Column:
     """readback is tested first, both strictly."""
     ratio = edit_ratio(ocr_text, asr_text)
     return F.when((ratio < readback) & F.coalesce(guess == "game_voice", F.lit(False)), "readback_possible").when(ratio < consistent, "consistent").otherwise("conflict")
@@ -194,8 +196,11 @@ def youtube_time(sec: Column) -> Column:
     return F.regexp_replace(fmt_ts(sec), "^00:", "")
 
 
-def story_flags(dialogue: Column, keywords: tuple[str, ...]) -> tuple[Column, Column]:
+def story_flags(dialogue: Column, keywords: tuple[str, ...] | Column) -> tuple[Column, Column]:
     """(choice_point, cg_unlock) by the first configured keyword that the dialogue holds."""
+    if isinstance(keywords, Column):
+        first = F.get(F.filter(keywords, lambda k: F.contains(dialogue, k)), 0)
+        return contains_any(first, CHOICE_MARKS), contains_any(first, (CG_MARK,))
     if not keywords:
         return F.lit(False), F.lit(False)
     first = F.coalesce(*(F.when(F.contains(dialogue, F.lit(k)), F.lit(k)) for k in keywords))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
-from streamloom.params import Params
+from streamloom.params import AnyParams
 from streamloom.storage import Workspace
 
 BUCKET_SEC = 10.0
@@ -22,14 +22,15 @@ def numbered(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("seg_ord", F.row_number().over(over)).select(*schema.TIMELINE_COLUMNS)
 
 
-def touches(segments: DataFrame, params: Params) -> DataFrame:
+def touches(segments: DataFrame, params: AnyParams) -> DataFrame:
     """segments with win_idx, a row for each window they touch; windows beyond the last one meet none in a join."""
+    segments, params = params.of(segments)
     w = params.window_sec
     first, end = F.greatest(F.lit(0).cast("bigint"), (F.col("time_start") / w).cast("bigint")), (F.col("time_end") / w).cast("bigint")
-    return segments.withColumn("win_idx", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    return segments.withColumn("win_idx", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array(F.lit(-1).cast("bigint"))))).drop("_own")
 
 
-def overlay_chat(segments: DataFrame, windows: DataFrame, params: Params) -> DataFrame:
+def overlay_chat(segments: DataFrame, windows: DataFrame, params: AnyParams) -> DataFrame:
     """Each segment with the chat of all windows it touches.
 
     Intervals become window indices, so the join is an equi join, and segments
@@ -43,28 +44,37 @@ def overlay_chat(segments: DataFrame, windows: DataFrame, params: Params) -> Dat
     rows = pairs.groupBy("video_id", "seg_ord").agg(
         F.any_value("own").alias("own"),
         F.sum("message_count").alias("message_count"),
-        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("messages").isNotNull(), F.struct("win_idx", "messages")))), lambda x: x["messages"])), 1, params.overlay_messages).alias("messages"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("messages").isNotNull(), F.struct("win_idx", "messages")))), lambda x: x["messages"])).alias("messages"),
         F.sum("superchat_count").alias("superchat_count"),
         S.rounded(F.max("density_per_min"), 1).alias("density_per_min"),
         S.rounded(F.max_by("baseline_per_min", F.when(F.col("messages").isNotNull(), F.col("win_idx"))), 1).alias("baseline_per_min"),
         F.bool_or("is_spike").alias("is_spike"),
     )
     chat = F.when(F.col("message_count") > 0, F.struct("message_count", "messages", "superchat_count", "density_per_min", "baseline_per_min", "is_spike").cast(schema.CHAT))
-    rows = rows.select("video_id", "seg_ord", "own.*", chat.alias("own_chat"))
-    spike, weight = F.coalesce("own_chat.is_spike", F.lit(False)), float(params.weights.get("chat_spike", 0.0))
+    rows, params = params.of(rows)
+    rows = rows.withColumn("messages", F.slice("messages", 1, params.overlay_messages)).withColumn("weight", _weight(params))
+    rows = rows.select("video_id", "seg_ord", "own.*", chat.alias("own_chat"), "weight")
+    spike, weight = F.coalesce("own_chat.is_spike", F.lit(False)), F.col("weight")
     return rows.withColumns(
         {
             "chat": F.coalesce("own_chat", "chat"),
             "events": F.when(spike, F.col("events").withField("chat_spike", F.lit(True))).otherwise(F.col("events")),
-            "score": F.when(spike, F.col("score").withField("breakdown", F.col("score.breakdown").withField("chat_spike", F.lit(weight))).withField("total", F.col("score.total") + weight)).otherwise(F.col("score")),
+            "score": F.when(spike, F.col("score").withField("breakdown", F.col("score.breakdown").withField("chat_spike", weight)).withField("total", F.col("score.total") + weight)).otherwise(F.col("score")),
         }
-    ).drop("own_chat")
+    ).drop("own_chat", "weight")
 
 
-def event_only_segments(segments: DataFrame, windows: DataFrame, params: Params) -> DataFrame:
+def _weight(params) -> Column:
+    """What a chat spike adds to the score."""
+    weight = params.weights.get("chat_spike", 0.0)
+    return weight if isinstance(weight, Column) else F.lit(float(weight))
+
+
+def event_only_segments(segments: DataFrame, windows: DataFrame, params: AnyParams) -> DataFrame:
     """Windows that spike and that no segment touches, as rows of their own."""
-    weight = F.lit(float(params.weights.get("chat_spike", 0.0)))
     lone = windows.where("is_spike").join(touches(segments.select("video_id", "time_start", "time_end"), params).select("video_id", "win_idx"), ["video_id", "win_idx"], "left_anti")
+    lone, params = params.of(lone)
+    weight = _weight(params)
     return lone.select(
         "video_id",
         F.col("win_idx").cast("int").alias("seg_ord"),
@@ -81,7 +91,7 @@ def event_only_segments(segments: DataFrame, windows: DataFrame, params: Params)
     )
 
 
-def align_mvp(speech: DataFrame, windows: DataFrame, params: Params) -> DataFrame:
+def align_mvp(speech: DataFrame, windows: DataFrame, params: AnyParams) -> DataFrame:
     """E5: speech with chat, and the chat events that no speech covers."""
     return numbered(overlay_chat(speech, windows, params).unionByName(event_only_segments(speech, windows, params)))
 
@@ -103,13 +113,15 @@ def overlap_candidates(left: DataFrame, right: DataFrame, threshold: float, buck
     return pairs.where(F.col("bucket") == first).withColumn("ratio", ratio).where((F.col("ratio") > 0) & (F.col("ratio") >= threshold)).select("video_id", "seg_ord", "ocr_ord", "ratio")
 
 
-def greedy_match(left: DataFrame, right: DataFrame, params: Params) -> DataFrame:
+def greedy_match(left: DataFrame, right: DataFrame, params: AnyParams) -> DataFrame:
     """(video_id, seg_ord, ocr_ord): segments in order take the unused row that overlaps them most.
 
     Only rows of one overlap island can compete, so a group of the greedy step
     is an island: a few rows, and many groups within one video.
     """
-    pairs = overlap_candidates(left, right, params.overlap_ratio)
+    # a pair counts by its video's own least ratio
+    pairs, own = params.of(overlap_candidates(left, right, 0.0))
+    pairs = pairs.where(F.col("ratio") >= own.overlap_ratio).drop("_own")
     both = left.select("video_id", "time_start", "time_end", F.col("seg_ord").alias("own")).unionByName(right.select("video_id", "time_start", "time_end", F.lit(None).cast("int").alias("own")))
     over = Window.partitionBy("video_id").orderBy("time_start", "time_end", F.col("own").asc_nulls_last())
     before = F.max("time_end").over(over.rowsBetween(Window.unboundedPreceding, -1))
@@ -129,16 +141,16 @@ def greedy_match(left: DataFrame, right: DataFrame, params: Params) -> DataFrame
     return pairs.groupBy("video_id", "island").applyInPandas(greedy, "video_id long, seg_ord int, ocr_ord int")
 
 
-def enriched(timeline: DataFrame, screen: DataFrame, matches: DataFrame, params: Params) -> DataFrame:
+def enriched(timeline: DataFrame, screen: DataFrame, matches: DataFrame, params: AnyParams) -> DataFrame:
     """Timeline with the layer and flags of the screen row each segment took."""
     took = matches.join(screen.select("video_id", F.col("seg_ord").alias("ocr_ord"), F.col("ocr").alias("own_ocr"), F.col("events").alias("own_events")), ["video_id", "ocr_ord"])
-    rows = timeline.join(took.drop("ocr_ord"), ["video_id", "seg_ord"], "left")
+    rows, params = params.of(timeline.join(took.drop("ocr_ord"), ["video_id", "seg_ord"], "left"))
     matched, spoken = F.col("own_ocr").isNotNull(), F.col("asr").isNotNull()
     shown, said = F.coalesce("own_ocr.dialogue", F.lit("")), F.coalesce("asr.text", F.lit(""))
     status = S.match_status(shown, said, F.col("asr.speaker_guess"), params.consistent, params.readback)
     flags = F.struct(*((F.col(f"events.{x}") | F.coalesce(F.col(f"own_events.{x}"), F.lit(False))).alias(x) if x in schema.EVENT_FLAGS[:4] else F.col(f"events.{x}").alias(x) for x in schema.EVENT_FLAGS))
     merged = F.struct(F.lit("ocr_asr").alias("source_type"), status.alias("match_status"), F.when(status == "conflict", S.conflict_note(shown, said)).otherwise(F.col("merge.conflict_note")).alias("conflict_note"))
-    return rows.withColumns({"ocr": F.coalesce("own_ocr", "ocr"), "events": flags, "merge": F.when(matched & spoken, merged).otherwise(F.col("merge"))}).drop("own_ocr", "own_events")
+    return rows.withColumns({"ocr": F.coalesce("own_ocr", "ocr"), "events": flags, "merge": F.when(matched & spoken, merged).otherwise(F.col("merge"))}).drop("own_ocr", "own_events", "_own")
 
 
 def unmatched(screen: DataFrame, matches: DataFrame) -> DataFrame:
@@ -146,7 +158,7 @@ def unmatched(screen: DataFrame, matches: DataFrame) -> DataFrame:
     return screen.join(matches.select("video_id", F.col("ocr_ord").alias("seg_ord")), ["video_id", "seg_ord"], "left_anti")
 
 
-def align_full(speech: DataFrame, windows: DataFrame, screen: DataFrame, params: Params) -> DataFrame:
+def align_full(speech: DataFrame, windows: DataFrame, screen: DataFrame, params: AnyParams) -> DataFrame:
     """The timeline of all three sources; without screen rows that of E5.
 
     The rows of both sides and the matches are each read several times, so they

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
 from streamloom.functions.scalar import contains_any, offset_sec, published_us
-from streamloom.params import PAID, Params
+from streamloom.params import PAID, AnyParams, Params
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -34,15 +34,15 @@ def stream_durations(segments: DataFrame) -> DataFrame:
     return segments.groupBy("video_id").agg(F.max("time_end").alias("duration"))
 
 
-def in_range(chat: DataFrame, durations: DataFrame, params: Params) -> DataFrame:
+def in_range(chat: DataFrame, durations: DataFrame, params: AnyParams) -> DataFrame:
     """Chat with offset_sec, duration and win_idx, within the windows of its video; indices truncate toward zero."""
+    rows, params = params.of(chat_offsets(chat).join(durations, "video_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0))))
     w = params.window_sec
-    rows = chat_offsets(chat).join(durations, "video_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
     rows = rows.withColumn("win_idx", (F.col("offset_sec") / w).cast("bigint"))
     return rows.where((F.col("win_idx") >= 0) & (F.col("win_idx") < F.greatest(F.lit(1).cast("bigint"), (F.col("duration") / w).cast("bigint") + 1)))
 
 
-def chat_windows(chat: DataFrame, durations: DataFrame, params: Params) -> DataFrame:
+def chat_windows(chat: DataFrame, durations: DataFrame, params: AnyParams) -> DataFrame:
     """A3-A5: counts, density, baseline and spike of each non-empty window.
 
     Counting combines before the shuffle; only windows are summed per video.
@@ -50,11 +50,12 @@ def chat_windows(chat: DataFrame, durations: DataFrame, params: Params) -> DataF
     return _windows(in_range(chat, durations, params), params)
 
 
-def _windows(rows: DataFrame, params: Params) -> DataFrame:
-    w = params.window_sec
+def _windows(rows: DataFrame, params: AnyParams) -> DataFrame:
     counts = rows.groupBy("video_id", "win_idx").agg(F.count("*").alias("message_count"), F.count_if(F.col("type").isin(*PAID)).alias("superchat_count"), F.max("duration").alias("duration"))
     baseline = F.when(F.col("duration") > 0, F.sum("message_count").over(Window.partitionBy("video_id")) / (F.col("duration") / 60)).otherwise(0.0)
-    counts = counts.withColumn("_baseline", baseline).withColumn("_density", F.col("message_count") / (w / 60))
+    counts, params = params.of(counts.withColumn("_baseline", baseline))
+    w = params.window_sec
+    counts = counts.withColumn("_density", F.col("message_count") / (w / 60))
     return counts.select(
         "video_id",
         "win_idx",
@@ -68,7 +69,7 @@ def _windows(rows: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def kept_messages(chat: DataFrame, durations: DataFrame, params: Params) -> DataFrame:
+def kept_messages(chat: DataFrame, durations: DataFrame, params: AnyParams) -> DataFrame:
     """The messages that stand for their window, with kept_rank.
 
     All paid ones, up to N with a keyword, and others only while fewer than N
@@ -77,19 +78,20 @@ def kept_messages(chat: DataFrame, durations: DataFrame, params: Params) -> Data
     return _kept(in_range(chat, durations, params), params)
 
 
-def _kept(rows: DataFrame, params: Params) -> DataFrame:
-    n = params.max_messages
+def _kept(rows: DataFrame, params: AnyParams) -> DataFrame:
+    rows, params = params.of(rows)
+    n = F.lit(params.max_messages) if isinstance(params, Params) else params.max_messages
     rows = rows.withColumn("class", F.when(F.col("type").isin(*PAID), 0).when(contains_any(F.col("text"), params.reaction_keywords), 1).otherwise(2))
     window, order = ["video_id", "win_idx"], ["offset_sec", "msg_ord"]
     whole = Window.partitionBy(*window)
     rows = rows.withColumns({"rank": F.row_number().over(Window.partitionBy(*window, "class").orderBy(*order)), "paid": F.count_if(F.col("class") == 0).over(whole), "keyed": F.count_if(F.col("class") == 1).over(whole)})
-    left = n - F.col("paid") - F.least(F.lit(n), F.col("keyed"))
+    left = n - F.col("paid") - F.least(n, F.col("keyed"))
     rows = rows.where((F.col("class") == 0) | (F.col("class") == 1) & (F.col("rank") <= n) | (F.col("class") == 2) & (F.col("rank") <= left))
     kept_rank = F.row_number().over(Window.partitionBy(*window).orderBy("class", "rank"))
     return rows.withColumn("kept_rank", kept_rank).select("video_id", "win_idx", "kept_rank", "msg_ord", "author", "text", "type", "amount")
 
 
-def windows_with_messages(chat: DataFrame, durations: DataFrame, params: Params) -> DataFrame:
+def windows_with_messages(chat: DataFrame, durations: DataFrame, params: AnyParams) -> DataFrame:
     """Windows with their representative messages, in order."""
     rows = in_range(chat, durations, params)
     message = F.struct("kept_rank", F.struct("author", "text", "type", "amount").alias("m"))

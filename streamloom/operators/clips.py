@@ -6,36 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
-from streamloom.params import Params
+from streamloom.params import AnyParams
 
 
-def highlights(timeline: DataFrame, params: Params) -> DataFrame:
+def highlights(timeline: DataFrame, params: AnyParams) -> DataFrame:
     """The rows of the highest scores of at least min_score."""
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score.total"), "seg_ord"))
+    timeline, params = params.of(timeline)
     rows = timeline.where(F.col("score.total") >= params.min_score).withColumn("rank", rank).where(F.col("rank") <= params.top_n)
     return rows.select("video_id", "seg_ord", "rank", "time_start", "time_end", F.col("score.total").alias("score"))
 
 
-def with_intervals(rows: DataFrame, params: Params) -> DataFrame:
+def with_intervals(rows: DataFrame, params: AnyParams) -> DataFrame:
     """Rows with the number of their merged interval, by start.
 
     Intervals merge while the next one starts within the gap of the running
     end, so a row's interval is the count of breaks before it and no join is
     needed to find it.
     """
+    rows, params = params.of(rows)
     pad, gap = params.clip_padding_sec, params.clip_gap_sec
     rows = rows.withColumns({"clip_start": F.greatest(F.lit(0.0), F.col("time_start") - pad), "clip_end": F.col("time_end") + pad})
     over = Window.partitionBy("video_id").orderBy("clip_start", "clip_end", "seg_ord")
     before = F.max("clip_end").over(over.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", F.when(F.col("clip_start") <= before + gap, 0).otherwise(1))
-    return rows.withColumn("clip", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
+    return rows.withColumn("clip", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new", "_own")
 
 
-def merged_intervals(rows: DataFrame, params: Params) -> DataFrame:
+def merged_intervals(rows: DataFrame, params: AnyParams) -> DataFrame:
     return with_intervals(rows, params).groupBy("video_id", "clip").agg(F.min("clip_start").alias("start"), F.max("clip_end").alias("end"))
 
 
-def clip_manifest(timeline: DataFrame, params: Params) -> DataFrame:
+def clip_manifest(timeline: DataFrame, params: AnyParams) -> DataFrame:
     """A row for each clip with its name, duration, best score and segments."""
     rows = with_intervals(highlights(timeline, params), params)
     clips = rows.groupBy("video_id", F.col("clip").alias("n")).agg(F.min("clip_start").alias("start"), F.max("clip_end").alias("end"), F.max("score").alias("score"), F.count("*").alias("segments"))

@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
-from streamloom.params import Params
+from streamloom.params import AnyParams, Params
 
 
-def with_durations(raw: DataFrame, params: Params) -> DataFrame:
+def with_durations(raw: DataFrame, params: AnyParams) -> DataFrame:
     """time_end is the next row's start; a default follows a long gap and the last row."""
     ahead = F.lead("frame_time").over(Window.partitionBy("video_id").orderBy("ord"))
-    start = F.col("frame_time")
+    raw, params = params.of(raw.withColumn("ahead", ahead))
+    start, ahead = F.col("frame_time"), F.col("ahead")
     end = F.when(ahead.isNull() | (ahead - start > params.max_duration_sec), start + params.default_duration_sec).otherwise(ahead)
-    return raw.withColumns({"time_start": start, "time_end": end})
+    return raw.withColumns({"time_start": start, "time_end": end}).drop("ahead", "_own")
 
 
 def first_seen(raw: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def first_seen(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"chapter_change": first("chapter"), "new_character": first("name")})
 
 
-def screen_segments(raw: DataFrame, params: Params) -> DataFrame:
+def screen_segments(raw: DataFrame, params: AnyParams) -> DataFrame:
     """Timeline rows of on-screen text; seg_ord is the raw order."""
-    rows = first_seen(with_durations(raw, params))
+    rows, params = params.of(first_seen(with_durations(raw, params)))
     dialogue = F.coalesce("dialogue", F.lit(""))
     choice, cg = S.story_flags(dialogue, params.story_keywords)
     flags = {"chapter_change": F.col("chapter_change"), "new_character": F.col("new_character"), "choice_point": choice, "cg_unlock": cg}

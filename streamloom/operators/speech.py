@@ -6,12 +6,12 @@ sample_idx, amplitude.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
-from streamloom.params import Params
+from streamloom.params import AnyParams
 
 LOUDER_DB, MERGE_GAP, FEW_PEAKS, LOUDEST = 6.0, 2, 10, 20
 GAP_SEC, LARGE_GAP_SEC, BURST_CHARS, BURST_SEC = 3.0, 8.0, 6, 1.5
@@ -79,39 +79,39 @@ def silence_bursts(raw: DataFrame) -> DataFrame:
     return rows.select("video_id", "ord", "start", "end", S.rounded(F.col("gap"), 2).alias("gap_before_sec"))
 
 
-def admitted(raw: DataFrame, params: Params) -> DataFrame:
+def admitted(raw: DataFrame, params: AnyParams) -> DataFrame:
     """Rows long enough and not blank, their text stripped."""
-    rows = raw.withColumn("text", S.strip(F.col("text")))
+    rows, params = params.of(raw.withColumn("text", S.strip(F.col("text"))))
     return rows.where((F.col("end") - F.col("start") >= params.min_segment_sec) & (F.coalesce("text", F.lit("")) != ""))
 
 
-def speech_parts(raw: DataFrame, peaks: DataFrame, params: Params) -> DataFrame:
+def speech_parts(raw: DataFrame, peaks: DataFrame, params: AnyParams) -> DataFrame:
     """Admitted rows with their signals and scores.
 
     Peaks and segments meet on whole seconds, both ends included, as an equi
     join of exploded seconds.
     """
-    rows = admitted(raw, params)
+    rows, params = params.of(admitted(raw, params))
     seconds = lambda a, b: F.explode(F.sequence(F.col(a).cast("bigint"), F.col(b).cast("bigint"))).alias("sec")
     loud = peaks.select("video_id", seconds("start", "end")).distinct()
     hit = rows.select("video_id", "ord", seconds("start", "end")).join(loud, ["video_id", "sec"], "left_semi").select("video_id", "ord").distinct().withColumn("has_volume", F.lit(True))
     bursts = silence_bursts(raw).select("video_id", S.rounded(F.col("start"), 1).alias("tenth")).distinct().withColumn("has_burst", F.lit(True))
     rows = rows.withColumn("tenth", S.rounded(F.col("start"), 1)).join(hit, ["video_id", "ord"], "left").join(bursts, ["video_id", "tenth"], "left")
-    w = params.weights
+    w = {k: F.lit(0.0) for k in schema.SCORE_PARTS} | {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in params.weights.items()}
     flags = {
         "volume_spike": F.coalesce("has_volume", F.lit(False)),
         "laughter": S.laughter(F.col("text")),
         "keyword_hit": S.contains_any(F.col("text"), params.reaction_keywords),
         "silence_then_burst": F.coalesce("has_burst", F.lit(False)),
     }
-    rows = rows.withColumns({f"s_{k}": F.when(v, float(w.get(k, 0.0))).otherwise(0.0) for k, v in flags.items()} | {f"f_{k}": v for k, v in flags.items()})
+    rows = rows.withColumns({f"s_{k}": F.when(v, w[k]).otherwise(0.0) for k, v in flags.items()} | {f"f_{k}": v for k, v in flags.items()})
     guess = S.speaker(F.col("language"), F.col("end") - F.col("start"), F.coalesce("no_speech_prob", F.lit(0.0)), params.language_confidence, params.short_sec)
     rows = rows.withColumns({"speaker_guess": guess, "confidence": S.confidence(F.coalesce("no_speech_prob", F.lit(0.0))), "score_total": F.col("s_volume_spike") + F.col("s_laughter") + F.col("s_keyword_hit") + F.col("s_silence_then_burst")})
     reaction = (F.col("f_volume_spike") | F.col("f_laughter") | F.col("f_keyword_hit")) & (F.col("speaker_guess") == "streamer")
     return rows.withColumn("streamer_reaction", reaction)
 
 
-def speech_segments(raw: DataFrame, peaks: DataFrame, params: Params) -> DataFrame:
+def speech_segments(raw: DataFrame, peaks: DataFrame, params: AnyParams) -> DataFrame:
     """Timeline rows of speech; seg_ord is the raw order."""
     rows = speech_parts(raw, peaks, params)
     zero = F.lit(0.0)

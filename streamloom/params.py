@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # fixed values: markers, keywords and glyph pairs that results depend on
 LAUGHTER = ("www", "ｗｗ", "草", "笑", "hhh", "ww")
 CONFUSABLE = (("伺", "何"), ("巳", "己"), ("已", "己"), ("末", "未"), ("士", "土"), ("壺", "壷"))
@@ -14,7 +17,7 @@ SUBTITLED = ("streamer", "mixed")
 
 @dataclass(frozen=True)
 class Params:
-    """One channel's parameters."""
+    """One channel's parameters; the defaults are fixed values."""
 
     channel: str = ""
     window_sec: float = 10.0
@@ -40,3 +43,44 @@ class Params:
     clip_padding_sec: float = 3.0
     clip_gap_sec: float = 2.0
     title: str = ""
+
+    def of(self, rows: DataFrame) -> tuple[DataFrame, Params]:
+        """Rows, and the parameters that hold for them: the same ones for all."""
+        return rows, self
+
+
+class Channels:
+    """Parameters by row: those of each video's channel, defaults where they are missing or null.
+
+    table has a row for each video: video_id and columns named as the fields of
+    Params, any of them; weights is a map, keywords are arrays. Operators take it
+    in the place of Params, and read columns where those hold numbers.
+    """
+
+    def __init__(self, table: DataFrame, default: Params = Params()):
+        self.default = default
+        names = [c for c in table.columns if c != "video_id"]
+        self.table = table.select("video_id", F.struct(*names, F.lit(True).alias("_")).alias("_own"))
+        self.names = set(names)
+
+    def of(self, rows: DataFrame) -> tuple[DataFrame, _RowParams]:
+        """rows with the column _own, and the parameters that it holds."""
+        return rows.drop("_own").join(self.table, "video_id", "left"), _RowParams(self)
+
+
+class _RowParams:
+    """The fields of Params as columns of rows that have _own."""
+
+    def __init__(self, channels: Channels):
+        self._channels = channels
+
+    def __getattr__(self, name: str) -> Column | dict[str, Column]:
+        default = getattr(self._channels.default, name)
+        own = F.col(f"_own.{name}") if name in self._channels.names else None
+        if isinstance(default, dict):
+            return {k: F.lit(float(v)) if own is None else F.coalesce(own[k].cast("double"), F.lit(float(v))) for k, v in default.items()}
+        standard = F.array(*map(F.lit, default)).cast("array<string>") if isinstance(default, tuple) else F.lit(default)
+        return standard if own is None else F.coalesce(own, standard)
+
+
+AnyParams = Params | Channels

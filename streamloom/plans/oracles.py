@@ -334,6 +334,17 @@ _add("timeline_roundtrip", "fx_timeline fx_chat", f"""e as (select *, row_number
 p as (select video_id, string_agg(concat_ws('/', author, text, type, coalesce(amount, '-')), '|' order by nth) messages from e where nth <= 10 group by video_id)
 select t.video_id, seg_ord::int seg_ord, time_start, time_end, {_ts('time_start')} time_display, dialogue, asr_text text, density_per_min, case when density_per_min is not null then messages end messages, chat_spike, score_total, match_status
 from fx_timeline t left join p using (video_id)""")
+_add("timeline_array_read", "fx_timeline fx_chat", f"""e as (select *, row_number() over (partition by video_id order by msg_ord) nth from fx_chat),
+p as (select video_id, string_agg(concat_ws('/', author, text, type, coalesce(amount, '-')), '|' order by nth) messages from e where nth <= 10 group by video_id),
+n as (select *, (row_number() over (partition by video_id order by seg_ord) - 1)::int place from fx_timeline)
+select n.video_id, place seg_ord, time_start, {_ts('time_start')} time_display, dialogue, asr_text text, case when density_per_min is not null then messages end messages, chat_spike, score_total, match_status
+from n left join p using (video_id) where contains(coalesce(dialogue, ''), 'the') or contains(asr_text, 'the')""")
+_add("scores_by_channel", "fx_asr fx_audio", _SPEECH + """, own as (
+  select *, case when video_id % 2 = 0 then case when vol then 5 else 0 end + case when contains(text, 'er') then 20 else 0 end
+    else case when vol then 15 else 0 end + case when contains(text, 'in') or contains(text, 'zz') then 7 else 0 end end + s2 + s4 score
+  from speech where "end" - "start" >= 1),
+r as (select *, row_number() over (partition by video_id order by score desc, turn)::int rank from own where score >= case when video_id % 2 = 0 then 20 else 15 end)
+select video_id, turn::int seg_ord, rank, "start" time_start, "end" time_end, score::double score from r where rank <= 30""")
 _add("newest_timeline", "fx_asr", """e as (select distinct video_id v from fx_asr),
 f as (select concat('/runs/', v % 25) root, case when v >= 25 then concat('/runs/', v % 25, '/run', v, '/timeline.json') when v % 4 = 0 then concat('/runs/', v % 25, '/timeline.json') end path,
   case when v >= 25 then 1 else 2 end rank, v * 7919 % 1000 modified from e)

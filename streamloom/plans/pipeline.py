@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from streamloom.operators import align, chat, clips, reports, screen, speech, subtitles
-from streamloom.params import Params
+from streamloom.params import AnyParams
 from streamloom.storage import Workspace
 
 
-def build_timeline(raw_speech: DataFrame, levels: DataFrame, raw_chat: DataFrame, raw_screen: DataFrame | None, params: Params) -> DataFrame:
+def build_timeline(raw_speech: DataFrame, levels: DataFrame, raw_chat: DataFrame, raw_screen: DataFrame | None, params: AnyParams) -> DataFrame:
     """Speech, windows within the stream's duration, screen rows, alignment and scene types."""
     ws = Workspace(raw_speech.sparkSession, "timeline")
     peaks = speech.peaks_with_fallback(ws.table(levels, "levels"))
@@ -22,7 +22,7 @@ def build_timeline(raw_speech: DataFrame, levels: DataFrame, raw_chat: DataFrame
     return align.classified(timeline)
 
 
-def build_reports(timeline: DataFrame, params: Params) -> dict[str, DataFrame]:
+def build_reports(timeline: DataFrame, params: AnyParams) -> dict[str, DataFrame]:
     """The report tables; write or persist the timeline first, since each of them reads it."""
     return {
         "index": reports.index_events(timeline),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from streamloom import schema
 from streamloom.functions import scalar as S
 from streamloom.operators import align, chat, clips, reports, screen, search, speech, subtitles
-from streamloom.params import Params
+from streamloom.params import Channels, Params
 from streamloom.plans.fixtures import raw_speech, timeline, view
 from streamloom.plans.pipeline import build_timeline
 from streamloom.sources import readers
@@ -434,6 +434,18 @@ def spikes_by_channel(spark, d):
     return chat.spikes_by_channel(_chat(spark, d), _durations(spark, d), channels, CHAT)
 
 
+@query
+def scores_by_channel(spark, d):
+    """Speech scored by the weights and keywords of each video's channel, and the highlights that its least score leaves."""
+    even = F.col("video_id") % 2 == 0
+    words = F.when(even, F.array(F.lit("er"))).otherwise(F.array(F.lit("in"), F.lit("zz")))
+    weights = F.when(even, F.create_map(F.lit("volume_spike"), F.lit(5.0))).otherwise(F.create_map(F.lit("keyword_hit"), F.lit(7.0)))
+    table = _durations(spark, d).select("video_id", words.alias("reaction_keywords"), weights.alias("weights"), F.when(even, 20.0).alias("min_score"))
+    channels = Channels(table, Params(min_segment_sec=1.0))
+    rows = speech.speech_segments(raw_speech(spark, d), speech.peaks_with_fallback(_levels(spark, d)), channels)
+    return clips.highlights(rows, channels)
+
+
 @query
 def raw_chat_read(spark, d):
     stamp = F.date_format(F.timestamp_micros("published_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -461,6 +473,14 @@ def timeline_roundtrip(spark, d):
     return rows.select("video_id", "seg_ord", "time_start", "time_end", "time_display", "ocr.dialogue", "asr.text", "chat.density_per_min", _messages("chat.messages").alias("messages"), "events.chat_spike", F.col("score.total").alias("score_total"), "merge.match_status")
 
 
+@query
+def timeline_array_read(spark, d):
+    """Timelines written as arrays, read back and searched."""
+    readers.write_timeline_arrays(timeline(spark, d), path := f"{_shared(spark)}/timeline")
+    rows = search.by_keyword(readers.read_timeline_arrays(spark, path), "the")
+    return rows.select("video_id", "seg_ord", "time_start", "time_display", "ocr.dialogue", "asr.text", _messages("chat.messages").alias("messages"), "events.chat_spike", F.col("score.total").alias("score_total"), "merge.match_status")
+
+
 @query
 def newest_timeline(spark, d):
     """Roots of up to eight runs each, some with a timeline of their own."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamloom import schema
@@ -43,26 +41,53 @@ def read_chat_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """JSON arrays of raw rows, a file for each video; `ord` is the place in the array."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    rows = whole.select(_video_of(F.col("file")).alias("video_id"), F.from_json("value", f"array<struct<{_struct(ddl)}>>").alias("rows"))
-    return rows.select("video_id", F.posexplode("rows").alias("ord", "row")).select("video_id", "ord", "row.*")
+    return _of_arrays(spark, path, ddl).select("video_id", "ord", *(f"`{c.split()[0]}`" for c in ddl.split(", ")))
+
+
+def _of_arrays(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The objects of JSON arrays with video_id, file and ord, their place in the file's array."""
+    rows = spark.read.schema(ddl).option("recursiveFileLookup", "true").json(path, multiLine=True)
+    rows = rows.withColumns({"file": F.col("_metadata.file_path"), "_place": F.monotonically_increasing_id()})
+    place = F.row_number().over(Window.partitionBy("file").orderBy("_place")) - 1
+    return rows.withColumns({"ord": place, "video_id": _video_of(F.col("file"))}).drop("_place")
 
 
-def _struct(ddl: str) -> str:
-    return ",".join(":".join([f"`{c.split()[0]}`", c.split()[1]]) for c in ddl.split(", "))
+def _array_lines(rows: DataFrame, order: str, nulls: bool) -> DataFrame:
+    """(video_id, value): the rows of each video as the lines of one JSON array, in order.
+
+    A line is written as it comes, so no video is gathered into one value.
+    """
+    over = Window.partitionBy("video_id").orderBy(order)
+    row = F.to_json(F.struct(*(c for c in rows.columns if c not in ("video_id", order))), {"ignoreNullFields": str(not nulls).lower()})
+    first, last = F.lag(F.lit(1)).over(over).isNull(), F.lead(F.lit(1)).over(over).isNull()
+    return rows.select("video_id", F.concat(F.when(first, "[").otherwise(","), row, F.when(last, "]").otherwise("")).alias("value"))
 
 
 def write_raw(rows: DataFrame, path: str, order: str) -> None:
     """Raw rows as a JSON array for each video, in the order of a column."""
-    cols = [c for c in rows.columns if c not in ("video_id", order)]
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*cols).alias("row")))), lambda x: x["row"])
-    arrays = rows.groupBy("video_id").agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("value"))
-    arrays.write.partitionBy("video_id").text(path)
+    _array_lines(rows, order, nulls=True).write.partitionBy("video_id").text(path)
 
 
 def write_timeline(timeline: DataFrame, path: str) -> None:
-    """JSON rows in a folder for each video; absent layers are omitted."""
-    timeline.write.partitionBy("video_id").json(path)
+    """JSON rows in a folder and a file for each video, in order; absent layers are omitted."""
+    timeline.repartition("video_id").sortWithinPartitions("video_id", "seg_ord").write.partitionBy("video_id").json(path)
+
+
+def write_timeline_arrays(timeline: DataFrame, path: str) -> None:
+    """Each video's timeline as one JSON array, without video_id and seg_ord; absent layers are omitted."""
+    _array_lines(timeline, "seg_ord", nulls=False).write.partitionBy("video_id").text(path)
+
+
+def read_timeline_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Timelines that are one JSON array each, indented or not, with defaults for what is missing.
+
+    seg_ord is the place in the array, video_id the number in the file's path
+    or, where there is none, a hash of its folder.
+    """
+    rows = _of_arrays(spark, path, ", ".join(c for c in schema.TIMELINE.split(", ") if c.split()[0] not in ("video_id", "seg_ord")))
+    folder = F.xxhash64(F.regexp_extract("file", "^(.*)/[^/]*$", 1))
+    rows = rows.withColumns({"video_id": F.coalesce("video_id", folder), "seg_ord": F.col("ord").cast("int")})
+    return with_defaults(rows).select(*schema.TIMELINE_COLUMNS)
 
 
 def read_timeline(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -98,23 +123,78 @@ def list_timelines(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.lit(root.rstrip("/")).alias("root"), F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("modified"))
 
 
+#: fixed values: where each parameter stands in a channel's file.
+PARAM_PATHS = {
+    "channel": "channel.name",
+    "window_sec": "chat.aggregate_window_sec",
+    "spike_threshold": "chat.spike_threshold",
+    "max_messages": "chat.max_messages_per_segment",
+    "min_segment_sec": "asr.min_segment_sec",
+    "short_sec": "asr.short_utterance_sec",
+    "language_confidence": "asr.language_confidence_threshold",
+    "sample_interval_sec": "ocr.sample_interval_sec",
+    "hash_distance": "ocr.hash_diff_threshold",
+    "stable_frames": "ocr.stable_threshold",
+    "default_duration_sec": "ocr.default_duration_sec",
+    "max_duration_sec": "ocr.max_dialogue_duration_sec",
+    "overlap_ratio": "alignment.overlap_ratio_threshold",
+    "consistent": "alignment.edit_distance_consistent",
+    "readback": "alignment.edit_distance_readback",
+    "weights": "highlight.weights",
+    "top_n": "highlight.top_n",
+    "min_score": "highlight.min_score",
+    "clip_padding_sec": "highlight.clip_padding_sec",
+    "clip_gap_sec": "highlight.clip_merge_gap_sec",
+    "reaction_keywords": "keywords.reaction",
+    "story_keywords": "keywords.story",
+}
+
+
+def _kind(default: object) -> str:
+    kinds = {str: "string", int: "int", float: "double", dict: "map<string,double>", tuple: "array<string>"}
+    return kinds[type(default)]
+
+
 def with_param_defaults(channels: DataFrame) -> DataFrame:
-    """A row for each channel, with the default of each parameter that is missing or null."""
-    known = {f.name: f.default for f in fields(Params) if isinstance(f.default, (str, int, float))}
-    own = {c.lower() for c in channels.columns}
-    return channels.withColumns({n: F.coalesce(F.col(n), F.lit(d)) if n in own else F.lit(d) for n, d in known.items()})
+    """A row for each channel, with the default of each parameter that is missing or null, weight by weight."""
+    own, out = {c.lower() for c in channels.columns}, {}
+    for name, default in vars(Params()).items():
+        if isinstance(default, dict):
+            standard = F.map_from_arrays(F.array(*map(F.lit, default)), F.array(*map(F.lit, default.values())))
+            if name in own:
+                given = F.coalesce(F.col(name), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+                keys = F.map_keys(given)
+                standard = F.map_concat(F.map_filter(standard, lambda k, _: ~F.array_contains(keys, k)), given)  # noqa: B023
+            out[name] = standard
+            continue
+        standard = F.array(*map(F.lit, default)).cast("array<string>") if isinstance(default, tuple) else F.lit(default)
+        out[name] = F.coalesce(F.col(name), standard) if name in own else standard
+    return channels.withColumns(out)
 
 
 def read_channel_params(spark: SparkSession, path: str) -> DataFrame:
-    """JSON rows of channel parameters, defaults applied; a small table to join by broadcast."""
-    kinds = {str: "string", int: "int", float: "double"}
-    ddl = ", ".join(["video_id bigint", *(f"{f.name} {kinds[type(f.default)]}" for f in fields(Params) if type(f.default) in kinds)])
-    return with_param_defaults(spark.read.schema(ddl).json(path))
+    """A JSON object for each channel, with video_id, defaults applied.
+
+    Parameters stand in the sections of PARAM_PATHS, or by their own names at
+    the top; weights are a map and keywords arrays.
+    """
+    kinds = {name: _kind(default) for name, default in vars(Params()).items()}
+    sections: dict[str, list[str]] = {}
+    for name, place in list(PARAM_PATHS.items())[1:]:
+        sections.setdefault(place.split(".")[0], []).append(f"{place.split('.')[1]}:{kinds[name]}")
+    flat = [f"{name} {kind}" for name, kind in kinds.items() if name not in sections]
+    ddl = ", ".join(["video_id bigint", *flat, *(f"{s} struct<{','.join(own)}>" for s, own in sections.items())])
+    rows = spark.read.schema(ddl).json(path, multiLine=not path.endswith("l"))
+    # a channel is a name or a section, which reads as its text
+    own = {name: F.coalesce(F.col(place), F.col(name)) for name, place in list(PARAM_PATHS.items())[1:]}
+    own["channel"] = F.when(F.startswith("channel", F.lit("{")), F.get_json_object("channel", "$.name")).otherwise(F.col("channel"))
+    return with_param_defaults(rows.select("video_id", *(own.get(name, F.col(name)).alias(name) for name in kinds)))
 
 
 def params_of(row: Row) -> Params:
     """One channel's parameters, for plans that run on a channel."""
-    return Params(**{k: v for k, v in row.asDict().items() if k in {f.name for f in fields(Params)} and v is not None})
+    known = vars(Params())
+    return Params(**{k: tuple(v) if isinstance(known[k], tuple) else v for k, v in row.asDict().items() if k in known and v is not None})
 
 
 def write_youtube(texts: DataFrame, path: str) -> None:

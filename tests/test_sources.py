@@ -52,12 +52,44 @@ def test_newest_timeline_of_a_folder(spark, tmp_path):
 
 
 def test_channel_parameters(spark, tmp_path):
-    (tmp_path / "c.json").write_text('{"video_id": 1, "channel": "a", "spike_threshold": 1.5}\n{"video_id": 2, "top_n": 3}\n')
-    rows = readers.read_channel_params(spark, str(tmp_path / "c.json")).orderBy("video_id").collect()
+    (tmp_path / "c.jsonl").write_text('{"video_id": 1, "channel": "a", "spike_threshold": 1.5}\n{"video_id": 2, "top_n": 3}\n')
+    rows = readers.read_channel_params(spark, str(tmp_path / "c.jsonl")).orderBy("video_id").collect()
     assert [(r.spike_threshold, r.top_n, r.window_sec) for r in rows] == [(1.5, 30, 10.0), (2.5, 3, 10.0)]
     assert readers.params_of(rows[0]).channel == "a" and readers.params_of(rows[1]).top_n == 3
 
 
+def test_nested_channel_parameters(spark, tmp_path):
+    config = {"video_id": 3, "channel": {"name": "n", "game_language": "ja"}, "chat": {"spike_threshold": 1.5, "aggregate_window_sec": 5.0}, "highlight": {"weights": {"laughter": 1, "other": 2}, "top_n": 4}, "keywords": {"reaction": ["a", "b"]}, "characters": [{"name": "x", "aliases": ["y"]}]}
+    (tmp_path / "c.json").write_text(json.dumps(config, indent=2))
+    own = readers.params_of(readers.read_channel_params(spark, str(tmp_path / "c.json")).first())
+    assert (own.channel, own.spike_threshold, own.window_sec, own.top_n, own.reaction_keywords, own.story_keywords, own.readback) == ("n", 1.5, 5.0, 4, ("a", "b"), (), 0.15)
+    assert own.weights == {**readers.Params().weights, "laughter": 1.0, "other": 2.0}
+
+
+def test_a_timeline_of_one_indented_array(spark, sf_dir, tmp_path):
+    """The form with the layers that are there, a file a run, found by its root and searched."""
+    segments = [{"time_start": 61.0, "time_end": 62.5, "time_display": "00:01:01", "asr": {"text": "hi there", "speaker_guess": "streamer", "language": "zh", "confidence": 0.9}, "scene_type": "reaction", "events": {"chat_spike": True}, "score": {"total": 20, "breakdown": {"laughter": 20}}, "merge": {"source_type": "asr_only"}}, {"time_start": 1.0, "time_end": 2.0}]
+    (tmp_path / "ab12_run").mkdir()
+    (tmp_path / "ab12_run" / "timeline.json").write_text(json.dumps(segments, ensure_ascii=False, indent=2))
+    found = readers.newest_timeline(readers.list_timelines(spark, str(tmp_path))).first().path
+    rows = readers.read_timeline_arrays(spark, found).orderBy("seg_ord").collect()
+    assert [(r.seg_ord, r.time_start, r.asr and r.asr.text, r.score.total, r.events.chat_spike, r.time_display) for r in rows] == [(0, 61.0, "hi there", 20.0, True, "00:01:01"), (1, 1.0, None, 0.0, False, "00:00:01")]
+    assert rows[0].video_id == rows[1].video_id is not None
+    whole = timeline(spark, sf_dir)
+    readers.write_timeline_arrays(whole, str(tmp_path / "out"))
+    texts = {p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "out").rglob("part-*.txt")}
+    assert len(texts) == whole.select("video_id").distinct().count() and all("ocr" not in s or s["ocr"] for t in texts.values() for s in t)
+
+
+def test_a_video_is_one_file_in_order(spark, sf_dir, tmp_path):
+    readers.write_timeline(timeline(spark, sf_dir).repartition(5), str(tmp_path / "t"))
+    files = list((tmp_path / "t").rglob("part-*.json"))
+    assert len(files) == len({p.parent for p in files})
+    for p in files:
+        places = [json.loads(line)["seg_ord"] for line in p.read_text().splitlines()]
+        assert places == sorted(places)
+
+
 def test_text_sinks(spark, sf_dir, tmp_path):
     rows = timeline(spark, sf_dir)
     readers.write_subtitles(subtitles.all_tracks(rows), str(tmp_path / "srt"))
