@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,8 +118,10 @@ def overlap_candidates(left: DataFrame, right: DataFrame, threshold: float, buck
 def greedy_match(left: DataFrame, right: DataFrame, params: AnyParams) -> DataFrame:
     """(video_id, seg_ord, ocr_ord): segments in order take the unused row that overlaps them most.
 
-    Only rows of one overlap island can compete, so a group of the greedy step
-    is an island: a few rows, and many groups within one video.
+    Only rows of one overlap island can compete, so islands are dealt out, many
+    of them within one video. The greedy step streams over their sorted pairs
+    and holds a batch and the numbers of the island's used rows. A segment takes
+    the first of equal ratios.
     """
     # a pair counts by its video's own least ratio
     pairs, own = params.of(overlap_candidates(left, right, 0.0))
@@ -128,17 +132,30 @@ def greedy_match(left: DataFrame, right: DataFrame, params: AnyParams) -> DataFr
     both = both.withColumn("new", F.when(F.col("time_start") < before, 0).otherwise(1)).withColumn("island", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     pairs = pairs.join(both.where("own IS NOT NULL").select("video_id", F.col("own").alias("seg_ord"), "island"), ["video_id", "seg_ord"])
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for seg, own in group.sort_values(["seg_ord", "ocr_ord"]).groupby("seg_ord"):
-            free = own[~own["ocr_ord"].isin(used)]
-            if len(free):
-                best = int(free["ocr_ord"].iloc[int(free["ratio"].to_numpy().argmax())])
-                used.add(best)
-                out.append((int(group["video_id"].iloc[0]), int(seg), best))
-        return pd.DataFrame(out, columns=["video_id", "seg_ord", "ocr_ord"])
-
-    return pairs.groupBy("video_id", "island").applyInPandas(greedy, "video_id long, seg_ord int, ocr_ord int")
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, best, used = (None, None, None), None, set()
+        for batch in batches:
+            out = []
+            for *own, row, ratio in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(own) != segment:
+                    if best:
+                        out.append((segment[0], segment[2], best[0]))
+                        used.add(best[0])
+                    if tuple(own[:2]) != segment[:2]:
+                        used = set()
+                    segment, best = tuple(own), None
+                if row not in used and (best is None or ratio > best[1]):
+                    best = row, ratio
+            yield took(out)
+        if best:
+            yield took([(segment[0], segment[2], best[0])])
+
+    def took(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["video_id", "seg_ord", "ocr_ord"])
+
+    order = ["video_id", "island", "seg_ord", "ocr_ord"]
+    return pairs.select(*order, "ratio").repartition("video_id", "island").sortWithinPartitions(*order).mapInArrow(greedy, "video_id long, seg_ord int, ocr_ord int")
 
 
 def enriched(timeline: DataFrame, screen: DataFrame, matches: DataFrame, params: AnyParams) -> DataFrame:

@@ -6,9 +6,9 @@ video_id, frame_ord, frame_index, phash, dialogue_text, name_text, chapter_text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from streamloom import schema
 from streamloom.functions import scalar as S
 from streamloom.params import AnyParams, Params
 
+UNSIGNED = (1 << 64) - 1
+
 
 def with_durations(raw: DataFrame, params: AnyParams) -> DataFrame:
     """time_end is the next row's start; a default follows a long gap and the last row."""
@@ -65,24 +67,33 @@ def stable_frames(frames: DataFrame, params: Params) -> DataFrame:
     """The anchor frame of each run of like hashes that lasts long enough.
 
     A frame is held against its run's anchor, not its neighbour, so the runs
-    are a fold in frame order: the one step that needs Python, a video a group.
+    are a fold in frame order: a step that needs Python. It streams over sorted
+    partitions and holds one batch and one anchor, however long a video is. A
+    frame without a hash is like no other.
     """
     distance, stable = params.hash_distance, params.stable_frames
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame_index", "frame_ord"])
-        hashes, fired = group["phash"].to_numpy().astype(np.int64).view(np.uint64), []
-        anchor = count = 0
-        for k, value in enumerate(hashes.tolist()):
-            if not k or (value ^ int(hashes[anchor])).bit_count() > distance:
-                anchor, count = k, 1
-            else:
-                count += 1
-            if count == stable:
-                fired.append(anchor)
-        return group.iloc[fired]
-
-    return frames.groupBy("video_id").applyInPandas(fold, frames.schema)
+    at = [frames.columns.index(c) for c in ("video_id", "phash")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earlier, video, held, count = None, None, None, 0
+        for batch in batches:
+            # -1: the anchor is the row of an earlier batch
+            anchor, fired = -1, []
+            for k, (own, value) in enumerate(zip(*(batch.column(i).to_pylist() for i in at), strict=True)):
+                like = count > 0 and own == video and None not in (value, held) and ((value ^ held) & UNSIGNED).bit_count() <= distance
+                if like:
+                    count += 1
+                else:
+                    anchor, video, held, count = k, own, value, 1
+                if count == stable and anchor < 0:
+                    yield earlier
+                elif count == stable:
+                    fired.append(anchor)
+            if anchor >= 0:
+                earlier = batch.slice(anchor, 1)
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    return frames.repartition("video_id").sortWithinPartitions("video_id", "frame_index", "frame_ord").mapInArrow(fold, frames.schema)
 
 
 def collapsed_reveals(frames: DataFrame) -> DataFrame:

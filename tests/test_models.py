@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from streamloom.operators import align, chat, clips, reports, screen, speech
 from streamloom.params import Params
 from streamloom.plans.fixtures import timeline
@@ -10,7 +12,17 @@ FRAMES = "video_id long, frame_ord long, frame_index long, dialogue_text string,
 INTERVAL = "video_id long, seg_ord int, time_start double, time_end double"
 
 
-def test_greedy_match_is_the_serial_one(spark):
+@pytest.fixture(params=[10_000, 3])
+def batched(spark, request):
+    """The session with Arrow batches of so many rows: runs and islands go over their borders."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_greedy_match_is_the_serial_one(batched):
     rng = random.Random(4)
     sides = [[(v, k, a := round(rng.uniform(0, 60), 1), a + round(rng.uniform(0, 9), 1)) for v in range(60) for k in range(rng.randint(0, 9))] for _ in range(2)]
     left = [(v, k, a, b) for v, k, a, b in sides[0]]
@@ -30,11 +42,11 @@ def test_greedy_match_is_the_serial_one(spark):
                 if best is not None and ratio >= threshold:
                     used.add(best)
                     want.append((v, n, best))
-        got = align.greedy_match(spark.createDataFrame(left, INTERVAL), spark.createDataFrame(sides[1], INTERVAL), Params(overlap_ratio=threshold))
+        got = align.greedy_match(batched.createDataFrame(left, INTERVAL), batched.createDataFrame(sides[1], INTERVAL), Params(overlap_ratio=threshold))
         assert sorted(map(tuple, got.collect())) == want
 
 
-def test_debounce_is_the_serial_one(spark):
+def test_debounce_is_the_serial_one(batched):
     rng = random.Random(5)
     frames, want = [], []
     for v in range(20):
@@ -49,12 +61,23 @@ def test_debounce_is_the_serial_one(spark):
                 count += 1
             if count == 2:
                 want.append((v, *anchor))
-    df = spark.createDataFrame(frames, "video_id long, frame_ord long, frame_index long, phash long, dialogue_text string, name_text string, chapter_text string")
+    df = batched.createDataFrame(frames, "video_id long, frame_ord long, frame_index long, phash long, dialogue_text string, name_text string, chapter_text string")
     got = screen.stable_frames(df, Params()).select("video_id", "frame_index", "phash")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert screen.stable_frames(df, Params(stable_frames=1)).count() >= len(want)
 
 
+def test_debounce_of_odd_frames(batched):
+    hashes = [None, None, -1, (1 << 63) - 1, 0, None, 0, 1]
+    schema = "video_id long, frame_ord long, frame_index long, phash long, name_text string"
+    # -1 and 2**63 - 1 are one bit apart; a frame without a hash ends a run
+    df = batched.createDataFrame([(1, k, k, h, None) for k, h in enumerate(hashes)], schema)
+    assert sorted(r.frame_index for r in screen.stable_frames(df, Params()).collect()) == [2, 6]
+    assert sorted(r.frame_index for r in screen.stable_frames(df, Params(stable_frames=1)).collect()) == [0, 1, 2, 4, 5, 6]
+    empty = screen.stable_frames(df.limit(0), Params())
+    assert empty.columns == df.columns and empty.count() == 0
+
+
 def test_reveals(spark):
     texts = ["", "ab", "abc", "abc", "abcd", None, "x", "xy", "ab"]
     df = spark.createDataFrame([(1, k, k, t, f"n{k}", f"c{k}") for k, t in enumerate(texts)], FRAMES)
