@@ -98,10 +98,49 @@ m as (select *, epochs + case when 2 * prior + size <= 2 * (target - epochs * so
 
 OP9 = f"with {_MIX.replace('TABLE', 'documents')} select doc_id, size, source_size, target, times * size taken from m"
 
+_ID_NIBBLES = "flatten(list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda b: [('0x' || b[2])::bigint, ('0x' || b[1])::bigint]))"
+_SIZED = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+_RECORD = " || ".join(_SIZED.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = f"""
+with recursive d as (
+  select row_number() over () k, doc_id, coalesce('=' || source, '') s, sha256({_RECORD} || {_SIZED.format("text")}) leaf,
+    case when xor(list_reduce(list_prepend(4294967295::bigint, {_ID_NIBBLES}), lambda c, x: xor(c >> 4, {_CRC_TABLE}[(xor(c, x) & 15) + 1])), 4294967295::bigint) % 5 = 0
+      then sha256({_RECORD} || {_SIZED.format(_LOWERED)}) end tampered
+  from documents),
+l as (select *, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 p, count(*) over (partition by s) total from d),
+t as (
+  select 0 h, s, p, total, leaf digest from l
+  union all
+  select h + 1, s, p // 16, (total + 15) // 16, sha256(string_agg(digest, '' order by p)) from t where total > 1 group by h, s, p // 16, total),
+r as (select s, digest subroot, row_number() over (order by s) - 1 p, count(*) over () total from t where total = 1),
+u as (
+  select 100 h, p, total, subroot digest from r
+  union all
+  select h + 1, p // 16, (total + 15) // 16, sha256(string_agg(digest, '' order by p)) from u where total > 1 group by h, p // 16, total),
+n as (select h, s, p, digest from t where total > 1 union all select h, null, p, digest from u where total > 1),
+b as (
+  select h, s, p, coalesce(string_agg(digest, '') over (x rows between unbounded preceding and 1 preceding), '') before,
+    coalesce(string_agg(digest, '') over (x rows between 1 following and unbounded following), '') after
+  from n window x as (partition by h, s, p // 16 order by p)),
+f as (
+  select l.k, b.h, before, after from l join b on b.s = l.s and b.p = l.p // (16 ** b.h)::bigint
+  union all
+  select l.k, b.h, before, after from l join r using (s) join b on b.s is null and b.p = r.p // (16 ** (b.h - 100))::bigint),
+g as (select k, string_agg(before || after, '' order by h) beside, list(before || '#' || after order by h) path from f group by k)
+select *, folded_root = root verified
+from (
+  select doc_id, leaf, subroot, (select digest from u where total = 1) root, sha256(coalesce(beside, '')) proof_sha256,
+    list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(path, [])), lambda c, x: sha256(split_part(x, '#', 1) || c || split_part(x, '#', 2))) folded_root
+  from l join r using (s) left join g using (k))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op3_url_filters": OP3,
     "op5_warc": OP5,
     "op7_sharding": OP7,
     "op9_source_mixing": OP9,
+    "op13_merkle_manifest": OP13,
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables, and their SQL."""
+"""The registered queries of the operators, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from streamloom.llm import oracles
 from streamloom.llm.fingerprints import fingerprint_edits
 from streamloom.llm.html_main import extract_main_text
 from streamloom.llm.langid import identify_languages
+from streamloom.llm.manifest import merkle_manifest
 from streamloom.llm.mixing import mix_documents
 from streamloom.llm.near_dup import near_duplicates
 from streamloom.llm.packing import pack_documents
@@ -72,6 +73,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_source_mixing,
         op10_packing,
+        op13_merkle_manifest,
     )
 }
 
