@@ -18,6 +18,7 @@ from streamloom.llm.near_dup import near_duplicates
 from streamloom.llm.packing import pack_documents
 from streamloom.llm.quality import judge
 from streamloom.llm.sharding import shard_documents
+from streamloom.llm.toxicity import score_toxicity
 from streamloom.llm.url_filter import judge_urls
 from streamloom.llm.warc import archived
 
@@ -74,6 +75,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_source_mixing,
         op10_packing,
+        op11_toxicity,
         op12_cross_tokenizer_alignment,
         op13_merkle_manifest,
     )
