@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.llm.near_dup import band_keys, linked, row_key, set_keys
@@ -61,6 +62,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def id_cells(cuts: list[int], low: int, high: int, parts: int) -> list[tuple[int, int, int, bool]]:
+    """(first id, parts, first bucket, whether it holds this id alone) of the ranges between quantiles of ids.
+
+    An id that is several quantiles has a range of its own, with as many times
+    the parts.
+    """
+    held = Counter(cuts)
+    alone = {x: n for x, n in held.items() if n > 1}
+    bounds = {low, high, *cuts, *(x + 1 for x in alone if x < high)}
+    out, bucket = [], 0
+    for first in sorted(bounds):
+        n = parts * alone.get(first, 1)
+        out.append((first, n, bucket, first in alone))
+        bucket += n
+    return out
+
+
+def bucket_of(cells: list[tuple[int, int, int, bool]], o: Column, row: Column) -> Column:
+    """The bucket of a row, rising with (o, row): its range's, and even parts of that, in exact arithmetic.
+
+    Ranges are parted by o, those of one id by row.
+    """
+    firsts = F.array([F.lit(c[0]) for c in cells])
+    ends = F.array([F.lit(str(c[0] + 1 if k + 1 == len(cells) else cells[k + 1][0])).cast("decimal(20,0)") for k, c in enumerate(cells)])
+    exact = lambda c: c.cast("decimal(20,0)")
+
+    def of(cell: Column) -> Column:
+        at = lambda j: F.get(F.array([F.lit(c[j]) for c in cells]), cell)
+        low, n = exact(F.get(firsts, cell)), at(1)
+        by_id = F.floor((exact(o) - low) * exact(n) / (F.get(ends, cell) - low))
+        by_row = F.floor((exact(row) + F.lit(str(1 << 63)).cast("decimal(20,0)")) * exact(n) / F.lit(str(1 << 64)).cast("decimal(20,0)"))
+        part = F.when(at(3), by_row).otherwise(by_id).cast("long")
+        return at(2) + F.least(part, n - 1)
+
+    return F.transform(F.array(F.size(F.filter(firsts, lambda b: b <= o)) - 1), of)[0].cast("long")
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 
 
@@ -120,11 +158,12 @@ def fingerprint_edits(documents: DataFrame, percent: int = 80, id_col: str = "do
     Documents move once: they are dealt by ranges of doc_id that follow the ids'
     quantiles, sorted within a task and read as a stream, and each range also
     gets the first row of the next. Components go the same way, ahead of their
-    documents.
+    documents. Rows of an id that holds many quantiles are parted further by
+    the hash of their text.
 
     A null text is empty. Texts without words have equal fingerprints, unlike
     all others. Very long texts are read whole, and equal rows follow each
-    other in any order. An empty table gives no rows; other columns are not read.
+    other in any order, in one task. Ids are any longs. An empty table gives no rows; other columns are not read.
     """
     text = F.col(text_col).alias("text")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
@@ -133,23 +172,17 @@ def fingerprint_edits(documents: DataFrame, percent: int = 80, id_col: str = "do
     docs = docs.withColumn("o", order)
     cuts = F.array([F.lit(k / BOUNDS) for k in range(BOUNDS + 1)])
     found = docs.agg(F.percentile_approx("o", cuts, 10_000).alias("cuts"), F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).first()
-    bounds = sorted({found.low or 0, found.high or 0, *(found.cuts or [])})
-    parts = min(PARTS, -(-found.n // (BOUNDS * BUCKET_ROWS)) or 1)
+    cells = id_cells(found.cuts or [], found.low or 0, found.high or 0, min(PARTS, -(-found.n // (BOUNDS * BUCKET_ROWS)) or 1))
 
     def placed(rows: DataFrame) -> DataFrame:
-        """rows with their bucket: the cell between two bounds, and evenly wide parts of it."""
-        cells = F.array([F.lit(b) for b in bounds])
-        cell = F.size(F.filter(cells, lambda b: b <= F.col("o"))) - 1
-        low, high = F.get(cells, F.col("cell")).cast("double"), F.coalesce(F.get(cells, F.col("cell") + 1), F.get(cells, F.col("cell")) + 1).cast("double")
-        part = F.least(F.lit(parts - 1), F.floor((F.col("o").cast("double") - low) / (high - low) * parts)).cast("long")
-        return rows.withColumn("cell", cell).withColumn("bucket", F.col("cell") * parts + part).drop("cell")
-
-    # one row a bucket, BOUNDS * PARTS at most
-    heads = placed(docs).groupBy("bucket").agg(F.min("o").alias("o"))
+        return rows.withColumn("bucket", bucket_of(cells, F.col("o"), F.col("row")))
+
+    # one row a bucket, twice BOUNDS * PARTS at most
+    heads = placed(docs).groupBy("bucket").agg(F.min(F.struct("o", "row")).alias("first"))
     over = Window.orderBy("bucket")
-    heads = heads.select("o", F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    heads = heads.select("first.o", "first.row", F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     here, tail = F.struct("bucket", F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))
-    both = placed(docs).join(F.broadcast(heads), "o", "left").select("o", "doc_id", "row", "text", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, tail))).alias("at"))
+    both = placed(docs).join(F.broadcast(heads), ["o", "row"], "left").select("o", "doc_id", "row", "text", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, tail))).alias("at"))
     rows = both.select("at.bucket", "at.tail", "o", "doc_id", "row", "text", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("note"))
     notes = placed(linked_rows.withColumn("o", order)).select("bucket", F.lit(0).alias("tail"), "o", "doc_id", "row", F.lit(None).cast("string").alias("text"), "component_id", F.lit(True).alias("note"))
     rows = rows.unionByName(notes).repartition("bucket").sortWithinPartitions("bucket", "tail", "o", "row", F.desc("note"))
