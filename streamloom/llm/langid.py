@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -15,8 +15,8 @@ from streamloom.llm.textkeys import _BASE, _power_tables, binary_parts, mix, sli
 
 #: Documents of each language that the model learns from, at most: those with the smallest hash of their text.
 TRAIN_DOCS = 150
-#: Characters of each that it learns from, and languages, those with the most documents, at most.
-TRAIN_CHARS, TRAIN_LANGUAGES = 20_000, 100
+#: Characters of each that it learns from, at most, and parts of a longer text that these are drawn from, evenly over the whole.
+TRAIN_CHARS, TRAIN_PARTS = 20_000, 40
 #: Words of a sequence, and words around it that it is read with; longer texts are runs of sequences.
 STEPS, AROUND = 32, 8
 #: Odds that are computed at a time.
@@ -38,7 +38,7 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
-    weights: np.ndarray  # _ROWS x labels, 118 MB for the most languages
+    weights: np.ndarray  # _ROWS x labels, 1.2 MB for each
     moves: np.ndarray  # labels x labels
     starts: np.ndarray
 
@@ -248,22 +248,26 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores, certain
 
 
+def drawn(text: Column) -> Column:
+    """A text of up to TRAIN_CHARS characters whole, else TRAIN_PARTS parts of it, evenly spread, as lines."""
+    size, each = F.length(text).cast("long"), TRAIN_CHARS // TRAIN_PARTS
+    parts = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PARTS - 1)), lambda k: F.substring(text, (F.floor((size - each) * k / (TRAIN_PARTS - 1)) + 1).cast("int"), F.lit(each)))
+    return F.when(size <= TRAIN_CHARS, text).otherwise(F.array_join(parts, "\n"))
+
+
 def training_rows(documents: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(text, lang) of the rows that may be learned from, at most `most` for each of TRAIN_LANGUAGES languages.
+    """(text, lang) that may be learned from, at most `most` different texts of each language.
 
-    The rows are those with the smallest hash of id and text; a first filter by
-    each language's count keeps what reaches the driver near that bound. Of a
-    text no more than TRAIN_CHARS characters are learned from.
+    Those with the smallest hash are taken; copies of a text are one. Only
+    languages and hashes are shuffled; the chosen texts, a bounded number for a
+    language, are read by them.
     """
-    may = documents.where("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    langs = may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGUAGES)
-    share = langs.select("lang", F.least(F.lit(1.0), (2 * most + 20) / F.col("count")).alias("share"))
-    rows = may.withColumn("_hash", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")
-    rows = rows.where(F.pmod("_hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    by_lang: dict[str, list] = {}
-    for r in rows.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), "_hash").toLocalIterator():
-        by_lang.setdefault(r.lang, []).append((r["_hash"], r.text))
-    return [(text, lang) for lang in sorted(by_lang) for _, text in sorted(by_lang[lang])[:most]]
+    may = documents.where("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("text").alias("_hash"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    chosen = may.select("lang", "_hash").distinct().withColumn("_place", place).where(F.col("_place") <= most).select("lang", "_hash")
+    found = may.join(F.broadcast(chosen), ["lang", "_hash"]).groupBy("lang", "_hash").agg(F.first(drawn(F.col("text"))).alias("text"))
+    rows = found.collect()  # most rows a language, of TRAIN_CHARS characters
+    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r["_hash"]))]
 
 
 def _predict_batches(model, names: list[str]) -> Callable:
@@ -299,7 +303,7 @@ def identify_languages(documents: DataFrame, most: int = TRAIN_DOCS, carry: tupl
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held)
     learned = training_rows(rows, most)
     model = fit([t for t, _ in learned], [x for _, x in learned]) if learned else Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
-    model = documents.sparkSession.sparkContext.broadcast(model)  # _ROWS rows for each of TRAIN_LANGUAGES at most
+    model = documents.sparkSession.sparkContext.broadcast(model)  # _ROWS rows of a 32-bit number for each language
     own = documents.withColumn("held_out", held).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", *carry)
     out = StructType([*(own.schema.fields[k] for k in range(len(own.columns)) if k != 1), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("certainty", DoubleType())])
     return own.mapInArrow(_predict_batches(model, out.names), out)

@@ -23,7 +23,7 @@ def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     letters = F.length(F.regexp_replace(body, r"\P{L}+", ""))
     rows = documents.withColumn("_words", words(F.col(text_col)))
     share = letters / F.nullif(char_count(F.col("_words")), F.lit(0))
-    added = {"size": F.size("_words").cast("long"), "_quality": 0.5 + 0.5 * F.coalesce(share, F.lit(0.0)), "_source": group_key(source_col), "_unit": unit(seed, id_col), "_id": F.col(id_col)}
+    added = {"size": F.size("_words").cast("long"), "_quality": 0.5 + 0.5 * F.coalesce(share, F.lit(0.0)), "_source": group_key(source_col), "_unit": unit(seed, id_col, text_col), "_id": F.col(id_col)}
     return rows.withColumns(added).drop("_words")
 
 
@@ -70,7 +70,7 @@ def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
 
     Each source is taken whole as often as its target holds its size. For the
     rest its documents stand in the order of -ln(u) / quality, u in (0, 1) by a
-    seeded hash of the id, and those stay whose sizes sum up to the rest; the
+    seeded hash of id and text, and those stay whose sizes sum up to the rest; the
     document that the rest ends in stays if that comes nearer to it. times is
     how often a document is taken, taken = times * size.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _UNIT = "((('0x' || substr(md5(concat_ws(':', '{seed}', {of})), 1, 13))::bigint)::double + 0.5) / 4503599627370496"
+_OWN = "coalesce(doc_id::varchar, ''), md5(coalesce(text, ''))"
 _KEY = "coalesce('=' || source, '~')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -61,7 +62,7 @@ _NIBBLES = "flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text,
 OP7 = f"""
 with d as (
   select doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::bigint size, {_KEY} s,
-    {_UNIT.format(seed="shard", of="coalesce(doc_id::varchar, '')")} u,
+    {_UNIT.format(seed="shard", of=_OWN)} u,
     xor(list_reduce(list_prepend(4294967295::bigint, {_NIBBLES}), lambda c, x: xor(c >> 4, {_CRC_TABLE}[(xor(c, x) & 15) + 1])), 4294967295::bigint)::bigint text_crc32
   from documents),
 r as (select *, row_number() over (partition by s order by u, doc_id, text_crc32, size) r, count(*) over (partition by s) n from d),
@@ -94,7 +95,7 @@ k as (
     coalesce(sum(size) over (partition by d.s order by -ln(u) / q, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint prior
   from d join t using (s)),
 m as (select *, epochs + case when 2 * prior + size <= 2 * (target - epochs * source_size) and epochs < 3 then 1 else 0 end times from k)
-""".replace("WORDS", _WORDS).replace("KEY", _KEY).replace("UNIT", _UNIT.format(seed="mix", of="coalesce(doc_id::varchar, '')"))
+""".replace("WORDS", _WORDS).replace("KEY", _KEY).replace("UNIT", _UNIT.format(seed="mix", of=_OWN))
 
 OP9 = f"with {_MIX.replace('TABLE', 'documents')} select doc_id, size, source_size, target, times * size taken from m"
 

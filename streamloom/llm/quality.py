@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.llm.words import char_count, duplicate_lines, repeated_words, words
 
-#: Rows on which the rules' cost and selectivity are measured, at most, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 50_000
-#: Runs of a rule of which the shortest counts, and the least cost of one.
-RUNS, LEAST_SECONDS = 3, 1e-3
+#: Rows on which the rules' cost and selectivity are measured, about, and characters of each at most.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 50_000
+#: Runs of each rule, of which the median counts, the least cost that is told from none, and the ratio within which costs are equal.
+RUNS, LEAST_SECONDS, ALIKE = 3, 0.05, 4.0
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
@@ -62,37 +65,49 @@ def default_rules(text: str = "text") -> list[Rule]:
 
 
 def _sampled(documents: DataFrame, text: str, rows: int) -> DataFrame:
-    """Up to `rows` documents of at most SAMPLE_CHARS characters each, with their base columns, in one partition."""
+    """About `rows` documents of at most SAMPLE_CHARS characters each, with their base columns, in the partitions where they lie."""
     short = documents.where(F.coalesce(F.length(text), F.lit(0)) <= SAMPLE_CHARS)
-    return base_columns(short.sample(min(1.0, 2 * rows / max(documents.count(), 1)), seed=7).limit(rows), text)
+    return base_columns(short.sample(min(1.0, rows / max(documents.count(), 1)), seed=7), text)
 
 
-def _seconds(sample: DataFrame, reject: Column) -> float:
-    """The least time of several runs of one rule over the sample, after one that is not counted."""
-    took = []
-    for _ in range(RUNS + 1):
-        started = time.perf_counter()
-        sample.agg(F.count_if(reject)).collect()
-        took.append(time.perf_counter() - started)
-    return min(took[1:])
+def measured_costs(sample: DataFrame, rejects: list[Column]) -> list[float]:
+    """Seconds that each rule takes over the sample, less those of an empty rule.
+
+    Runs of all rules alternate, after a first that is not counted, so that what
+    else the machine does falls on all alike.
+    """
+    took: list[list[float]] = [[] for _ in range(len(rejects) + 1)]
+    for run in range(RUNS + 1):
+        for k, reject in enumerate([F.lit(False), *rejects]):
+            started = time.perf_counter()
+            sample.agg(F.count_if(reject)).collect()
+            if run:
+                took[k].append(time.perf_counter() - started)
+    empty, *own = map(median, took)
+    return [x - empty for x in own]
+
+
+def level_of(seconds: float) -> float:
+    """A cost with what lies within the spread of measurements made equal: LEAST_SECONDS times a whole power of ALIKE."""
+    return LEAST_SECONDS * ALIKE ** max(0, round(math.log(max(seconds, LEAST_SECONDS) / LEAST_SECONDS, ALIKE)))
 
 
-def ordered(documents: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered(documents: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS, costs: Callable[[DataFrame, list[Column]], list[float]] = measured_costs) -> list[Rule]:
     """rules by rejections per second, best first.
 
-    Cost is what a rule alone takes over a cached sample, less what an empty
-    rule takes. Each place goes to the rule with the most rejections, of the
-    documents that all rules before it let pass, per cost; of equal ones to the
-    cheaper, then the earlier one. The sample is bounded in rows and characters
-    and decides the order only, never a verdict.
+    Cost is what a rule alone takes over a cached sample; costs that
+    measurements can't tell apart count as equal. Each place goes to the rule
+    with the most rejections, of the documents that all rules before it let
+    pass, per cost; of equal ones to the cheaper, then the earlier one. The
+    sample is bounded in rows and characters and decides the order only, never
+    a verdict.
     """
     sample = _sampled(documents, text, sample_rows).cache()
     try:
         rejects = [F.coalesce(rule.reject, F.lit(False)) for rule in rules]
         # as many rows as the sample has, at most
         seen = [(r[:-1], r[-1]) for r in sample.groupBy(*(c.alias(f"_{k}") for k, c in enumerate(rejects))).count().collect()]
-        empty = _seconds(sample, F.lit(False))
-        cost = [max(_seconds(sample, c) - empty, LEAST_SECONDS) for c in rejects]
+        cost = [level_of(x) for x in costs(sample, rejects)]
     finally:
         sample.unpersist()
     left, out = set(range(len(rules))), []

@@ -41,8 +41,9 @@ def buckets(rows: Column) -> Column:
 
 
 def unit(seed: str, *cols: str) -> Column:
-    """A number in (0, 1) that the columns and the seed decide: 52 bits of an MD5."""
-    text = F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+    """A number in (0, 1) that the columns and the seed decide: 52 bits of an MD5 of the seed, the first column and the MD5 of each other one."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    text = F.concat_ws(":", F.lit(seed), *own[:1], *(F.md5(c) for c in own[1:]))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 

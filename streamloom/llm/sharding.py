@@ -15,7 +15,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: str = "sha
     """documents with size, text_crc32, law, shard, slot and grown_shard.
 
     Law `rows`: counts of shards differ by one at most. Rows of each source are
-    shuffled by a seeded hash of their id and ranked; row r of n lies at
+    shuffled by a seeded hash of their id and text and ranked; row r of n lies at
     (r - u) / n, where u in (0, 1) is the source's own, so that many small
     sources do not meet at one place. All rows in that order are cut into equal
     runs, so a stretch of any shard holds the mixture of the whole. Equal texts
@@ -34,7 +34,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: str = "sha
             "size": (F.octet_length(text) + 16).cast("long"),
             "text_crc32": F.crc32(text.cast("binary")),
             "_source": group_key(source_col),
-            "_key": unit(seed, id_col),
+            "_key": unit(seed, id_col, text_col),
             "_id": F.col(id_col),
         }
     )

@@ -24,8 +24,8 @@ LEAST_REVISIT = 100
 #: Bytes after which a task starts the next archive, and bytes that are read at a time.
 ARCHIVE_BYTES, CHUNK = 256 << 20, 1 << 16
 LEVEL = 3
-#: Bytes of a header block, at most, and digests that are verified.
-MOST_HEAD, ALGORITHMS = 1 << 20, {"sha1", "sha256", "sha384", "sha512", "md5"}
+#: Digests that are verified.
+ALGORITHMS = {"sha1", "sha256", "sha384", "sha512", "md5"}
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -78,11 +78,11 @@ def _members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
 
 
 def _head(buffer: bytearray, chunks: Iterator[bytes]) -> str:
-    """Takes a header block off the stream; what follows it stays in buffer."""
+    """Takes a header block off the stream, as long as its values are; what follows it stays in buffer."""
     seen = 0
     while (end := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
         seen = len(buffer)
-        if seen > MOST_HEAD or (more := next(chunks, None)) is None:
+        if (more := next(chunks, None)) is None:
             raise ValueError("a header block has no end")
         buffer += more
     head = buffer[:end].decode("utf-8", "replace")
@@ -131,8 +131,6 @@ class _Payload:
         seen = len(self.start)
         self.start += part
         if (at := re.compile(rb"\r?\n\r?\n").search(self.start, max(0, seen - 3))) is None:
-            if len(self.start) > MOST_HEAD:
-                raise ValueError("a header block has no end")
             return b""
         rest, self.start = bytes(self.start[at.end() :]), None
         return rest

@@ -49,3 +49,16 @@ def test_no_bucket_holds_much_of_one_id(spark):
     counts = docs.select("o", "row", fingerprints.bucket_of(cells, docs.o, docs.row).alias("b")).collect()
     assert max(Counter(r.b for r in counts).values()) <= 1000
     assert [r.b for r in sorted(counts, key=lambda r: (r.o, r.row))] == sorted(r.b for r in counts)
+
+
+def test_ids_that_repeat_or_lack_are_dealt_by_their_texts(spark):
+    from pyspark.sql import functions as F
+
+    from streamloom.llm.mixing import measured
+    from streamloom.llm.ranked import buckets, unit
+
+    rows = [(None if k % 2 else 5, f"text {k}", None, "a", None) for k in range(20_000)]
+    docs = table(spark, rows)
+    for keyed in (docs.select(unit("shard", "doc_id", "text").alias("u")), measured(docs).selectExpr("_unit u")):
+        counts = keyed.groupBy(F.floor(F.col("u") * buckets(F.lit(20_000)))).count()
+        assert counts.agg(F.max("count")).first()[0] <= 1000

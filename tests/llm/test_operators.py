@@ -10,6 +10,7 @@ from io import BytesIO
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import col, lit
 
 from streamloom.llm import fingerprints, html_main, langid, near_dup, packing, quality, ranked, url_filter, warc
 from streamloom.llm.components import components
@@ -133,15 +134,29 @@ def test_quality_order_does_not_change_verdicts(docs, none):
 def test_quality_order_is_by_rejections_per_cost(docs):
     from pyspark.sql import functions as F
 
+    n = F.col("n_words")
+    rules = [quality.Rule("slow", n < 80), quality.Rule("never", F.lit(False)), quality.Rule("within", n < 60), quality.Rule("fast", n < 80), quality.Rule("other", n > 300)]
+    own = {"slow": 30.0, "never": -0.01, "within": 0.2, "fast": 0.2, "other": 3.0}
+
+    def order(costs):
+        return [r.name for r in quality.ordered(docs, rules, costs=lambda _, rejects: costs)]
+
+    found = order(list(own.values()))
+    # what the first rule leaves, neither the one within it nor the slow one rejects: cheap ones first, then as given
+    assert found.index("fast") < found.index("within") < found.index("slow") and found[-1] == "slow" and found.index("other") < found.index("never")
+    # costs within the spread of measurements don't matter
+    assert all(order([c + 0.01 * k for k, c in enumerate(own.values())]) == found for _ in range(3))
+    assert [quality.level_of(s) / quality.LEAST_SECONDS for s in (-1, 0, 0.05, 0.09, 0.2, 0.3, 0.8)] == [1, 1, 1, 1, 4, 4, 16]
+
+
+def test_quality_costs_are_those_of_work(docs):
+    from pyspark.sql import functions as F
+
     slow = F.length(F.col("text"))
-    for _ in range(30):
+    for _ in range(60):
         slow = F.length(F.regexp_replace(F.concat(F.col("text"), slow.cast("string")), r"\P{Lu}+", ""))
-    short = F.col("n_words") < 80
-    rules = [quality.Rule("slow", short & (slow >= 0)), quality.Rule("never", F.lit(False)), quality.Rule("within", F.col("n_words") < 60), quality.Rule("fast", short)]
-    names = [r.name for r in quality.ordered(docs, rules)]
-    assert names[0] == "fast" and names[-1] in ("slow", "within", "never") and names.index("slow") > names.index("fast")
-    # what the first rule leaves, the others don't reject: the costly one comes last
-    assert names[-1] == "slow"
+    cheap, dear = quality.measured_costs(quality.base_columns(docs).cache(), [F.col("n_words") < 3, slow < 0])
+    assert dear > cheap
 
 
 def test_quality_keeps_clean_documents_and_rejects_junk(spark, sf_dir, docs):
@@ -375,7 +390,7 @@ def test_warc_reader_takes_archives_of_others():
     assert [(r["record_type"], r["payload_bytes"], r["page_id"]) for r in rows] == [("warcinfo", 24, None), ("request", 0, None), ("response", len(body), None), ("resource", len(body), None), ("revisit", 0, None), ("metadata", 0, None)]
     assert rows[2]["payload"] == rows[3]["payload"] == body and rows[2]["payload_digest"] == hashlib.sha256(body).hexdigest()
     assert (rows[4]["payload_digest"], rows[4]["refers_to_id"]) == (b32(body), "<urn:x>")
-    damaged = [member([*response, "WARC-Payload-Digest: " + b32(body)], http[:-1] + b"x"), member([*response, "WARC-Block-Digest: " + b32(body)], http), member(["WARC/1.0", "WARC-Type: response"], http)[:-30], member(["HTTP/1.0 200 OK"], b"x"), member([*response, "X: " + "y" * (1 << 21)], b"")]
+    damaged = [member([*response, "WARC-Payload-Digest: " + b32(body)], http[:-1] + b"x"), member([*response, "WARC-Block-Digest: " + b32(body)], http), member(["WARC/1.0", "WARC-Type: response"], http)[:-30], member(["HTTP/1.0 200 OK"], b"x")]
     for broken in damaged:
         with pytest.raises((ValueError, zlib.error)):
             list(warc.read_records(BytesIO(broken)))
@@ -728,3 +743,23 @@ def test_added_tokens_have_their_own_ids(spark):
     rows = packing.pack_documents(table(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), with_ids=True).collect()
     assert {r.doc_id: list(r.ids) for r in rows} == {k: [*whole.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
     assert list(next(r.ids for r in rows if r.doc_id == 0)) == [50256, 1]
+
+
+def test_warc_carries_urls_of_any_length(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/" + "é" * 900_000, "<p>x</p>" * 40), (2, "http://b.example/?" + "q" * 5_000_000, "<p>x</p>" * 40)], "page_id long, url string, html string")
+    assert {r.page_id: r.refers_to for r in warc.archived(pages).collect()} == {1: None, 2: 1}
+
+
+def test_language_learns_every_language_from_whole_texts(spark):
+    rows = []
+    for k in range(150):
+        stem = "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{k:03d}")
+        rows += [(k * 10 + j, " ".join(f"{stem}{e}" for e in random.Random(j).choices(["n", "ra", "st", "lo"], k=30)), f"l{k}", None, None) for j in range(6)]
+    # many copies of one text are one
+    rows += [(10_000 + j, rows[0][1], "l0", None, None) for j in range(300)]
+    docs = table(spark, rows).withColumn("held_out", lit(False))
+    learned = langid.training_rows(docs)
+    assert len({lang for _, lang in learned}) == 150 and sum(lang == "l0" for _, lang in learned) <= 6
+    long = " ".join(f"w{k}" for k in range(60_000))
+    text = docs.sparkSession.createDataFrame([(long,)], "t string").select(langid.drawn(col("t"))).first()[0]
+    assert len(text) <= langid.TRAIN_CHARS + langid.TRAIN_PARTS and "w0 " in text and "w59999" in text and "w30" in text
