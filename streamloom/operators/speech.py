@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
+from streamloom.operators import scans
 from streamloom.params import AnyParams
+from streamloom.storage import Workspace
 
 LOUDER_DB, MERGE_GAP, FEW_PEAKS, LOUDEST = 6.0, 2, 10, 20
+#: Windows of a video that one task scans.
+BLOCK_WINDOWS = 4096
 GAP_SEC, LARGE_GAP_SEC, BURST_CHARS, BURST_SEC = 3.0, 8.0, 6, 1.5
 
 
@@ -24,26 +28,43 @@ def audio_levels(audio: DataFrame, samples: int) -> DataFrame:
 
 
 def audio_baseline(levels: DataFrame) -> DataFrame:
-    """Median dB of each video."""
-    return levels.groupBy("video_id").agg(F.median("db").alias("baseline_db"))
-
-
-def _in_islands(levels: DataFrame) -> DataFrame:
-    """levels with baseline_db, loud, the place of the last and the next loud window and the number of the island so far."""
-    video = Window.partitionBy("video_id")
-    over, place = video.orderBy("win_idx"), F.when(F.col("loud"), F.col("win_idx"))
-    rows = levels.withColumn("baseline_db", F.median("db").over(video)).withColumn("loud", F.col("db") >= F.col("baseline_db") + LOUDER_DB)
-    rows = rows.withColumns(
-        {
-            "before": F.last(place, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)),
-            "after": F.first(place, ignorenulls=True).over(over.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    )
-    new = F.col("loud") & (F.col("before").isNull() | (F.col("win_idx") - F.col("before") > MERGE_GAP + 1))
-    return rows.withColumn("island", F.sum(new.cast("int")).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Median dB of each video; no task holds a video's levels."""
+    return scans.medians(levels, ["video_id"], "db", "baseline_db")
+
+
+def _near_peaks(levels: DataFrame, loudest: int) -> tuple[DataFrame, DataFrame]:
+    """(loud, other): the loud windows with the start of their island, and the `loudest` windows that are quiet and outside of all peaks.
 
+    A video's windows are scanned in blocks of BLOCK_WINDOWS, of which each
+    knows the last loud window before it and the first one after it; other
+    windows than these are not kept. Ties for the loudest take the later window.
+    """
+    ws = Workspace(levels.sparkSession, "peaks")
+    levels = ws.table(levels.select("video_id", "win_idx", "db"), "levels")
+    known = audio_baseline(levels)
+    if loudest:
+        rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("db"), F.desc("win_idx")))
+        top = levels.withColumn("rank", rank).where(F.col("rank") <= loudest)
+        known = known.join(top.groupBy("video_id").agg(F.min(F.struct("db", "win_idx")).alias("least")), "video_id")
+    rows = levels.withColumn("block", F.floor(F.col("win_idx") / BLOCK_WINDOWS))
+    # what holds for a video goes to its blocks, so that its rows stay apart
+    rows = rows.join(rows.select("video_id", "block").distinct().join(known, "video_id"), ["video_id", "block"])
+    rows = rows.withColumn("loud", F.col("db") >= F.col("baseline_db") + LOUDER_DB)
+    place = F.when(F.col("loud"), F.col("win_idx"))
+    rows = scans.running(rows, ["video_id"], "block", ["win_idx"], {"before": (F.max, place)}, {"after": (F.min, place)})
+    kept = rows.where(F.col("loud") | (F.struct("db", "win_idx") >= F.col("least")) if loudest else F.col("loud"))
+    near = ws.table(kept.select("video_id", "block", "win_idx", "db", "baseline_db", "loud", "before", "after"), "near")
+
+    new = F.col("before").isNull() | (F.col("win_idx") - F.col("before") > MERGE_GAP + 1)
+    loud = near.where("loud").withColumn("first", F.when(new, F.col("win_idx")))
+    loud = scans.running(loud, ["video_id"], "block", ["win_idx"], {"island": (F.max, F.col("first"))})
+    loud = loud.withColumn("island", F.greatest("island", "first"))
+    # a stored end is exclusive but compared inclusively
+    between = (F.col("after") - F.col("before") <= MERGE_GAP + 1) | (F.col("win_idx") == F.col("before") + 1)
+    return loud, near.where(~F.col("loud") & ~F.coalesce(between, F.lit(False)))
 
-def _runs(rows: DataFrame) -> DataFrame:
+
+def _peaks(rows: DataFrame) -> DataFrame:
     """A peak of the windows of each island."""
     runs = rows.groupBy("video_id", "island").agg(F.min("win_idx").alias("first_win"), F.max("win_idx").alias("last_win"), F.max("db").alias("peak_db"), F.max("baseline_db").alias("baseline_db"))
     return runs.select("video_id", F.col("first_win").cast("double").alias("start"), (F.col("last_win") + 1).cast("double").alias("end"), "peak_db", (F.col("peak_db") - F.col("baseline_db")).alias("db_above_baseline"))
@@ -51,23 +72,15 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def volume_peaks(levels: DataFrame) -> DataFrame:
     """Runs of loud windows with at most MERGE_GAP quiet ones between two."""
-    return _runs(_in_islands(levels).where("loud"))
+    return _peaks(_near_peaks(levels, 0)[0])
 
 
 def peaks_with_fallback(levels: DataFrame) -> DataFrame:
-    """Where a video has few peaks, its loudest windows outside of them too; ties take the later window.
-
-    Levels are read once: each added window is an island of its own, by a
-    negative number, in the pass that gives the peaks.
-    """
-    video = Window.partitionBy("video_id")
-    rank = F.row_number().over(video.orderBy(F.desc("db"), F.desc("win_idx")))
-    rows = _in_islands(levels).withColumns({"rank": rank, "peaks": F.max("island").over(video)})
-    # a stored end is exclusive but compared inclusively
-    between = (F.col("after") - F.col("before") <= MERGE_GAP + 1) | (F.col("win_idx") == F.col("before") + 1)
-    outside = ~F.col("loud") & ~F.coalesce(between, F.lit(False))
-    more = outside & (F.col("rank") <= LOUDEST) & (F.col("peaks") < FEW_PEAKS)
-    return _runs(rows.where(F.col("loud") | more).withColumn("island", F.when(F.col("loud"), F.col("island")).otherwise(-1 - F.col("win_idx"))))
+    """Where a video has few peaks, its loudest windows outside of them too; each is a peak of its own."""
+    loud, other = _near_peaks(levels, LOUDEST)
+    counts = loud.where("first IS NOT NULL").groupBy("video_id").agg(F.count("*").alias("peaks"))
+    more = other.join(counts, "video_id", "left").where(F.coalesce("peaks", F.lit(0)) < FEW_PEAKS)  # LOUDEST rows a video at most
+    return _peaks(loud.unionByName(more.withColumn("island", F.col("win_idx")), allowMissingColumns=True))
 
 
 def silence_bursts(raw: DataFrame) -> DataFrame:

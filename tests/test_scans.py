@@ -1,0 +1,77 @@
+"""Scans in blocks, exact medians and peaks against plain loops, over groups that lie in many blocks."""
+
+import random
+import statistics
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from streamloom.operators import scans, speech
+
+
+def test_running_values_of_both_sides(spark):
+    rng = random.Random(1)
+    rows = [(g, k, rng.choice([None, *range(9)])) for g in (1, 2) for k in rng.sample(range(300), 120)]
+    df = spark.createDataFrame(rows, "g long, k long, v long").withColumn("b", F.floor(F.col("k") / 17))
+    got = scans.running(df, ["g"], "b", ["k"], {"s": (F.sum, F.col("v")), "m": (F.max, F.col("v"))}, {"least": (F.min, F.col("v"))}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [v for g, k, v in rows if g == r.g and k < r.k and v is not None]
+        after = [v for g, k, v in rows if g == r.g and k > r.k and v is not None]
+        assert (r.s, r.m, r.least) == (sum(before) if before else None, max(before, default=None), min(after, default=None))
+    numbered = scans.with_numbers(df.drop("b"), ["g"], F.floor(F.col("k") / 50), ["k"], "n").collect()
+    for g in (1, 2):
+        assert [r.n for r in sorted((r for r in numbered if r.g == g), key=lambda r: r.k)] == list(range(1, 121))
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(2)
+    groups = [[rng.gauss(-40, 9) for _ in range(n)] for n in (1, 2, 3, 500, 501)] + [[-200.0] * 300, [-200.0] * 300 + [1.0], [0.1, 0.2, 0.1 + 1 / 64, 0.3], [-0.0, 1e9, -1e9]]
+    rows = [(g, v) for g, own in enumerate(groups) for v in own] + [(0, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r.m for r in scans.medians(df, ["g"], "v", "m").collect()}
+    for g, own in enumerate(groups):
+        own = sorted(own)
+        assert got[g] == 0.5 * own[(len(own) - 1) // 2] + 0.5 * own[len(own) // 2] == pytest.approx(statistics.median(own))
+
+
+def _plain_peaks(levels, fallback):
+    """Start, end and loudness of the peaks of one video, by its windows in order."""
+    base = statistics.median(levels.values())
+    runs = []
+    for k in sorted(k for k, db in levels.items() if db >= base + speech.LOUDER_DB):
+        if runs and k - runs[-1][1] <= speech.MERGE_GAP + 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    out = [(a, b + 1, max(db for k, db in levels.items() if a <= k <= b and db >= base + speech.LOUDER_DB)) for a, b in runs]
+    if fallback and len(runs) < speech.FEW_PEAKS:
+        top = sorted(levels, key=lambda k: (levels[k], k), reverse=True)[: speech.LOUDEST]
+        out += [(k, k + 1, levels[k]) for k in top if not any(a <= k <= b + 1 for a, b in runs)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [3, 7, 4096])
+def test_peaks_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(speech, "BLOCK_WINDOWS", block)
+    rng = random.Random(block)
+    videos = {v: {k: float(rng.choice([-60, -50, -49, -48] + [-30] * (v % 3))) for k in rng.sample(range(130), 110)} for v in range(9)}
+    df = spark.createDataFrame([(v, k, db) for v, own in videos.items() for k, db in own.items()], "video_id long, win_idx long, db double")
+    for fallback, found in ((False, speech.volume_peaks(df)), (True, speech.peaks_with_fallback(df))):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.video_id, []).append((r.start, r.end, r.peak_db))
+        assert {v: sorted(x) for v, x in got.items()} == {v: p for v, own in videos.items() if (p := _plain_peaks(own, fallback))}
+
+
+def test_a_long_video_takes_no_more_than_its_share(spark):
+    def took(n):
+        df = spark.range(n).selectExpr("1L video_id", "id win_idx", "-50.0D - pmod(hash(id), 3) + if(pmod(id, 40) < 2, 30, 0) db")
+        started = time.perf_counter()
+        assert speech.volume_peaks(df).count() == n // 40
+        return time.perf_counter() - started
+
+    took(4000)
+    short, long = took(40_000), took(400_000)
+    assert long < 10 * short and long < 120
