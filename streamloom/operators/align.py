@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
+from streamloom.operators import scans
 from streamloom.params import AnyParams
 from streamloom.storage import Workspace
 
@@ -24,37 +26,79 @@ def numbered(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("seg_ord", F.row_number().over(over)).select(*schema.TIMELINE_COLUMNS)
 
 
-def touches(segments: DataFrame, params: AnyParams) -> DataFrame:
-    """segments with win_idx, a row for each window they touch; windows beyond the last one meet none in a join."""
+def touched(segments: DataFrame, params: AnyParams) -> DataFrame:
+    """segments with first and last: the windows that each touches, as a range."""
     segments, params = params.of(segments)
     w = params.window_sec
-    first, end = F.greatest(F.lit(0).cast("bigint"), (F.col("time_start") / w).cast("bigint")), (F.col("time_end") / w).cast("bigint")
-    return segments.withColumn("win_idx", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array(F.lit(-1).cast("bigint"))))).drop("_own")
+    first, last = F.greatest(F.lit(0).cast("bigint"), (F.col("time_start") / w).cast("bigint")), (F.col("time_end") / w).cast("bigint")
+    return segments.withColumns({"first": first, "last": last}).drop("_own")
+
+
+def _in_levels(windows: DataFrame, most: int, params: AnyParams) -> DataFrame:
+    """windows as nodes of levels 0 to most: each level sums up the pairs of nodes of the one below.
+
+    A node keeps the first overlay_messages messages of its windows.
+    """
+    rows, own = params.of(windows)
+    first = F.col("messages") if isinstance(own.overlay_messages, Column) else F.slice("messages", 1, own.overlay_messages)
+    at = F.struct("win_idx", "messages")
+    rows = rows.withColumns({"level": F.lit(0), "node": F.col("win_idx").cast("bigint"), "most": own.overlay_messages if isinstance(own.overlay_messages, Column) else F.lit(own.overlay_messages)})
+    rows = rows.withColumn("messages", F.slice("messages", 1, F.col("most")) if isinstance(own.overlay_messages, Column) else first)
+    rows = rows.select("video_id", "level", "node", "win_idx", "most", "message_count", "superchat_count", "density_per_min", "baseline_per_min", "is_spike", "messages")
+    levels = [rows]
+    for k in range(1, most + 1):
+        parts = F.transform(F.array_sort(F.collect_list(at)), lambda x: x["messages"])
+        up = levels[-1].groupBy("video_id", F.shiftright("node", 1).alias("node")).agg(
+            F.max("most").alias("most"),
+            F.sum("message_count").alias("message_count"),
+            F.sum("superchat_count").alias("superchat_count"),
+            F.max("density_per_min").alias("density_per_min"),
+            F.max_by("baseline_per_min", "win_idx").alias("baseline_per_min"),
+            F.bool_or("is_spike").alias("is_spike"),
+            F.flatten(parts).alias("messages"),
+            F.max("win_idx").alias("win_idx"),
+        )
+        levels.append(up.withColumns({"level": F.lit(k), "messages": F.slice("messages", 1, F.col("most"))}))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def overlay_chat(segments: DataFrame, windows: DataFrame, params: AnyParams) -> DataFrame:
     """Each segment with the chat of all windows it touches.
 
-    Intervals become window indices, so the join is an equi join, and segments
-    are read once: their columns go along. A segment without messages keeps no
-    chat; a spike adds its flag and weight.
+    A segment's windows are a cover of nodes, a few for each level however long
+    it is, so the join is an equi join, and segments are read twice: once for
+    the longest. A node, or a window, brings its first messages alone. A
+    segment without messages keeps no chat; a spike adds its flag and weight.
     """
     columns = [c for c in segments.columns if c not in ("video_id", "seg_ord")]
-    own = segments.select("video_id", "seg_ord", "time_start", "time_end", F.struct(*columns).alias("own"))
+    own = touched(segments.select("video_id", "seg_ord", "time_start", "time_end", F.struct(*columns).alias("own")), params).drop("time_start", "time_end")
+    # what lies beyond a video's last window meets none
+    ends = windows.groupBy("video_id").agg(F.max("win_idx").cast("bigint").alias("end"))
+    longest = touched(segments.select("video_id", "time_start", "time_end"), params).join(ends, "video_id").agg(F.max(F.least("last", "end") - F.col("first"))).first()[0] or 0
+    most = int(longest + 1).bit_length() - 1 if longest >= scans.SHORT else 0
+    if most:
+        own = own.join(ends, "video_id", "left").withColumn("last", F.least("last", "end")).drop("end")
+        nodes = scans.cover(F.col("first"), F.col("last"))
+    else:
+        # no segment is long: those that go on past the last window are cut to the longest
+        nodes = scans.cover(F.col("first"), F.least(F.col("last"), F.col("first") + F.lit(int(longest))))
     # the same window of several videos' segments meets one row, so the join splits a hot video by window
-    pairs = touches(own, params).drop("time_start", "time_end").join(windows.drop("time_start", "time_end"), ["video_id", "win_idx"], "left")
+    pairs = own.withColumn("_", F.explode(F.when(F.col("last") >= F.col("first"), nodes).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.lit(-1).cast("bigint").alias("node"))))))
+    pairs = pairs.select("video_id", "seg_ord", "own", "_.*").join(_in_levels(windows, most, params), ["video_id", "level", "node"], "left")
     rows = pairs.groupBy("video_id", "seg_ord").agg(
         F.any_value("own").alias("own"),
+        F.max("most").alias("most"),
         F.sum("message_count").alias("message_count"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("messages").isNotNull(), F.struct("win_idx", "messages")))), lambda x: x["messages"])).alias("messages"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("messages") > 0, F.struct("win_idx", "messages")))), lambda x: x["messages"])).alias("messages"),
         F.sum("superchat_count").alias("superchat_count"),
         S.rounded(F.max("density_per_min"), 1).alias("density_per_min"),
-        S.rounded(F.max_by("baseline_per_min", F.when(F.col("messages").isNotNull(), F.col("win_idx"))), 1).alias("baseline_per_min"),
+        S.rounded(F.max_by("baseline_per_min", "win_idx"), 1).alias("baseline_per_min"),
         F.bool_or("is_spike").alias("is_spike"),
     )
+    rows = rows.withColumn("messages", F.slice("messages", 1, F.coalesce("most", F.lit(1))))
     chat = F.when(F.col("message_count") > 0, F.struct("message_count", "messages", "superchat_count", "density_per_min", "baseline_per_min", "is_spike").cast(schema.CHAT))
     rows, params = params.of(rows)
-    rows = rows.withColumn("messages", F.slice("messages", 1, params.overlay_messages)).withColumn("weight", _weight(params))
+    rows = rows.withColumn("weight", _weight(params))
     rows = rows.select("video_id", "seg_ord", "own.*", chat.alias("own_chat"), "weight")
     spike, weight = F.coalesce("own_chat.is_spike", F.lit(False)), F.col("weight")
     return rows.withColumns(
@@ -74,7 +118,10 @@ def _weight(params) -> Column:
 
 def event_only_segments(segments: DataFrame, windows: DataFrame, params: AnyParams) -> DataFrame:
     """Windows that spike and that no segment touches, as rows of their own."""
-    lone = windows.where("is_spike").join(touches(segments.select("video_id", "time_start", "time_end"), params).select("video_id", "win_idx"), ["video_id", "win_idx"], "left_anti")
+    spikes = windows.where("is_spike")
+    at = spikes.select("video_id", "win_idx", F.col("win_idx").alias("first"), F.col("win_idx").alias("last"))
+    met = scans.meeting(at, touched(segments.select("video_id", "time_start", "time_end"), params).where("last >= first"), ["video_id"], ["win_idx"])
+    lone = spikes.join(met, ["video_id", "win_idx"], "left_anti")
     lone, params = params.of(lone)
     weight = _weight(params)
     return lone.select(
@@ -101,18 +148,32 @@ def align_mvp(speech: DataFrame, windows: DataFrame, params: AnyParams) -> DataF
 def overlap_candidates(left: DataFrame, right: DataFrame, threshold: float, bucket_sec: float = BUCKET_SEC) -> DataFrame:
     """(video_id, seg_ord, ocr_ord, ratio) of rows that overlap by the threshold.
 
-    Both sides fall into time buckets, so the join is an equi join; a pair
-    counts in its first common bucket only.
+    A row of level k is as long as a bucket of bucket_sec * 2**k at most, so it
+    lies in two of them. It meets rows of its own level and of lower ones there,
+    which also stand in the buckets of the other side's higher levels; so the
+    join is an equi join, a row of any length has a few rows, and a pair counts
+    in its first common bucket only. Both sides are read twice.
     """
 
-    def buckets(rows: DataFrame, name: str, side: str) -> DataFrame:
+    def leveled(rows: DataFrame, name: str, side: str) -> DataFrame:
         rows = rows.where("time_end > time_start").select("video_id", F.col("seg_ord").alias(name), F.col("time_start").alias(f"{side}0"), F.col("time_end").alias(f"{side}1"))
-        return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{side}0") / bucket_sec), F.floor(F.col(f"{side}1") / bucket_sec))))
+        width = (F.col(f"{side}1") - F.col(f"{side}0")) / bucket_sec
+        return rows.withColumn(f"{side}_level", F.when(width <= 1, 0).otherwise(F.ceil(F.log2(width))).cast("int"))
+
+    a, b = leveled(left, "seg_ord", "a"), leveled(right, "ocr_ord", "b")
+    used = [sorted(x.agg(F.collect_set(f"{side}_level")).first()[0]) for x, side in ((a, "a"), (b, "b"))]  # a level for each doubling of length
+
+    def buckets(rows: DataFrame, side: str, others: list[int]) -> DataFrame:
+        higher = F.filter(F.array([F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col(f"{side}_level"))
+        rows = rows.withColumn("level", F.explode(F.concat(F.array(f"{side}_level"), higher)))
+        at = lambda c: F.floor(F.col(c) / (bucket_sec * F.pow(F.lit(2.0), "level")))
+        return rows.withColumns({f"{side}_first": at(f"{side}0"), "bucket": F.explode(F.sequence(at(f"{side}0"), at(f"{side}1")))})
 
-    pairs = buckets(left, "seg_ord", "a").join(buckets(right, "ocr_ord", "b"), ["video_id", "bucket"])
-    first = F.greatest(F.floor(F.col("a0") / bucket_sec), F.floor(F.col("b0") / bucket_sec))
+    # of two rows of unlike levels the shorter one comes to the longer one's
+    pairs = buckets(a, "a", used[1]).join(buckets(b, "b", used[0]), ["video_id", "level", "bucket"]).where(F.col("level") == F.greatest("a_level", "b_level"))
     ratio = S.overlap_ratio(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
-    return pairs.where(F.col("bucket") == first).withColumn("ratio", ratio).where((F.col("ratio") > 0) & (F.col("ratio") >= threshold)).select("video_id", "seg_ord", "ocr_ord", "ratio")
+    pairs = pairs.where(F.col("bucket") == F.greatest("a_first", "b_first")).withColumn("ratio", ratio)
+    return pairs.where((F.col("ratio") > 0) & (F.col("ratio") >= threshold)).select("video_id", "seg_ord", "ocr_ord", "ratio")
 
 
 def greedy_match(left: DataFrame, right: DataFrame, params: AnyParams) -> DataFrame:

@@ -74,6 +74,40 @@ def medians(rows: DataFrame, group: list[str], value: str, out: str, cell: float
     return found.groupBy(*group).agg((F.lit(0.5) * F.min("_v") + F.lit(0.5) * F.max("_v")).alias(out))
 
 
-def levels_above(size: Column, most: int = 62) -> Column:
-    """The least level whose intervals, 2**level wide, are as long as size units or longer."""
-    return F.least(F.lit(most), F.length(F.bin(F.greatest(size - 1, F.lit(0).cast("long")))) - F.when(size <= 1, 1).otherwise(0)).cast("int")
+#: Numbers that a block of meeting holds, and parts up to which a range stays as it is in cover.
+SPAN, SHORT = 4096, 8
+
+
+def meeting(queries: DataFrame, ranges: DataFrame, group: list[str], ids: list[str]) -> DataFrame:
+    """(group, ids) of the queries whose range meets any of ranges; both have first and last, whole numbers and inclusive.
+
+    A range that begins by a query's last number meets it unless it ends before
+    its first one, so two running counts decide; a range is two rows, however
+    long it is. Empty ranges must be left out.
+    """
+    none = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in ids]
+    point = lambda at, starts, ends, query, own: [*group, F.col(at).cast("bigint").alias("at") if isinstance(at, str) else at.cast("bigint").alias("at"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"), F.lit(query).alias("query"), *own]
+    points = ranges.select(*point("first", 1, 0, 0, none)).unionByName(ranges.select(*point(F.col("last") + 1, 0, 1, 0, none)))
+    points = points.unionByName(queries.select(*point("last", 0, 0, 1, ids))).unionByName(queries.select(*point("first", 0, 0, 2, ids)))
+    points = points.withColumn("block", F.floor(F.col("at") / SPAN))
+    known = running(points, group, "block", ["at", "query"], {"begun": (F.sum, F.col("starts")), "ended": (F.sum, F.col("ends"))})
+    count = F.when(F.col("query") == 1, F.coalesce("begun", F.lit(0))).otherwise(-F.coalesce("ended", F.lit(0)))
+    return known.where("query > 0").groupBy(*group, *ids).agg(F.sum(count).alias("open")).where("open > 0").drop("open")
+
+
+def cover(first: Column, last: Column) -> Column:
+    """The (level, node) whose runs of 2**level numbers, from node * 2**level on, make up a range of numbers.
+
+    Short ranges are numbers of level 0; of longer ones each level has two nodes at most.
+    """
+    end, level = last + 1, lambda x, k: F.call_function("shiftright", x, k)
+    node = lambda k, n: F.struct(k.cast("int").alias("level"), n.cast("bigint").alias("node"))
+
+    def nodes(k: Column) -> Column:
+        low, high = level(first + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k), level(end, k)
+        return F.array(F.when((low < high) & (low % 2 != 0), node(k, low)), F.when((low < high) & (high % 2 != 0), node(k, high - 1)))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(end - first, F.lit(1)).cast("double"))).cast("int"))
+    long = F.filter(F.flatten(F.transform(levels, nodes)), lambda x: x.isNotNull())
+    short = F.transform(F.sequence(first, F.greatest(first, last)), lambda n: node(F.lit(0), n))
+    return F.when(last - first < SHORT, short).otherwise(long)

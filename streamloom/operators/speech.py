@@ -101,13 +101,12 @@ def admitted(raw: DataFrame, params: AnyParams) -> DataFrame:
 def speech_parts(raw: DataFrame, peaks: DataFrame, params: AnyParams) -> DataFrame:
     """Admitted rows with their signals and scores.
 
-    Peaks and segments meet on whole seconds, both ends included, as an equi
-    join of exploded seconds.
+    Peaks and segments meet on whole seconds, both ends included, by running
+    counts of the peaks that have begun and ended.
     """
     rows, params = params.of(admitted(raw, params))
-    seconds = lambda a, b: F.explode(F.sequence(F.col(a).cast("bigint"), F.col(b).cast("bigint"))).alias("sec")
-    loud = peaks.select("video_id", seconds("start", "end")).distinct()
-    hit = rows.select("video_id", "ord", seconds("start", "end")).join(loud, ["video_id", "sec"], "left_semi").select("video_id", "ord").distinct().withColumn("has_volume", F.lit(True))
+    seconds = lambda *ids: ["video_id", *ids, F.col("start").cast("bigint").alias("first"), F.col("end").cast("bigint").alias("last")]
+    hit = scans.meeting(rows.select(*seconds("ord")), peaks.select(*seconds()), ["video_id"], ["ord"]).withColumn("has_volume", F.lit(True))
     bursts = silence_bursts(raw).select("video_id", S.rounded(F.col("start"), 1).alias("tenth")).distinct().withColumn("has_burst", F.lit(True))
     rows = rows.withColumn("tenth", S.rounded(F.col("start"), 1)).join(hit, ["video_id", "ord"], "left").join(bursts, ["video_id", "tenth"], "left")
     w = {k: F.lit(0.0) for k in schema.SCORE_PARTS} | {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in params.weights.items()}

@@ -7,7 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.operators import scans, speech
+from streamloom.operators import align, scans, speech
+from streamloom.params import Params
 
 
 def test_running_values_of_both_sides(spark):
@@ -75,3 +76,60 @@ def test_a_long_video_takes_no_more_than_its_share(spark):
     took(4000)
     short, long = took(40_000), took(400_000)
     assert long < 10 * short and long < 120
+
+
+def test_ranges_that_meet(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SPAN", 7)
+    rng = random.Random(4)
+    some = lambda n: [(v, k, a := rng.randrange(60), a + rng.choice([0, 1, 3, 20])) for v in (1, 2) for k in range(n)]
+    queries, ranges = some(25), some(3)
+    df = lambda rows: spark.createDataFrame(rows, "v long, k long, first long, last long")
+    got = {tuple(r) for r in scans.meeting(df(queries), df(ranges).drop("k"), ["v"], ["k"]).collect()}
+    assert got == {(v, k) for v, k, a, b in queries if any(w == v and c <= b and d >= a for w, _, c, d in ranges)}
+
+
+def test_covers_hold_each_number_once(spark):
+    rng = random.Random(5)
+    rows = [(a, a + n) for n in [*range(20), 36_000, 123_457] for a in (0, 1, rng.randrange(1000), rng.randrange(10**6))]
+    for r in spark.createDataFrame(rows, "a long, b long").select("a", "b", scans.cover(F.col("a"), F.col("b")).alias("c")).collect():
+        numbers = [x for n in r.c for x in range(n.node << n.level, (n.node + 1) << n.level)]
+        assert sorted(numbers) == list(range(r.a, r.b + 1)) and len(r.c) <= 40
+
+
+def test_long_segments_take_the_chat_of_all_their_windows(spark):
+    rng = random.Random(6)
+    windows = []
+    for v in (1, 2):
+        for w in sorted(rng.sample(range(400), 250)):
+            messages = [(f"a{w}", f"m{w}.{k}", "normal", None) for k in range(rng.randrange(1, 4))]
+            windows.append((v, w, w * 10.0, w * 10.0 + 10, len(messages), rng.randrange(3), messages, float(rng.randrange(9)), float(w), rng.random() < 0.1))
+    ddl = "video_id long, win_idx long, time_start double, time_end double, message_count long, superchat_count long, messages array<struct<author:string,text:string,type:string,amount:string>>, density_per_min double, baseline_per_min double, is_spike boolean"
+    spans = [(0.0, 5.0), (0.0, 4999.0), (31.0, 36_000.0), (777.0, 1500.0), (5000.0, 90_000.0), (100.0, 185.0), (64.0, 5119.0)]
+    segments = spark.createDataFrame([(v, k, a, b, None, None, None) for v in (1, 2) for k, (a, b) in enumerate(spans)], "video_id long, seg_ord int, time_start double, time_end double, chat string, events string, score string")
+    from streamloom import schema
+
+    events = F.struct(*(F.lit(False).alias(x) for x in schema.EVENT_FLAGS)).alias("events")
+    score = F.struct(F.lit(0.0).alias("total"), F.struct(*(F.lit(0.0).alias(x) for x in schema.SCORE_PARTS)).alias("breakdown")).alias("score")
+    segments = segments.select("video_id", "seg_ord", "time_start", "time_end", F.lit(None).cast(schema.CHAT).alias("chat"), events, score)
+    df = spark.createDataFrame(windows, ddl)
+    for r in align.overlay_chat(segments, df, Params()).collect():
+        own = [w for w in windows if w[0] == r.video_id and int(r.time_start / 10) <= w[1] <= int(r.time_end / 10)]
+        if not own:
+            assert r.chat is None
+            continue
+        assert (r.chat.message_count, r.chat.superchat_count, r.chat.is_spike, r.chat.baseline_per_min) == (sum(w[4] for w in own), sum(w[5] for w in own), any(w[9] for w in own), own[-1][8])
+        assert [m.text for m in r.chat.messages] == [m[1] for w in own for m in w[6]][:10]
+
+
+def test_overlaps_of_rows_of_any_length(spark):
+    rng = random.Random(7)
+    some = lambda n: [(rng.choice([1, 2]), k, a := rng.uniform(-50, 3000), a + rng.choice([0.0, 0.5, 10.0, 20.0, 33.0, 900.0, 3000.0])) for k in range(n)]
+    left, right = some(90), some(80)
+    df = lambda rows: spark.createDataFrame(rows, "video_id long, seg_ord int, time_start double, time_end double")
+    got = sorted((r.seg_ord, r.ocr_ord, round(r.ratio, 9)) for r in align.overlap_candidates(df(left), df(right), 0.2).collect())
+    want = []
+    for v, i, a, b in left:
+        for w, j, c, d in right:
+            if v == w and b > a and d > c and (ratio := (min(b, d) - max(a, c)) / min(b - a, d - c)) >= 0.2:
+                want.append((i, j, round(ratio, 9)))
+    assert got == sorted(want)
