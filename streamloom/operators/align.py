@@ -16,6 +16,8 @@ from streamloom.params import AnyParams
 from streamloom.storage import Workspace
 
 BUCKET_SEC = 10.0
+#: Seconds of a video that one task scans, pairs of an island that one task matches, and rounds in which larger islands are decided.
+BLOCK_SEC, ISLAND_PAIRS, ROUNDS = 600.0, 100_000, 16
 
 
 def numbered(timeline: DataFrame) -> DataFrame:
@@ -176,22 +178,62 @@ def overlap_candidates(left: DataFrame, right: DataFrame, threshold: float, buck
     return pairs.where((F.col("ratio") > 0) & (F.col("ratio") >= threshold)).select("video_id", "seg_ord", "ocr_ord", "ratio")
 
 
+def _islands(left: DataFrame, right: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(video_id, seg_ord, island) of the rows of left: islands overlap no other row of either side.
+
+    An island is named by its first start. The latest end so far is scanned in
+    blocks of time, so no task holds a video.
+    """
+    both = left.select("video_id", "time_start", "time_end", F.col("seg_ord").alias("own")).unionByName(right.select("video_id", "time_start", "time_end", F.lit(None).cast("int").alias("own")))
+    both = ws.table(both.withColumn("block", F.floor(F.col("time_start") / BLOCK_SEC)), f"{name}-both")
+    order = ["time_start", "time_end", F.col("own").asc_nulls_last()]
+    rows = scans.running(both, ["video_id"], "block", order, {"before": (F.max, F.col("time_end"))})
+    rows = ws.table(rows.withColumn("first", F.when(F.col("before").isNull() | (F.col("time_start") >= F.col("before")), F.col("time_start"))).drop("before"), f"{name}-firsts")
+    rows = scans.running(rows, ["video_id"], "block", order, {"island": (F.max, F.col("first"))})
+    return rows.where("own IS NOT NULL").select("video_id", F.col("own").alias("seg_ord"), F.greatest("island", "first").alias("island"))
+
+
+def _decided(pairs: DataFrame) -> DataFrame:
+    """The pairs that the greedy match makes whatever the others do.
+
+    A segment takes its best row if no earlier segment has that row among its
+    own: none can take it away before the segment's turn, and no better one is free.
+    """
+    best = pairs.groupBy("video_id", "seg_ord").agg(F.max_by("ocr_ord", F.struct("ratio", -F.col("ocr_ord"))).alias("ocr_ord"))
+    first = pairs.groupBy("video_id", "ocr_ord").agg(F.min("seg_ord").alias("first"))
+    return best.join(first, ["video_id", "ocr_ord"]).where("seg_ord = first").select("video_id", "seg_ord", "ocr_ord")
+
+
 def greedy_match(left: DataFrame, right: DataFrame, params: AnyParams) -> DataFrame:
     """(video_id, seg_ord, ocr_ord): segments in order take the unused row that overlaps them most.
 
     Only rows of one overlap island can compete, so islands are dealt out, many
-    of them within one video. The greedy step streams over their sorted pairs
-    and holds a batch and the numbers of the island's used rows. A segment takes
-    the first of equal ratios.
+    of them within one video. An island of more than ISLAND_PAIRS pairs is
+    first decided in rounds of joins: each takes the pairs that are certain and
+    strikes out what they use, until none is left or after ROUNDS rounds, when
+    what is left falls into islands anew. Islands are streamed over their sorted
+    pairs, a batch and the numbers of the island's used rows at a time. A
+    segment takes the first of equal ratios.
     """
+    ws = Workspace(left.sparkSession, "match")
     # a pair counts by its video's own least ratio
     pairs, own = params.of(overlap_candidates(left, right, 0.0))
     pairs = pairs.where(F.col("ratio") >= own.overlap_ratio).drop("_own")
-    both = left.select("video_id", "time_start", "time_end", F.col("seg_ord").alias("own")).unionByName(right.select("video_id", "time_start", "time_end", F.lit(None).cast("int").alias("own")))
-    over = Window.partitionBy("video_id").orderBy("time_start", "time_end", F.col("own").asc_nulls_last())
-    before = F.max("time_end").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    both = both.withColumn("new", F.when(F.col("time_start") < before, 0).otherwise(1)).withColumn("island", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    pairs = pairs.join(both.where("own IS NOT NULL").select("video_id", F.col("own").alias("seg_ord"), "island"), ["video_id", "seg_ord"])
+    pairs = ws.table(pairs.join(_islands(left, right, ws, "all"), ["video_id", "seg_ord"]), "pairs")
+    large = pairs.groupBy("video_id", "island").count().where(F.col("count") > ISLAND_PAIRS).select("video_id", "island")
+    certain: list[DataFrame] = []
+    if not large.isEmpty():
+        large = ws.table(large, "large")
+        left_over = ws.table(pairs.join(large, ["video_id", "island"], "left_semi").drop("island"), "round")
+        while len(certain) < ROUNDS and not left_over.isEmpty():
+            k = len(certain)
+            certain.append(ws.table(_decided(left_over), f"certain{k}"))
+            for side in ("seg_ord", "ocr_ord"):
+                left_over = left_over.join(certain[-1].select("video_id", side), ["video_id", side], "left_anti")
+            left_over = ws.table(left_over.select("video_id", "seg_ord", "ocr_ord", "ratio"), f"round{k}")
+        still = lambda rows, side: rows.join(left_over.select("video_id", F.col(side).alias("seg_ord")).distinct(), ["video_id", "seg_ord"], "left_semi")
+        left_over = left_over.join(_islands(still(left, "seg_ord"), still(right, "ocr_ord"), ws, "rest"), ["video_id", "seg_ord"])
+        pairs = pairs.join(large, ["video_id", "island"], "left_anti").unionByName(left_over)
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, best, used = (None, None, None), None, set()
@@ -216,7 +258,8 @@ def greedy_match(left: DataFrame, right: DataFrame, params: AnyParams) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["video_id", "seg_ord", "ocr_ord"])
 
     order = ["video_id", "island", "seg_ord", "ocr_ord"]
-    return pairs.select(*order, "ratio").repartition("video_id", "island").sortWithinPartitions(*order).mapInArrow(greedy, "video_id long, seg_ord int, ocr_ord int")
+    streamed = pairs.select(*order, "ratio").repartition("video_id", "island").sortWithinPartitions(*order).mapInArrow(greedy, "video_id long, seg_ord int, ocr_ord int")
+    return reduce(DataFrame.unionByName, certain, streamed)
 
 
 def enriched(timeline: DataFrame, screen: DataFrame, matches: DataFrame, params: AnyParams) -> DataFrame:

@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
-from streamloom.params import AnyParams, Params
+from streamloom.operators import scans
+from streamloom.params import AnyParams
 
 UNSIGNED = (1 << 64) - 1
+#: Frames of a video that one task scans.
+BLOCK_FRAMES = 1 << 16
 
 
 def with_durations(raw: DataFrame, params: AnyParams) -> DataFrame:
@@ -58,42 +61,70 @@ def screen_segments(raw: DataFrame, params: AnyParams) -> DataFrame:
     )
 
 
-def sampled_frames(frames: DataFrame, fps: float, params: Params) -> DataFrame:
+def sampled_frames(frames: DataFrame, fps: float, params: AnyParams) -> DataFrame:
     """Every step-th frame."""
-    return frames.where(F.col("frame_index") % max(1, int(fps * params.sample_interval_sec)) == 0)
+    rows, params = params.of(frames)
+    interval = params.sample_interval_sec
+    step = F.greatest(F.lit(1).cast("bigint"), (F.lit(float(fps)) * interval).cast("bigint"))
+    return rows.where(F.col("frame_index") % step == 0).select(*frames.columns)
 
 
-def stable_frames(frames: DataFrame, params: Params) -> DataFrame:
+def _in_stretches(frames: DataFrame, distance: Column) -> DataFrame:
+    """frames with stretch: the place of the last frame so far that begins a run whatever came before.
+
+    A frame is within the distance of its run's anchor, so one that differs by
+    more than twice the distance from the frame before it differs by more than
+    the distance from that frame's anchor: it is an anchor itself. So is one
+    without a hash, and the one after it. Frames are scanned in blocks.
+    """
+    place, order = F.struct("frame_index", "frame_ord"), ["frame_index", "frame_ord"]
+    rows = frames.withColumn("_block", F.floor(F.col("frame_index") / BLOCK_FRAMES))
+    rows = scans.running(rows, ["video_id"], "_block", order, {"_prior": (F.max, F.struct("frame_index", "frame_ord", "phash"))})
+    far = F.bit_count(F.col("phash").bitwiseXOR(F.col("_prior.phash"))) > 2 * distance
+    rows = rows.withColumn("_cut", F.when(F.coalesce(far, F.lit(True)), place))
+    rows = scans.running(rows, ["video_id"], "_block", order, {"stretch": (F.max, F.col("_cut"))})
+    return rows.withColumn("stretch", F.greatest("stretch", "_cut")).drop("_block", "_prior", "_cut")
+
+
+def stable_frames(frames: DataFrame, params: AnyParams) -> DataFrame:
     """The anchor frame of each run of like hashes that lasts long enough.
 
     A frame is held against its run's anchor, not its neighbour, so the runs
-    are a fold in frame order: a step that needs Python. It streams over sorted
-    partitions and holds one batch and one anchor, however long a video is. A
-    frame without a hash is like no other.
+    are a fold in frame order: a step that needs Python. Runs never cross a
+    frame that is an anchor for certain, so the stretches between such frames
+    are dealt out, many of them within one video. The fold streams over sorted
+    partitions and holds one batch and one anchor. A frame without a hash is
+    like no other.
     """
-    distance, stable = params.hash_distance, params.stable_frames
-    at = [frames.columns.index(c) for c in ("video_id", "phash")]
+    rows, own = params.of(frames)
+    number = lambda v: v if isinstance(v, Column) else F.lit(v)
+    rows = rows.select(*frames.columns, number(own.hash_distance).cast("int").alias("_distance"), number(own.stable_frames).cast("int").alias("_stable"))
+    rows = _in_stretches(rows, F.col("_distance"))
+    rows = rows.select(*frames.columns, "_distance", "_stable", F.col("stretch.frame_index").alias("_first"), F.col("stretch.frame_ord").alias("_nth"))
+    names = ("video_id", "_first", "_nth", "phash", "_distance", "_stable")
+    at, width = [rows.columns.index(c) for c in names], len(frames.columns)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        earlier, video, held, count = None, None, None, 0
+        earlier, stretch, held, count = None, None, None, 0
         for batch in batches:
+            own = batch.select(range(width))
             # -1: the anchor is the row of an earlier batch
             anchor, fired = -1, []
-            for k, (own, value) in enumerate(zip(*(batch.column(i).to_pylist() for i in at), strict=True)):
-                like = count > 0 and own == video and None not in (value, held) and ((value ^ held) & UNSIGNED).bit_count() <= distance
+            for k, (*here, value, distance, stable) in enumerate(zip(*(batch.column(i).to_pylist() for i in at), strict=True)):
+                like = count > 0 and here == stretch and None not in (value, held) and ((value ^ held) & UNSIGNED).bit_count() <= distance
                 if like:
                     count += 1
                 else:
-                    anchor, video, held, count = k, own, value, 1
+                    anchor, stretch, held, count = k, here, value, 1
                 if count == stable and anchor < 0:
                     yield earlier
                 elif count == stable:
                     fired.append(anchor)
             if anchor >= 0:
-                earlier = batch.slice(anchor, 1)
-            yield batch.take(pa.array(fired, pa.int64()))
+                earlier = own.slice(anchor, 1)
+            yield own.take(pa.array(fired, pa.int64()))
 
-    return frames.repartition("video_id").sortWithinPartitions("video_id", "frame_index", "frame_ord").mapInArrow(fold, frames.schema)
+    return rows.repartition("video_id", "_first", "_nth").sortWithinPartitions("video_id", "_first", "_nth", "frame_index", "frame_ord").mapInArrow(fold, frames.schema)
 
 
 def collapsed_reveals(frames: DataFrame) -> DataFrame:
@@ -115,7 +146,7 @@ def collapsed_reveals(frames: DataFrame) -> DataFrame:
     ).drop("run")
 
 
-def rows_of_frames(frames: DataFrame, fps: float, params: Params) -> DataFrame:
+def rows_of_frames(frames: DataFrame, fps: float, params: AnyParams) -> DataFrame:
     """Frames to raw rows."""
     rows = collapsed_reveals(stable_frames(sampled_frames(frames, fps, params), params))
     return rows.select("video_id", "ord", "chapter", "name", "dialogue", (F.col("frame_index") / fps).alias("frame_time"), "frame_index")

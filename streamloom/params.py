@@ -52,7 +52,7 @@ class Params:
 class Channels:
     """Parameters by row: those of each video's channel, defaults where they are missing or null.
 
-    table has a row for each video: video_id and columns named as the fields of
+    table has one row for each video, and a second one is an error: video_id and columns named as the fields of
     Params, any of them; weights is a map, keywords are arrays. Operators take it
     in the place of Params, and read columns where those hold numbers.
     """
@@ -60,7 +60,9 @@ class Channels:
     def __init__(self, table: DataFrame, default: Params = Params()):
         self.default = default
         names = [c for c in table.columns if c != "video_id"]
-        self.table = table.select("video_id", F.struct(*names, F.lit(True).alias("_")).alias("_own"))
+        rows = table.groupBy("video_id").agg(F.collect_list(F.struct(*names, F.lit(True).alias("_"))).alias("own"))
+        several = F.raise_error(F.concat(F.lit("several rows of parameters for video "), F.coalesce(F.col("video_id").cast("string"), F.lit("null"))))
+        self.table = rows.select("video_id", F.when(F.size("own") > 1, several).otherwise(F.col("own")[0]).alias("_own"))
         self.names = set(names)
 
     def of(self, rows: DataFrame) -> tuple[DataFrame, _RowParams]:
