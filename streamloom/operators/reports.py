@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
 
 KINDS = ("opening", "chapter", "debut", "chat", "reaction")
+TOP_REACTIONS = 10
 
 
 def _filled(c: str) -> Column:
@@ -81,39 +80,65 @@ def opening(timeline: DataFrame) -> DataFrame:
     return rows.groupBy("video_id").agg(F.min_by("time_start", "seg_ord").alias("time_start"), F.min("seg_ord").alias("seg_ord"))
 
 
+def _spike_summary(density: Column, baseline: Column, paid: Column) -> Column:
+    return F.concat(S.half_even(density), F.lit(" msgs/min, mean "), S.half_even(baseline), F.when(paid > 0, F.concat(F.lit(", SC x"), paid.cast("string"))).otherwise(""))
+
+
+def _reaction_summary(text: Column, total: Column) -> Column:
+    return F.concat(F.coalesce(S.preview(text, 30), F.lit("")), F.lit(" (score: "), S.half_even(total), F.lit(")"))
+
+
 def spike_events(timeline: DataFrame) -> DataFrame:
     """Chat spikes with rounded density and baseline, and their paid messages."""
-    paid = F.col("chat.superchat_count")
-    summary = F.concat(S.half_even(F.col("chat.density_per_min")), F.lit(" msgs/min, mean "), S.half_even(F.col("chat.baseline_per_min")), F.when(paid > 0, F.concat(F.lit(", SC x"), paid.cast("string"))).otherwise(""))
+    summary = _spike_summary(F.col("chat.density_per_min"), F.col("chat.baseline_per_min"), F.col("chat.superchat_count"))
     return timeline.where(F.col("events.chat_spike") & F.col("chat").isNotNull()).select("video_id", "seg_ord", "time_start", summary.alias("summary"))
 
 
-def reaction_events(timeline: DataFrame, top: int = 10) -> DataFrame:
+def reaction_events(timeline: DataFrame, top: int = TOP_REACTIONS) -> DataFrame:
     """The highest scores with a preview of the speech."""
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score.total"), "seg_ord"))
     rows = timeline.where(F.col("score.total") > 0).withColumn("rank", rank).where(F.col("rank") <= top)
-    summary = F.concat(F.coalesce(S.preview(F.col("asr.text"), 30), F.lit("")), F.lit(" (score: "), S.half_even(F.col("score.total")), F.lit(")"))
-    return rows.select("video_id", "seg_ord", "rank", "time_start", summary.alias("summary"))
+    return rows.select("video_id", "seg_ord", "rank", "time_start", _reaction_summary(F.col("asr.text"), F.col("score.total")).alias("summary"))
 
 
 def index_events(timeline: DataFrame) -> DataFrame:
     """All events in time order, the first of each kind in a display second.
 
     Kinds rank as in KINDS; within a kind rows come in time order, reactions by
-    their score.
+    their score. The timeline is read once: windows mark what each row is, and
+    its events are unfolded together.
     """
-
-    def kind(k: int, rows: DataFrame, order: str, summary: Column) -> DataFrame:
-        return rows.select("video_id", F.lit(k).alias("kind_rank"), F.lit(KINDS[k]).alias("kind"), F.col(order).cast("bigint").alias("in_kind"), "time_start", summary.alias("summary"))
-
-    parts = [
-        kind(0, opening(timeline), "seg_ord", F.lit("streamer opens")),
-        kind(1, chapter_transitions(timeline), "seg_ord", F.col("chapter")),
-        kind(2, debuts(timeline), "seg_ord", F.concat(F.col("character"), F.lit(" appears"))),
-        kind(3, spike_events(timeline), "seg_ord", F.col("summary")),
-        kind(4, reaction_events(timeline), "rank", F.col("summary")),
-    ]
-    rows = reduce(DataFrame.unionByName, parts).withColumn("at", S.fmt_ts(F.col("time_start")))
+    video = Window.partitionBy("video_id")
+    so_far = video.orderBy("seg_ord").rowsBetween(Window.unboundedPreceding, -1)
+    streamer, density = F.coalesce(F.col("asr.speaker_guess") == "streamer", F.lit(False)), F.col("chat.density_per_min")
+    rows = timeline.select(
+        "video_id",
+        "seg_ord",
+        "time_start",
+        streamer.alias("streamer"),
+        F.nullif("ocr.chapter", F.lit("")).alias("chapter"),
+        F.nullif("ocr.character", F.lit("")).alias("character"),
+        F.col("score.total").alias("total"),
+        F.when(F.col("events.chat_spike") & F.col("chat").isNotNull(), _spike_summary(density, F.col("chat.baseline_per_min"), F.col("chat.superchat_count"))).alias("spike"),
+        F.when(F.col("score.total") > 0, _reaction_summary(F.col("asr.text"), F.col("score.total"))).alias("reaction"),
+    )
+    rows = rows.withColumns(
+        {
+            "opens": F.col("streamer") & (F.coalesce(F.sum(F.col("streamer").cast("int")).over(so_far), F.lit(0)) == 0),
+            "before": F.last("chapter", ignorenulls=True).over(so_far),
+            "rank": F.row_number().over(video.orderBy(F.desc_nulls_last("total"), "seg_ord")),
+            "debut": F.col("character").isNotNull() & (F.row_number().over(Window.partitionBy("video_id", "character").orderBy("seg_ord")) == 1),
+        }
+    )
+    event = lambda k, holds, place, summary: F.when(holds, F.struct(F.lit(k).alias("kind_rank"), F.lit(KINDS[k]).alias("kind"), F.col(place).cast("bigint").alias("in_kind"), summary.alias("summary")))
+    events = F.array(
+        event(0, F.col("opens"), "seg_ord", F.lit("streamer opens")),
+        event(1, F.col("chapter").isNotNull() & ~F.col("chapter").eqNullSafe(F.col("before")), "seg_ord", F.col("chapter")),
+        event(2, F.col("debut"), "seg_ord", F.concat(F.col("character"), F.lit(" appears"))),
+        event(3, F.col("spike").isNotNull(), "seg_ord", F.col("spike")),
+        event(4, F.col("reaction").isNotNull() & (F.col("rank") <= TOP_REACTIONS), "rank", F.col("reaction")),
+    )
+    rows = rows.select("video_id", "time_start", S.fmt_ts(F.col("time_start")).alias("at"), F.inline(F.filter(events, lambda x: x.isNotNull())))
     order = ["time_start", "kind_rank", "in_kind"]
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("video_id", "at", "kind").orderBy(*order))).where("nth = 1")
     n = F.row_number().over(Window.partitionBy("video_id").orderBy(*order))
@@ -125,12 +150,6 @@ def youtube_chapters(timeline: DataFrame) -> DataFrame:
     return index_events(timeline).select("video_id", "n", F.concat(S.youtube_time(F.col("time_start")), F.lit(" "), F.col("summary")).alias("line"))
 
 
-def youtube_text(timeline: DataFrame) -> DataFrame:
-    """The lines of each video as one text."""
-    rows = youtube_chapters(timeline).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    return rows
-
-
 def transcript_sheet(timeline: DataFrame) -> DataFrame:
     """Eleven columns for reading, and a mark for the row; a conflict's overrides a spike's."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))

@@ -345,6 +345,11 @@ _add("scores_by_channel", "fx_asr fx_audio", _SPEECH + """, own as (
   from speech where "end" - "start" >= 1),
 r as (select *, row_number() over (partition by video_id order by score desc, turn)::int rank from own where score >= case when video_id % 2 = 0 then 20 else 15 end)
 select video_id, turn::int seg_ord, rank, "start" time_start, "end" time_end, score::double score from r where rank <= 30""")
+_add("channel_params_read", "fx_frames", """s as (select distinct video_id, video_id % 2 = 0 even from fx_frames)
+select video_id, concat('c', video_id) channel, (1.5 + video_id % 3)::double spike_threshold, case when even then 0.25 else 1.0 end::double sample_interval_sec, case when even then 6 else 4 end::int hash_distance,
+  case when even then 2 else 3 end::int stable_frames, (video_id % 5)::int top_n, 10.0::double window_sec, case when even then 7.0 else 20.0 end::double laughter, 2.0::double other, 25.0::double chat_spike,
+  case when even then 'a|b' else '' end keywords
+from s""")
 _add("newest_timeline", "fx_asr", """e as (select distinct video_id v from fx_asr),
 f as (select concat('/runs/', v % 25) root, case when v >= 25 then concat('/runs/', v % 25, '/run', v, '/timeline.json') when v % 4 = 0 then concat('/runs/', v % 25, '/timeline.json') end path,
   case when v >= 25 then 1 else 2 end rank, v * 7919 % 1000 modified from e)
@@ -366,6 +371,9 @@ st as (
 stable as (select video_id, at_frame frame_index, at_ord frame_ord, anchor phash from st where n = 2)
 """
 _add_recursive("frame_debounce", "fx_frames", "s as (select 1),\n" + _FOLD.format(rows="", source="fx_frames") + "select video_id, frame_index, phash from stable")
+_add_recursive("frames_by_channel", "fx_frames", "s as (select * from fx_frames where frame_index % (case when video_id % 2 = 0 then 7 else 30 end) = 0),\n"
+    + _FOLD.format(rows="", source="s").replace("> 4 far", "> case when st.video_id % 2 = 0 then 6 else 4 end far").replace("where n = 2", "where n = case when video_id % 2 = 0 then 2 else 3 end")
+    + "select video_id, frame_index, phash from stable")
 _add_recursive("frames_to_rows", "fx_frames", "s as (select * from fx_frames where frame_index % 15 = 0),\n" + _FOLD.format(rows="", source="s").rstrip() + """,
 p as (select f.* from fx_frames f join stable using (video_id, frame_ord)),
 """ + _REVEALS.format(source="p") + "select video_id, ord, chapter, name, dialogue, frame_index / 30::double frame_time, frame_index from v")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from streamloom.params import Channels, Params
 from streamloom.plans.fixtures import raw_speech, timeline, view
 from streamloom.plans.pipeline import build_timeline
 from streamloom.sources import readers
-from streamloom.storage import shared_dir
+from streamloom.storage import Workspace
 
 #: A threshold at which every branch of the chat path occurs in the views.
 CHAT = Params(spike_threshold=1.5, reaction_keywords=("error", "click"))
@@ -64,8 +63,8 @@ def _messages(c: str):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, for what round-trip queries write."""
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, for what round-trip queries write; it goes when the driver ends."""
+    return Workspace(spark, "roundtrip").path
 
 
 @query
@@ -355,7 +354,8 @@ def youtube_chapters(spark, d):
 
 @query
 def youtube_text(spark, d):
-    return reports.youtube_text(timeline(spark, d))
+    readers.write_youtube(reports.youtube_chapters(timeline(spark, d)), path := f"{_shared(spark)}/youtube")
+    return readers.read_texts(spark, path).select(F.col("video_id").cast("long").alias("video_id"), "value")
 
 
 @query
@@ -385,7 +385,8 @@ def srt_counts(spark, d):
 
 @query
 def srt_text(spark, d):
-    return readers.subtitle_texts(subtitles.all_tracks(timeline(spark, d)))
+    readers.write_subtitles(subtitles.all_tracks(timeline(spark, d)), path := f"{_shared(spark)}/srt")
+    return readers.read_texts(spark, path).select("track", F.col("video_id").cast("long").alias("video_id"), "value")
 
 
 @query
@@ -446,6 +447,34 @@ def scores_by_channel(spark, d):
     return clips.highlights(rows, channels)
 
 
+def _channel_files(spark, d):
+    """Parameters in nested files, one object a video: every second one leaves some to the defaults."""
+    v = F.col("video_id")
+    even = v % 2 == 0
+    ocr = F.struct(F.when(even, 0.25).otherwise(1.0).alias("sample_interval_sec"), F.when(even, 6).alias("hash_diff_threshold"), F.when(~even, 3).alias("stable_threshold"))
+    chat_ = F.struct((1.5 + v % 3).alias("spike_threshold"))
+    weights = F.struct(F.struct(F.when(even, 7.0).alias("laughter"), F.lit(2.0).alias("other")).alias("weights"), (v % 5).cast("int").alias("top_n"))
+    words = F.struct(F.when(even, F.array(F.lit("a"), F.lit("b"))).alias("reaction"))
+    rows = view(spark, d, "fx_frames").select("video_id").distinct()
+    files = rows.select("video_id", F.struct(F.concat(F.lit("c"), v.cast("string")).alias("name")).alias("channel"), ocr.alias("ocr"), chat_.alias("chat"), weights.alias("highlight"), words.alias("keywords"))
+    files.write.json(path := f"{_shared(spark)}/channels.jsonl")
+    return readers.read_channel_params(spark, path)
+
+
+@query
+def channel_params_read(spark, d):
+    rows = _channel_files(spark, d)
+    return rows.select("video_id", "channel", "spike_threshold", "sample_interval_sec", "hash_distance", "stable_frames", "top_n", "window_sec", F.col("weights")["laughter"].alias("laughter"), F.col("weights")["other"].alias("other"), F.col("weights")["chat_spike"].alias("chat_spike"), F.array_join("reaction_keywords", "|").alias("keywords"))
+
+
+@query
+def frames_by_channel(spark, d):
+    """Frames sampled and debounced by the parameters of each video's file."""
+    table = _channel_files(spark, d).select("video_id", "sample_interval_sec", "hash_distance", "stable_frames")
+    channels = Channels(table)
+    return screen.stable_frames(screen.sampled_frames(view(spark, d, "fx_frames"), 30.0, channels), channels).select("video_id", "frame_index", "phash")
+
+
 @query
 def raw_chat_read(spark, d):
     stamp = F.date_format(F.timestamp_micros("published_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -10,6 +10,10 @@ from streamloom.functions.scalar import fmt_ts
 from streamloom.params import Params
 
 
+#: Lines of a text that one file holds.
+TEXT_LINES = 1_000_000
+
+
 def _video_of(path: Column) -> Column:
     """The number of a .../video_id=N/... folder, or of a file's stem."""
     found = F.regexp_extract(path, r"(?:video_id=|/)(\d+)(?:/[^/]*|\.[a-z]+)$", 1)
@@ -117,6 +121,14 @@ def newest_timeline(files: DataFrame) -> DataFrame:
     return files.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("root").agg(F.max_by("path", F.struct("rank", "modified", "path")).alias("path"))
 
 
+def read_newest_timeline(spark: SparkSession, root: str) -> DataFrame:
+    """The newest timeline under a root, read; it is an error if there is none."""
+    found = newest_timeline(list_timelines(spark, root)).first()
+    if found is None:
+        raise FileNotFoundError(f"no timeline.json under {root}")
+    return read_timeline_arrays(spark, found.path)
+
+
 def list_timelines(spark: SparkSession, root: str) -> DataFrame:
     """The timeline files under a root, as (root, path, modified)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "timeline.json").load(root)
@@ -197,15 +209,29 @@ def params_of(row: Row) -> Params:
     return Params(**{k: tuple(v) if isinstance(known[k], tuple) else v for k, v in row.asDict().items() if k in known and v is not None})
 
 
-def write_youtube(texts: DataFrame, path: str) -> None:
-    """(video_id, value) as one text for each video."""
-    texts.write.partitionBy("video_id").text(path)
+def write_lines(rows: DataFrame, path: str, keys: list[str], order: str, value: str) -> None:
+    """A text for each value of keys, whose lines are value in the order of a column that counts them.
 
+    Lines are written as they come, sorted within ranges of keys: no text is
+    gathered, and one of more than TEXT_LINES lines lies in several files, in
+    the order of their names.
+    """
+    rows = rows.select(*keys, F.floor(F.col(order) / TEXT_LINES).alias("_part"), F.col(order).alias("_order"), F.col(value).alias("value"))
+    rows = rows.repartitionByRange(*keys, "_part").sortWithinPartitions(*keys, "_part", "_order")
+    rows.select(*keys, "value").write.partitionBy(*keys).text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """The files of write_lines, each as one value, without the last line's end."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.withColumn("value", F.regexp_replace("value", r"\n\z", ""))
 
-def write_subtitles(blocks: DataFrame, path: str) -> None:
-    """(track, video_id, n, block) as one text for each track and video."""
-    subtitle_texts(blocks).write.partitionBy("track", "video_id").text(path)
 
+def write_youtube(lines: DataFrame, path: str) -> None:
+    """(video_id, n, line) as one text for each video."""
+    write_lines(lines, path, ["video_id"], "n", "line")
 
-def subtitle_texts(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("track", "video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n").alias("value"))
+
+def write_subtitles(blocks: DataFrame, path: str) -> None:
+    """(track, video_id, n, block) as one text for each track and video."""
+    write_lines(blocks, path, ["track", "video_id"], "n", "block")

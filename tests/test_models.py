@@ -5,7 +5,7 @@ import random
 import pytest
 
 from streamloom.operators import align, chat, clips, reports, screen, speech
-from streamloom.params import Params
+from streamloom.params import Channels, Params
 from streamloom.plans.fixtures import timeline
 
 FRAMES = "video_id long, frame_ord long, frame_index long, dialogue_text string, name_text string, chapter_text string"
@@ -22,7 +22,11 @@ def batched(spark, request):
     spark.conf.set(name, before)
 
 
-def test_greedy_match_is_the_serial_one(batched):
+@pytest.mark.parametrize(("pairs", "rounds"), [(100_000, 16), (0, 16), (2, 1)])
+def test_greedy_match_is_the_serial_one(batched, monkeypatch, pairs, rounds):
+    monkeypatch.setattr(align, "ISLAND_PAIRS", pairs)
+    monkeypatch.setattr(align, "ROUNDS", rounds)
+    monkeypatch.setattr(align, "BLOCK_SEC", 7.0)
     rng = random.Random(4)
     sides = [[(v, k, a := round(rng.uniform(0, 60), 1), a + round(rng.uniform(0, 9), 1)) for v in range(60) for k in range(rng.randint(0, 9))] for _ in range(2)]
     left = [(v, k, a, b) for v, k, a, b in sides[0]]
@@ -46,7 +50,8 @@ def test_greedy_match_is_the_serial_one(batched):
         assert sorted(map(tuple, got.collect())) == want
 
 
-def test_debounce_is_the_serial_one(batched):
+def test_debounce_is_the_serial_one(batched, monkeypatch):
+    monkeypatch.setattr(screen, "BLOCK_FRAMES", 50)
     rng = random.Random(5)
     frames, want = [], []
     for v in range(20):
@@ -67,6 +72,27 @@ def test_debounce_is_the_serial_one(batched):
     assert screen.stable_frames(df, Params(stable_frames=1)).count() >= len(want)
 
 
+def test_a_single_video_is_dealt_by_its_stretches(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    value, rows = 0, []
+    for k in range(3000):
+        value = rng.getrandbits(62) if rng.random() < 0.2 else value ^ (1 << rng.randrange(62)) * (rng.random() < 0.5)
+        rows.append((1, k, k, value))
+    df = spark.createDataFrame(rows, "video_id long, frame_ord long, frame_index long, phash long")
+    counts = screen._in_stretches(df, F.lit(4)).groupBy("stretch").count()
+    assert counts.agg(F.max("count")).first()[0] < 100 and counts.count() > 300
+
+
+def test_a_second_row_of_parameters_is_an_error(spark):
+    table = spark.createDataFrame([(1, 3), (2, 4), (2, 4)], "video_id long, hash_distance int")
+    frames = spark.createDataFrame([(v, 0, 0, 5) for v in (1, 2)], "video_id long, frame_ord long, frame_index long, phash long")
+    assert screen.stable_frames(frames.where("video_id = 1"), Channels(table.where("video_id = 1"), Params(stable_frames=1))).count() == 1
+    with pytest.raises(Exception, match="several rows of parameters for video 2"):
+        screen.stable_frames(frames, Channels(table, Params(stable_frames=1))).collect()
+
+
 def test_debounce_of_odd_frames(batched):
     hashes = [None, None, -1, (1 << 63) - 1, 0, None, 0, 1]
     schema = "video_id long, frame_ord long, frame_index long, phash long, name_text string"

@@ -1,6 +1,7 @@
 """Files written and read back."""
 
 import json
+import random
 
 from streamloom import schema
 from streamloom.operators import chat, reports, subtitles
@@ -93,7 +94,18 @@ def test_a_video_is_one_file_in_order(spark, sf_dir, tmp_path):
 def test_text_sinks(spark, sf_dir, tmp_path):
     rows = timeline(spark, sf_dir)
     readers.write_subtitles(subtitles.all_tracks(rows), str(tmp_path / "srt"))
-    readers.write_youtube(reports.youtube_text(rows), str(tmp_path / "yt"))
+    readers.write_youtube(reports.youtube_chapters(rows), str(tmp_path / "yt"))
     texts = [p.read_text() for p in (tmp_path / "srt" / "track=dual").rglob("part-*")]
     assert texts and all(t.startswith("1\n00:") and " --> " in t for t in texts)
     assert list((tmp_path / "yt").rglob("part-*"))
+
+
+def test_texts_of_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "TEXT_LINES", 10)
+    rows = [(t, v, n, f"{t}{v}\nline {n}") for t in ("x", "y") for v in (1, 2, 30) for n in range(1, 34)]
+    random.Random(1).shuffle(rows)
+    readers.write_lines(spark.createDataFrame(rows, "track string, video_id long, n int, block string").repartition(6), str(tmp_path / "t"), ["track", "video_id"], "n", "block")
+    for t in ("x", "y"):
+        for v in (1, 2, 30):
+            files = sorted((tmp_path / "t" / f"track={t}" / f"video_id={v}").glob("part-*"))
+            assert "".join(f.read_text() for f in files) == "".join(f"{t}{v}\nline {n}\n" for n in range(1, 34))
