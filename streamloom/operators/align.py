@@ -21,11 +21,16 @@ BLOCK_SEC, ISLAND_PAIRS, ROUNDS = 600.0, 100_000, 16
 
 
 def numbered(timeline: DataFrame) -> DataFrame:
-    """seg_ord anew by start time; speech before chat events before screen rows at a tie."""
+    """seg_ord anew by start time; speech before chat events before screen rows at a tie.
+
+    Rows are written once and numbered in blocks of time, so no task holds a video.
+    """
     source = F.col("merge.source_type")
     rank = F.when(source == "event_only", 1).when(source == "ocr_only", 2).otherwise(0)
-    over = Window.partitionBy("video_id").orderBy("time_start", rank, "seg_ord")
-    return timeline.withColumn("seg_ord", F.row_number().over(over)).select(*schema.TIMELINE_COLUMNS)
+    rows = Workspace(timeline.sparkSession, "numbered").table(timeline.select(*schema.TIMELINE_COLUMNS), "rows")
+    rows = rows.withColumnsRenamed({"seg_ord": "before"}).withColumn("rank", rank)
+    rows = scans.with_numbers(rows, ["video_id"], F.floor(F.col("time_start") / BLOCK_SEC), ["time_start", "rank", "before"], "seg_ord")
+    return rows.select(*schema.TIMELINE_COLUMNS)
 
 
 def touched(segments: DataFrame, params: AnyParams) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
+from streamloom.operators import scans
 
 KINDS = ("opening", "chapter", "debut", "chat", "reaction")
 TOP_REACTIONS = 10
@@ -56,8 +57,8 @@ def conflict_rows(timeline: DataFrame) -> DataFrame:
     """Conflicts in order with both texts, a suggestion and the note."""
     rows = timeline.where(F.col("merge.match_status") == "conflict")
     rows = rows.withColumn("suggested", S.resolution(F.col("ocr.dialogue"), F.col("asr.text")))
-    n = F.row_number().over(Window.partitionBy("video_id").orderBy("seg_ord"))
-    return rows.select("video_id", n.alias("n"), S.fmt_ts(F.col("time_start")).alias("at"), F.col("ocr.dialogue").alias("ocr_text"), F.col("asr.text").alias("asr_text"), F.col("suggested.code").alias("suggestion"), F.col("suggested.wrong").alias("wrong"), F.col("suggested.right").alias("right"), F.col("merge.conflict_note").alias("note"))
+    rows = scans.with_numbers(rows, ["video_id"], F.floor(F.col("seg_ord") / scans.SPAN), ["seg_ord"], "n")
+    return rows.select("video_id", "n", S.fmt_ts(F.col("time_start")).alias("at"), F.col("ocr.dialogue").alias("ocr_text"), F.col("asr.text").alias("asr_text"), F.col("suggested.code").alias("suggestion"), F.col("suggested.wrong").alias("wrong"), F.col("suggested.right").alias("right"), F.col("merge.conflict_note").alias("note"))
 
 
 def chapter_transitions(timeline: DataFrame) -> DataFrame:

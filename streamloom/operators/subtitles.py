@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
+from streamloom.operators import scans
 
 
 def _track(timeline: DataFrame, name: str, text: Column) -> DataFrame:
+    """The rows with a text, numbered in blocks of segments; the timeline is read twice."""
     rows = timeline.withColumn("text", text).where(F.coalesce("text", F.lit("")) != "")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy("seg_ord")))
+    rows = scans.with_numbers(rows, ["video_id"], F.floor(F.col("seg_ord") / scans.SPAN), ["seg_ord"], "n")
     return rows.select(F.lit(name).alias("track"), "video_id", "n", S.srt_block(F.col("n"), F.col("time_start"), F.col("time_end"), F.col("text")).alias("block"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streamloom import schema
 from streamloom.functions import scalar as S
+from streamloom.storage import Workspace
 
 FX_CHAT = """
 select user_id video_id, event_id msg_ord, concat('user', cast(event_id % 97 as varchar)) author,
@@ -97,7 +98,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql))})
 
 
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline of a folder's tables, built and written once in a program, as one is before it is searched."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _written:
+        _written[key] = Workspace(spark, "timelines").table(built_timeline(spark, sf_dir), "timeline")
+    return _written[key]
+
+
+def built_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_timeline in the timeline's schema; chat messages are the first ten of the video."""
     rows, c = view(spark, sf_dir, "fx_timeline"), F.col
     first = view(spark, sf_dir, "fx_chat")
