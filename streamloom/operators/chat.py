@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
 from streamloom.functions.scalar import contains_any, offset_sec, published_us
-from streamloom.params import PAID, AnyParams, Params
+from streamloom.params import PAID, AnyParams, Channels, Params
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -106,9 +106,6 @@ def run_summary(windows: DataFrame) -> DataFrame:
 
 def spikes_by_channel(chat: DataFrame, durations: DataFrame, channels: DataFrame, params: Params) -> DataFrame:
     """Windows that spike by their channel's threshold; channels: video_id, spike_threshold (null: the default)."""
-    windows = _windows(in_range(chat, durations, params).drop("spike_threshold"), params)
-    total = F.sum("message_count").over(Window.partitionBy("video_id"))
-    rows = windows.withColumn("total", total).join(durations, "video_id", "left").join(channels, "video_id", "left")
-    baseline = F.when(F.coalesce("duration", F.lit(0.0)) > 0, F.col("total") / (F.col("duration") / 60)).otherwise(0.0)
-    threshold = F.coalesce("spike_threshold", F.lit(params.spike_threshold))
-    return rows.where(F.col("message_count") / (params.window_sec / 60) > baseline * threshold).select("video_id", "win_idx", "message_count", threshold.alias("spike_threshold"))
+    own = Channels(channels.select("video_id", "spike_threshold"), params)
+    rows, by_row = own.of(chat_windows(chat, durations, own).where("is_spike"))
+    return rows.select("video_id", "win_idx", "message_count", by_row.spike_threshold.alias("spike_threshold"))

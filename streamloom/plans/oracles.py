@@ -441,3 +441,11 @@ _add_recursive("full_pipeline", "fx_chat fx_ocr fx_audio", _ALIGNED + """select
   case when choice_point then 'choice' when chapter_change and coalesce(dialogue, '') = '' then 'transition' when coalesce(dialogue, '') <> '' and character is not null then 'dialogue'
     when coalesce(dialogue, '') <> '' then 'narration' when coalesce(text, '') <> '' and guess = 'game_voice' then 'narration' when coalesce(text, '') <> '' or chat_spike then 'reaction' else 'silence' end scene_type,
   dialogue, text, message_count, total, source_type, match_status from final""")
+
+for _name, _scan in (("indexed_keyword", "search_keyword"), ("indexed_character", "search_character"), ("indexed_chapter", "chapter_filter")):
+    ORACLE_SQL[_name] = ORACLE_SQL[_scan]
+_REPORTS = {"index": "index_events", "youtube": "youtube_chapters", "sheet": "transcript_sheet", "characters": "character_stats", "scenes": "scene_distribution", "overview": "time_overview", "conflicts": "conflict_rows", "conflict_summary": "conflict_summary", "clips": "clip_manifest"}
+ORACLE_SQL["report_rows"] = (
+    "\nunion all\n".join(f"select '{report}' report, count(*)::bigint n from ({ORACLE_SQL[own]})" for report, own in _REPORTS.items())
+    + f"\nunion all\nselect 'subtitles' report, coalesce(sum(subtitles), 0)::bigint n from ({ORACLE_SQL['srt_counts']})"
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from streamloom.functions import scalar as S
 from streamloom.operators import align, chat, clips, reports, screen, search, speech, subtitles
 from streamloom.params import Channels, Params
 from streamloom.plans.fixtures import raw_speech, timeline, view
-from streamloom.plans.pipeline import build_timeline
+from streamloom.plans.pipeline import build_reports, build_timeline
 from streamloom.sources import readers
+from streamloom.sources.search_index import TimelineIndex, write_index
 from streamloom.storage import Workspace
 
 #: A threshold at which every branch of the chat path occurs in the views.
@@ -271,6 +273,27 @@ def search_keyword(spark, d):
     return search.lines(search.by_keyword(timeline(spark, d), "the"))
 
 
+def _index(spark, d):
+    write_index(timeline(spark, d), path := f"{_shared(spark)}/index")
+    return TimelineIndex(spark, path, schema.TIMELINE)
+
+
+@query
+def indexed_keyword(spark, d):
+    """R2 by the trigram postings of a timeline that is written with them."""
+    return search.lines(_index(spark, d).by_keyword("the"))
+
+
+@query
+def indexed_character(spark, d):
+    return search.lines(_index(spark, d).by_character("char1"))
+
+
+@query
+def indexed_chapter(spark, d):
+    return search.lines(_index(spark, d).by_chapter("Chapter 1"))
+
+
 @query
 def top_reactions(spark, d):
     rows = search.top_reactions(timeline(spark, d), 10)
@@ -523,3 +546,10 @@ def newest_timeline(spark, d):
 def full_pipeline(spark, d):
     rows = build_timeline(raw_speech(spark, d), _levels(spark, d), _chat(spark, d), view(spark, d, "fx_ocr"), FULL)
     return rows.select("video_id", "seg_ord", "time_start", "time_end", "scene_type", "ocr.dialogue", "asr.text", "chat.message_count", "score.total", "merge.source_type", "merge.match_status")
+
+
+@query
+def report_rows(spark, d):
+    """The rows of each report of the whole set."""
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("report"), "n") for name, rows in build_reports(align.classified(timeline(spark, d)), Params()).items()]
+    return reduce(DataFrame.unionByName, counts)
