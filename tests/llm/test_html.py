@@ -65,6 +65,94 @@ def test_a_megabyte_takes_seconds(name):
     assert time.process_time() - started < 30
 
 
+# pages of stock markup
+
+A = "<p>First, the article says one thing, with commas, and at some length too.</p><p>Then it goes on, with another, longer sentence, until it ends in this place.</p>"
+
+
+@pytest.mark.parametrize(
+    "inline,text",
+    [
+        ("<p>Call <span class='popup'>this word</span> a term, and go on with it for a while.</p>", "Call this word a term, and go on with it for a while."),
+        ("<p>It is <em class=promo>really</em> so, and it stays so for a long time.</p>", "It is really so, and it stays so for a long time."),
+        ("<p>See <a class='share' href=/x>that page</a>, which has more of it than this one.</p>", "See that page, which has more of it than this one."),
+        ("<p>Press <label>Start</label> and wait until the light goes off again.</p>", "Press Start and wait until the light goes off again."),
+        ("<pre><code><span class='token comment'># set x</span>\nx = <span class='token number'>1</span></code></pre>", "# set x x = 1"),
+        ("<p><code><span class='comment'>// all of it</span></code></p>", "// all of it"),
+        ("<p>A sentence of the article. <a class='share-button' href=/s>Share</a></p>", "A sentence of the article."),
+        ("<p>By nobody <span class=social><a href=/a>Tweet</a> <a href=/b>Pin it</a></span> today</p>", "By nobody today"),
+        ("<p><span class=ad>Buy it now, or never, as long as there is any.</span></p>", None),
+        ("<div><a class=nav href=/a>Home</a> <a class=nav href=/b>About</a></div>", None),
+        ("<div><label>Name</label><label>Street</label><input></div>", None),
+        ("<span class=ad><div>Buy it now, or never, as long as there is any.</div></span>", None),
+        ("<p>Here <span hidden>not seen</span> it is, in a sentence that has no other mark.</p>", "Here it is, in a sentence that has no other mark."),
+    ],
+)
+def test_marks_of_inline_elements(inline, text):
+    got = html_main.main_text(f"<body><article><h1>Title</h1>{A}{inline}<p>Last, as ever, comes the end of the article, which is this one.</p></article></body>").split("\n")
+    assert got[3:-1] == ([] if text is None else [text]) and len(got) == 4 + (text is not None)
+
+
+def remark(item, author="", date="", reply="", around="div"):
+    text = "<p>Well, I think this is wrong, all of it, and I say so here at length.</p>"
+    return f"<{around} class='{item}'>{author}{date}{text}{reply}</{around}>"
+
+
+SIGNED = {
+    "author": remark("item", "<span class=author>Jo</span>"),
+    "says": remark("item", "<b>Jo says:</b>"),
+    "date": remark("item", "", "<time>May 3</time>"),
+    "date in words": remark("item", "", "<small>3 days ago</small>"),
+    "reply": remark("item", "", "", "<a href=#r>Reply</a>"),
+    "button": remark("item", "", "", "<button>Reply</button>"),
+    "all": remark("row", "<cite class=fn>Jo</cite>", "<span>March 3, 2021 at 5:11 pm</span>", "<a href=#r>Reply</a>", "li"),
+    "meta in a footer": "<article class=entry><footer><b class=author>Jo</b></footer><div><p>Well, I think this is wrong, all of it, and so on and on.</p></div></article>",
+}
+
+
+@pytest.mark.parametrize("count", [2, 12])
+@pytest.mark.parametrize("around", ["<div class=list>{}</div>", "<div class=list><h3>Opinions (2)</h3>{}</div>", "<h3>Opinions (2)</h3>{}", "<section><h2>What you think</h2><div class=list>{}</div></section>"])
+@pytest.mark.parametrize("sign", SIGNED)
+def test_readers_words_by_structure(sign, around, count):
+    page = f"<body><h1>Title</h1><div class=content>{A}</div>{around.format(SIGNED[sign] * count)}<footer>x</footer></body>"
+    assert html_main.main_text(page).split("\n")[-1].startswith("Then it goes on") and "wrong" not in html_main.main_text(page) and "Opinions" not in html_main.main_text(page)
+
+
+@pytest.mark.parametrize("sign", [k for k in SIGNED if not k.startswith("date")])
+def test_readers_words_within_the_article(sign):
+    got = html_main.main_text(f"<main><article><h1>Title</h1>{A}<div class=list>{SIGNED[sign] * 3}</div></article></main>")
+    assert got.count("\n") == 2 and "wrong" not in got
+
+
+@pytest.mark.parametrize("name", ["commentlist", "user-reviews", "discussion", "guestbook", "customer-feedback", "testimonials", "comment-list", "readerComments"])
+def test_readers_words_by_name(name):
+    assert "wrong" not in html_main.main_text(f"<body><div class=content>{A}</div><div class='{name}'>{remark('x')}{remark('x')}</div></body>")
+    assert "wrong" not in html_main.main_text(f"<body><div class=content>{A}</div><ol class='{name}'>{remark('x', around='li')}{remark('x', around='li')}</ol></body>")
+
+
+@pytest.mark.parametrize(
+    "page,count",
+    [
+        (f"<body><h1>Paper</h1><section class=methods><h2>Methods</h2>{P}</section><section class=discussion><h2>Discussion</h2>{P}</section><section class=end><h2>End</h2>{P}</section></body>", 9),
+        (f"<article><h1>Paper</h1><section class=methods><h2>Methods</h2>{P}</section><section class=discussion><h2>Discussion</h2>{P}</section></article>", 6),
+        (f"<article><h1>Talk</h1>{P}<div class=part><time>1:10</time>{P}</div><div class=part><time>2:10</time>{P}</div></article>", 9),
+        (f"<main><h1>Posts</h1><div class=post><h3><a href=/a>One</a></h3><span class=author>Jo</span>{P}</div><div class=post><h3><a href=/b>Two</a></h3><span class=author>Jo</span>{P}</div></main>", 6),
+        (f"<article><h1>Quotes</h1>{P}<div class=q>{P}<span class=author>Jo</span></div><div class=q>{P}<span class=author>Al</span></div>{P}</article>", 12),
+        ("<article><h1>Works</h1>" + P + "<ul>" + "<li><span class=author>Jo Doe</span>, A long paragraph, with commas, of a work</li>" * 3 + "</ul></article>", 6),
+        (f"<main><article><h2>One</h2>{P * 4}</article><article><h2>Two</h2>{P}</article></main>", 15),
+    ],
+)
+def test_articles_that_look_like_readers_words(page, count):
+    assert html_main.main_text(page).count("A long paragraph") == count
+
+
+def test_many_groups_and_signs_take_time_in_proportion():
+    started = time.process_time()
+    html_main.main_text(f"<body><h1>x</h1>{P}" + "<div><div class=a>" * 20_000 + (remark("c", "<b>Jo says:</b>") * 2 + "</div>") * 5_000 + "<span class=ad>x</span> y " * 50_000)
+    html_main.main_text("<p>word <span class=ad>" * 100_000)
+    assert time.process_time() - started < 30
+
+
 # a plain model: trees of (tag, class, children), a child being a tree, a text or a link
 
 
@@ -164,7 +252,8 @@ def plain_text(tree):
         for n in nodes:
             if best[0] != "body" and n is not best and parent[id(n)] is parent[id(best)]:
                 size = sum(len(b[1]) for b in below(n, rows))
-                if worth(n) >= max(10.0, 0.2 * worth(best)) or density(n) < 0.25 and (n[0] == "p" and size > 80 or n[0] == "h2"):
+                least = 0.2 * worth(best) if n[0] == best[0] == "article" else max(10.0, 0.2 * worth(best))
+                if worth(n) >= least or density(n) < 0.25 and (n[0] == "p" and size > 80 or n[0] == "h2"):
                     keep.append(n)
     else:
         keep = [n for n in nodes if n[0] == "article" and below(n, rows)][:1] or [tree]
