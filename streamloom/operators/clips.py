@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions import scalar as S
+from streamloom.operators import scans
 from streamloom.params import AnyParams
 
+#: Seconds of a video whose intervals one task scans.
+BLOCK_SEC = 1 << 12
+
 
 def highlights(timeline: DataFrame, params: AnyParams) -> DataFrame:
     """The rows of the highest scores of at least min_score."""
@@ -21,16 +25,19 @@ def with_intervals(rows: DataFrame, params: AnyParams) -> DataFrame:
     """Rows with the number of their merged interval, by start.
 
     Intervals merge while the next one starts within the gap of the running
-    end, so a row's interval is the count of breaks before it and no join is
-    needed to find it.
+    end, so a row's interval is the count of breaks before it. Running ends and
+    counts are scanned in blocks of time, so no task holds a video.
     """
     rows, params = params.of(rows)
     pad, gap = params.clip_padding_sec, params.clip_gap_sec
     rows = rows.withColumns({"clip_start": F.greatest(F.lit(0.0), F.col("time_start") - pad), "clip_end": F.col("time_end") + pad})
-    over = Window.partitionBy("video_id").orderBy("clip_start", "clip_end", "seg_ord")
-    before = F.max("clip_end").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.when(F.col("clip_start") <= before + gap, 0).otherwise(1))
-    return rows.withColumn("clip", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new", "_own")
+    rows = rows.withColumn("_block", F.floor(F.col("clip_start") / BLOCK_SEC))
+    scanned = lambda rows, scan: scans.running(rows, ["video_id"], "_block", ["clip_start", "clip_end", "seg_ord"], scan)
+    rows = scanned(rows, {"_before": (F.max, F.col("clip_end"))})
+    rows = rows.withColumn("_new", F.when(F.col("clip_start") <= F.col("_before") + gap, 0).otherwise(1))
+    rows = scanned(rows, {"_breaks": (F.sum, F.col("_new"))})
+    clip = F.coalesce("_breaks", F.lit(0)) + F.col("_new")
+    return rows.withColumn("clip", clip.cast("int")).drop("_block", "_before", "_new", "_breaks", "_own")
 
 
 def merged_intervals(rows: DataFrame, params: AnyParams) -> DataFrame:

@@ -62,10 +62,11 @@ def conflict_rows(timeline: DataFrame) -> DataFrame:
 
 
 def chapter_transitions(timeline: DataFrame) -> DataFrame:
-    """Rows whose chapter differs from the last one named."""
-    rows = timeline.withColumn("chapter", F.col("ocr.chapter")).where(_filled("chapter"))
-    before = F.lag("chapter").over(Window.partitionBy("video_id").orderBy("seg_ord"))
-    return rows.withColumn("before", before).where(~F.col("chapter").eqNullSafe(F.col("before"))).select("video_id", "seg_ord", "time_start", "chapter")
+    """Rows whose chapter differs from the last one named; no task holds a video."""
+    rows = timeline.select("video_id", "seg_ord", "time_start", F.col("ocr.chapter").alias("chapter")).where(_filled("chapter"))
+    rows = rows.withColumn("_block", F.floor(F.col("seg_ord") / scans.SPAN))
+    rows = scans.running(rows, ["video_id"], "_block", ["seg_ord"], {"_before": (F.max, F.struct("seg_ord", "chapter"))})
+    return rows.where(~F.col("chapter").eqNullSafe(F.col("_before.chapter"))).drop("_block", "_before")
 
 
 def debuts(timeline: DataFrame) -> DataFrame:

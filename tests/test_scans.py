@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.operators import align, scans, speech
+from streamloom.operators import align, clips, reports, scans, speech
 from streamloom.params import Params
 
 
@@ -133,3 +133,34 @@ def test_overlaps_of_rows_of_any_length(spark):
             if v == w and b > a and d > c and (ratio := (min(b, d) - max(a, c)) / min(b - a, d - c)) >= 0.2:
                 want.append((i, j, round(ratio, 9)))
     assert got == sorted(want)
+
+
+def test_intervals_merge_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clips, "BLOCK_SEC", 50)
+    rng, params = random.Random(6), Params()
+    rows = [(v, k, float(a), a + rng.choice([1.0, 3.0, 9.0, 400.0 if k % 40 == 0 else 2.0])) for v in ("a", "b") for k, a in enumerate(sorted(rng.choices(range(6000), k=220)))]
+    got = clips.merged_intervals(spark.createDataFrame(rows, "video_id string, seg_ord int, time_start double, time_end double"), params).collect()
+    plain = {}
+    for v in ("a", "b"):
+        own = []
+        for start, end in sorted((max(0.0, a - params.clip_padding_sec), b + params.clip_padding_sec) for w, _, a, b in rows if w == v):
+            if own and start <= own[-1][1] + params.clip_gap_sec:
+                own[-1][1] = max(own[-1][1], end)
+            else:
+                own.append([start, end])
+        plain |= {(v, n): tuple(x) for n, x in enumerate(own, 1)}
+        assert len(own) > 5 and any(t - s > 400 for s, t in own)
+    assert {(r.video_id, r.clip): (r.start, r.end) for r in got} == plain
+
+
+def test_chapters_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SPAN", 7)
+    rng = random.Random(7)
+    rows = [(v, k, float(k), (rng.choice([None, "", *"aaab"]),)) for v in ("x", "y") for k in range(200)]
+    got = reports.chapter_transitions(spark.createDataFrame(rows, "video_id string, seg_ord int, time_start double, ocr struct<chapter:string>"))
+    plain, last = [], {}
+    for v, k, at, (chapter,) in rows:
+        if chapter and last.get(v) != chapter:
+            plain.append((v, k, at, chapter))
+            last[v] = chapter
+    assert sorted(map(tuple, got.collect())) == plain and got.columns == ["video_id", "seg_ord", "time_start", "chapter"]
