@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from streamloom.operators import search
 
@@ -34,7 +35,8 @@ def write_index(timeline: DataFrame, path: str) -> None:
     """
     block = F.concat_ws("-", F.col("video_id").cast("string"), F.floor(F.col("seg_ord") / BLOCK_ROWS).cast("string"))
     timeline.withColumn("block", block).repartition("block").sortWithinPartitions("block", "seg_ord").write.partitionBy("block").parquet(f"{path}/timeline")
-    rows = timeline.sparkSession.read.schema(timeline.schema.add("block", "string")).parquet(f"{path}/timeline")
+    # a schema's add() would change the one that timeline holds, and with it timeline's columns
+    rows = timeline.sparkSession.read.schema(StructType([*timeline.schema.fields, StructField("block", StringType())])).parquet(f"{path}/timeline")
     grams = F.array(*(F.struct(F.lit(name).alias("field"), _trigrams(F.col(c)).alias("grams")) for name, c in FIELDS.items()))
     postings = rows.select("block", F.inline(F.filter(grams, lambda x: x["grams"].isNotNull()))).select("block", "field", F.explode("grams").alias("trigram")).distinct()
     postings.withColumn("folder", _folder(F.col("trigram"))).repartition("folder").sortWithinPartitions("folder", "field", "trigram").write.partitionBy("folder").parquet(f"{path}/postings")

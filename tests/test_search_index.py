@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from streamloom import schema
 from streamloom.operators import search
 from streamloom.plans.fixtures import timeline
-from streamloom.sources import search_index
+from streamloom.sources import readers, search_index
 from streamloom.sources.search_index import TimelineIndex, write_index
 
 
@@ -41,3 +41,12 @@ def test_a_rare_word_reads_few_blocks(indexed, monkeypatch):
     monkeypatch.setattr(search_index, "BY_NAME", 0)
     assert _rows(index.by_keyword(text)) == _rows(found)
     assert index.candidates(["speech"], "the").where(F.lit(True)).count() <= rows.count()
+
+
+def test_writing_an_index_leaves_the_timeline_as_it_was(spark, sf_dir, tmp_path):
+    rows = timeline(spark, sf_dir)
+    before = [c for c in rows.columns if c != "block"]
+    write_index(rows, str(tmp_path / "own"))
+    assert rows.columns == before and "block" not in before
+    readers.write_timeline_arrays(rows, str(tmp_path / "arrays"))
+    assert readers.read_timeline_arrays(spark, str(tmp_path / "arrays")).count() == rows.count()
