@@ -377,8 +377,8 @@ def youtube_chapters(spark, d):
 
 @query
 def youtube_text(spark, d):
-    readers.write_youtube(reports.youtube_chapters(timeline(spark, d)), path := f"{_shared(spark)}/youtube")
-    return readers.read_texts(spark, path).select(F.col("video_id").cast("long").alias("video_id"), "value")
+    files = readers.write_youtube(reports.youtube_chapters(timeline(spark, d)), path := f"{_shared(spark)}/youtube")
+    return readers.read_texts(spark, path, files).select(F.col("video_id").cast("long").alias("video_id"), "value")
 
 
 @query
@@ -408,8 +408,8 @@ def srt_counts(spark, d):
 
 @query
 def srt_text(spark, d):
-    readers.write_subtitles(subtitles.all_tracks(timeline(spark, d)), path := f"{_shared(spark)}/srt")
-    return readers.read_texts(spark, path).select("track", F.col("video_id").cast("long").alias("video_id"), "value")
+    files = readers.write_subtitles(subtitles.all_tracks(timeline(spark, d)), path := f"{_shared(spark)}/srt")
+    return readers.read_texts(spark, path, files).select("track", F.col("video_id").cast("long").alias("video_id"), "value")
 
 
 @query
@@ -502,34 +502,34 @@ def frames_by_channel(spark, d):
 def raw_chat_read(spark, d):
     stamp = F.date_format(F.timestamp_micros("published_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     rows = _chat(spark, d).select("video_id", "msg_ord", "author", "text", stamp.alias("timestamp_ms"), "type", "amount")
-    readers.write_raw(rows, path := f"{_shared(spark)}/chat", "msg_ord")
-    return chat.parsed(readers.read_raw(spark, path, schema.CHAT_RAW))
+    files = readers.write_raw(rows, path := f"{_shared(spark)}/chat", "msg_ord")
+    return chat.parsed(readers.read_raw(spark, path, schema.CHAT_RAW, files))
 
 
 @query
 def raw_asr_read(spark, d):
-    readers.write_raw(raw_speech(spark, d), path := f"{_shared(spark)}/asr", "ord")
-    return readers.read_raw(spark, path, schema.ASR_RAW)
+    files = readers.write_raw(raw_speech(spark, d), path := f"{_shared(spark)}/asr", "ord")
+    return readers.read_raw(spark, path, schema.ASR_RAW, files)
 
 
 @query
 def raw_ocr_read(spark, d):
-    readers.write_raw(view(spark, d, "fx_ocr"), path := f"{_shared(spark)}/ocr", "ord")
-    return readers.read_raw(spark, path, schema.OCR_RAW)
+    files = readers.write_raw(view(spark, d, "fx_ocr"), path := f"{_shared(spark)}/ocr", "ord")
+    return readers.read_raw(spark, path, schema.OCR_RAW, files)
 
 
 @query
 def timeline_roundtrip(spark, d):
-    readers.write_timeline(timeline(spark, d), path := f"{_shared(spark)}/timeline")
-    rows = readers.read_timeline(spark, path, strict=True)
+    files = readers.write_timeline(timeline(spark, d), path := f"{_shared(spark)}/timeline")
+    rows = readers.read_timeline(spark, path, strict=True, files=files)
     return rows.select("video_id", "seg_ord", "time_start", "time_end", "time_display", "ocr.dialogue", "asr.text", "chat.density_per_min", _messages("chat.messages").alias("messages"), "events.chat_spike", F.col("score.total").alias("score_total"), "merge.match_status")
 
 
 @query
 def timeline_array_read(spark, d):
     """Timelines written as arrays, read back and searched."""
-    readers.write_timeline_arrays(timeline(spark, d), path := f"{_shared(spark)}/timeline")
-    rows = search.by_keyword(readers.read_timeline_arrays(spark, path), "the")
+    files = readers.write_timeline_arrays(timeline(spark, d), path := f"{_shared(spark)}/timeline")
+    rows = search.by_keyword(readers.read_timeline_arrays(spark, path, files), "the")
     return rows.select("video_id", "seg_ord", "time_start", "time_display", "ocr.dialogue", "asr.text", _messages("chat.messages").alias("messages"), "events.chat_spike", F.col("score.total").alias("score_total"), "merge.match_status")
 
 

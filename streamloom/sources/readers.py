@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from streamloom import schema
 from streamloom.functions.scalar import fmt_ts
 from streamloom.params import Params
+from streamloom.sources.files import folder, read_files, write_files
 
 
 #: Lines of a text that one file holds.
 TEXT_LINES = 1_000_000
+#: The keys of texts.
+TEXT_KEYS = ("track", "video_id")
 
 
 def _video_of(path: Column) -> Column:
@@ -43,60 +46,75 @@ def read_chat_pages(spark: SparkSession, path: str) -> DataFrame:
     return parse_chat_pages(pages.select(_video_of(F.col("file")).alias("video_id"), F.col("file").alias("page_ord"), "items"))
 
 
-def read_raw(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """JSON arrays of raw rows, a file for each video; `ord` is the place in the array."""
-    return _of_arrays(spark, path, ddl).select("video_id", "ord", *(f"`{c.split()[0]}`" for c in ddl.split(", ")))
+def read_raw(spark: SparkSession, path: str, ddl: str, files: DataFrame | None = None) -> DataFrame:
+    """JSON arrays of raw rows, a file for each video; `ord` is the place in the array.
+
+    files, as write_raw returns them, spare the driver a listing.
+    """
+    return _of_arrays(spark, path, ddl, files).select("video_id", "ord", *(f"`{c.split()[0]}`" for c in ddl.split(", ")))
 
 
-def _of_arrays(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def _of_arrays(spark: SparkSession, path: str, ddl: str, files: DataFrame | None) -> DataFrame:
     """The objects of JSON arrays with video_id, file and ord, their place in the file's array."""
+    if files is not None:
+        kind = "array<struct<" + ", ".join("{}: {}".format(*c.split(" ", 1)) for c in ddl.split(", ")) + ">>"
+        rows = read_files(files, path).select(F.concat(F.lit(f"{path}/"), "file").alias("file"), F.posexplode(F.from_json("value", kind)).alias("ord", "_row"))
+        return rows.select("file", "ord", _video_of(F.col("file")).alias("video_id"), "_row.*")
     rows = spark.read.schema(ddl).option("recursiveFileLookup", "true").json(path, multiLine=True)
     rows = rows.withColumns({"file": F.col("_metadata.file_path"), "_place": F.monotonically_increasing_id()})
     place = F.row_number().over(Window.partitionBy("file").orderBy("_place")) - 1
     return rows.withColumns({"ord": place, "video_id": _video_of(F.col("file"))}).drop("_place")
 
 
-def _array_lines(rows: DataFrame, order: str, nulls: bool) -> DataFrame:
-    """(video_id, value): the rows of each video as the lines of one JSON array, in order.
-
-    A line is written as it comes, so no video is gathered into one value.
-    """
+def _write_arrays(rows: DataFrame, path: str, order: str, nulls: bool) -> DataFrame:
+    """The rows of each video as the lines of one JSON array, in order; no video is gathered into one value."""
     over = Window.partitionBy("video_id").orderBy(order)
     row = F.to_json(F.struct(*(c for c in rows.columns if c not in ("video_id", order))), {"ignoreNullFields": str(not nulls).lower()})
     first, last = F.lag(F.lit(1)).over(over).isNull(), F.lead(F.lit(1)).over(over).isNull()
-    return rows.select("video_id", F.concat(F.when(first, "[").otherwise(","), row, F.when(last, "]").otherwise("")).alias("value"))
+    lines = rows.select("video_id", F.col(order).alias("_order"), F.concat(F.when(first, "[").otherwise(","), row, F.when(last, "]").otherwise("")).alias("value"))
+    return write_files(lines, path, F.concat(folder("video_id"), F.lit("/part-00000.txt")), ["_order"], F.col("value"))
 
 
-def write_raw(rows: DataFrame, path: str, order: str) -> None:
-    """Raw rows as a JSON array for each video, in the order of a column."""
-    _array_lines(rows, order, nulls=True).write.partitionBy("video_id").text(path)
+def write_raw(rows: DataFrame, path: str, order: str) -> DataFrame:
+    """Raw rows as a JSON array for each video, in the order of a column; the names of the files."""
+    return _write_arrays(rows, path, order, nulls=True)
 
 
-def write_timeline(timeline: DataFrame, path: str) -> None:
-    """JSON rows in a folder and a file for each video, in order; absent layers are omitted."""
-    timeline.repartition("video_id").sortWithinPartitions("video_id", "seg_ord").write.partitionBy("video_id").json(path)
+def write_timeline(timeline: DataFrame, path: str) -> DataFrame:
+    """JSON rows in a folder and a file for each video, in order; absent layers are omitted; the names of the files."""
+    row = F.to_json(F.struct(*(c for c in timeline.columns if c != "video_id")))
+    return write_files(timeline, path, F.concat(folder("video_id"), F.lit("/part-00000.json")), ["seg_ord"], row)
 
 
-def write_timeline_arrays(timeline: DataFrame, path: str) -> None:
-    """Each video's timeline as one JSON array, without video_id and seg_ord; absent layers are omitted."""
-    _array_lines(timeline, "seg_ord", nulls=False).write.partitionBy("video_id").text(path)
+def write_timeline_arrays(timeline: DataFrame, path: str) -> DataFrame:
+    """Each video's timeline as one JSON array, without video_id and seg_ord; absent layers are omitted; the names of the files."""
+    return _write_arrays(timeline, path, "seg_ord", nulls=False)
 
 
-def read_timeline_arrays(spark: SparkSession, path: str) -> DataFrame:
+def read_timeline_arrays(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """Timelines that are one JSON array each, indented or not, with defaults for what is missing.
 
     seg_ord is the place in the array, video_id the number in the file's path
-    or, where there is none, a hash of its folder.
+    or, where there is none, a hash of its folder. files, as
+    write_timeline_arrays returns them, spare the driver a listing.
     """
-    rows = _of_arrays(spark, path, ", ".join(c for c in schema.TIMELINE.split(", ") if c.split()[0] not in ("video_id", "seg_ord")))
+    rows = _of_arrays(spark, path, ", ".join(c for c in schema.TIMELINE.split(", ") if c.split()[0] not in ("video_id", "seg_ord")), files)
     folder = F.xxhash64(F.regexp_extract("file", "^(.*)/[^/]*$", 1))
     rows = rows.withColumns({"video_id": F.coalesce("video_id", folder), "seg_ord": F.col("ord").cast("int")})
     return with_defaults(rows).select(*schema.TIMELINE_COLUMNS)
 
 
-def read_timeline(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Timeline rows with defaults for what is missing; strict fails on malformed rows."""
-    rows = spark.read.schema(schema.TIMELINE).json(path, mode="FAILFAST" if strict else "PERMISSIVE")
+def read_timeline(spark: SparkSession, path: str, strict: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """Timeline rows with defaults for what is missing; strict fails on malformed rows.
+
+    files, as write_timeline returns them, spare the driver a listing.
+    """
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    if files is None:
+        return with_defaults(spark.read.schema(schema.TIMELINE).json(path, mode=mode))
+    rows = read_files(files, path, by_line=True)
+    rows = rows.select(_video_of(F.concat(F.lit(f"{path}/"), "file")).alias("_video"), F.from_json("value", schema.TIMELINE, {"mode": mode}).alias("_row"))
+    rows = rows.select(F.coalesce("_video", "_row.video_id").alias("video_id"), *(f"_row.{c}" for c in schema.TIMELINE_COLUMNS if c != "video_id"))
     return with_defaults(rows)
 
 
@@ -209,29 +227,35 @@ def params_of(row: Row) -> Params:
     return Params(**{k: tuple(v) if isinstance(known[k], tuple) else v for k, v in row.asDict().items() if k in known and v is not None})
 
 
-def write_lines(rows: DataFrame, path: str, keys: list[str], order: str, value: str) -> None:
-    """A text for each value of keys, whose lines are value in the order of a column that counts them.
+def write_lines(rows: DataFrame, path: str, keys: list[str], order: str, value: str) -> DataFrame:
+    """A text for each value of keys, whose lines are value in the order of a column that counts them; the names of the files.
 
-    Lines are written as they come, sorted within ranges of keys: no text is
-    gathered, and one of more than TEXT_LINES lines lies in several files, in
-    the order of their names.
+    Lines are written as they come: no text is gathered, and one of more than
+    TEXT_LINES lines lies in several files, in the order of their names.
     """
-    rows = rows.select(*keys, F.floor(F.col(order) / TEXT_LINES).alias("_part"), F.col(order).alias("_order"), F.col(value).alias("value"))
-    rows = rows.repartitionByRange(*keys, "_part").sortWithinPartitions(*keys, "_part", "_order")
-    rows.select(*keys, "value").write.partitionBy(*keys).text(path)
+    rows = rows.withColumn("_part", F.floor(F.col(order) / TEXT_LINES).cast("bigint"))
+    return write_files(rows, path, F.concat(folder(*keys), F.format_string("/part-%05d.txt", "_part")), [order], F.col(value))
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """The files of write_lines, each as one value, without the last line's end."""
-    rows = spark.read.text(path, wholetext=True)
+def read_texts(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """The files of write_lines, each as one value, without the last line's end.
+
+    files, as write_lines returns them, spare the driver a listing; the keys
+    are strings then, and null where a folder has another key.
+    """
+    if files is None:
+        rows = spark.read.text(path, wholetext=True)
+    else:
+        own = lambda c: F.nullif(F.nullif(F.url_decode(F.regexp_extract("file", f"(?:^|/){c}=([^/]*)/", 1)), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(""))
+        rows = read_files(files, path).select("value", *(own(c).alias(c) for c in TEXT_KEYS))
     return rows.withColumn("value", F.regexp_replace("value", r"\n\z", ""))
 
 
-def write_youtube(lines: DataFrame, path: str) -> None:
+def write_youtube(lines: DataFrame, path: str) -> DataFrame:
     """(video_id, n, line) as one text for each video."""
-    write_lines(lines, path, ["video_id"], "n", "line")
+    return write_lines(lines, path, ["video_id"], "n", "line")
 
 
-def write_subtitles(blocks: DataFrame, path: str) -> None:
+def write_subtitles(blocks: DataFrame, path: str) -> DataFrame:
     """(track, video_id, n, block) as one text for each track and video."""
-    write_lines(blocks, path, ["track", "video_id"], "n", "block")
+    return write_lines(blocks, path, ["track", "video_id"], "n", "block")

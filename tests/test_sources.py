@@ -3,6 +3,9 @@
 import json
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from streamloom import schema
 from streamloom.operators import chat, reports, subtitles
 from streamloom.plans.fixtures import timeline
@@ -109,3 +112,23 @@ def test_texts_of_several_files(spark, tmp_path, monkeypatch):
         for v in (1, 2, 30):
             files = sorted((tmp_path / "t" / f"track={t}" / f"video_id={v}").glob("part-*"))
             assert "".join(f.read_text() for f in files) == "".join(f"{t}{v}\nline {n}\n" for n in range(1, 34))
+
+
+def test_named_files_read_as_listed_ones_do(spark, sf_dir, tmp_path):
+    """What the sinks return names each file that lies there, and reading these gives what a listing does."""
+    rows = timeline(spark, sf_dir)
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    names = lambda files: sorted(r.file for r in files.collect())
+    lying = lambda top: sorted(str(p.relative_to(top)) for p in top.rglob("*") if p.is_file())
+    files = readers.write_timeline(rows, path := f"{tmp_path}/t")
+    assert names(files) == lying(tmp_path / "t")
+    assert same(readers.read_timeline(spark, path, True, files), readers.read_timeline(spark, path, True).select(*schema.TIMELINE_COLUMNS))
+    files = readers.write_timeline_arrays(rows, path := f"{tmp_path}/a")
+    assert names(files) == lying(tmp_path / "a") and same(readers.read_timeline_arrays(spark, path, files), readers.read_timeline_arrays(spark, path))
+    texts = spark.createDataFrame([("a/b c+%", 1, n, f"ä{n}\n\n") for n in range(1, 4)] + [(None, None, 1, None)], "track string, video_id long, n int, block string")
+    files = readers.write_subtitles(texts, path := f"{tmp_path}/s")
+    found = readers.read_texts(spark, path, files).select("track", F.col("video_id").cast("int"), "value")
+    assert names(files) == lying(tmp_path / "s") and same(found, readers.read_texts(spark, path).select("track", "video_id", "value"))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a/b c+%", 1, "ä1\n\n\nä2\n\n\nä3\n\n"), (None, None, "")]
+    with pytest.raises(FileExistsError):
+        readers.write_subtitles(texts, path)
