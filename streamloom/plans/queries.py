@@ -222,12 +222,12 @@ def overlap_candidates(spark, d):
 
 @query
 def match_status(spark, d):
-    said, shown = _speech(spark, d), _screen(spark, d)
-    pairs = align.overlap_candidates(said, shown, FULL.overlap_ratio)
-    rows = pairs.join(said.select("video_id", "seg_ord", "asr"), ["video_id", "seg_ord"]).join(shown.select("video_id", F.col("seg_ord").alias("ocr_ord"), "ocr"), ["video_id", "ocr_ord"])
-    a, b = F.col("ocr.dialogue"), F.col("asr.text")
-    status = S.match_status(a, b, F.col("asr.speaker_guess"), FULL.consistent, FULL.readback)
-    return rows.select("video_id", "seg_ord", "ocr_ord", S.rounded(S.edit_ratio(a, b), 6).alias("ratio"), status.alias("status"), F.when(status == "conflict", S.conflict_note(a, b)).alias("note"))
+    ws = Workspace(spark, "status")
+    said, shown = ws.table(_speech(spark, d), "said"), ws.table(_screen(spark, d), "shown")
+    pairs = ws.table(align.overlap_candidates(said, shown, FULL.overlap_ratio), "pairs")
+    rows = align.edit_ratios(pairs, said, shown, ws)
+    status = S.status_of(F.col("edit_ratio"), F.col("guess"), FULL.consistent, FULL.readback)
+    return rows.select("video_id", "seg_ord", "ocr_ord", S.rounded(F.col("edit_ratio"), 6).alias("ratio"), status.alias("status"), F.when(status == "conflict", S.conflict_note(F.col("shown"), F.col("said"))).alias("note"))
 
 
 @query

@@ -58,3 +58,8 @@ class Workspace:
     def keep(self, *names: str) -> None:
         """Deletes all tables but these."""
         self.drop(*self._names.difference(names))
+
+
+def spread(rows: DataFrame, n: int, keys: list[str], per_task: int) -> DataFrame:
+    """rows, of which there are n, dealt out by keys to tasks of so many: for work that is long for the bytes it reads."""
+    return rows.repartition(-(-n // per_task) or 1, *keys)

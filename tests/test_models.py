@@ -197,3 +197,20 @@ def test_a_stream_without_chat(spark, sf_dir):
     rows = build_timeline(raw_speech(spark, sf_dir), Q._levels(spark, sf_dir), none, None, Q.FULL).cache()
     assert rows.count() == raw_speech(spark, sf_dir).count() and rows.where("chat IS NOT NULL").isEmpty()
     assert set(build_reports(rows, Q.FULL)) >= {"index", "sheet", "clips"}
+
+
+def test_the_status_of_a_pair_takes_one_edit_distance_of_one_written_table(spark, sf_dir, monkeypatch):
+    """Texts are short in bytes and long in work: each pair is compared once, in tasks of a few pairs."""
+    from streamloom.operators import align
+    from streamloom.plans import queries
+
+    monkeypatch.setattr(align, "TASK_TEXTS", 5)
+    tables = {}
+    table = align.Workspace.table
+    monkeypatch.setattr(align.Workspace, "table", lambda self, df, name: tables.setdefault(name, df) is None or table(self, df, name))
+    rows = queries.match_status(spark, sf_dir)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan.lower()
+    own = tables["ratios"]._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert own.count("levenshtein") == 1
+    assert tables["ratios"].rdd.getNumPartitions() == -(-rows.count() // 5)
