@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from streamloom.operators import search
 
-#: Segments of a block, which has a folder of its own, and folders that the postings are dealt to.
+#: Segments that a block has on average, which has a folder of its own, and folders that the postings are dealt to.
 BLOCK_ROWS, FOLDERS = 10_000, 64
 #: Blocks that a search reads by name; more of them are joined.
 BY_NAME = 1_000
@@ -30,11 +30,16 @@ def _folder(trigram: Column) -> Column:
 def write_index(timeline: DataFrame, path: str) -> None:
     """Writes the timeline by blocks of neighbouring segments, and which blocks hold which trigram of which field.
 
-    A block is BLOCK_ROWS segments of a video by seg_ord. Of each trigram a
-    block has one posting, so its frequent trigrams are one row each.
+    Up to BLOCK_ROWS neighbouring segments of a video stay together. There are
+    as many blocks as the segments fill, so short videos share one and their
+    number grows with the segments, not the videos. Of each trigram a block has
+    one posting, so its frequent trigrams are one row each. The timeline is read
+    twice: write it first.
     """
-    block = F.concat_ws("-", F.col("video_id").cast("string"), F.floor(F.col("seg_ord") / BLOCK_ROWS).cast("string"))
-    timeline.withColumn("block", block).repartition("block").sortWithinPartitions("block", "seg_ord").write.partitionBy("block").parquet(f"{path}/timeline")
+    blocks = -(-timeline.count() // BLOCK_ROWS) or 1
+    part = F.pmod(F.xxhash64("video_id", F.floor(F.col("seg_ord") / BLOCK_ROWS)), F.lit(blocks))
+    rows = timeline.withColumn("block", F.concat(F.lit("b"), part.cast("string")))
+    rows.repartition(blocks, "block").sortWithinPartitions("block", "video_id", "seg_ord").write.partitionBy("block").parquet(f"{path}/timeline")
     # a schema's add() would change the one that timeline holds, and with it timeline's columns
     rows = timeline.sparkSession.read.schema(StructType([*timeline.schema.fields, StructField("block", StringType())])).parquet(f"{path}/timeline")
     grams = F.array(*(F.struct(F.lit(name).alias("field"), _trigrams(F.col(c)).alias("grams")) for name, c in FIELDS.items()))

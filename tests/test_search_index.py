@@ -50,3 +50,16 @@ def test_writing_an_index_leaves_the_timeline_as_it_was(spark, sf_dir, tmp_path)
     assert rows.columns == before and "block" not in before
     readers.write_timeline_arrays(rows, str(tmp_path / "arrays"))
     assert readers.read_timeline_arrays(spark, str(tmp_path / "arrays")).count() == rows.count()
+
+
+def test_blocks_follow_segments_not_videos(spark, sf_dir, tmp_path):
+    """Short videos share a block and its folder; a long one has several."""
+    rows = timeline(spark, sf_dir)
+    write_index(rows, str(tmp_path / "own"))
+    index = TimelineIndex(spark, str(tmp_path / "own"), schema.TIMELINE)
+    assert index.timeline.select("block").distinct().count() == 1 < rows.select("video_id").distinct().count()
+    assert index.timeline.drop("block").exceptAll(rows).isEmpty() and index.timeline.count() == rows.count()
+    one = rows.where("seg_ord = 0").withColumns({"video_id": F.lit(1).cast("long"), "seg_ord": F.explode(F.array(*map(F.lit, range(0, 40_000, 2_000))))})
+    write_index(one, str(tmp_path / "long"))
+    long = TimelineIndex(spark, str(tmp_path / "long"), schema.TIMELINE).timeline
+    assert long.groupBy("video_id", F.floor(F.col("seg_ord") / search_index.BLOCK_ROWS)).agg(F.count_distinct("block").alias("n")).where("n > 1").isEmpty()
