@@ -12,11 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.packing import CACHE_WORDS, WordTokenizer
+from streamloom.llm.packing import WordTokenizer
 from streamloom.storage import Workspace
 
 #: Elements that a piece of the merge holds.
 PIECE = 1 << 14
+#: Words whose ids a worker keeps of each tokenizer.
+CACHE_WORDS = 150_000
 #: Documents and tokens that a task aligns together at most; a longer document is taken alone.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 3_000_000
 SPACE = "▁"
@@ -34,6 +36,8 @@ def default_tokenizers() -> tuple[str, str]:
 class ByteTokens(WordTokenizer):
     """Tokens of a byte-level tokenizer file, strings of special tokens being plain text."""
 
+    MOST_WORDS = CACHE_WORDS
+
     def __init__(self, path: str):
         super().__init__(path)
         self.whole.encode_special_tokens = True

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 #: Documents and ids that a task packs together at most; a longer document is taken alone.
 CHUNK_DOCS, CHUNK_IDS = 4096, 4_000_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 150_000
+#: Words whose ids a worker keeps, about 150 MB of them; a new word takes ten times as long as a kept one or more.
+CACHE_WORDS = 600_000
 END_ID = 1
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,6 +42,8 @@ class WordTokenizer:
 
     LETTER, SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", "\t-\r "
     WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[0-9]+| ?[^{SPACE}{LETTER}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    #: Words whose ids one tokenizer keeps.
+    MOST_WORDS = CACHE_WORDS
     OTHER = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]")
 
     def __init__(self, path: str):
@@ -74,7 +76,7 @@ class WordTokenizer:
         """The ids as little-endian 32-bit numbers."""
         if not self.by_words or self.OTHER.search(text) or any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.MOST_WORDS:
             self.words.clear()
         words, new = self.words, self._new
         return b"".join([words.get(w) or new(w) for w in self.WORD.findall(text)])

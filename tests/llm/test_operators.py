@@ -763,3 +763,13 @@ def test_language_learns_every_language_from_whole_texts(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     text = docs.sparkSession.createDataFrame([(long,)], "t string").select(langid.drawn(col("t"))).first()[0]
     assert len(text) <= langid.TRAIN_CHARS + langid.TRAIN_PARTS and "w0 " in text and "w59999" in text and "w30" in text
+
+
+def test_words_beyond_the_former_limit_are_kept():
+    """A new word takes far longer than a kept one, and large tables have many: 200,000 of them stay."""
+    own = packing.WordTokenizer(packing.default_tokenizer())
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(n, n + 1000)) for n in range(0, 200_000, 1000)]
+    for text in texts:
+        own.ids(text)
+    assert len(own.words) >= 200_000
+    assert own.ids(texts[0]) == np.array(own.whole.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
