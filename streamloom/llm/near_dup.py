@@ -14,6 +14,8 @@ is held against the whole bucket in blocks of BLOCK classes, fewer where sets
 are large, so that every pair that shares a band is either in one component
 already, or out of reach, or decided: a shingle of one member that no other such member has is in no
 intersection, so sizes and counts of shared shingles bound a pair's likeness.
+A block is one row with all its members, and two blocks meet as one row: no
+member is joined or copied by itself for each block that it meets.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ BLOCK, BLOCK_SHINGLES = 1024, 500_000
 BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
-BLOCKS = ("key", "i", "j", "minor", "label", "main", "hub", "rep", "n_shingles", "shared", "signature", "shingles")
+MEMBER = ("rep", "label", "n_shingles", "shared", "signature", "shingles")
 SIGNED = "doc_id long, row long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"
 
 
@@ -132,12 +134,18 @@ def _likely_batches(threshold: float, kind: type) -> Callable:
 
 
 def _block_batches(percent: int, band_rows: int, kind: type) -> Callable:
-    """Rows of BLOCKS, sorted by (key, i, j), to links across labels, one at most for each two labels of a block."""
+    """(key, hub, main, members, others) to links across labels, one at most for each two labels of a row.
+
+    members are a block's, arrays of MEMBER; they meet each other or, where
+    there are others, those of another block of the bucket.
+    """
     threshold = percent / 100
 
-    def pairs(rows: dict[str, np.ndarray], sets: list[bytes]) -> list[tuple[int, int]]:
-        left, right = np.flatnonzero(rows["minor"] == 1), np.flatnonzero(rows["minor"] == 0)
-        table, label, main, rep, hub, n, shared = (rows[c] for c in ("signature", "label", "main", "rep", "hub", "n_shingles", "shared"))
+    def pairs(key: int, hub: int, main: int, sides: list[pa.StructArray]) -> list[tuple[int, int]]:
+        side = np.repeat(np.arange(len(sides)), [len(x) for x in sides])
+        label, rep, n, shared = (np.concatenate([x.field(c).to_numpy() for x in sides]) for c in ("label", "rep", "n_shingles", "shared"))
+        table = np.concatenate([_rows(x.field("signature"), kind) for x in sides])
+        sets = [v for x in sides for v in x.field("shingles").to_pylist()]
         joined: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -146,9 +154,11 @@ def _block_batches(percent: int, band_rows: int, kind: type) -> Callable:
             return x
 
         out = []
-        for x in left:
-            # a pair with the bucket's smallest member has been decided before, a pair of minor members comes up twice
-            other = right[(label[right] != label[x]) & (rep[right] != hub[x]) & ((label[right] == main[x]) | (rep[right] > rep[x]))] if rep[x] != hub[x] else right[:0]
+        # a pair with the bucket's smallest member has been decided before
+        for x in np.flatnonzero((label != main) & (rep != hub)):
+            # a pair of minor members comes up twice
+            other = (label != label[x]) & (rep != hub) & ((label == main) | (rep > rep[x]))
+            other = np.flatnonzero(other & (side != side[x]) if len(sides) > 1 else other)
             most = np.minimum(shared[other], shared[x])
             other = other[most >= (threshold - 1e-9) * (n[other] + n[x] - most)]
             other = other[likely(table[other], table[x], threshold)]
@@ -158,7 +168,7 @@ def _block_batches(percent: int, band_rows: int, kind: type) -> Callable:
             bands, used = (v[0] for v in band_keys(table[x][None], band_rows))
             common = (table[other] == table[x]).reshape(len(other), -1, band_rows).all(axis=2) & used
             own = np.frombuffer(sets[x], _U)
-            for y in other[bands[common.argmax(axis=1)].view(np.int64) == rows["key"][x]]:
+            for y in other[bands[common.argmax(axis=1)].view(np.int64) == key]:
                 a, b = top(int(label[x])), top(int(label[y]))
                 if a != b and alike(own, np.frombuffer(sets[y], _U), percent):
                     out.append((int(rep[x]), int(rep[y])))
@@ -166,30 +176,11 @@ def _block_batches(percent: int, band_rows: int, kind: type) -> Callable:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            cols = {c: table[c].to_numpy() for c in BLOCKS[:-2]}
-            cols["signature"] = _rows(table["signature"], kind)
-            sets = table["shingles"].to_pylist()
-            cuts = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
-            found = [p for s, e in zip([0, *cuts], [*cuts, len(table)], strict=True) for p in pairs({c: v[s:e] for c, v in cols.items()}, sets[s:e])]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            end = [held[c][-1].as_py() for c in ("key", "i", "j")]
-            last = pc.and_(pc.and_(pc.equal(held["key"], end[0]), pc.equal(held["i"], end[1])), pc.equal(held["j"], end[2]))
-            whole = held.filter(pc.invert(last))
-            if whole.num_rows:
-                yield from out(whole)
-                held = held.filter(last)
-        if held is not None:
-            yield from out(held)
+            found = []
+            for *bucket, members, others in zip(*batch.columns, strict=True):
+                found += pairs(*(x.as_py() for x in bucket), [x.values for x in (members, others) if x.is_valid])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -268,6 +259,12 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.select("key", "hub", "rep", "label").join(_few(mixed.where("labels > 1").drop("labels")), "key")
 
 
+def _packed(members: DataFrame) -> DataFrame:
+    """One row for each block of a bucket, with its members and whether any is minor."""
+    minor, rows = F.bool_or(F.col("label") != F.col("main")), F.collect_list(F.struct(*MEMBER))
+    return members.groupBy("key", "block").agg(F.min("hub").alias("hub"), F.min("main").alias("main"), minor.alias("minor"), rows.alias("members"))
+
+
 def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_rows: int = ROWS, kind: type = np.uint32) -> DataFrame:
     """(node, label): the component of each linked one of reps(rep, n_shingles, signature, bands).
 
@@ -302,16 +299,22 @@ def linked(reps: DataFrame, docs: DataFrame, percent: int, ws: Workspace, band_r
     sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_set_batches, "rep long, shingles binary").dropDuplicates()
 
     # a block has BLOCK members and BLOCK_SHINGLES shingles on average, at most
-    near = near.drop("n_shingles").join(_few(held), "key")
+    near = near.join(_few(held), "key")
     near = near.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int"))
     near = near.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    minor = near.where("label <> main").select("key", F.col("block").alias("i"), every.alias("j"), F.lit(1).alias("minor"), "label", "main", "hub", "rep")
-    whole = near.select("key", every.alias("i"), F.col("block").alias("j"), F.lit(0).alias("minor"), "label", "main", "hub", "rep")
-    # a block of minor members meets each block of the bucket; blocks without minor members have nothing to do
-    rows = whole.join(_few(minor.select("key", "i", "j").distinct()), ["key", "i", "j"], "left_semi").unionByName(minor)
-    rows = rows.join(sized, "rep").join(sets, "rep").select(*BLOCKS)
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    each = near.join(sized.select("rep", "shared", "signature").join(sets, "rep"), "rep")
+    rows = _packed(each).where("minor")
+    # blocks of a bucket meet if one of them has minor members; most buckets have a single one
+    parts = near.where("blocks > 1").groupBy("key", "block").agg(F.bool_or(F.col("label") != F.col("main")).alias("minor"))
+    meet = parts.toDF("key", "i", "minor_i").join(parts.toDF("key", "j", "minor_j"), "key").where("i < j AND (minor_i OR minor_j)").select("key", "i", "j")
+    meet = ws.table(meet, "meet")
+    if meet.isEmpty():
+        rows = rows.withColumn("others", F.lit(None).cast(rows.schema["members"].dataType))
+    else:
+        wide = _packed(each.where("blocks > 1"))
+        first = _few(meet).join(wide.withColumnRenamed("block", "i"), ["key", "i"])
+        rows = rows.unionByName(first.join(wide.select("key", F.col("block").alias("j"), F.col("members").alias("others")), ["key", "j"]), allowMissingColumns=True)
+    rows = rows.select("key", "hub", "main", "members", "others")
     links = ws.table(links.unionByName(rows.mapInArrow(_block_batches(percent, band_rows, kind), "a long, b long").distinct()), "links")
     ws.drop("members", "placed", "star", "mixed")
     return components(links, ws)

@@ -290,6 +290,37 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == groups([(r[0], r[1]) for r in rows], 85)
 
 
+def test_joins_by_class_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Loose copies, most of them linked with none: three times as many make three times the rows, whatever the blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    each = lambda seq: (seq.apply(k) for k in range(seq.size()))
+    rng = random.Random(7)
+
+    def made(n):
+        """The rows that joins by rep make for n copies."""
+        copies = []
+        for k in range(n):
+            own = [f"w{j}" for j in range(140)]
+            for j in rng.sample(range(140), rng.choice([1, 3, 4, 4, 5])):
+                own[j] = f"e{rng.randrange(10**9)}"
+            copies.append((k, " ".join(own), None, None, None))
+        bus.waitUntilEmpty()
+        before = {x.executionId() for x in each(store.executionsList())}
+        got = near_duplicates(table(spark, copies), 80)
+        assert {r.doc_id: r.component_id for r in got.collect()} == groups([r[:2] for r in copies], 80)
+        bus.waitUntilEmpty()
+        total = 0
+        for x in (i for e in each(store.executionsList()) if (i := e.executionId()) not in before):
+            values = {v._1(): v._2() for v in each(store.executionMetrics(x).toSeq())}
+            joins = [v for v in each(store.planGraph(x).allNodes()) if re.search(r"Join \[rep#\d+L?\], \[rep#\d+L?\], Inner", v.desc())]
+            total += sum(int(values.get(m.accumulatorId(), "0").replace(",", "")) for v in joins for m in each(v.metrics()) if m.name() == "number of output rows")
+        return total
+
+    few, many = made(80), made(240)
+    assert 0 < many <= 4 * few, (few, many)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = near_duplicates(odd, 85).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=str)
